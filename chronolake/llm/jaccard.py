@@ -39,6 +39,7 @@ ORDERS = (0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1)
 WIDE = 8  # tokens of more texts than this come last in every order
 FEW = 4  # a prefix token's nodes are paired with one another up to so many
 BUCKET = 1 << 20  # prefix tokens in a bucket, about
+MEET = 256  # nodes of a block
 
 
 def token_sets(s: bk.Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +103,10 @@ def _rank(tokens: np.ndarray, offs: np.ndarray, seed: int, last: np.ndarray | No
     key = bk.mix(tokens ^ np.uint64(seed)) >> np.uint64(1)
     if last is not None:
         key |= last.astype(np.uint64) << np.uint64(63)
-    return np.lexsort((key, row)), row
+    out = np.empty(len(tokens), np.int64)
+    for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        out[x:y] = np.argsort(key[x:y]) + x
+    return out, row
 
 
 def _widespread(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
@@ -134,6 +138,8 @@ def _widespread(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
 def _groups(texts: DataFrame, k: int, percent: int, order: int, wide, buckets: int) -> DataFrame:
     """Prefix tokens of one order that several nodes have: (leader, nodes, sizes)."""
 
+    kind = pa.schema({"bucket": pa.int32(), "low": pa.binary(), "high": pa.binary(), "node": pa.binary(), "n": pa.binary(), "run": pa.binary()})
+
     def prefixes(batches):
         for t, o, node in _new_sets(batches, k):
             if not len(t):
@@ -142,14 +148,27 @@ def _groups(texts: DataFrame, k: int, percent: int, order: int, wide, buckets: i
             n = np.diff(o)
             place = np.arange(len(t)) - o[:-1][row]
             ok = place < (n - -(-percent * n // 100) + 1)[row]
-            t, row = t[rank[ok]], row[ok]
-            rows = _in_buckets((t % np.uint64(buckets)).astype(np.int64), buckets, t, node[row], n[row].astype(np.int32))
-            yield pa.RecordBatch.from_pylist(
-                [{"bucket": b, "t": x, "node": y, "n": z} for b, x, y, z in rows], pa.schema({"bucket": pa.int32(), "t": pa.binary(), "node": pa.binary(), "n": pa.binary()})
-            )
+            t, row = t[rank[ok]] >> np.uint64(24), row[ok]  # 40 bits: tokens that fall together only add candidates
+            bucket = (t % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            t, row, bucket = t[by], row[by], bucket[by]
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1]))))  # runs of one node
+            edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+            cut = np.searchsorted(new, edge)
+            run = np.diff(np.append(new, len(t))).astype(np.int32)
+            low, high, of, size = t.astype(np.uint32), (t >> np.uint64(32)).astype(np.uint8), node[row[new]], n[row[new]].astype(np.int32)
+            rows = [
+                {"bucket": b, "low": low[edge[b] : edge[b + 1]].tobytes(), "high": high[edge[b] : edge[b + 1]].tobytes()}
+                | {c: v[cut[b] : cut[b + 1]].tobytes() for c, v in (("node", of), ("n", size), ("run", run))}
+                for b in np.flatnonzero(np.diff(edge)).tolist()
+            ]
+            yield pa.RecordBatch.from_pylist(rows, kind)
 
     def gather(table: pa.Table) -> pa.Table:
-        t, node, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("t", np.uint64), ("node", np.int64), ("n", np.int32)))
+        col = lambda c, d: np.frombuffer(b"".join(table.column(c).to_pylist()), d)
+        t = col("low", np.uint32).astype(np.uint64) | col("high", np.uint8).astype(np.uint64) << np.uint64(32)
+        run = col("run", np.int32)
+        node, n = np.repeat(col("node", np.int64), run), np.repeat(col("n", np.int32), run)
         order = np.lexsort((node, t))
         t, node, n = t[order], node[order], n[order]
         new = np.ones(len(t), bool)
@@ -158,44 +177,117 @@ def _groups(texts: DataFrame, k: int, percent: int, order: int, wide, buckets: i
         start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(t)))
         start, size = start[size > 1], size[size > 1]
-        seen, nodes, sizes = set(), [], []
+        held: dict[bytes, int] = {}
+        at: list[tuple[int, int]] = []
+        weight: list[int] = []
         for a, c in zip(start.tolist(), size.tolist(), strict=True):
             key = node[a : a + c].tobytes()
-            if key not in seen:  # tokens of the same nodes are one group
-                seen.add(key)
-                nodes.append(node[a : a + c])
-                sizes.append(n[a : a + c])
-        return pa.table({"nodes": pa.array(nodes, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.list_(pa.int32()))})
+            if key in held:  # tokens of the same nodes are one group
+                weight[held[key]] += 1
+            else:
+                held[key] = len(at)
+                at.append((a, c))
+                weight.append(1)
+        nodes, sizes = ([x[a : a + c] for a, c in at] for x in (node, n))
+        return pa.table({"nodes": pa.array(nodes, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.list_(pa.int32())), "weight": pa.array(weight, pa.int32())})
 
-    packed = texts.mapInArrow(prefixes, "bucket int, t binary, node binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(gather, "nodes array<long>, sizes array<int>")
+    packed = texts.mapInArrow(prefixes, "bucket int, low binary, high binary, node binary, n binary, run binary")
+    return packed.groupBy("bucket").applyInArrow(gather, "nodes array<long>, sizes array<int>, weight int")
 
 
-def _pairs_of(groups: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs (x, y) of the groups' nodes that sizes allow: all of small groups, or each large group's leader with the rest."""
+def _pairs_of(groups: DataFrame, percent: int) -> DataFrame:
+    """All pairs (x, y) of the nodes of groups of up to FEW, if sizes allow."""
 
     def each(batches):
         for batch in batches:
             xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for nodes, sizes in zip(batch.column(0), batch.column(1), strict=True):
                 v, n = np.asarray(nodes.values), np.asarray(sizes.values).astype(np.int64)
-                if star:
-                    mid = int(np.lexsort((v, np.abs(n - np.median(n))))[0])  # the leader has a middling size
-                    i, j = np.full(len(v), mid), np.arange(len(v))
-                else:
-                    i, j = np.triu_indices(len(v), 1)
-                ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (i != j)
-                xs.append(np.minimum(v[i[ok]], v[j[ok]]))
-                ys.append(np.maximum(v[i[ok]], v[j[ok]]))
+                i, j = np.triu_indices(len(v), 1)
+                ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                xs.append(v[i[ok]])
+                ys.append(v[j[ok]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["x", "y"])
 
-    size = F.size("nodes")
-    return groups.where(size > FEW if star else size <= FEW).mapInArrow(each, "x long, y long")
+    return groups.where(F.size("nodes") <= FEW).mapInArrow(each, "x long, y long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
-    nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y"))
+def _families(groups: DataFrame) -> DataFrame:
+    """(leader, nl, node, n) of the groups of more than FEW: a group's leader is the node with the largest part of its
+    prefix in such groups, which is the text that the others are copies of, and groups with one leader are a family."""
+    large = groups.where(F.size("nodes") > FEW).select(F.xxhash64("nodes").alias("g"), "weight", F.explode(F.arrays_zip("nodes", "sizes")).alias("m"))
+    large = stored(large.select("g", "weight", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n")), "large")
+    score = large.groupBy("node").agg((F.sum("weight") / F.first("n")).alias("score"))
+    leader = large.join(score, "node").groupBy("g").agg(F.max(F.struct("score", "node", "n")).alias("top"))
+    return large.join(leader.select("g", F.col("top.node").alias("leader"), F.col("top.n").alias("nl")), "g").select("leader", "nl", "node", "n").distinct()
+
+
+def _within(families: DataFrame, label: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links in families whose nodes aren't in one component yet.
+
+    The nodes outside a family's main component meet all its nodes, block by block; a
+    block's overlaps are counted at once and only links between components come out.
+    """
+    own = families.select("leader", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    count = own.groupBy("leader", "label").agg(F.count("*").alias("c"))
+    main = count.groupBy("leader").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"), F.sum("c").alias("size"))
+    main = main.where("labels > 1").select("leader", F.col("top.label").alias("main"), F.col("size"), (F.col("size") - F.col("top.c")).alias("odd"))
+    own = stored(own.join(main, "leader"), "odd")
+    if own.isEmpty():
+        return own.select(F.col("node").alias("x"), F.col("node").alias("y"))
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(MEET)).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    odd = own.where("label <> main").select("leader", "node", "label", mine("odd").alias("i"), every("size").alias("j"), F.lit(True).alias("asks"))
+    rest = own.select("leader", "node", "label", every("odd").alias("i"), mine("size").alias("j"), F.lit(False).alias("asks"))
+    meet = odd.union(rest).join(_sets(own.select("node"), texts, k), "node")
+
+    def each(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        node, lab = table.column("node").to_numpy(), table.column("label").to_numpy()
+        col = table.column("tokens").combine_chunks()
+        n = np.diff(np.asarray(col.offsets))
+        _, ident, times = np.unique(np.asarray(col.flatten()), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(node)), n)
+        ok = times[ident] > 1
+        _, ident = np.unique(ident[ok], return_inverse=True)
+        of = of[ok]
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        common = np.zeros((len(a), len(b)), np.float32)
+        place = np.zeros(len(node), np.int64)
+        place[a], place[b] = np.arange(len(a)), np.arange(len(b))
+        by = np.argsort(ident, kind="stable")
+        ident, of = ident[by], of[by]
+        for lo in range(0, int(ident.max(initial=-1)) + 1, 8192):
+            p, q = np.searchsorted(ident, (lo, lo + 8192))
+            left, right = np.zeros((len(a), 8192), np.float32), np.zeros((len(b), 8192), np.float32)
+            i, w = of[p:q], ident[p:q] - lo
+            left[place[i[asks[i]]], w[asks[i]]] = 1
+            right[place[i[~asks[i]]], w[~asks[i]]] = 1
+            common += left @ right.T
+        joint = n[a][:, None] + n[b][None, :] - common
+        x, y = np.nonzero((100 * common >= percent * joint) & (lab[a][:, None] != lab[b][None, :]))
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while (u := parent.get(v, v)) != v:
+                v = u
+            return v
+
+        kept = []
+        for i, j in zip(a[x].tolist(), b[y].tolist(), strict=True):
+            u, v = root(int(lab[i])), root(int(lab[j]))
+            if u != v:
+                parent[u] = v
+                kept.append((i, j))
+        i, j = (np.array([r[c] for r in kept], np.int64) for c in (0, 1))
+        return pa.table({"x": pa.array(node[i]), "y": pa.array(node[j])})
+
+    return meet.groupBy("leader", "i", "j").applyInArrow(each, "x long, y long")
+
+
+def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(node, tokens) of the given nodes, once each."""
     asked = texts.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
 
     def sets(batches):
@@ -206,7 +298,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(node[ok[a : a + 500]]), pa.array(arrays[a : a + 500], pa.list_(pa.int64()))], names=["node", "tokens"])
 
     found = texts.mapInArrow(sets, "node long, tokens array<long>")
-    found = stored(found.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return found.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold."""
+    found = stored(_sets(pairs.select(F.col("x").alias("node")).union(pairs.select("y")), texts, k), "sets")
     both = pairs.join(found.toDF("x", "tx"), "x").join(found.toDF("y", "ty"), "y")
     common = F.size(F.array_intersect("tx", "ty"))
     return both.where(common * 100 >= percent * (F.size("tx") + F.size("ty") - common)).select("x", "y")
@@ -217,10 +314,10 @@ def links(texts: DataFrame, tokens: int, k: int = 5, percent: int = 80) -> DataF
     buckets = max(48, cut_parts(texts), math.ceil(tokens / (2 * BUCKET)))
     wide = texts.sparkSession.sparkContext.broadcast(_widespread(texts, k, buckets))
     groups = [stored(_groups(texts, k, percent, i, wide, buckets), "groups") for i in range(len(ORDERS))]
-    pairs = _pairs_of(groups[0], percent, False).distinct()
+    pairs = _pairs_of(groups[0], percent).distinct()
     for other in groups[1:]:
         # the pair is in a small group of the other order too, or both nodes are in large ones
-        small = _pairs_of(other, percent, False).distinct().withColumn("both", F.lit(True))
+        small = _pairs_of(other, percent).distinct().withColumn("both", F.lit(True))
         large = other.where(F.size("nodes") > FEW).select(F.explode("nodes").alias("node")).distinct().withColumn("large", F.lit(True))
         pairs = (
             pairs.join(small, ["x", "y"], "left")
@@ -229,25 +326,11 @@ def links(texts: DataFrame, tokens: int, k: int = 5, percent: int = 80) -> DataF
             .where("both OR (lx AND ly)")
             .select("x", "y")
         )
-    first = stored(pairs.union(_pairs_of(groups[0], percent, True)).distinct(), "pairs")
-    good = stored(_verified(first, texts, k, percent), "links")
-    label = components(good)
-    # members of large groups that are in another component than most of the group
-    large = groups[0].where(F.size("nodes") > FEW).select(F.xxhash64("nodes").alias("g"), F.explode(F.arrays_zip("nodes", "sizes")).alias("m"))
-    large = large.select("g", F.col("m.nodes").alias("node"), F.col("m.sizes").alias("n")).distinct()
-    large = large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    count = large.groupBy("g", "label").agg(F.count("*").alias("c"))
-    main = count.groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("g", F.col("top.label").alias("main"))
-    large = stored(large.join(main, "g"), "large")
-    odd = large.where("label <> main").select("g", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    rest = odd.join(large, "g").where(
-        (F.col("label") != F.col("lx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
-    )
-    more = rest.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
-    more = stored(more.join(first, ["x", "y"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        good = good.union(stored(_verified(more, texts, k, percent), "links"))
-    return good
+    families = stored(_families(groups[0]), "families")
+    fits = 100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")
+    star = families.where((F.col("node") != F.col("leader")) & fits).select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y"))
+    good = stored(_verified(stored(pairs.union(star).distinct(), "pairs"), texts, k, percent), "links")
+    return good.union(stored(_within(families, components(good), texts, k, percent), "links"))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
