@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolake.llm import html_text, jaccard, langid, mixing, quality, secrets, topk, toxicity
+from chronolake.llm import html_text, jaccard, langid, leaks, mixing, pst, quality, secrets, topk, toxicity
 from chronolake.llm.common import table
 
 
@@ -42,10 +42,18 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op2_ordinal_quality, op3_mix_sources, op4_language_gru, op5_toxicity_fm, op6_jaccard_join, op7_secret_scan, op10_html_blocks)}
+QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op2_ordinal_quality, op3_mix_sources, op4_language_gru, op5_toxicity_fm, op6_jaccard_join, op7_secret_scan, op8_latent_leaks, op9_suffix_tree, op10_html_blocks)}
 
 ORACLE = {"op1_maxscore_topk": topk.TOPK_SQL, "op3_mix_sources": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL})"}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import jaccard, mixing, secrets, toxicity
+from chronolake.llm import jaccard, leaks, mixing, secrets, toxicity
 from chronolake.llm.common import stored, table
 
 
@@ -26,8 +26,6 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    from chronolake.llm import leaks
-
     return leaks.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
