@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
-from chronolake.llm.common import cut_parts, stored
+from chronolake.llm.common import cut_parts, discard, stored, tidy
 from chronolake.llm.components import bitmap, components, marked
 
 ORDERS = (0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1)
-WIDE = 8  # tokens of more texts than this come last in every order
+WIDE = 4  # tokens of more texts than this come last in every order
 FEW = 4  # a prefix token's nodes are paired with one another up to so many
 BUCKET = 1 << 20  # prefix tokens in a bucket, about
 MEET = 256  # nodes of a block
@@ -306,13 +306,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     found = stored(_sets(pairs.select(F.col("x").alias("node")).union(pairs.select("y")), texts, k), "sets")
     both = pairs.join(found.toDF("x", "tx"), "x").join(found.toDF("y", "ty"), "y")
     common = F.size(F.array_intersect("tx", "ty"))
-    return both.where(common * 100 >= percent * (F.size("tx") + F.size("ty") - common)).select("x", "y")
+    good = stored(both.where(common * 100 >= percent * (F.size("tx") + F.size("ty") - common)).select("x", "y"), "links")
+    discard(found)
+    return good
 
 
 def links(texts: DataFrame, tokens: int, k: int = 5, percent: int = 80) -> DataFrame:
     """Verified pairs of nodes that connect what similar pairs connect.  `tokens`: about the number of tokens of all texts."""
     buckets = max(48, cut_parts(texts), math.ceil(tokens / (2 * BUCKET)))
     wide = texts.sparkSession.sparkContext.broadcast(_widespread(texts, k, buckets))
+    tidy(texts.sparkSession)
     groups = [stored(_groups(texts, k, percent, i, wide, buckets), "groups") for i in range(len(ORDERS))]
     pairs = _pairs_of(groups[0], percent).distinct()
     for other in groups[1:]:
@@ -329,7 +332,9 @@ def links(texts: DataFrame, tokens: int, k: int = 5, percent: int = 80) -> DataF
     families = stored(_families(groups[0]), "families")
     fits = 100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")
     star = families.where((F.col("node") != F.col("leader")) & fits).select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y"))
-    good = stored(_verified(stored(pairs.union(star).distinct(), "pairs"), texts, k, percent), "links")
+    pairs = stored(pairs.union(star).distinct(), "pairs")
+    discard(*groups)
+    good = _verified(pairs, texts, k, percent)
     return good.union(stored(_within(families, components(good), texts, k, percent), "links"))
 
 
