@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = None
+from chronolake.plans import market, pit, study
+from chronolake.plans.book import ORACLE, QUERIES
+
+FLAGSHIP = QUERIES["a4_strategy_metrics"]
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "market", "pit", "study"]
