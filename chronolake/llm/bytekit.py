@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -160,7 +160,7 @@ def fold_of(ids: pa.Array, k: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if v is None else str(v).encode()) % k for v in ids.to_pylist()], np.int64)
 
 
-def run(step: np.ndarray, cls: np.ndarray, raw: np.ndarray, lane: int = 1024) -> np.ndarray:
+def run(step: np.ndarray, cls: np.ndarray, raw: np.ndarray, lane: int = 512) -> np.ndarray:
     """States of an automaton after each byte of `raw`, in parallel lanes.
 
     step[state, class] is the next state, 0 the start.  Lanes guess that they

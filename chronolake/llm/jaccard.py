@@ -71,7 +71,7 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _new_sets(batches, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, offsets, nodes) of the sets of a partition, each set once as far as memory of a million nodes goes."""
+    """(tokens, offsets, nodes) of the sets of a partition, each set once as far as memory of half a million nodes goes."""
     seen: set[int] = set()
     for batch in batches:
         for s in bk.slices(batch.column(0)):
@@ -82,7 +82,7 @@ def _new_sets(batches, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
                 if x and x not in seen:
                     seen.add(x)
                     keep[i] = True
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 seen = set()
             n = np.diff(o)
             yield t[np.repeat(keep, n)], np.concatenate(([0], np.cumsum(n[keep]))), node[keep]
@@ -317,6 +317,7 @@ def links(texts: DataFrame, tokens: int, k: int = 5, percent: int = 80) -> DataF
     wide = texts.sparkSession.sparkContext.broadcast(_widespread(texts, k, buckets))
     tidy(texts.sparkSession)
     groups = [stored(_groups(texts, k, percent, i, wide, buckets), "groups") for i in range(len(ORDERS))]
+    wide.unpersist()
     pairs = _pairs_of(groups[0], percent).distinct()
     for other in groups[1:]:
         # the pair is in a small group of the other order too, or both nodes are in large ones

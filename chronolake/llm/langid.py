@@ -70,7 +70,7 @@ class BiGru:
         """(best language or -1, score) by document."""
         n, k = len(texts), len(self.langs)
         total = np.zeros((n, k))
-        for s in bk.slices(texts, 1 << 20):
+        for s in bk.slices(texts, 1 << 19):
             x, of = windows(s.raw, s.offs)
             if not len(of):
                 continue

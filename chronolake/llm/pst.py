@@ -232,7 +232,7 @@ def _pack(docs: DataFrame, tree, buckets: int) -> DataFrame:
         part, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             held = bk.fold_of(batch.column(0), FOLDS) == HELD
-            for s in bk.slices(batch.column(1), 3 << 20):
+            for s in bk.slices(batch.column(1), 2 << 20):
                 w = bk.Words(s)
                 own = held[s.lo : s.hi]
                 score = score_stream(tree.value, *stream(w))
