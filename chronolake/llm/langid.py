@@ -69,6 +69,8 @@ class BiGru:
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(best language or -1, score) by document."""
         n, k = len(texts), len(self.langs)
+        if not k:
+            return np.full(n, -1), np.zeros(n)
         total = np.zeros((n, k))
         for s in bk.slices(texts, 1 << 19):
             x, of = windows(s.raw, s.offs)
