@@ -54,7 +54,7 @@ def sign_flip(deltas: DataFrame, key: str, value: str, b: int = 200, seed: str =
     """(observed, p): share of sign-flipped means that reach the observed one, and the version that can't be 0."""
     d = deltas.select(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))
     flipped = d.join(F.broadcast(draws(d.sparkSession, b))).groupBy("draw").agg(F.avg(F.col("v") * hash_sign(F.lit(seed), F.col("draw").cast("string"), F.col("k"))).alias("m"))
-    seen = d.agg(F.avg("v").alias("observed"))
+    seen = d.agg(F.avg("v").alias("observed"))  # one row
     both = flipped.join(F.broadcast(seen))
     reach = F.round("m", 12) >= F.round("observed", 12)
     return both.groupBy("observed").agg(F.avg(reach.cast("double")).alias("p"), ((F.count_if(reach) + 1) / (F.count("*") + 1)).alias("p_plus"))
@@ -64,13 +64,13 @@ def block_bootstrap(values: DataFrame, order: str, value: str, b: int = 100, blo
     """(mean, lo, hi) of a circular stationary bootstrap: at each place a new start with chance 1/block, else the next value."""
     v = values.select((F.row_number().over(Window.orderBy(order)) - 1).alias("i"), F.col(value).alias("v"))
     n = values.count()
-    grid = draws(v.sparkSession, b).join(F.broadcast(v.select(F.col("i").alias("pos"))))
+    grid = v.select(F.col("i").alias("pos")).join(F.broadcast(draws(v.sparkSession, b)))
     text = [F.lit(seed), F.col("draw").cast("string"), F.col("pos").cast("string")]
     fresh = (F.col("pos") == 0) | (hash_index(block, *text, F.lit("new")) == 0)
     w = Window.partitionBy("draw").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     start = F.last(F.when(fresh, F.struct(hash_index(n, *text, F.lit("at")).alias("s"), F.col("pos").alias("p"))), True).over(w)
     grid = grid.withColumn("st", start).withColumn("i", ((F.col("st.s") + F.col("pos") - F.col("st.p")) % n).cast("int"))
-    means = grid.join(F.broadcast(v), "i").groupBy("draw").agg(F.avg("v").alias("m"))
+    means = grid.join(v, "i").groupBy("draw").agg(F.avg("v").alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
@@ -79,9 +79,9 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, b: int = 100, s
     c = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
     c = c.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
     k = c.count()
-    grid = draws(rows.sparkSession, b).join(F.broadcast(c.select(F.col("i").alias("pos"))))
+    grid = c.select(F.col("i").alias("pos")).join(F.broadcast(draws(rows.sparkSession, b)))
     grid = grid.withColumn("i", hash_index(k, F.lit(seed), F.col("draw").cast("string"), F.col("pos").cast("string")).cast("int"))
-    means = grid.join(F.broadcast(c), "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
+    means = grid.join(c, "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 

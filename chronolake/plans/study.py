@@ -88,15 +88,17 @@ def x2_chunks(spark, sf):
 
 _DRAW = """dr AS (SELECT vec_id AS id, label AS wing, CAST(vec_id % 5 AS INTEGER) AS room, CAST(DATE '2024-01-01' + CAST(vec_id % 30 AS INT) * INTERVAL 1 DAY AS DATE) AS valid_from,
   CAST(DATE '2024-01-01' + CAST(vec_id % 30 + CASE vec_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 7 WHEN 3 THEN 365 END AS INT) * INTERVAL 1 DAY AS DATE) AS expires_at, embedding::DOUBLE[] AS e FROM embeddings),
-sc AS (SELECT q.id AS qid, d.id, round(list_dot_product(d.e, q.e) / sqrt(list_dot_product(d.e, d.e) * list_dot_product(q.e, q.e)), 9) AS sim FROM dr d JOIN dr q ON q.id < 5 AND d.valid_from <= DATE '2024-01-20' AND (d.expires_at IS NULL OR d.expires_at >= DATE '2024-01-20') AND d.id <> q.id),
+q AS (SELECT label AS id, list(m ORDER BY i) AS e FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i) GROUP BY label),
+sc AS (SELECT q.id AS qid, d.id, round(list_dot_product(d.e, q.e) / sqrt(list_dot_product(d.e, d.e) * list_dot_product(q.e, q.e)), 9) AS sim FROM dr d JOIN q ON d.valid_from <= DATE '2024-01-20' AND (d.expires_at IS NULL OR d.expires_at >= DATE '2024-01-20')),
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS INTEGER) AS rank FROM sc)"""
 
 
 def _search(spark, sf, k, threshold):
     rows = V.drawers(table(spark, sf, "embeddings"))
-    ask = table(spark, sf, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    dims = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    ask = dims.groupBy(F.col("label").alias("qid")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("q"))  # a query per label
     at = F.lit("2024-01-20").cast("date")
-    seen = (F.col("valid_from") <= at) & (F.col("expires_at").isNull() | (F.col("expires_at") >= at)) & (F.col("id") != F.col("qid"))
+    seen = (F.col("valid_from") <= at) & (F.col("expires_at").isNull() | (F.col("expires_at") >= at))
     return V.search(rows, ask, k, seen, threshold).select("qid", "rank", "id", F.round("sim", 6).alias("sim"))
 
 
@@ -173,22 +175,22 @@ def r5_ridge_probe(spark, sf):
     return R.ridge_probe(folds.join(reps, "event_id"), ["fold"])
 
 
-_DELTA = "d AS (SELECT CAST(vec_id AS VARCHAR) AS k, round(embedding[1]::DOUBLE + 0.01::DOUBLE, 6) AS v FROM embeddings WHERE vec_id < 40)"
+_DELTA = "d AS (SELECT CAST(vec_id AS VARCHAR) AS k, round(embedding[1]::DOUBLE + 0.01::DOUBLE, 6) AS v FROM embeddings)"
 
 
 @query([], f"""WITH {_DELTA}, g AS (SELECT b.draw, avg(v * CASE WHEN CAST('0x' || left(md5('flip:' || b.draw || ':' || k), 2) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS m FROM d, (SELECT unnest(range(200)) AS draw) b GROUP BY b.draw),
 o AS (SELECT avg(v) AS observed FROM d) SELECT round(observed, 8) AS observed, avg(CAST(round(m, 12) >= round(observed, 12) AS DOUBLE)) AS p, (count(*) FILTER (round(m, 12) >= round(observed, 12)) + 1)::DOUBLE / (count(*) + 1) AS p_plus FROM g, o GROUP BY observed""")
 def r3_sign_flip(spark, sf):
-    d = table(spark, sf, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("k"), F.round(F.col("embedding")[0].cast("double") + 0.01, 6).alias("v"))
+    d = table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), F.round(F.col("embedding")[0].cast("double") + 0.01, 6).alias("v"))
     return R.sign_flip(d, "k", "v").withColumn("observed", F.round("observed", 8))
 
 
-@query([], """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding[1]::DOUBLE AS v FROM embeddings WHERE vec_id < 64), n AS (SELECT count(*) AS n FROM v),
+@query([], """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding[1]::DOUBLE AS v FROM embeddings), n AS (SELECT count(*) AS n FROM v),
 g AS (SELECT draw, i AS pos, CAST('0x' || left(md5('boot:' || draw || ':' || i || ':new'), 8) AS BIGINT) % 4 = 0 OR i = 0 AS fresh, CAST('0x' || left(md5('boot:' || draw || ':' || i || ':at'), 8) AS BIGINT) % n AS s FROM v, n, (SELECT unnest(range(100)) AS draw)),
 h AS (SELECT draw, pos, last_value(CASE WHEN fresh THEN s - pos END IGNORE NULLS) OVER (PARTITION BY draw ORDER BY pos ROWS UNBOUNDED PRECEDING) AS shift FROM g),
 m AS (SELECT draw, avg(v.v) AS m FROM h, n JOIN v ON v.i = (h.shift + h.pos + n.n) % n.n GROUP BY draw) SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def r1_block_bootstrap(spark, sf):
-    v = table(spark, sf, "embeddings").where("vec_id < 64").select("vec_id", F.col("embedding")[0].cast("double").alias("v"))
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("v"))
     return R.block_bootstrap(v, "vec_id", "v").select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
@@ -256,10 +258,10 @@ def c7_t3_isolation(spark, sf):
     return C.isolation(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
 
 
-@query([], "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 7 = 0 AND e.text = d.text) AND d.doc_id % 7 <> 0")
+@query([], "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.source = 'src0' AND e.text = d.text) AND d.source <> 'src0'")
 def j13_t6_anti_hash(spark, sf):
     d = table(spark, sf, "documents").withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
-    return d.where("doc_id % 7 <> 0").join(d.where("doc_id % 7 = 0").select("h"), "h", "left_anti").select("doc_id")
+    return d.where("source <> 'src0'").join(d.where("source = 'src0'").select("h"), "h", "left_anti").select("doc_id")
 
 
 @query(["samples"], """SELECT 'label' AS rule, sample_id FROM samples WHERE task_label NOT IN (-1, 0, 1) UNION ALL SELECT 'time', sample_id FROM samples WHERE available_date < event_date UNION ALL SELECT 'text', sample_id FROM samples WHERE text IS NULL OR trim(text) = ''
