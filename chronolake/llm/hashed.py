@@ -22,10 +22,10 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def term_features(s: bk.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every term and of its prefixes of 3 to 6 bytes."""
+    """(row, bucket) of every term and of its prefixes of 3 to 8 bytes."""
     w = bk.Words(s, table=TERM_END)
     rows, keys = [w.row], [_bucket(w.hash())]
-    for k in (3, 4, 5, 6):
+    for k in range(3, 9):
         h = w.prefix_hash(k)
         ok = h != 0
         rows.append(w.row[ok])

@@ -55,7 +55,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def fit_machine(y: np.ndarray, x: np.ndarray, rank: int = 8, steps: int = 250, rate: float = 0.05, decay: float = 2e-3, seed: int = 1):
+def fit_machine(y: np.ndarray, x: np.ndarray, rank: int = 8, steps: int = 250, rate: float = 0.05, decay: float = 2e-4, seed: int = 1):
     """(bias, w, v) by full-batch Adam on the log loss, both labels weighing alike."""
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(x.shape[1], np.float32), rng.normal(0, 0.05, (x.shape[1], rank)).astype(np.float32), np.zeros(1, np.float32)
