@@ -2,28 +2,28 @@
 
 A text is its words (A-Z lower-cased) joined by one space, then an end mark.  The
 tree's contexts are up to DEPTH bytes long.  A context is kept if its next-byte
-distribution diverges from that of the context without its first byte: its count
-times the divergence pays for its parameters (half a log of the count each) and,
-per byte of the corpus, reaches `gain`.  So at most
-``log(256) / gain`` contexts are kept per length whatever the corpus, and the
-test is the same at every size.  Distributions are smoothed by those of shorter
-kept contexts (Witten-Bell).  The longest kept suffix of what was read gives the
-next byte's probability; an automaton of the kept contexts finds it.
-
-Beside it, exact add-one unigram scores over words: each slice of texts asks for
-the counts of its distinct words only, by hash bucket, so a frequent word is one
-row per slice and no vocabulary is sent whole to anyone.
+distribution diverges from that of the longest kept shorter one: its count times
+the divergence pays for its parameters, half a log of the count each.  The test
+knows nothing of the corpus's size, so the tree grows with what was read.  Kept
+distributions are smoothed by those of shorter kept contexts (Witten-Bell); the
+longest kept suffix of what was read gives the next byte's probability.
+
+The tree is a table, (gram, log10 probability) of every DEPTH + 1 bytes that any
+text holds, and stays on the executors.  A branch is made where all counts of its
+last two context bytes meet; only the 65536 counts of single contexts are sent to
+all.  Each slice of texts asks for its distinct grams by hash bucket, so a frequent
+gram is one row per slice.  Exact add-one unigram counts of words are asked for in
+the same way.
 
 Words are told apart by a 64-bit hash.  Defined results: null texts count as
 empty, with the end as their only token; a null id's fold is that of the empty
-text; without training rows all counts are 0; rows are returned one for one,
-repeated rows too; extra columns are ignored.
+text; without training rows all counts are 0 and all bytes alike; rows are
+returned one for one, repeated rows too; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,9 @@ from chronolake.llm import bytekit as bk
 from chronolake.llm.common import cut_parts, stored
 
 FOLDS, HELD = 7, 2
-DEPTH, GAIN, END = 5, 2e-6, 10
+DEPTH, END = 7, 10
 END_WORD = np.uint64(0x656E64)
+BUCKET = 256 << 20  # bytes of text to a bucket of grams
 
 
 def stream(w: bk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +70,11 @@ def grams(text: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return key
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, in sorted keys."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+
+
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -77,21 +83,22 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n) over all texts outside the held-out fold."""
+    """(gram, n) of every gram of any text; n counts those outside the held-out fold."""
 
     def each(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             train = bk.fold_of(batch.column(0), FOLDS) != HELD
-            for s in bk.slices(batch.column(1).filter(pa.array(train))):
-                g = np.sort(grams(*stream(bk.Words(s))))
-                new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-                held.append((g[new], np.diff(np.append(new, len(g)))))
-                if sum(len(x) for x, _ in held) > 4_000_000:
-                    held = [_merge(*map(np.concatenate, zip(*held, strict=True)))]
-                    if len(held[0][0]) > 2_000_000:
-                        yield from out(held)
-                        held = []
+            for rows, weight in ((train, 1), (~train, 0)):
+                for s in bk.slices(batch.column(1).filter(pa.array(rows))):
+                    g = np.sort(grams(*stream(bk.Words(s))))
+                    new = _distinct(g)
+                    held.append((g[new], weight * np.diff(np.append(new, len(g)))))
+                    if sum(len(x) for x, _ in held) > 4_000_000:
+                        held = [_merge(*map(np.concatenate, zip(*held, strict=True)))]
+                        if len(held[0][0]) > 2_000_000:
+                            yield from out(held)
+                            held = []
         yield from out(held)
 
     def out(held):
@@ -103,176 +110,120 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _tests(key: np.ndarray, n: np.ndarray, d: int, least: float) -> np.ndarray:
-    """Contexts of length d (packed, without the next byte) that pass the divergence test; grams must be whole for each (d-1)-context."""
-    child, nc = _merge(key & np.uint64((1 << 8 * (d + 1)) - 1), n)
-    parent, npar = _merge(child & np.uint64((1 << 8 * d) - 1), nc)
-    ctx = child >> np.uint64(8)
-    start = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(ctx) else np.zeros(0, np.int64)
-    total = np.add.reduceat(nc, start) if len(ctx) else nc
-    pctx = parent >> np.uint64(8)
-    pstart = np.flatnonzero(np.concatenate(([True], pctx[1:] != pctx[:-1]))) if len(pctx) else np.zeros(0, np.int64)
-    ptotal = np.repeat(np.add.reduceat(npar, pstart) if len(pctx) else npar, np.diff(np.append(pstart, len(pctx))))
-    at = np.searchsorted(parent, child & np.uint64((1 << 8 * d) - 1))
-    own = np.repeat(total, np.diff(np.append(start, len(ctx))))
-    gain = nc * np.log((nc / own) / (npar[at] / ptotal[at]))
-    score = np.add.reduceat(gain, start) if len(ctx) else gain
-    kinds = np.diff(np.append(start, len(ctx)))
-    found = ctx[start][(score >= least) & (score >= 0.5 * kinds * np.log(np.maximum(total, 1)))]
-    if d > 1:  # END stands only before a text's first byte
-        found = found[((found >> np.uint64(8 * (d - 2))) & np.uint64(0xFF)) != END]
-    return found
-
-
-@dataclass
-class Tree:
-    step: np.ndarray
-    classes: np.ndarray
-    logp: np.ndarray
-    contexts: int
-
-
-def fit(docs: DataFrame, gain: float = GAIN) -> Tree:
-    """Count, test and smooth.  What comes to the driver is bounded: contexts kept, and counts of up to two bytes of context."""
+def single_contexts(counts: np.ndarray) -> np.ndarray:
+    """p[b, x]: chance of x after b, from counts[b, x]; without b's context kept, that of x alone."""
+    alone = counts.sum(0)
+    p0 = (alone + 1) / (alone.sum() + 256)
+    total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+    gain = (counts * np.log(np.maximum(counts, 1) / np.maximum(total, 1) / p0)).sum(1, keepdims=True)
+    kept = (total > 0) & (gain >= 0.5 * kinds * np.log(np.maximum(total, 1)))
+    return np.where(kept, (counts + kinds * p0) / np.maximum(total + kinds, 1), p0)
+
+
+def branch(key: np.ndarray, n: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """Chance of each gram's last byte after the others; `key` holds all grams of their last two context bytes."""
+    known, p = None, None
+    for d in range(2, DEPTH + 1):
+        child, nc = _merge(key & np.uint64((1 << 8 * (d + 1)) - 1), n)
+        short = child & np.uint64((1 << 8 * d) - 1)
+        parent = p1[(short >> np.uint64(8)).astype(np.int64), (short & np.uint64(255)).astype(np.int64)] if known is None else p[np.searchsorted(known, short)]
+        start = _distinct(child >> np.uint64(8))
+        size = np.diff(np.append(start, len(child)))
+        total, kinds = np.add.reduceat(nc, start), np.add.reduceat((nc > 0).astype(np.float64), start)
+        gain = np.add.reduceat(nc * np.log(np.maximum(nc, 1) / np.repeat(np.maximum(total, 1), size) / parent), start)
+        kept = np.repeat((total > 0) & (gain >= 0.5 * kinds * np.log(np.maximum(total, 1))), size)
+        total, kinds = np.repeat(total, size), np.repeat(kinds, size)
+        known, p = child, np.where(kept, (nc + kinds * parent) / np.maximum(total + kinds, 1), parent)
+    return p[np.searchsorted(known, key)]
+
+
+def _gram_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (bk.mix(key) % np.uint64(buckets)).astype(np.int32)
+
+
+def fit(docs: DataFrame, buckets: int) -> DataFrame:
+    """The tree: (bucket, gram, logp) of every gram of `docs`, learned from the training fold."""
     counts = stored(gram_counts(docs), "grams")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(gain * total, 1e-9)
-    pair = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF)
-
-    def each(table: pa.Table) -> pa.Table:
-        key, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy().astype(np.float64)
-        depth, grm, num = [], [], []
-        for d in range(3, DEPTH + 1):
-            kept = np.sort(_tests(key, n, d, least))
-            child, nc = _merge(key & np.uint64((1 << 8 * (d + 1)) - 1), n)
-            ctx = child >> np.uint64(8)
-            at = np.searchsorted(kept, ctx)
-            ok = kept[np.minimum(at, len(kept) - 1)] == ctx if len(kept) else np.zeros(len(ctx), bool)
-            depth.append(np.full(ok.sum(), d))
-            grm.append(child[ok])
-            num.append(nc[ok])
-        child, nc = _merge(key & np.uint64(0xFFFFFF), n)
-        depth.append(np.full(len(child), 2))
-        grm.append(child)
-        num.append(nc)
-        return pa.table({"d": pa.array(np.concatenate(depth).astype(np.int32)), "gram": pa.array(np.concatenate(grm).view(np.int64)), "n": pa.array(np.concatenate(num).astype(np.int64))})
-
-    kept = counts.withColumn("pair", pair).groupBy("pair").applyInArrow(each, "d int, gram long, n long").toArrow()
-    d, key, n = kept.column("d").to_numpy(), kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy().astype(np.float64)
-    low = d == 2
-    found: dict[bytes, dict[int, float]] = {b"": {}}
-    for k, c in zip(*_merge(key[low] & np.uint64(0xFF), n[low]), strict=True):
-        found[b""][int(k)] = c
-    for size in (1, 2):
-        keep = set(_tests(key[low], n[low], size, least).tolist()) | ({END} if size == 1 else set())
-        k, c = _merge(key[low] & np.uint64((1 << 8 * (size + 1)) - 1), n[low])
-        for a, b in zip(k.tolist(), c.tolist(), strict=True):
-            if a >> 8 in keep:
-                found.setdefault((a >> 8).to_bytes(size, "big"), {})[a & 255] = b
-    for size, k, c in zip(d[~low].tolist(), key[~low].tolist(), n[~low].tolist(), strict=True):
-        found.setdefault((k >> 8).to_bytes(size, "big"), {})[k & 255] = c
-    found.setdefault(bytes([END]), {})
-    return _automaton(found)
-
-
-def _automaton(found: dict[bytes, dict[int, float]]) -> Tree:
-    symbols = sorted(set(found[b""]) | {END})
-    classes = np.full(256, len(symbols), np.int32)  # the last class: bytes not seen
-    classes[symbols] = np.arange(len(symbols))
-    k = len(symbols) + 1
-    prob: dict[bytes, np.ndarray] = {}
-    base = np.ones(k)
-    for b, c in found[b""].items():
-        base[classes[b]] += c
-    prob[b""] = base / (base[:-1].sum() + 256 - len(symbols))
-    for ctx in sorted(found, key=lambda x: (len(x), x)):
-        if ctx:
-            short = next(ctx[i:] for i in range(1, len(ctx) + 1) if ctx[i:] in prob)
-            nxt = found[ctx]
-            kinds = max(1, len(nxt))
-            p = prob[short] * kinds
-            p[classes[list(nxt)]] += list(nxt.values())
-            prob[ctx] = p / (sum(nxt.values()) + kinds)
-    names = {bytes([END]): 0, b"": 1}  # every prefix of a kept context is a state; texts begin in state 0
-    for ctx in sorted(found, key=lambda x: (len(x), x)):
-        for i in range(1, len(ctx) + 1):
-            names.setdefault(ctx[:i], len(names))
-    step, logp = np.empty((len(names), k), np.int32), np.empty((len(names), k), np.float32)
-    kids: dict[bytes, list[int]] = {}
-    for s in names:
-        if s:
-            kids.setdefault(s[:-1], []).append(s[-1])
-    fall: dict[bytes, bytes] = {}
-    for s in sorted(names, key=len):
-        fall[s] = next((s[i:] for i in range(1, len(s)) if s[i:] in names), b"")
-        row = step[names[fall[s]]].copy() if s else np.full(k, 1, np.int32)
-        for b in kids.get(s, []):
-            row[classes[b]] = names[s + bytes([b])]
-        row[classes[END]] = 0
-        step[names[s]] = row
-        logp[names[s]] = np.log10(prob[next(s[i:] for i in range(len(s) + 1) if s[i:] in prob)])
-    return Tree(step, classes, logp, len(found))
-
-
-def score_stream(tree: Tree, text: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    state = bk.run(tree.step, tree.classes, text)
-    before = np.concatenate((np.zeros(1, state.dtype), state[:-1]))
-    return np.add.reduceat(tree.logp[before, tree.classes[text]].astype(np.float64), offs[:-1])
-
-
-_PACKED = "bid string, ids array<{id}>, held array<boolean>, tokens array<long>, score array<double>, keys binary, train binary, per binary, at binary, times binary"
-
-
-def _pack(docs: DataFrame, tree, buckets: int) -> DataFrame:
-    """A row per slice of texts: ids, scores, and which of the slice's distinct words each text has."""
+    seen = counts.groupBy(F.col("gram").bitwiseAND(0xFFFF).cast("int").alias("g")).agg(F.sum("n").alias("n")).collect()  # 65536 rows at most
+    table = np.zeros(65536)
+    for r in seen:
+        table[r["g"]] = r["n"]
+    p1 = docs.sparkSession.sparkContext.broadcast(single_contexts(table.reshape(256, 256)))
+
+    def each(rows: pa.Table) -> pa.Table:
+        key, n = _merge(rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(np.float64))
+        logp = np.log10(branch(key, n, p1.value)).astype(np.float32)
+        return pa.table({"bucket": pa.array(_gram_bucket(key, buckets)), "gram": pa.array(key.view(np.int64)), "logp": pa.array(logp)})
+
+    pair = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF).cast("int")
+    return counts.withColumn("pair", pair).groupBy("pair").applyInArrow(each, "bucket int, gram long, logp float")
+
+
+class Block:
+    """A stored slice of texts: its stream, words and grams, in the order in which it asks for their counts."""
+
+    def __init__(self, text: bytes, sizes: np.ndarray):
+        self.text = np.frombuffer(text, np.uint8)
+        self.offs = np.concatenate(([0], np.cumsum(sizes)))
+        self.rows = len(sizes)
+
+    def words(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, bucket of each, row of each token, key of each token): distinct words by bucket, the end among them."""
+        w = bk.Words(bk.Slice(0, self.rows, self.text, self.offs), lower=False)
+        keys, ident = np.unique(np.concatenate((w.hash(), np.full(self.rows, END_WORD))), return_inverse=True)
+        bucket = (keys % np.uint64(buckets)).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[by] = np.arange(len(keys))
+        return keys[by], bucket[by], np.concatenate((w.row, np.arange(self.rows))), place[ident]
+
+    def grams(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all grams by position, distinct grams by bucket, bucket of each)."""
+        g = grams(self.text, self.offs)
+        key = np.sort(g)
+        key = key[_distinct(key)]
+        bucket = _gram_bucket(key, buckets)
+        by = np.argsort(bucket, kind="stable")
+        return g, key[by], bucket[by]
+
+
+def _pack(docs: DataFrame) -> DataFrame:
+    """A row per slice of texts: its number, ids, folds, stream and lengths."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = _PACKED.format(id=kind)
 
     def each(batches):
-        part, count = TaskContext.get().partitionId(), 0
+        bid = TaskContext.get().partitionId() << 32
         for batch in batches:
             held = bk.fold_of(batch.column(0), FOLDS) == HELD
             for s in bk.slices(batch.column(1), 2 << 20):
-                w = bk.Words(s)
-                own = held[s.lo : s.hi]
-                score = score_stream(tree.value, *stream(w))
-                rows = s.hi - s.lo
-                word = np.concatenate((w.hash(), np.full(rows, END_WORD)))
-                row = np.concatenate((w.row, np.arange(rows)))
-                keys, ident = np.unique(word, return_inverse=True)
-                by = np.argsort(keys % np.uint64(buckets), kind="stable")
-                rank = np.empty(len(keys), np.int64)
-                rank[by] = np.arange(len(keys))
-                keys, ident = keys[by], rank[ident]
-                train = np.bincount(ident[~own[row]], minlength=len(keys)).astype(np.int32)
-                pair, times = np.unique(row * np.int64(len(keys)) + ident, return_counts=True)
-                per = np.bincount(pair // len(keys), minlength=rows).astype(np.int32)
-                count += 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f"{part}-{count}"]),
-                        pa.array([batch.column(0).slice(s.lo, rows).to_pylist()], pa.list_(batch.schema.field(0).type)),
-                        pa.array([own.tolist()], pa.list_(pa.bool_())),
-                        pa.array([w.count + 1], pa.list_(pa.int64())),
-                        pa.array([score], pa.list_(pa.float64())),
-                        *(pa.array([x.tobytes()], pa.binary()) for x in (keys, train, per, (pair % len(keys)).astype(np.int32), times.astype(np.int32))),
-                    ],
-                    names=["bid", "ids", "held", "tokens", "score", "keys", "train", "per", "at", "times"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(each, schema)
-
-
-def _looked_up(packed: DataFrame, buckets: int) -> DataFrame:
-    """(bid, bucket, c, n, v): counts in training texts of each slice's words of a bucket; n and v are the bucket's tokens and types."""
+                text, offs = stream(bk.Words(s))
+                ids = pa.array([batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist()], pa.list_(batch.schema.field(0).type))
+                rest = [pa.array([held[s.lo : s.hi].tolist()], pa.list_(pa.bool_())), pa.array([text.tobytes()], pa.binary()), pa.array([np.diff(offs)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), ids, *rest], names=["bid", "ids", "held", "text", "sizes"])
+                bid += 1
+
+    return docs.select("doc_id", "text").mapInArrow(each, f"bid long, ids array<{kind}>, held array<boolean>, text binary, sizes array<long>")
+
+
+def _blocks(batches):
+    for batch in batches:
+        at = {c: batch.schema.get_field_index(c) for c in batch.schema.names}
+        for r in range(batch.num_rows):
+            one = {c: batch.column(i)[r] for c, i in at.items()}
+            yield one, Block(one["text"].as_py(), one["sizes"].values.to_numpy())
+
+
+def _word_counts(packed: DataFrame, buckets: int) -> DataFrame:
+    """(bid, bucket, payload, n, v): counts in training texts of each slice's words of a bucket; n and v are the bucket's tokens and types."""
 
     def split(batches):
-        for batch in batches:
-            for bid, keys, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                k, t = np.frombuffer(keys, np.uint64), np.frombuffer(train, np.int32)
-                edge = np.searchsorted(k % np.uint64(buckets), np.arange(buckets + 1))
-                rows = [{"bucket": b, "bid": bid, "keys": k[edge[b] : edge[b + 1]].tobytes(), "train": t[edge[b] : edge[b + 1]].tobytes()} for b in np.flatnonzero(np.diff(edge)).tolist()]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema({"bucket": pa.int32(), "bid": pa.string(), "keys": pa.binary(), "train": pa.binary()}))
+        for one, block in _blocks(batches):
+            keys, bucket, row, word = block.words(buckets)
+            held = one["held"].values.to_numpy(zero_copy_only=False)
+            train = np.bincount(word[~held[row]], minlength=len(keys)).astype(np.int32)
+            edge = np.append(_distinct(bucket), len(bucket))
+            rows = [{"bucket": int(bucket[a]), "bid": one["bid"].as_py(), "keys": keys[a:b].tobytes(), "train": train[a:b].tobytes()} for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema({"bucket": pa.int32(), "bid": pa.int64(), "keys": pa.binary(), "train": pa.binary()}))
 
     def look(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
@@ -284,39 +235,63 @@ def _looked_up(packed: DataFrame, buckets: int) -> DataFrame:
         first = np.zeros(len(parts), np.int64)
         first[0] = 1
         return pa.table(
-            {"bid": table.column("bid"), "bucket": table.column("bucket"), "c": pa.array([each[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
+            {"bid": table.column("bid"), "bucket": table.column("bucket"), "payload": pa.array([each[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
              "n": pa.array(first * int(c.sum())), "v": pa.array(first * int((c > 0).sum()))}
         )
 
-    rows = packed.select("bid", "keys", "train").mapInArrow(split, "bucket int, bid string, keys binary, train binary")
-    return rows.groupBy("bucket").applyInArrow(look, "bid string, bucket int, c binary, n long, v long")
+    rows = packed.select("bid", "held", "text", "sizes").mapInArrow(split, "bucket int, bid long, keys binary, train binary")
+    return rows.groupBy("bucket").applyInArrow(look, "bid long, bucket int, payload binary, n long, v long")
+
+
+def _gram_chances(packed: DataFrame, tree: DataFrame, buckets: int) -> DataFrame:
+    """(bid, bucket, payload): log10 chances of each slice's grams of a bucket."""
 
+    def split(batches):
+        for one, block in _blocks(batches):
+            _, keys, bucket = block.grams(buckets)
+            edge = np.append(_distinct(bucket), len(bucket))
+            rows = [{"bucket": int(bucket[a]), "bid": one["bid"].as_py(), "keys": keys[a:b].tobytes()} for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema({"bucket": pa.int32(), "bid": pa.int64(), "keys": pa.binary()}))
+
+    def look(part: pa.Table, asks: pa.Table) -> pa.Table:
+        gram = part.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(gram)
+        gram, logp = gram[order], part.column("logp").to_numpy()[order]
+        found = [logp[np.searchsorted(gram, np.frombuffer(x, np.uint64))].tobytes() for x in asks.column("keys").to_pylist()]
+        return pa.table({"bid": asks.column("bid"), "bucket": asks.column("bucket"), "payload": pa.array(found, pa.binary())})
+
+    rows = packed.select("bid", "text", "sizes").mapInArrow(split, "bucket int, bid long, keys binary")
+    return tree.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(look, "bid long, bucket int, payload binary")
 
-def score_texts(docs: DataFrame, gain: float = GAIN) -> DataFrame:
+
+def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`."""
-    tree = docs.sparkSession.sparkContext.broadcast(fit(docs, gain))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    buckets = max(48, cut_parts(docs))
-    packed = stored(_pack(docs, tree, buckets), "packed")
-    looked = stored(_looked_up(packed, buckets), "looked")
-    n, v = looked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    packed = stored(_pack(docs), "packed")
+    size = packed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = max(48, cut_parts(docs), math.ceil(size / BUCKET))
+    counted = stored(_word_counts(packed, buckets), "words")
+    n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     whole = float(np.log10(n + v + 1))
-    found = looked.groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("found"))  # a row per bucket at most
+    chances = stored(_gram_chances(packed, fit(docs, buckets), buckets), "chances")
+    replies = counted.select("bid", F.lit(0).alias("kind"), "bucket", "payload").union(chances.select("bid", F.lit(1), "bucket", "payload"))
+    found = replies.groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "payload"))).alias("found"))  # the answers to one slice
 
     def each(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                one = {name: batch.column(i)[r] for i, name in enumerate(batch.schema.names)}
-                c = np.concatenate([np.frombuffer(x["c"].as_py(), np.int64) for x in one["found"]])
-                per, at, times = (np.frombuffer(one[x].as_py(), np.int32) for x in ("per", "at", "times"))
-                edge = np.concatenate(([0], np.cumsum(per)))[:-1]
-                tokens = one["tokens"].values.to_numpy()
-                base = np.add.reduceat(np.log10(c + 1.0)[at] * times, edge) - tokens * whole
-                known = np.add.reduceat((c > 0)[at] * times.astype(np.int64), edge)
-                yield pa.RecordBatch.from_arrays(
-                    [one["ids"].values, one["held"].values, one["tokens"].values, pa.array(known), pa.array(np.full(len(tokens), n, np.int64)), pa.array(base), one["score"].values],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    both = packed.select("bid", "ids", "held", "tokens", "score", "per", "at", "times").join(found, "bid").drop("bid")
-    return both.mapInArrow(each, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for one, block in _blocks(batches):
+            answer = one["found"].as_py()
+            c = np.frombuffer(b"".join(x["payload"] for x in answer if x["kind"] == 0), np.int64)
+            logp = np.frombuffer(b"".join(x["payload"] for x in answer if x["kind"] == 1), np.float32)
+            _, _, row, word = block.words(buckets)
+            tokens = np.bincount(row, minlength=block.rows)
+            base = np.bincount(row, weights=np.log10(c + 1.0)[word], minlength=block.rows) - tokens * whole
+            known = np.bincount(row, weights=c[word] > 0, minlength=block.rows).astype(np.int64)
+            g, key, _ = block.grams(buckets)
+            order = np.argsort(key)
+            score = np.add.reduceat(logp[order][np.searchsorted(key[order], g)].astype(np.float64), block.offs[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [one["ids"].values, one["held"].values, pa.array(tokens), pa.array(known), pa.array(np.full(block.rows, n, np.int64)), pa.array(base), pa.array(score)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return packed.join(found, "bid").mapInArrow(each, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

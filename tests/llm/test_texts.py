@@ -167,12 +167,52 @@ def test_suffix_tree_scores(spark, docs):
     assert pst.score_texts(docs([])).count() == 0
 
 
-def test_suffix_tree_is_a_distribution():
-    """The probabilities of all next bytes of any state sum to one, and states are longest kept suffixes."""
-    found = {b"": {97: 5.0, 98: 3.0, 10: 2.0}, b"a": {98: 3.0, 97: 1.0}, b"ba": {97: 4.0}, b"\n": {97: 2.0}}
-    t = pst._automaton(found)
-    p = 10.0 ** t.logp.astype(float)
-    assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * (256 - (t.logp.shape[1] - 1)), 1, atol=1e-4)
+def tree_by_brute_force(texts):
+    """Scores by the definition: counts of all contexts, divergence tests from short to long, Witten-Bell smoothing."""
+    pad = lambda s, i, d: (b"\n" * d + s[:i])[-d:] if d else b""
+    seq = lambda t: " ".join(words(t or "")).encode() + b"\n"
+    count = collections.defaultdict(collections.Counter)
+    for held, t in texts:
+        s = seq(t)
+        for i in range(0 if held else len(s)):
+            for d in range(pst.DEPTH + 1):
+                count[pad(s, i, d)][s[i]] += 1
+    memo = {}
+
+    def table(ctx):
+        if ctx not in memo:
+            c = count[ctx]
+            n = sum(c.values())
+            if not ctx:
+                memo[ctx] = {x: (c[x] + 1) / (n + 256) for x in range(256)}
+            else:
+                p = table(ctx[1:])
+                kept = n > 0 and sum(k * math.log(k / n / p[x]) for x, k in c.items() if k) >= 0.5 * len(c) * math.log(n)
+                memo[ctx] = {x: (c[x] + len(c) * p[x]) / (n + len(c)) for x in range(256)} if kept else p
+            assert abs(sum(memo[ctx].values()) - 1) < 1e-9
+        return memo[ctx]
+
+    return [sum(math.log10(table(pad(s, i, pst.DEPTH))[s[i]]) for i in range(len(s))) for s in (seq(t) for _, t in texts)]
+
+
+def test_suffix_tree_against_brute_force(spark, docs):
+    rng = random.Random(4)
+    vocab = ["the", "Then", "cat", "caterpillar", "sat", "é", "on", "mat"]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 12)))) for i in range(60)] + [(60, None), (61, "unheard-of Words!"), (62, "zq " * 300), (0, "the cat")]
+    want = tree_by_brute_force([(zlib.crc32(str(i).encode()) % 7 == 2, t) for i, t in rows])
+    got = sorted((r.doc_id, r.score) for r in pst.score_texts(docs(rows)).collect())
+    for (i, a), (j, b) in zip(got, sorted((i, w) for (i, _), w in zip(rows, want, strict=True)), strict=True):
+        assert i == j and abs(a - b) <= 1e-5 * (1 + abs(b))
+    none = [(i, "only held") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert all(abs(r.score - 10 * math.log10(1 / 256)) < 1e-4 and r.train_tokens == 0 for r in pst.score_texts(docs(none)).collect())
+
+
+def test_suffix_tree_grows_with_its_corpus(spark, docs):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(vocab, k=60))) for i in range(250)]
+    small, large = pst.fit(docs(rows[:50]), 4).count(), pst.fit(docs(rows), 4).count()
+    assert large > 2 * small
 
 
 def test_page_text(spark):
