@@ -35,7 +35,7 @@ from chronolake.llm import bytekit as bk
 from chronolake.llm.common import cut_parts, stored
 
 FOLDS, HELD = 7, 2
-DEPTH, END = 7, 10
+DEPTH, END = 5, 10
 END_WORD = np.uint64(0x656E64)
 BUCKET = 256 << 20  # bytes of text to a bucket of grams
 
