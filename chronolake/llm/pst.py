@@ -38,6 +38,7 @@ FOLDS, HELD = 7, 2
 DEPTH, END = 5, 10
 END_WORD = np.uint64(0x656E64)
 BUCKET = 256 << 20  # bytes of text to a bucket of grams
+SLICE = 2 << 20
 
 
 def stream(w: bk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +62,27 @@ def stream(w: bk.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(text: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """DEPTH bytes of context and the next byte, packed, at every position; END stands for what is before a text."""
-    at = np.arange(len(text)) - np.repeat(offs[:-1], np.diff(offs))
     key = text.astype(np.uint64)
+    size = np.diff(offs)
     for j in range(1, DEPTH + 1):
-        back = np.full(len(text), END, np.uint64)
-        back[j:] = text[:-j] if j < len(text) else 0
-        key |= np.where(at >= j, back, np.uint64(END)) << np.uint64(8 * j)
+        key[j:] |= text[:-j].astype(np.uint64) << np.uint64(8 * j)
+        for k in range(j):  # the first bytes of a text, which see nothing of the text before
+            at = offs[:-1][size > k] + k
+            key[at] = key[at] & ~np.uint64(255 << 8 * j) | np.uint64(END << 8 * j)
     return key
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of an array, compressed place by place."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unplaned(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
 def _distinct(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins, in sorted keys."""
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -82,23 +95,22 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[new], np.add.reduceat(counts, new) if len(keys) else counts
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
+def gram_counts(packed: DataFrame) -> DataFrame:
     """(gram, n) of every gram of any text; n counts those outside the held-out fold."""
 
     def each(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            train = bk.fold_of(batch.column(0), FOLDS) != HELD
-            for rows, weight in ((train, 1), (~train, 0)):
-                for s in bk.slices(batch.column(1).filter(pa.array(rows))):
-                    g = np.sort(grams(*stream(bk.Words(s))))
-                    new = _distinct(g)
-                    held.append((g[new], weight * np.diff(np.append(new, len(g)))))
-                    if sum(len(x) for x, _ in held) > 4_000_000:
-                        held = [_merge(*map(np.concatenate, zip(*held, strict=True)))]
-                        if len(held[0][0]) > 2_000_000:
-                            yield from out(held)
-                            held = []
+        for one, block in _blocks(batches):
+            g, own = grams(block.text, block.offs), np.repeat(one["held"].values.to_numpy(zero_copy_only=False), np.diff(block.offs))
+            for rows, weight in ((~own, 1), (own, 0)):
+                key = np.sort(g[rows])
+                new = _distinct(key)
+                held.append((key[new], weight * np.diff(np.append(new, len(key)))))
+            if sum(len(x) for x, _ in held) > 4_000_000:
+                held = [_merge(*map(np.concatenate, zip(*held, strict=True)))]
+                if len(held[0][0]) > 2_000_000:
+                    yield from out(held)
+                    held = []
         yield from out(held)
 
     def out(held):
@@ -107,7 +119,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             for a in range(0, len(k), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64))], names=["gram", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return packed.select("held", "text", "sizes").mapInArrow(each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def single_contexts(counts: np.ndarray) -> np.ndarray:
@@ -141,14 +153,14 @@ def _gram_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (bk.mix(key) % np.uint64(buckets)).astype(np.int32)
 
 
-def fit(docs: DataFrame, buckets: int) -> DataFrame:
-    """The tree: (bucket, gram, logp) of every gram of `docs`, learned from the training fold."""
-    counts = stored(gram_counts(docs), "grams")
+def fit(packed: DataFrame, buckets: int) -> DataFrame:
+    """The tree: (bucket, gram, logp) of every gram of the slices, learned from the training fold."""
+    counts = stored(gram_counts(packed), "grams")
     seen = counts.groupBy(F.col("gram").bitwiseAND(0xFFFF).cast("int").alias("g")).agg(F.sum("n").alias("n")).collect()  # 65536 rows at most
     table = np.zeros(65536)
     for r in seen:
         table[r["g"]] = r["n"]
-    p1 = docs.sparkSession.sparkContext.broadcast(single_contexts(table.reshape(256, 256)))
+    p1 = packed.sparkSession.sparkContext.broadcast(single_contexts(table.reshape(256, 256)))
 
     def each(rows: pa.Table) -> pa.Table:
         key, n = _merge(rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(np.float64))
@@ -163,8 +175,8 @@ class Block:
     """A stored slice of texts: its stream, words and grams, in the order in which it asks for their counts."""
 
     def __init__(self, text: bytes, sizes: np.ndarray):
-        self.text = np.frombuffer(text, np.uint8)
         self.offs = np.concatenate(([0], np.cumsum(sizes)))
+        self.text = np.frombuffer(pa.decompress(text, int(self.offs[-1]), "zstd"), np.uint8)
         self.rows = len(sizes)
 
     def words(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,18 +200,31 @@ class Block:
 
 
 def _pack(docs: DataFrame) -> DataFrame:
-    """A row per slice of texts: its number, ids, folds, stream and lengths."""
+    """A row per slice of texts: its number, ids, folds, compressed stream and lengths."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def rows(batches):
+        """Slices of SLICE bytes, across batches."""
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            ids.append(batch.column(0))
+            texts.append(batch.column(1))
+            size += batch.column(1).nbytes
+            if size >= SLICE:
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+
     def each(batches):
         bid = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            held = bk.fold_of(batch.column(0), FOLDS) == HELD
-            for s in bk.slices(batch.column(1), 2 << 20):
+        for ids, texts in rows(batches):
+            held = bk.fold_of(ids, FOLDS) == HELD
+            for s in bk.slices(texts, SLICE):
                 text, offs = stream(bk.Words(s))
-                ids = pa.array([batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist()], pa.list_(batch.schema.field(0).type))
-                rest = [pa.array([held[s.lo : s.hi].tolist()], pa.list_(pa.bool_())), pa.array([text.tobytes()], pa.binary()), pa.array([np.diff(offs)], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), ids, *rest], names=["bid", "ids", "held", "text", "sizes"])
+                own = pa.array([ids.slice(s.lo, s.hi - s.lo).to_pylist()], pa.list_(ids.type))
+                rest = [pa.array([held[s.lo : s.hi].tolist()], pa.list_(pa.bool_())), pa.array([pa.compress(text.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([np.diff(offs)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), own, *rest], names=["bid", "ids", "held", "text", "sizes"])
                 bid += 1
 
     return docs.select("doc_id", "text").mapInArrow(each, f"bid long, ids array<{kind}>, held array<boolean>, text binary, sizes array<long>")
@@ -250,17 +275,17 @@ def _gram_chances(packed: DataFrame, tree: DataFrame, buckets: int) -> DataFrame
         for one, block in _blocks(batches):
             _, keys, bucket = block.grams(buckets)
             edge = np.append(_distinct(bucket), len(bucket))
-            rows = [{"bucket": int(bucket[a]), "bid": one["bid"].as_py(), "keys": keys[a:b].tobytes()} for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema({"bucket": pa.int32(), "bid": pa.int64(), "keys": pa.binary()}))
+            rows = [{"bucket": int(bucket[a]), "bid": one["bid"].as_py(), "n": int(b - a), "keys": _planes(keys[a:b])} for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema({"bucket": pa.int32(), "bid": pa.int64(), "n": pa.int32(), "keys": pa.binary()}))
 
     def look(part: pa.Table, asks: pa.Table) -> pa.Table:
         gram = part.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(gram)
         gram, logp = gram[order], part.column("logp").to_numpy()[order]
-        found = [logp[np.searchsorted(gram, np.frombuffer(x, np.uint64))].tobytes() for x in asks.column("keys").to_pylist()]
+        found = [_planes(logp[np.searchsorted(gram, _unplaned(x, n, np.uint64))]) for n, x in zip(asks.column("n").to_pylist(), asks.column("keys").to_pylist(), strict=True)]
         return pa.table({"bid": asks.column("bid"), "bucket": asks.column("bucket"), "payload": pa.array(found, pa.binary())})
 
-    rows = packed.select("bid", "text", "sizes").mapInArrow(split, "bucket int, bid long, keys binary")
+    rows = packed.select("bid", "text", "sizes").mapInArrow(split, "bucket int, bid long, n int, keys binary")
     return tree.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(look, "bid long, bucket int, payload binary")
 
 
@@ -268,12 +293,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     packed = stored(_pack(docs), "packed")
-    size = packed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    size = packed.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     buckets = max(48, cut_parts(docs), math.ceil(size / BUCKET))
     counted = stored(_word_counts(packed, buckets), "words")
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     whole = float(np.log10(n + v + 1))
-    chances = stored(_gram_chances(packed, fit(docs, buckets), buckets), "chances")
+    chances = _gram_chances(packed, fit(packed, buckets), buckets)
     replies = counted.select("bid", F.lit(0).alias("kind"), "bucket", "payload").union(chances.select("bid", F.lit(1), "bucket", "payload"))
     found = replies.groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "payload"))).alias("found"))  # the answers to one slice
 
@@ -281,12 +306,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
         for one, block in _blocks(batches):
             answer = one["found"].as_py()
             c = np.frombuffer(b"".join(x["payload"] for x in answer if x["kind"] == 0), np.int64)
-            logp = np.frombuffer(b"".join(x["payload"] for x in answer if x["kind"] == 1), np.float32)
             _, _, row, word = block.words(buckets)
             tokens = np.bincount(row, minlength=block.rows)
             base = np.bincount(row, weights=np.log10(c + 1.0)[word], minlength=block.rows) - tokens * whole
             known = np.bincount(row, weights=c[word] > 0, minlength=block.rows).astype(np.int64)
-            g, key, _ = block.grams(buckets)
+            g, key, bucket = block.grams(buckets)
+            size = np.diff(np.append(_distinct(bucket), len(bucket))).tolist()
+            logp = np.concatenate([_unplaned(x["payload"], n, np.float32) for n, x in zip(size, (x for x in answer if x["kind"] == 1), strict=True)])
             order = np.argsort(key)
             score = np.add.reduceat(logp[order][np.searchsorted(key[order], g)].astype(np.float64), block.offs[:-1])
             yield pa.RecordBatch.from_arrays(

@@ -211,7 +211,7 @@ def test_suffix_tree_grows_with_its_corpus(spark, docs):
     rng = random.Random(3)
     vocab = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(400)]
     rows = [(i, " ".join(rng.choices(vocab, k=60))) for i in range(250)]
-    small, large = pst.fit(docs(rows[:50]), 4).count(), pst.fit(docs(rows), 4).count()
+    small, large = (pst.fit(pst._pack(docs(r)), 4).count() for r in (rows[:50], rows))
     assert large > 2 * small
 
 
