@@ -22,6 +22,18 @@ def expanding_folds(events: DataFrame, order: list[str], k: int = 4) -> DataFram
     return seq.join(F.broadcast(folds)).withColumn("role", role).where("role IS NOT NULL").drop("i")
 
 
+def tail_folds(events: DataFrame, order: list[str], splits: int = 4) -> DataFrame:
+    """(event columns, fold, role): the last k blocks of n // (k + 1) events are tested, each after all before it; k is at most n // 3."""
+    n = events.count()
+    k = max(2, min(splits, n // 3))
+    size = n // (k + 1)
+    seq = events.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1)  # a study's events, as in expanding_folds
+    folds = events.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
+    lo = n - (k - F.col("fold")) * size
+    role = F.when(F.col("i") < lo, "train").when(F.col("i") < lo + size, "test")
+    return seq.join(F.broadcast(folds)).withColumn("role", role).where("role IS NOT NULL").drop("i")
+
+
 def average_rank(col: str, part: list[str] | None = None) -> Column:
     """Ranks with ties averaged."""
     p = part or [F.lit(0)]
@@ -60,6 +72,55 @@ def sign_flip(deltas: DataFrame, key: str, value: str, b: int = 200, seed: str =
     return both.groupBy("observed").agg(F.avg(reach.cast("double")).alias("p"), ((F.count_if(reach) + 1) / (F.count("*") + 1)).alias("p_plus"))
 
 
+def hash_unit(*parts: Column) -> Column:
+    """A number in (0, 1) from a digest."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / float(2**32)
+
+
+def power_simulation(spark, n: int = 32, effect: float = 0.5, alpha: float = 0.05, sims: int = 50, flips: int = 99, seed: str = "power") -> DataFrame:
+    """(power, sims): share of simulated studies of n normal differences around `effect` that a one-sided sign-flip test rejects."""
+    sim = draws(spark, sims, "sim").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    text = [F.lit(seed), F.col("sim").cast("string"), F.col("i").cast("string")]
+    normal = F.sqrt(-2 * F.log(hash_unit(*text, F.lit("r")))) * F.cos(2 * np.pi * hash_unit(*text, F.lit("a")))
+    data = sim.withColumn("v", F.round((normal + effect) * 1e6).cast("long"))  # whole numbers, so that sums don't depend on their order
+    seen = F.sum("v").over(Window.partitionBy("sim"))
+    flipped = data.withColumn("seen", seen).join(F.broadcast(draws(spark, flips)))
+    sign = hash_sign(F.lit(seed), F.col("sim").cast("string"), F.col("draw").cast("string"), F.col("i").cast("string"))
+    sums = flipped.groupBy("sim", "seen", "draw").agg(F.sum(F.col("v") * sign).alias("s"))
+    p = sums.groupBy("sim").agg(((F.count_if(F.col("s") >= F.col("seen")) + 1) / (F.count("*") + 1)).alias("p"))
+    return p.agg(F.avg((F.col("p") <= alpha).cast("double")).alias("power"), F.count("*").alias("sims"))
+
+
+def ladder(metrics: DataFrame, models: list[str], value: str, cost: str) -> DataFrame:
+    """(model, rung, value, cost, marginal) for every model in order; marginal is the change of value by that of cost, 1e-6 for none.
+
+    A model without metrics keeps its rung, with nulls.
+    """
+    rungs = metrics.sparkSession.createDataFrame(list(enumerate(models)), "rung int, model string")
+    w = Window.orderBy("rung")  # a row per model
+    step = F.col(cost) - F.lag(cost).over(w)
+    joined = F.broadcast(rungs).join(metrics.select("model", value, cost), "model", "left")
+    return joined.withColumn("marginal", (F.col(value) - F.lag(value).over(w)) / F.when(step == 0, 1e-6).otherwise(step))
+
+
+def branches(spark, seeds: list[int], doses: list[float]) -> DataFrame:
+    """(seed, dose) of a study's grid."""
+    return spark.createDataFrame([(s, d) for s in seeds for d in doses], "seed long, dose double")
+
+
+def uneven(rows: DataFrame, seed: str, same: list[str]) -> DataFrame:
+    """Seeds whose branches differ in a column that all of them must share, with the number of values of each."""
+    kinds = [F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0null"))).alias(c) for c in same]
+    return rows.groupBy(seed).agg(*kinds).where(" OR ".join(f"`{c}` > 1" for c in same))
+
+
+def against_base(rows: DataFrame, seed: str, dose: str, value: str, base: float = 0.0) -> DataFrame:
+    """(seed, dose, contrast): each branch's value less that of its seed's base branch; null without one."""
+    w = Window.partitionBy(seed)
+    zero = F.max(F.when(F.col(dose) == base, F.col(value))).over(w)
+    return rows.select(seed, dose, (F.col(value) - zero).alias("contrast")).where(F.col(dose) != base)
+
+
 def block_bootstrap(values: DataFrame, order: str, value: str, b: int = 100, block: int = 4, seed: str = "boot") -> DataFrame:
     """(mean, lo, hi) of a circular stationary bootstrap: at each place a new start with chance 1/block, else the next value."""
     v = values.select((F.row_number().over(Window.orderBy(order)) - 1).alias("i"), F.col(value).alias("v"))

@@ -102,6 +102,39 @@ def kdj(df: DataFrame, n: int = 9) -> DataFrame:
     return df.withColumn("j", 3 * F.col("k") - 2 * F.col("dd"))
 
 
+def bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
+    """Mean of up to n closes and the bands `width` sample deviations around it; no bands on the first row."""
+    f = by().rowsBetween(-(n - 1), 0)
+    off = width * F.stddev_samp("close").over(f)
+    df = df.withColumns({"boll": F.avg("close").over(f), "_off": off})
+    return df.withColumns({"boll_ub": F.col("boll") + F.col("_off"), "boll_lb": F.col("boll") - F.col("_off")}).drop("_off")
+
+
+def atr(df: DataFrame, n: int = 14) -> DataFrame:
+    """Wilder's average of the true range; the first day's range is high less low."""
+    before = F.lag("close").over(by())  # null on the first day, which greatest and least pass over
+    df = df.withColumn("tr", F.greatest("high", before) - F.least("low", before))
+    return ewm(df, {"atr": ("tr", 1 / n)}).drop("tr")
+
+
+def mfi(df: DataFrame, n: int = 14) -> DataFrame:
+    """Money flow index: share of the last n days' typical price times volume that came on rising days; 50 without any."""
+    df = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    step = F.col("_tp") - F.lag("_tp").over(by())
+    flow = F.col("_tp") * F.col("volume")
+    df = df.withColumns({"_up": F.when(step > 0, flow).otherwise(0.0), "_down": F.when(step < 0, flow).otherwise(0.0)})
+    f = by().rowsBetween(-(n - 1), 0)
+    up, both = F.sum("_up").over(f), F.sum(F.col("_up") + F.col("_down")).over(f)
+    return df.withColumn("mfi", F.when(both > 0, 100 * up / both).otherwise(50.0)).drop("_tp", "_up", "_down")
+
+
+def vwma(df: DataFrame, n: int = 14) -> DataFrame:
+    """Mean of up to n closes by volume; null without volume."""
+    f = by().rowsBetween(-(n - 1), 0)
+    total = F.sum("volume").over(f)
+    return df.withColumn("vwma", F.when(total > 0, F.sum(F.col("close") * F.col("volume")).over(f) / total))
+
+
 def kdj_rsi(df: DataFrame, low: float = 30.0, high: float = 70.0) -> DataFrame:
     """Buy as K crosses D upwards or RSI is low, sell on the opposite; buy wins, else held."""
     df = rsi(kdj(df))

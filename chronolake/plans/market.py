@@ -101,6 +101,42 @@ def w7c_macd(spark, sf):
     return W.macd(_bars(spark, sf)).select("ticker", "d", F.round("macd", 4).alias("macd"), F.round("line", 4).alias("line"))
 
 
+def _whole(spark, sf):
+    """Bars of whole numbers, three times the price, so that sums and typical prices are exact in any order."""
+    return _bars(spark, sf).withColumns({c: 3 * F.floor(c).cast("double") for c in ("high", "low", "close")})
+
+
+_WHOLE = "SELECT ticker, d, 3 * floor(high) AS high, 3 * floor(low) AS low, 3 * floor(close) AS close, volume FROM bars"
+
+
+@query(["bars"], f"""SELECT ticker, d, avg(close) OVER f AS boll, round(avg(close) OVER f + 2 * stddev_samp(close) OVER f, 4) AS boll_ub, round(avg(close) OVER f - 2 * stddev_samp(close) OVER f, 4) AS boll_lb
+FROM ({_WHOLE}) WINDOW f AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def w1_bollinger(spark, sf):
+    return W.bollinger(_whole(spark, sf)).select("ticker", "d", "boll", *[F.round(c, 4).alias(c) for c in ("boll_ub", "boll_lb")])
+
+
+_ATR = f"""WITH RECURSIVE num AS (SELECT *, row_number() OVER w AS i, greatest(high, lag(close) OVER w) - least(low, lag(close) OVER w) AS tr FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY d)),
+{_ema("av", "num", "tr", "(1.0::DOUBLE / 14)")} SELECT num.ticker, num.d, round(av.y, 4) AS atr FROM num JOIN av USING (ticker, i)"""
+
+
+@query(["bars"], _ATR)
+def w1_atr(spark, sf):
+    return W.atr(_bars(spark, sf)).select("ticker", "d", F.round("atr", 4).alias("atr"))
+
+
+@query(["bars"], f"""SELECT ticker, d, CASE WHEN sum(up + down) OVER f > 0 THEN 100 * sum(up) OVER f / sum(up + down) OVER f ELSE 50.0::DOUBLE END AS mfi FROM (
+  SELECT ticker, d, CASE WHEN tp > lag(tp) OVER w THEN tp * volume ELSE 0.0::DOUBLE END AS up, CASE WHEN tp < lag(tp) OVER w THEN tp * volume ELSE 0.0::DOUBLE END AS down
+  FROM (SELECT *, (high + low + close) / 3 AS tp FROM ({_WHOLE})) WINDOW w AS (PARTITION BY ticker ORDER BY d)) WINDOW f AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""")
+def w1_mfi(spark, sf):
+    return W.mfi(_whole(spark, sf)).select("ticker", "d", "mfi")
+
+
+@query(["bars"], f"""SELECT ticker, d, CASE WHEN sum(volume) OVER f > 0 THEN sum(close * volume) OVER f / sum(volume) OVER f END AS vwma
+FROM ({_WHOLE}) WINDOW f AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""")
+def w1_vwma(spark, sf):
+    return W.vwma(_whole(spark, sf)).select("ticker", "d", "vwma")
+
+
 @query()
 def w7d_kdj_rsi(spark, sf):
     return W.kdj_rsi(_bars(spark, sf)).select("ticker", "d", "position")

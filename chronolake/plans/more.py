@@ -202,3 +202,57 @@ def x4_corpus_hash(spark, sf):
     d = table(spark, sf, "documents").select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     r = d.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "h"))).alias("r"))
     return r.select("source", F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), "").cast("binary"), 256).alias("digest"))
+
+
+@query([], """WITH e AS (SELECT DISTINCT CAST(vec_id // 4 AS BIGINT) AS event_id FROM embeddings), n AS (SELECT count(*) AS n, greatest(2, least(4, count(*) // 3)) AS k FROM e), s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM e),
+r AS (SELECT event_id, fold, CASE WHEN i < n - (k - fold) * (n // (k + 1)) THEN 'train' WHEN i < n - (k - fold - 1) * (n // (k + 1)) THEN 'test' END AS role FROM s, n, (SELECT unnest(range(4))::INTEGER AS fold) WHERE fold < k) SELECT * FROM r WHERE role IS NOT NULL""")
+def w18_tail_folds(spark, sf):
+    events = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("event_id")).distinct()
+    return R.tail_folds(events, ["event_id"], 4)
+
+
+_UNIT = "(CAST('0x' || left(md5('power:' || sim || ':' || i || ':{}'), 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
+
+
+@query([], f"""WITH x AS (SELECT sim, i, CAST(round((sqrt(-2 * ln({_UNIT.format('r')})) * cos(2 * pi() * {_UNIT.format('a')}) + 0.5::DOUBLE) * 1e6) AS BIGINT) AS v FROM (SELECT unnest(range(50)) AS sim) a, (SELECT unnest(range(32)) AS i) b),
+o AS (SELECT sim, sum(v) AS seen FROM x GROUP BY sim),
+f AS (SELECT sim, draw, sum(v * CASE WHEN CAST('0x' || left(md5('power:' || sim || ':' || draw || ':' || i), 2) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM x, (SELECT unnest(range(99)) AS draw) d GROUP BY sim, draw),
+p AS (SELECT sim, (count(*) FILTER (s >= seen) + 1)::DOUBLE / (count(*) + 1) AS p FROM f JOIN o USING (sim) GROUP BY sim) SELECT avg(CAST(p <= 0.05::DOUBLE AS DOUBLE)) AS power, count(*) AS sims FROM p""")
+def r11_power_simulation(spark, sf):
+    return R.power_simulation(spark)
+
+
+_RUNGS = "(VALUES (0, 'm0'), (1, 'm1'), (2, 'm2'), (3, 'm3'), (4, 'm4'), (5, 'none')) r(rung, model)"
+_BY_MODEL = "SELECT 'm' || (vec_id % 5) AS model, sum(CAST(round(embedding[1]::DOUBLE * 1000) AS BIGINT))::DOUBLE AS e, (count(*) // 10)::DOUBLE AS l FROM embeddings GROUP BY ALL"
+
+
+@query([], f"SELECT rung, model, e, l, round((e - lag(e) OVER (ORDER BY rung)) / CASE WHEN l = lag(l) OVER (ORDER BY rung) THEN 1e-6::DOUBLE ELSE l - lag(l) OVER (ORDER BY rung) END, 4) AS marginal FROM {_RUNGS} LEFT JOIN ({_BY_MODEL}) m USING (model)")
+def r13_j11_model_ladder(spark, sf):
+    e = F.round(F.col("embedding")[0].cast("double") * 1000).cast("long")
+    d = table(spark, sf, "embeddings").groupBy(F.concat(F.lit("m"), (F.col("vec_id") % 5).cast("string")).alias("model"))
+    d = d.agg(F.sum(e).cast("double").alias("e"), F.floor(F.count("*") / 10).cast("double").alias("l"))
+    return R.ladder(d, ["m0", "m1", "m2", "m3", "m4", "none"], "e", "l").withColumn("marginal", F.round("marginal", 4))
+
+
+_BRANCH = "b AS (SELECT CAST(label AS BIGINT) AS seed, (vec_id % 5)::DOUBLE / 4 AS dose, sum(CAST(round(embedding[1]::DOUBLE * 1000) AS BIGINT))::DOUBLE AS v FROM embeddings GROUP BY ALL)"
+
+
+def _branch_rows(spark, sf):
+    v = F.sum(F.round(F.col("embedding")[0].cast("double") * 1000).cast("long")).cast("double").alias("v")
+    return table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("seed"), ((F.col("vec_id") % 5).cast("double") / 4).alias("dose")).agg(v)
+
+
+@query([], f"WITH {_BRANCH} SELECT seed, dose, v - max(CASE WHEN dose = 0 THEN v END) OVER (PARTITION BY seed) AS contrast FROM b QUALIFY dose <> 0")
+def r15_branch_contrasts(spark, sf):
+    return R.against_base(_branch_rows(spark, sf), "seed", "dose", "v")
+
+
+@query([], f"WITH {_BRANCH}, g AS (SELECT s::BIGINT AS seed, d::DOUBLE / 4 AS dose FROM (SELECT unnest(range(12)) AS s) x, (SELECT unnest(range(5)) AS d) y) SELECT seed, dose, v IS NOT NULL AS done FROM g LEFT JOIN b USING (seed, dose)")
+def r15_branch_grid(spark, sf):
+    grid = R.branches(spark, list(range(12)), [i / 4 for i in range(5)])
+    return F.broadcast(grid).join(_branch_rows(spark, sf), ["seed", "dose"], "left").select("seed", "dose", F.col("v").isNotNull().alias("done"))
+
+
+@query([], "SELECT o_custkey, count(DISTINCT o_orderstatus) AS o_orderstatus FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1")
+def r15_uneven_branches(spark, sf):
+    return R.uneven(table(spark, sf, "orders"), "o_custkey", ["o_orderstatus"])

@@ -13,7 +13,7 @@ from chronolake.functions import scalars as S
 from chronolake.functions import text as X
 from chronolake.operators import corpus, joins, pit, stats, windows
 from chronolake.plans.views import view
-from chronolake.sources import readers, sinks
+from chronolake.sources import contracts, readers, sinks
 from chronolake.streaming import events as E
 
 SF = "/root/testdata/sf0.001"
@@ -202,3 +202,62 @@ def test_streamed_positions_equal_batch(spark, tmp_path):
     got = E.drain(E.positions(spark.readStream.schema(signals.schema).parquet(at)), "pos")
     want = windows.positions(signals).select("ticker", "seq", "position")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def settings(**changes):
+    s = {
+        "experiment_name": "x", "random_seed": 1, "time": {"source_timezone": "America/New_York", "internal_timezone": "UTC"},
+        "splits": {"train_end": "2015-01-01", "dev_start": "2016-01-01T00:00:00Z", "dev_end": "2017-01-01", "test_start": "2018-01-01"},
+        "probe": {"cv": "timeseries", "n_splits": 4, "n_permutations": 500, "alpha": 1.0},
+        "bootstrap": {"method": "stationary", "expected_block_length": 4, "n_bootstrap": 1000, "confidence_level": 0.95},
+        "economics": {"primary_metric": "delta_ic", "threshold": 0, "transaction_cost_bps": 5, "annualization_factor": 8},
+        "pit": {"allowed_availability_qualities": ["exact"], "allow_heuristic_fallback": False, "require_timezone_aware": True, "reject_missing_availability": True},
+    }
+    for path, v in changes.items():
+        part, key = path.split("__")
+        s[part] = s[part] | {key: v}
+    return s
+
+
+@pytest.mark.parametrize(
+    ("path", "value"),
+    [("probe__n_splits", 1), ("probe__n_splits", True), ("probe__alpha", 0), ("bootstrap__confidence_level", 1.0), ("economics__threshold", -1), ("pit__allowed_availability_qualities", []),
+     ("pit__allowed_availability_qualities", ["other"]), ("splits__dev_start", "2014-01-01"), ("splits__test_start", "soon"), ("time__source_timezone", " ")],
+)
+def test_settings_contract(path, value):
+    assert contracts.violations(settings()) == []
+    assert len(contracts.violations(settings(**{path: value}))) == 1
+    assert contracts.violations({}) and len(contracts.violations(settings() | {"random_seed": True})) == 1
+
+
+def test_formal_settings():
+    formal = {"experiment_name": contracts.FORMAL}
+    assert contracts.violations(settings() | formal) == []
+    assert len(contracts.violations(settings(probe__n_permutations=499, bootstrap__n_bootstrap=999, pit__allow_heuristic_fallback=True) | formal)) == 3
+    assert contracts.violations(settings(probe__n_permutations=499)) == []
+
+
+def test_manifest_gate(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    good = {"a.csv": hashlib.sha256(b"x\n1\n").hexdigest()}
+    read = lambda p: spark.read.option("header", True).csv(p)
+    assert contracts.read_locked(read, str(tmp_path), "a.csv", good).count() == 1
+    assert contracts.changed_files(str(tmp_path), good | {"b.csv": "0" * 64}) == ["b.csv"]
+    for manifest in ({}, {"a.csv": "0" * 64}):
+        with pytest.raises(ValueError):
+            contracts.read_locked(read, str(tmp_path), "a.csv", manifest)
+
+
+def test_indicator_edges(spark):
+    rows = [(1, dt.date(2024, 1, i + 1), 10.0, 12.0 + i, 8.0, 10.0 + i, 0.0 if i < 2 else 5.0) for i in range(4)]
+    bars = spark.createDataFrame(rows, "ticker int, d date, open double, high double, low double, close double, volume double")
+    got = {c: [r[0] for r in f.orderBy("d").select(c).collect()] for c, f in (("boll_ub", windows.bollinger(bars)), ("atr", windows.atr(bars)), ("mfi", windows.mfi(bars)), ("vwma", windows.vwma(bars)))}
+    assert got["boll_ub"][0] is None and abs(got["boll_ub"][1] - (10.5 + 2 * 0.5**0.5)) < 1e-9
+    assert got["atr"][0] == 4.0 and got["mfi"] == [50.0, 50.0, 100.0, 100.0] and got["vwma"] == [None, None, 12.0, 12.5]
+
+
+def test_tail_folds_end_at_the_end(spark):
+    got = stats.tail_folds(spark.range(11).withColumnRenamed("id", "event"), ["event"], 4).collect()
+    test = {f: sorted(r.event for r in got if r.fold == f and r.role == "test") for f in {r.fold for r in got}}
+    assert test == {0: [5, 6], 1: [7, 8], 2: [9, 10]}
+    assert all(r.event < test[r.fold][0] for r in got if r.role == "train")
