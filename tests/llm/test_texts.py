@@ -141,6 +141,24 @@ def test_leaks_verbatim_and_paraphrased(spark, docs):
     assert leaks.find_leaks(docs(rows), bench.limit(0)).count() == 0 and leaks.find_leaks(docs([]), bench).count() == 0
 
 
+def test_leaks_of_items_that_a_third_of_the_rows_hold(spark, docs):
+    """One item in exact copies, one in a passage that differing rows share; both also in single rows, one of them paraphrased."""
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    pick = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, pick(40)) for i in range(20)]
+    copy, shared = " ".join(pick(50) + items[0][1] + pick(50)), pick(10) + items[1][1] + pick(10)
+    loose = [x if rng.random() > 0.1 else rng.choice(vocab) for x in items[0][1] if rng.random() > 0.1]
+    rows = [(i, copy) for i in range(70)] + [(100 + i, " ".join(pick(40) + shared + pick(40))) for i in range(70)]
+    # other items' words around an item of widespread words
+    rows += [(300, " ".join(pick(90) + items[0][1] + pick(30))), (301, " ".join(items[2][1][:15] + loose + items[3][1][:15])), (302, " ".join(items[4][1][:12] + items[1][1]))]
+    rows += [(400 + i, " ".join(pick(60) + w + pick(20))) for i, w in items[5:]] + [(1000 + i, " ".join(pick(150))) for i in range(50)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    truth = {(i, 0) for i in [*range(70), 300, 301]} | {(100 + i, 1) for i in range(70)} | {(302, 1)} | {(400 + i, i) for i in range(5, 20)}
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs(rows), bench).collect()} == truth
+    assert {r.doc_id for r in leaks.drop_leaks(docs(rows), bench).collect()} == {1000 + i for i in range(50)}
+
+
 @pytest.mark.parametrize(("a", "b"), [("abcbdab", "bdcaba"), ("", "x"), ("aaaa", "aa"), ("xyz", "abc")])
 def test_common_subsequence(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), int)
