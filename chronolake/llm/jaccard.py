@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
@@ -56,8 +56,10 @@ def node_ids(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.where(n > 0, h | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
-def _members(docs: DataFrame, k: int) -> DataFrame:
+def _members(docs: DataFrame, k: int, text_hash: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, node) of every row, and its `text_hash` if one is given."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    more = [] if text_hash is None else [text_hash.alias("text_hash")]
 
     def each(batches):
         for batch in batches:
@@ -65,9 +67,9 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
             for s in bk.slices(batch.column(1)):
                 t, o = token_sets(s, k)
                 n[s.lo : s.hi], node[s.lo : s.hi] = np.diff(o), node_ids(t, o)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node)], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), *batch.columns[2:]], names=["doc_id", "n_shingles", "node", *batch.schema.names[2:]])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {id_type}, n_shingles long, node long")
+    return docs.select("doc_id", "text", *more).mapInArrow(each, f"doc_id {id_type}, n_shingles long, node long" + ", text_hash long" * len(more))
 
 
 def _new_sets(batches, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -339,27 +341,37 @@ def links(texts: DataFrame, tokens: int, k: int = 5, percent: int = 80) -> DataF
     return good.union(stored(_within(families, components(good), texts, k, percent), "links"))
 
 
+def _classes(members: DataFrame, texts: DataFrame, k: int, percent: int, row: Column) -> DataFrame:
+    """(node, least, label) of every node but the empty one: the smallest `row` of the node and its component."""
+    tokens = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    label = components(links(texts, tokens, k, percent))
+    # linked nodes are few beside the rows; nodes of many rows are summed up before they meet
+    least = members.where("node <> 0").groupBy("node").agg(F.min(row).alias("least"))
+    return least.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`."""
     members = stored(_members(docs, k), "members")
-    tokens = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    label = components(links(docs.select("text"), tokens, k, percent))
-    # linked nodes are few beside the rows; nodes of many rows are summed up before they meet
-    least = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    least = least.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = _classes(members, docs.select("text"), k, percent, F.col("doc_id"))
     whole = least.groupBy("label").agg(F.min("least").alias("component_id"))
     found = stored(least.join(whole, "label").select("node", "component_id"), "classes")
     return members.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one row of each component, that with the smallest id; rows without words all stay.
+    """`docs` with one row of each component, that with the smallest id; rows without words and rows with a null id all stay.
 
-    Of rows that repeat an id, one stays when its component is linked or the text is the same.
+    A row is known by its id and a hash of its text: an id on texts of several components stays once in each of which it is the smallest.
     """
-    found = join(docs, k, percent)
-    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    out = docs.join(kept.where("doc_id IS NOT NULL"), "doc_id", "left_semi").select(docs.columns)
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    out = out.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    text = F.xxhash64("text")
+    members = stored(_members(docs.select("doc_id", "text"), k, text), "members")
+    least = _classes(members, docs.select("text"), k, percent, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    first = least.groupBy("label").agg(F.min("least").alias("least")).where("least IS NOT NULL").select("least.*", F.lit(True).alias("_once"))
+    empty = members.where("node = 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash", F.lit(False).alias("_once")).distinct()
+    kept = stored(first.union(empty), "kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_once")
+    out = docs.where("doc_id IS NOT NULL").withColumn("_text", text)
+    out = out.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    once = Window.partitionBy("doc_id", "_text").orderBy("_once")
+    out = out.withColumn("_n", F.row_number().over(once)).where("_n = 1 OR NOT _once").select(docs.columns)
     return out.unionByName(docs.where("doc_id IS NULL"))

@@ -108,6 +108,20 @@ def test_jaccard_against_brute_force(spark, docs):
     assert jaccard.join(docs([])).count() == 0
 
 
+def test_keep_one_of_ids_on_different_texts(spark, docs):
+    rng = random.Random(9)
+    text = lambda: [rng.choice("abcdefghijklmnop") + str(rng.randrange(500)) for _ in range(60)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c, e = text(), text(), text(), text()
+    full = lambda w: " ".join(w)
+    rows = [(5, full(a)), (5, full(b)), (5, full(b)), (2, near(b)), (5, full(c)), (5, near(c)), (7, near(a)), (8, full(e)), (9, full(e))]
+    rows += [(5, None), (5, ""), (5, ""), (6, " "), (None, full(e)), (None, None)]
+    kept = collections.Counter((r.doc_id, r.text) for r in jaccard.keep_one(docs(rows)).collect())
+    one = [x for x in kept if x[0] == 5 and x[1] in (full(c), near(c))]
+    assert len(one) == 1
+    assert kept == collections.Counter([(5, full(a)), (2, near(b)), *one, (8, full(e)), (5, None), (5, ""), (5, ""), (6, " "), (None, full(e)), (None, None)])
+
+
 def test_large_family_of_half_alike_texts(spark, docs):
     """Copies of copies: most pairs of the family stay under the threshold, links form chains."""
     rng = random.Random(6)
