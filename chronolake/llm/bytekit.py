@@ -11,7 +11,6 @@ words and of word prefixes cost a few passes over the bytes.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,11 +154,6 @@ def char_at(raw: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
 
 
-def fold_of(ids: pa.Array, k: int) -> np.ndarray:
-    """crc32 of the decimal id, modulo k; a null id counts as the empty text (0)."""
-    return np.array([zlib.crc32(b"" if v is None else str(v).encode()) % k for v in ids.to_pylist()], np.int64)
-
-
 def run(step: np.ndarray, cls: np.ndarray, raw: np.ndarray, lane: int = 512) -> np.ndarray:
     """States of an automaton after each byte of `raw`, in parallel lanes.
 

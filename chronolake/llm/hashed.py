@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
@@ -69,19 +69,22 @@ def style_features(s: bk.Slice) -> tuple[np.ndarray, np.ndarray]:
 def labelled(docs: DataFrame, labels: DataFrame, label: Column, train: Column, per_label: int) -> DataFrame:
     """(label, text) of at most `per_label` rows of each label value, those with the smallest hash of the id.
 
-    The bound keeps the model's fit on one machine; `train` says which ids may be learned from.
-    A label row without a document, or the other way round, isn't used; an id that occurs more than once counts each time.
+    The bound keeps the model's fit on one machine; `train` says which ids may be learned from.  Every label value
+    counts, however many there are.  A label row without a document, or the other way round, isn't used; an id that
+    occurs more than once counts each time, within the bound.
     """
     rows = labels.select("doc_id", label.alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & train)
     rows = rows.withColumn("at", F.xxhash64("doc_id", F.lit(7)))
-    values = sorted(r["label"] for r in rows.select("label").distinct().limit(64).collect())
-    picked = None
-    for v in values:
-        one = rows.where(F.col("label") == v).orderBy("at", "doc_id").limit(per_label).select("doc_id", "label")
-        picked = one if picked is None else picked.unionByName(one)
-    if picked is None:
-        return docs.select(F.lit(0).alias("label"), "text").limit(0)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
+    picked = first_rows(rows, ["label"], ["at", "doc_id"], per_label)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # per_label rows of a label value at most
+    found = first_rows(found, ["label"], ["at", "doc_id", F.xxhash64("text")], per_label)
+    return found.select(F.col("label").cast("int").alias("label"), "text")
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows by order in each key; each task sends on n rows of a key at most, so a hot key is cut before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
 
 
 def design(sample: DataFrame, features) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -122,6 +125,39 @@ def informative(y: np.ndarray, ids: list[np.ndarray], most: int = 512, least: fl
     return order[g[order] >= least]
 
 
+def paired(y: np.ndarray, ids: list[np.ndarray], pool: int = 2048, most: int = 128, least: float = 40.0, more: float = 20.0, rare: float = 0.2) -> np.ndarray:
+    """Buckets of pairs that tell label 1 from 0 together, by at least `more` than either does alone; `most` of them.
+
+    Pairs are looked for among the `pool` buckets that most texts of label 1 hold, without those that half of all texts
+    hold.  In label 0 a pair must be far rarer (`rare`) than its parts would meet by chance: that long texts hold more
+    pairs doesn't make one.
+    """
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    if not n1 or not n0:
+        return np.zeros(0, np.int64)
+    count = np.bincount(np.concatenate(ids), minlength=DIM)
+    toxic = np.bincount(np.concatenate([x for x, t in zip(ids, y, strict=True) if t == 1]), minlength=DIM)
+    toxic[(2 * count > n1 + n0) | (toxic < 5)] = 0
+    chosen = np.lexsort((np.arange(DIM), -toxic))[:pool]
+    chosen = chosen[toxic[chosen] > 0]
+    x = dense(ids, chosen)
+    c1, c0 = (x[y == t].T @ x[y == t] for t in (1, 0))
+    both, n = c1 + c0, n1 + n0
+    g = np.zeros_like(both)
+    for c, size in ((c1, n1), (c0, n0)):
+        for got, total in ((c, both), (size - c, n - both)):
+            g += 2 * got * np.log(np.maximum(got, 1e-9) / np.maximum(size * total / n, 1e-9))
+    own = np.diag(c0) / max(1, n0)
+    chance = n0 * own[:, None] * own[None, :]
+    g[(c1 * n < both * n1) | ((chance < 5) | (c0 > rare * chance)) & ~np.eye(len(g), dtype=bool)] = 0
+    alone = np.diag(g).copy()
+    extra = g - np.maximum(alone[:, None], alone[None, :])
+    i, j = np.nonzero(np.triu((g >= least) & (extra >= more), 1))
+    order = np.lexsort((j, i, -extra[i, j]))
+    out = dict.fromkeys(np.stack([i[order], j[order]], 1).ravel().tolist())
+    return chosen[np.array(list(out)[:most], np.int64)]
+
+
 def dense(ids: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     at = np.full(DIM, -1, np.int32)
     at[chosen] = np.arange(len(chosen))

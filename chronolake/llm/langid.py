@@ -8,8 +8,8 @@ through time on a bounded labelled sample.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0;
 null languages aren't learned from; without any labelled text all is ``und``;
-rows are returned one for one, repeated rows too; extra columns are ignored; an
-empty table gives an empty result.
+rows are returned one for one, repeated rows too; texts of any length are read whole,
+a piece at a time; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
-from chronolake.llm.common import fold
+from chronolake.llm.common import discard, fold, stored
+from chronolake.llm.hashed import first_rows
 
 FOLDS, HELD = 5, 0
 WINDOW, HIDDEN, EMBED = 128, 8, 8
+PIECE = 4096  # windows read at once
 LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
 
@@ -67,39 +69,46 @@ class BiGru:
         return z.reshape(*x.shape, -1)
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(best language or -1, score) by document."""
+        """(best language or -1, score) by document; windows are read PIECE at a time, so a long text needs no more memory."""
         n, k = len(texts), len(self.langs)
         if not k:
             return np.full(n, -1), np.zeros(n)
         total = np.zeros((n, k))
-        for s in bk.slices(texts, 1 << 19):
-            x, of = windows(s.raw, s.offs)
-            if not len(of):
-                continue
-            post = self.positions(x)
-            post *= np.append(LETTER, False)[x][:, :, None]
-            by = post.sum(0)
-            for j in range(k):
-                total[s.lo : s.hi, j] += np.bincount(of, weights=by[:, j], minlength=s.hi - s.lo)
+        letter = np.append(LETTER, False)
+        for s in bk.slices(texts, PIECE * WINDOW):
+            begin, end, of = window_bounds(s.offs)
+            for a in range(0, len(of), PIECE):
+                x = cut(s.raw, begin[a : a + PIECE], end[a : a + PIECE])
+                by = (self.positions(x) * letter[x][:, :, None]).sum(0)
+                for j in range(k):
+                    total[s.lo : s.hi, j] += np.bincount(of[a : a + PIECE], weights=by[:, j], minlength=s.hi - s.lo)
         mass = total.sum(1)
-        best = np.where(mass > 0, total.argmax(1), -1) if k else np.full(n, -1)
+        best = np.where(mass > 0, total.argmax(1), -1)
         return best, np.where(mass > 0, total.max(1, initial=0) / np.maximum(mass, 1e-9), 0.0)
 
 
-def windows(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cut rows into windows [WINDOW, n] padded with 256; every byte is in one.  Also the row of each window."""
-    size = np.diff(offs)
-    per = -(-size // WINDOW)
-    of = np.repeat(np.arange(len(size)), per)
+def window_bounds(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of the windows that together cover every byte of every row, and the row of each."""
+    per = -(-np.diff(offs) // WINDOW)
+    of = np.repeat(np.arange(len(per)), per)
     first = np.concatenate(([0], np.cumsum(per)))
     begin = offs[:-1][of] + (np.arange(len(of)) - first[:-1][of]) * WINDOW
+    return begin, np.minimum(begin + WINDOW, offs[1:][of]), of
+
+
+def cut(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Windows [WINDOW, n] of bytes, padded with 256."""
     at = begin[None, :] + np.arange(WINDOW)[:, None]
-    inside = at < offs[1:][of][None, :]
-    padded = np.append(raw, 0)
-    return np.where(inside, padded[np.minimum(at, len(raw))].astype(np.int16), 256), of
+    return np.where(at < end[None, :], np.append(raw, 0)[np.minimum(at, len(raw))].astype(np.int16), 256)
 
 
-def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 3) -> BiGru:
+def windows(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows [WINDOW, n] of the rows, and the row of each."""
+    begin, end, of = window_bounds(offs)
+    return cut(raw, begin, end), of
+
+
+def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch: int = 512, rate: float = 0.02, seed: int = 3) -> BiGru:
     """Backpropagation through time over windows x [time, n] with labels y; every letter position has its window's label."""
     rng = np.random.default_rng(seed)
     k, hid = len(langs), HIDDEN
@@ -145,7 +154,7 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch:
         dh_all = (zf @ p["o"].T).reshape(big_t, nb, 2 * hid)
         for d in (0, 1):
             dh = np.zeros((nb, hid), np.float32)
-            dtab = np.zeros((257, 3 * hid), np.float32)
+            gates = np.empty((big_t, nb, 3 * hid), np.float32)
             u, un = p[f"u{d}"], p[f"un{d}"]
             for t, h, zr, rh, n in reversed(cache[d]):
                 dh = dh + dh_all[t, :, d * hid : (d + 1) * hid]
@@ -157,8 +166,10 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch:
                 grad[f"un{d}"] += rh.T @ dn
                 dzr = np.concatenate((dz, dr), 1)
                 grad[f"u{d}"] += h.T @ dzr
-                np.add.at(dtab, xb[t], np.concatenate((dzr, dn), 1))
+                gates[t, :, : 2 * hid], gates[t, :, 2 * hid :] = dzr, dn
                 dh = dh * zg + drh * rg + dzr @ u.T
+            flat_x, flat_g = xb.ravel(), gates.reshape(-1, 3 * hid)
+            dtab = np.stack([np.bincount(flat_x, weights=flat_g[:, c], minlength=257) for c in range(3 * hid)], 1).astype(np.float32)
             grad[f"b{d}"] = dtab.sum(0)
             grad[f"w{d}"] = p["emb"].T @ dtab
             grad["emb"] += dtab @ p[f"w{d}"].T
@@ -176,33 +187,37 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch:
 def train(docs: DataFrame, per_lang: int = 200, most_windows: int = 16384) -> BiGru:
     """Learn from at most `per_lang` whole documents of each language outside the held-out fold.
 
-    Of their windows `most_windows`, drawn evenly over all of them, are trained on.  Languages are those of
-    the table (the 256 most frequent); the bounds keep the fit on one machine.
+    Of their windows those with the smallest hash are trained on, `most_windows` in all and as many of each language as of
+    any other (8 at least).  Languages are those of the table, however many; the bounds keep the fit on one machine.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD))
-    ids = rows.select("lang", "doc_id").withColumn("at", F.xxhash64("doc_id", F.lit(11)))
-    langs = sorted(r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).select("lang").collect())
-    picked = None
-    for v in langs:
-        one = ids.where(F.col("lang") == v).orderBy("at", "doc_id").limit(per_lang).select("doc_id", "lang")
-        picked = one if picked is None else picked.unionByName(one)
-    if picked is None:
-        return BiGru([], {})
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).select("lang", "text").toArrow()
-    pairs = sorted(zip(got.column("lang").to_pylist(), got.column("text").to_pylist(), strict=True))
-    xs, ys = [], []
-    for lang, text in pairs:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        x, of = windows(raw, np.array([0, len(raw)]))
-        xs.append(x)
-        ys.append(np.full(len(of), langs.index(lang)))
-    x, y = np.concatenate(xs, 1), np.concatenate(ys)
-    if len(y) > most_windows:
-        pick = np.random.default_rng(5).permutation(len(y))[:most_windows]
-        x, y = x[:, pick], y[pick]
-    if not len(y):
+    ids = rows.select("lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id", F.lit(11)).alias("at"))
+    picked = first_rows(ids, ["lang"], ["at", "id"], per_lang).distinct()  # per_lang rows of a language at most
+    found = rows.select("lang", F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), ["lang", "id"])
+    found = first_rows(found, ["lang"], ["at", "id", F.xxhash64("text")], per_lang)  # an id that repeats doesn't widen the sample
+
+    def cuts(batches):
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                begin, end, _ = window_bounds(np.array([0, len(raw)]))
+                for a in range(0, len(begin), PIECE):
+                    parts = [raw[i:j].tobytes() for i, j in zip(begin[a : a + PIECE], end[a : a + PIECE], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(parts, pa.binary())], names=["lang", "bytes"])
+
+    pieces = found.select("lang", "text").mapInArrow(cuts, "lang string, bytes binary")
+    pieces = stored(pieces.withColumn("at", F.xxhash64("bytes")), "windows")
+    langs = sorted(r[0] for r in pieces.select("lang").distinct().collect())
+    if not langs:
         return BiGru([], {})
-    return fit(x, y, langs)
+    each = max(8, -(-most_windows // len(langs)))
+    got = first_rows(pieces, ["lang"], ["at", "bytes"], each).select("lang", "bytes").toArrow()
+    discard(pieces)
+    pairs = sorted(zip(got.column("lang").to_pylist(), map(bytes, got.column("bytes").to_pylist()), strict=True))
+    size = np.array([len(b) for _, b in pairs])
+    x, _ = windows(np.frombuffer(b"".join(b for _, b in pairs), np.uint8), np.concatenate(([0], np.cumsum(size))))
+    at = {v: i for i, v in enumerate(langs)}
+    return fit(x, np.array([at[v] for v, _ in pairs]), langs)
 
 
 def predict(docs: DataFrame, model: BiGru, id_col: str = "doc_id") -> DataFrame:
@@ -217,10 +232,9 @@ def predict(docs: DataFrame, model: BiGru, id_col: str = "doc_id") -> DataFrame:
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             ok = letters & (best >= 0)
             names = [net.langs[b] if good else "und" for b, good in zip(best, ok, strict=True)]
-            held = bk.fold_of(batch.column(0), FOLDS) == HELD
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(held), pa.array(names, pa.string()), pa.array(np.where(ok, np.minimum(score, 1.0), 0.0))],
+                [batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(np.where(ok, np.minimum(score, 1.0), 0.0))],
                 names=[id_col, "held_out", "lang_pred", "score"],
             )
 
-    return docs.select(id_col, "text").mapInArrow(each, f"{id_col} {id_type}, held_out boolean, lang_pred string, score double")
+    return docs.select(id_col, "text", (fold(id_col, FOLDS) == HELD).alias("held")).mapInArrow(each, f"{id_col} {id_type}, held_out boolean, lang_pred string, score double")

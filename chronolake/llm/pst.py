@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
-from chronolake.llm.common import cut_parts, stored
+from chronolake.llm.common import cut_parts, fold, stored
 
 FOLDS, HELD = 7, 2
 DEPTH, END = 5, 10
@@ -205,29 +205,27 @@ def _pack(docs: DataFrame) -> DataFrame:
 
     def rows(batches):
         """Slices of SLICE bytes, across batches."""
-        ids, texts, size = [], [], 0
+        parts, size = [], 0
         for batch in batches:
-            ids.append(batch.column(0))
-            texts.append(batch.column(1))
+            parts.append(batch.columns)
             size += batch.column(1).nbytes
             if size >= SLICE:
-                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
-                ids, texts, size = [], [], 0
-        if ids:
-            yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                yield map(pa.concat_arrays, zip(*parts, strict=True))
+                parts, size = [], 0
+        if parts:
+            yield map(pa.concat_arrays, zip(*parts, strict=True))
 
     def each(batches):
         bid = TaskContext.get().partitionId() << 32
-        for ids, texts in rows(batches):
-            held = bk.fold_of(ids, FOLDS) == HELD
+        for ids, texts, held in rows(batches):
             for s in bk.slices(texts, SLICE):
                 text, offs = stream(bk.Words(s))
                 own = pa.array([ids.slice(s.lo, s.hi - s.lo).to_pylist()], pa.list_(ids.type))
-                rest = [pa.array([held[s.lo : s.hi].tolist()], pa.list_(pa.bool_())), pa.array([pa.compress(text.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([np.diff(offs)], pa.list_(pa.int64()))]
+                rest = [pa.array([held.slice(s.lo, s.hi - s.lo).to_pylist()], pa.list_(pa.bool_())), pa.array([pa.compress(text.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([np.diff(offs)], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), own, *rest], names=["bid", "ids", "held", "text", "sizes"])
                 bid += 1
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"bid long, ids array<{kind}>, held array<boolean>, text binary, sizes array<long>")
+    return docs.select("doc_id", "text", (fold("doc_id", FOLDS) == HELD).alias("held")).mapInArrow(each, f"bid long, ids array<{kind}>, held array<boolean>, text binary, sizes array<long>")
 
 
 def _blocks(batches):

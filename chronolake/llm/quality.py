@@ -7,8 +7,9 @@ Fitted on a bounded labelled sample (`per_grade` rows of each grade).
 
 Defined results: null and empty texts are scored as texts without words; null
 grades aren't learned from; with fewer than two grades in the sample every text
-gets that grade (0 without any); rows are returned one for one; extra columns
-are ignored; an empty table gives an empty result.
+gets that grade (0 without any); rows are returned one for one, repeated rows too,
+and equal texts score alike; texts of any length are scored whole; extra columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,7 +59,6 @@ def fit_ordinal(y: np.ndarray, x: np.ndarray, k: int, steps: int = 300, rate: fl
     for g in range(k):
         weight[y == g] = 1 / (k * max(1, (y == g).sum()))
     m, s = [0.0, 0.0], [0.0, 0.0]
-    above = np.stack([(y > j) for j in range(k - 1)], 1).astype(float)
     for t in range(1, steps + 1):
         cuts = c[0] + np.concatenate(([0.0], np.cumsum(np.exp(c[1:]))))
         p = _sig((x @ w)[:, None] - cuts[None, :])
@@ -78,7 +78,6 @@ def fit_ordinal(y: np.ndarray, x: np.ndarray, k: int, steps: int = 300, rate: fl
             m[i] = 0.9 * m[i] + 0.1 * d
             s[i] = 0.99 * s[i] + 0.01 * d * d
             q -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.99**t)) + 1e-8)
-    del above
     return w, c[0] + np.concatenate(([0.0], np.cumsum(np.exp(c[1:]))))
 
 
@@ -109,10 +108,9 @@ def score_quality(docs: DataFrame, model: Ordinal, tail_from: int = 1, keep_at:
             j = int(np.searchsorted(g, tail_from))
             n = batch.num_rows
             tail = np.ones(n) if j == 0 else np.zeros(n) if j >= len(g) else over[:, j - 1]
-            held = bk.fold_of(batch.column(0), FOLDS) == HELD
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(held), pa.array(mean), pa.array(tail), pa.array(tail >= keep_at)],
+                [batch.column(0), batch.column(2), pa.array(mean), pa.array(tail), pa.array(tail >= keep_at)],
                 names=[id_col, "held_out", "expected_grade", "tail_prob", "keep"],
             )
 
-    return docs.select(id_col, "text").mapInArrow(each, f"{id_col} {id_type}, held_out boolean, expected_grade double, tail_prob double, keep boolean")
+    return docs.select(id_col, "text", (fold(id_col, FOLDS) == HELD).alias("held")).mapInArrow(each, f"{id_col} {id_type}, held_out boolean, expected_grade double, tail_prob double, keep boolean")

@@ -4,12 +4,13 @@ A text is the set of its hashed terms and term prefixes.  The machine scores
 ``b + sum w_i + sum <v_i, v_j>`` over the pairs present, so that two terms may
 weigh together what neither weighs alone.  It is fitted by gradient descent on a
 bounded labelled sample (`per_label` rows of each label), over the hash buckets
-that tell the labels apart.
+that tell the labels apart alone and those that do so in pairs.
 
 Defined results: null and empty texts get the score of a text without terms;
 null labels and labels without a document aren't learned from; without both
 labels in the sample the score is the share of label 1 (0 without any label);
-rows are returned one for one, repeated rows too; extra columns are ignored by
+rows are returned one for one, repeated rows too; texts of any length are scored
+whole; an empty table gives an empty result; extra columns are ignored by
 `score_toxicity` and kept by `drop_toxic`.
 """
 
@@ -80,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Machine:
     sample = hashed.labelled(docs, labels, F.col("toxic"), fold("doc_id", FOLDS) != HELD, per_label)
     y, ids = hashed.design(sample, hashed.term_features)
     y = (y == 1).astype(np.int64)
-    chosen = hashed.informative(y, ids)
+    chosen = np.union1d(hashed.informative(y, ids), hashed.paired(y, ids))
     if not len(chosen):
         share = float(y.mean()) if len(y) else 0.0
         none = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
@@ -91,18 +92,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Machine:
 
 def score_toxicity(docs: DataFrame, machine: Machine, cut: float = 0.3, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs`."""
-    at = docs.sparkSession.sparkContext.broadcast(machine)  # of a size fixed by `most` in hashed.informative
+    at = docs.sparkSession.sparkContext.broadcast(machine)  # of a size fixed by `most` in hashed.informative and hashed.paired
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def each(batches):
         for batch in batches:
             p = at.value.score(batch.column(1))
-            held = bk.fold_of(batch.column(0), FOLDS) == HELD
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(held), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"]
+                [batch.column(0), batch.column(2), pa.array(p), pa.array((p >= cut).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"]
             )
 
-    return docs.select(id_col, "text").mapInArrow(each, f"{id_col} {id_type}, held_out boolean, score double, predicted int")
+    return docs.select(id_col, "text", (fold(id_col, FOLDS) == HELD).alias("held")).mapInArrow(each, f"{id_col} {id_type}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, cut: float = 0.3) -> DataFrame:
