@@ -1,20 +1,22 @@
 """Exact top-k inner product search with MaxScore.
 
 Components are the terms, vectors the documents; a term has two posting lists,
-of the documents with a positive and with a negative component.  In a shard, a
-query's terms are ordered by the most that each can add.  Those whose bounds
-together stay under the k-th best score so far are non-essential: documents in
-no essential list can't enter and are never scored.  The others are probed in
-the remaining terms only while what is left can still lift them.  Shards' best
-are merged by score, then id.
+of the documents with a positive and with a negative component.  A query's terms
+are ordered by the most that each can add in a shard.  Those whose bounds together
+stay under the threshold, the k-th best score so far, are non-essential: documents
+in no essential list can't enter and are never scored.  The others are probed in
+the remaining terms only while what is left can still lift them, and the threshold
+rises as they are: with the exact scores of the most promising, and from shard to
+shard.  A shard whose bounds stay under a query's threshold is skipped.
 
-Queries meet documents in blocks: (shard of documents) x (block of queries), both
-of a fixed size, so a task's memory doesn't grow with the table.
+A task walks a group of shards for a block of queries, both of a fixed size, so its
+memory doesn't grow with the table; a group's best are merged by score, then id.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part; shorter vectors count as padded with 0; a row is no candidate for
-itself, but a repeated row with its id is; ties go to the smaller id; an empty
-table gives an empty result; extra columns are ignored.
+take no part; shorter vectors count as padded with 0, and vectors of any length are
+used whole; a row is no candidate for itself, but a repeated row with its id is;
+ties go to the smaller id; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from chronolake.llm.common import stored
 
-SHARD, BLOCK, LEAST_SHARDS, PROBE = 8192, 32768, 16, 8
+SHARD, GROUP, BLOCK, LEAST_GROUPS, PROBE = 8192, 1 << 18, 1 << 15, 16, 8
+FIRST, NONE = 512, -(2**63) + 1
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -53,91 +56,107 @@ def _matrix(table: pa.Table, name: str, width: int | None = None) -> np.ndarray:
 
 
 class Shard:
-    """Score bounds and postings (components by term) of some documents."""
+    """Score bounds and posting lists of some documents."""
 
     def __init__(self, rid: np.ndarray, ids: np.ndarray, v: np.ndarray):
-        order = np.lexsort((rid, ids))
-        self.rid, self.ids = rid[order], ids[order]
-        most = float(np.abs(v).max(initial=0))
-        self.kind = np.float64 if most * most * max(1, v.shape[1]) < 2**52 else np.int64  # sums are exact in either
-        self.post = np.ascontiguousarray(v[order].T.astype(self.kind))
-        self.docs = np.ascontiguousarray(self.post.T)
+        self.rid, self.ids = rid, ids
+        most = float(np.abs(v).max(initial=0)) ** 2 * max(1, v.shape[1])
+        self.kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64  # sums are exact in any
+        self.docs = np.ascontiguousarray(v.astype(self.kind))
+        self.post = np.ascontiguousarray(self.docs.T)
         self.high, self.low = self.post.max(1, initial=0), self.post.min(1, initial=0)
-        self.by_impact = np.argsort(self.post, axis=1, kind="stable")
+        self.lists = [(np.flatnonzero(x > 0), np.flatnonzero(x < 0)) for x in self.post]
 
-    def search(self, rid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, scores) of the k best rows but `rid`; ties to the smaller id."""
-        n = len(self.ids)
+    def search(self, rid: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, scores) of the k best rows but `rid` of those that reach `floor`; ties to the smaller id."""
         q = q.astype(self.kind)
-        own = np.flatnonzero(self.rid == rid)
         bound = np.maximum(q * self.high, q * self.low)
         order = np.argsort(-bound, kind="stable")
         left = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # what terms from here on can add
-        if n <= 4 * k:
-            cand, acc = np.arange(n), self.docs @ q
-            return self._best(cand[cand != own[0]] if len(own) else cand, np.delete(acc, own), k)
-        seeds = np.unique(np.concatenate([self.by_impact[j, -2 * k :] if q[j] > 0 else self.by_impact[j, : 2 * k] for j in order[:4]]))
-        seeds = seeds[self.rid[seeds] != rid]
-        floor = np.partition(self.docs[seeds] @ q, len(seeds) - k)[len(seeds) - k] if len(seeds) >= k else -np.inf
-        if floor <= 0:
-            cand, m = np.arange(n), len(order)
+        if left[0] < floor:
+            return np.zeros(0, np.int64), np.zeros(0, self.kind)
+        if floor > 0:
+            m = int(np.searchsorted(-left[:-1], -floor, "right"))  # essential terms: the first m
+            cand = self._union(q, order[:m])
         else:
-            m = max(1, int(np.searchsorted(-left, -floor, "right")))  # essential terms: the first m
-            m = min(m, len(order))
-            seen = np.zeros(n, bool)
-            for j in order[:m]:
-                if q[j]:
-                    seen |= self.post[j] > 0 if q[j] > 0 else self.post[j] < 0
-                if seen.all():
-                    break
-            cand = np.flatnonzero(seen)
-        cand = cand[self.rid[cand] != rid]
+            m, cand = len(order), np.arange(len(self.ids))  # documents in no list reach the threshold too
         ess = order[:m]
-        acc = (q[ess] @ self.post[ess])[cand]
-        at = m
-        while at < len(order):
-            ok = acc + left[at] >= floor
+        acc = q[ess] @ self.post[ess] if len(cand) == len(self.ids) else self.docs[cand][:, ess] @ q[ess]
+        own = self.rid[cand] != rid
+        cand, acc = cand[own], acc[own]
+        while True:
+            if len(cand) > k and m < len(order):  # the k best have what they have: the threshold is at least their least
+                top = np.argpartition(acc, len(acc) - k)[len(acc) - k :]
+                floor = max(floor, (self.docs[cand[top]] @ q).min())
+            ok = acc + left[m] >= floor
             cand, acc = cand[ok], acc[ok]
-            nxt = order[at : at + PROBE]
-            acc = acc + self.docs[cand][:, nxt] @ q[nxt]
-            at += PROBE
-        ok = acc >= floor
-        return self._best(cand[ok], acc[ok], k)
-
-    def _best(self, cand: np.ndarray, acc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        top = np.lexsort((cand, -acc))[:k]
+            if m == len(order):
+                break
+            probe = order[m : m + PROBE]
+            acc = acc + self.docs[cand][:, probe] @ q[probe]
+            m += len(probe)
+        top = np.lexsort((self.ids[cand], -acc))[:k]
         return cand[top], acc[top]
 
+    def _union(self, q: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Positions in any list of the terms that adds to the score."""
+        seen, missing = np.zeros(len(self.ids), bool), len(self.ids)
+        for j in terms:
+            if q[j] and missing:
+                own = self.lists[j][0 if q[j] > 0 else 1]
+                missing -= len(own) - int(seen[own].sum())
+                seen[own] = True
+        return np.flatnonzero(seen)
+
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best other rows of each row for which `is_query` holds."""
     base = stored(quantised(vectors, scale), "vectors")
+    most = F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+    rows, asked, most = base.agg(F.count("*"), F.count_if(is_query), F.coalesce(most, F.lit(0))).first()
+    kind = "short" if most < 2**15 else "long"
+    base = base.withColumn("v", F.col("v").cast(f"array<{kind}>"))
     queries = base.where(is_query)
-    shards = max(LEAST_SHARDS, -(-base.count() // SHARD))
-    blocks = max(1, -(-queries.count() // BLOCK))
+    groups, blocks = max(LEAST_GROUPS, -(-rows // GROUP)), max(1, -(-asked // BLOCK))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = base.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")).withColumn("block", spread(blocks))
-    right = queries.select(F.col("rid").alias("qrid"), F.col("vec_id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block"), spread(shards).alias("shard"))
+    left = base.withColumn("group", F.pmod(F.xxhash64("rid"), F.lit(groups)).cast("int")).withColumn("block", spread(blocks))
+    right = queries.select(F.col("rid").alias("qrid"), F.col("vec_id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block"), spread(groups).alias("group"))
 
     def each(docs: pa.Table, asks: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        if docs.num_rows and asks.num_rows:
+        n = asks.num_rows
+        score, vec = np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64)
+        if docs.num_rows and n:
             d, a = _matrix(docs, "v"), _matrix(asks, "qv")
             width = max(d.shape[1], a.shape[1])
             d, a = _matrix(docs, "v", width), _matrix(asks, "qv", width)
-            shard = Shard(docs.column("rid").to_numpy(), docs.column("vec_id").to_numpy().astype(np.int64), d)
-            for rid, qid, q in zip(asks.column("qrid").to_numpy(), asks.column("qid").to_numpy(), a, strict=True):
-                pos, score = shard.search(rid, q, k)
-                for col, x in zip(out, (np.full(len(pos), rid), np.full(len(pos), qid), shard.ids[pos], score.astype(np.int64)), strict=True):
-                    col.append(x)
-        cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
-        return pa.table(dict(zip(("rid", "query_id", "vec_id", "score"), cols, strict=True)))
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(each, "rid long, query_id long, vec_id long, score long")
+            rid, ids, qrid = docs.column("rid").to_numpy(), docs.column("vec_id").to_numpy().astype(np.int64), asks.column("qrid").to_numpy()
+            score, vec = _walk(rid, ids, d, qrid, a, k)
+        has = score > NONE
+        row = np.nonzero(has)[0]
+        cols = (asks.column("qrid").to_numpy()[row], asks.column("qid").to_numpy()[row], vec[has], score[has])
+        return pa.table({c: pa.array(x.astype(np.int64)) for c, x in zip(("rid", "query_id", "vec_id", "score"), cols, strict=True)})
+
+    found = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(each, "rid long, query_id long, vec_id long, score long")
     best = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _walk(rid: np.ndarray, ids: np.ndarray, d: np.ndarray, qrid: np.ndarray, a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) [query, k] of the best over all shards of a group, least possible scores where there are fewer."""
+    score, vec = np.full((len(qrid), k), NONE), np.zeros((len(qrid), k), np.int64)
+    edges = [0, *range(min(FIRST, len(ids)), len(ids), SHARD), len(ids)]  # a small first shard gives the others a threshold
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        shard = Shard(rid[x:y], ids[x:y], d[x:y])
+        for i, q in enumerate(a):
+            floor = score[i, -1]
+            pos, got = shard.search(qrid[i], q, k, -np.inf if floor == NONE else floor)
+            if len(pos):
+                s, v = np.concatenate((score[i], got.astype(np.int64))), np.concatenate((vec[i], shard.ids[pos]))
+                top = np.lexsort((v, -s))[:k]
+                score[i], vec[i] = s[top], v[top]
+    return score, vec
+
+
 TOPK_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -47,6 +47,46 @@ def test_maxscore_prunes_and_is_exact():
         assert list(s.ids[pos]) == want and list(score.astype(int)) == [int(full[j]) for j in want]
 
 
+def test_threshold_prunes_lists_and_shards():
+    """With a threshold, documents in no essential list aren't candidates, and shards out of reach are skipped."""
+    v = np.zeros((400, 6), np.int64)
+    v[:200, 0] = np.arange(200) + 100
+    v[200:, 1:] = 1
+    s = topk.Shard(np.arange(400), np.arange(400), v)
+    q = np.array([10, 1, 1, 1, 1, 1])
+    assert s._union(q, np.array([0])).tolist() == list(range(200))
+    pos, score = s.search(-1, q, 5, 2000)
+    assert pos.tolist() == [199, 198, 197, 196, 195] and score.tolist() == [2990, 2980, 2970, 2960, 2950]
+    assert len(s.search(-1, q, 5, 10**6)[0]) == 0
+
+
+def test_walk_over_shards_equals_one_product(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(topk, "SHARD", 100)
+    monkeypatch.setattr(topk, "FIRST", 30)
+    for scale in (10, 10**5, 10**8):  # float32, float64 and integers
+        v = np.floor(scale * rng.normal(size=(700, 12))).astype(np.int64)
+        v[50] = v[300] = v[600]
+        q = v[::50]
+        score, vec = topk._walk(np.arange(700), np.arange(700)[::-1].copy(), v, np.arange(700)[::50], q, 5)
+        for i, full in enumerate(q @ v.T):
+            ids = np.arange(700)[::-1]
+            want = [j for j in np.lexsort((ids, -full)) if j != 50 * i][:5]
+            assert vec[i].tolist() == ids[want].tolist() and score[i].tolist() == full[want].tolist()
+
+
+def test_top_k_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=3000)]) for i in range(60)] + [(60, [1.0]), (100, [200.0] * 3000)]
+    assert ask(spark, rows) == brute(rows)
+
+
+def test_mix_of_very_long_texts(spark, docs):
+    d = docs([(1, "w " * 300_000, "en", "a"), (2, "w " * 10, "en", "b"), (3, "  \n", "en", "b")])
+    got = {r.doc_id: r for r in mixing.mix(d).collect()}
+    assert got[1]["size"] == 300_000 and got[3].taken == 0 and got[2].taken <= 30 and abs(got[1].taken - got[1].target) < 1
+
+
 def test_mix_matches_sql(spark, docs):
     for rows in ([(i, "w " * (i % 7), "en", f"s{i % 5}" if i % 11 else None) for i in range(60)] + [(3, "a b", "en", "s1"), (3, "a b", "en", "s1"), (None, "z", "en", "s0"), (99, None, "en", "S"), (98, "", "en", "é")], []):
         d = docs(rows)
