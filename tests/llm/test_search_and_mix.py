@@ -77,7 +77,7 @@ def test_walk_over_shards_equals_one_product(monkeypatch):
 
 def test_top_k_long_vectors(spark):
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=3000)]) for i in range(60)] + [(60, [1.0]), (100, [200.0] * 3000)]
+    rows = [(i, [float(x) for x in rng.normal(size=3000).astype(np.float32)]) for i in range(60)] + [(60, [1.0]), (100, [200.0] * 3000)]
     assert ask(spark, rows) == brute(rows)
 
 
