@@ -1,12 +1,17 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat text blocks.  A block's features are its words and link
-density, those of its neighbours, and what it stands in.  A small labelled table
-trains a decision tree (CART, Gini); blocks that it calls content are joined.
+density, those of its neighbours, the share of the page's prose that stands in its
+container, what kind of element it is, and, as further evidence, its region and how
+far class names hint at boilerplate.  A decision tree (CART, Gini) trained on the
+blocks of some labelled pages (`html_pages`) decides; blocks that it calls content
+are joined.
 
 Defined results: null or empty html gives an empty text; markup that is cut off
 ends the page; character references are decoded, those cut off stay as they are;
-rows are returned one for one, repeated rows too; extra columns are ignored.
+rows are returned one for one, repeated rows too; pages of any length are read
+whole; other columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -14,66 +19,107 @@ from __future__ import annotations
 import functools
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from chronolake.llm import html_pages
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_WORD = re.compile(r"[^\W_]\S*")  # what holds a letter or a digit
 _NAME = re.compile(r"[a-z0-9]+")
 
-# Element and class names of HTML.
+# Element, role and class names of HTML.
 RAW = frozenset("script style title textarea noscript iframe template svg math object select option button canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-KEPT = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header head main menu nav ol p search section span table td th tr ul li".split())
-DROP = frozenset("nav footer aside form head dialog menu search fieldset".split())
+PROSE = frozenset("p pre li dd dt td th caption figcaption summary blockquote h1 h2 h3 h4 h5 h6".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+KEPT = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header head main menu nav ol search section span table tr ul".split()) | PROSE
+OUTSIDE = frozenset("nav footer aside head dialog menu search".split())  # never the article, whatever is inside
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer masthead topbar related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond "
-    "pagination pager widget toolbar search skip hidden paywall".split()
+    "ad adv advert advertisement advertising sponsor sponsored promo promotion banner cookie consent gdpr notice alert popup modal overlay "
+    "newsletter subscribe subscription signup login sidebar sidenav menu nav navbar navigation breadcrumb footer masthead topbar related "
+    "recommended recommendation share sharing social pagination pager widget toolbar search skip hidden paywall".split()
+)
+READERS = frozenset("comment commentlist disqus reply replies respond".split())
+PLAIN = frozenset(
+    "area bar block bottom box button center column container content group inner item left link list main module outer page panel post right row "
+    "section site slot story title top unit wrap wrapper".split()
 )
 
+PLAIN_REGION, ARTICLE, BOILERPLATE = 0, 1, 2
+
+
+def hint(value: str, in_article: bool) -> int:
+    """How far class names or an id hint at boilerplate: 3 readers' comments, 2 a name of such words alone, 1 such a word beside others, 0 none."""
+    level = 0
+    for name in value.lower().split():
+        parts = [w[:-1] if w.endswith("s") and w[:-1] in HINTS | READERS | PLAIN else w for w in _NAME.findall(name)]
+        told = [w for w in parts if w in HINTS or w in READERS or w == "header" and not in_article]
+        if told:
+            alone = all(w in told or w in PLAIN or w.isdigit() for w in parts)
+            level = max(level, 1 if not alone else 3 if READERS.intersection(told) else 2)
+    return level
 
-def _context(name: str, attrs: str, inside_article: bool) -> int:
-    """1: starts boilerplate, 2: starts the article, 0: neither."""
-    bad = name in DROP or name == "header" and not inside_article
+
+def _region(name: str, attrs: str, now: tuple[int, bool]) -> tuple[tuple[int, bool], int]:
+    """((region, whether for good), hint) inside an element that opens in region `now`."""
+    region, fixed = now
+    told = 0
+    if name in OUTSIDE or name == "header" and region != ARTICLE:
+        region, fixed = BOILERPLATE, True
+    elif name in ("form", "fieldset"):
+        region = BOILERPLATE  # some sites put the whole page into a form: an article inside is one
+    elif name in ("article", "main") and not fixed:
+        region = ARTICLE
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id"):
-                words = set(_NAME.findall(value))
-                bad |= bool(words & HINTS) or "header" in words and not inside_article
-            elif key == "role":
-                bad |= value in ROLES
-                if value in ("main", "article") and not bad:
-                    return 2
-            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                bad = True
-    return 1 if bad else 2 if name in ("article", "main") else 0
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, in boilerplate, in the article) of the flat blocks, in page order."""
-    out: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, int, int]] = []  # name, boilerplate, article
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if key in ("class", "id") and name not in ("body", "html"):
+                told = max(told, hint(value, region == ARTICLE))
+            elif key == "role" and value.lower() in ROLES:
+                region, fixed = BOILERPLATE, True
+            elif key == "role" and value.lower() in ("main", "article") and not fixed:
+                region = ARTICLE
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.lower().replace(" ", ""):
+                region, fixed = BOILERPLATE, True
+    return (region, fixed), told
+
+
+class Block(NamedTuple):
+    text: str
+    words: int
+    linked: int  # words in links
+    region: int
+    hint: int
+    kind: int  # 0 bare text, 1 a paragraph, list item, cell, ..., 2 a heading
+    container: int
+
+
+def blocks(page: str) -> list[Block]:
+    """The flat text blocks in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, tuple[int, bool], int, int, int]] = [("", (PLAIN_REGION, False), 0, 0, 0)]  # name, region, hint, kind, container
     parts: list[tuple[str, bool]] = []
-    at, link, bad, art = 0, 0, 0, 0
+    at, link, made = 0, 0, 0
 
     def flush() -> None:
-        text = "".join(t for t, _ in parts)
-        words = text.split()
-        if words:
-            linked = sum(len(t.split()) for t, a in parts if a)
-            out.append((" ".join(words), len(words), min(linked, len(words)), bad, art))
+        text = " ".join("".join(t for t, _ in parts).split())
+        if text:
+            words = len(_WORD.findall(text))
+            linked = sum(len(_WORD.findall(t)) for t, a in parts if a)
+            _, region, told, kind, container = stack[-1]
+            out.append(Block(text, words, min(linked, words), region[0], told, kind, container))
         parts.clear()
 
     n = len(page)
@@ -101,7 +147,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if name not in KEPT:
             continue
         if close:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     flush()
                     del stack[i:]
@@ -109,71 +155,97 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         elif not attrs.endswith("/"):
             if name in BLOCK:
                 link = 0
-                if stack and stack[-1][0] == "p":
+                if stack[-1][0] == "p" or stack[-1][0] in HEADING and name in HEADING:
                     stack.pop()
-            now_bad, now_art = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
-            kind = _context(name, attrs, bool(now_art))
-            if kind:
+            _, region, told, kind, container = stack[-1]
+            inside, own = _region(name, attrs, region)
+            if inside != region or own > told:
                 flush()
-            if kind == 2 and not now_art:
-                now_bad, now_art = 0, 1
-            elif kind == 1:
-                now_bad = 1
-            if name == "body":
-                now_bad = 0
-            stack.append((name, now_bad, now_art))
-        bad, art = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+            if name not in PROSE and name in BLOCK:
+                made += 1
+                container = made
+                kind = 0
+            elif name in PROSE:
+                kind = 2 if name in HEADING else 1
+            stack.append((name, inside, max(told, own), kind, container))
     flush()
     return out
 
 
 # ------------------------------------------------------------ decision tree
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boilerplate", "place")
-
-#: Labelled blocks.  place: 2 in the article, 1 on a page without one, 0 outside the article.
-#: words, links, words before, links before, words after, links after, boilerplate, place, content
-LABELLED = (
-    (60, 0.0, 8, 0.0, 45, 0.1, 0, 2, 1), (8, 0.0, 0, 0.0, 60, 0.0, 0, 2, 1), (1, 0.0, 40, 0.0, 50, 0.0, 0, 2, 1), (120, 0.05, 60, 0.0, 80, 0.0, 0, 2, 1),
-    (30, 0.2, 90, 0.0, 12, 1.0, 0, 2, 1), (3, 0.0, 80, 0.0, 70, 0.0, 0, 2, 1), (15, 0.0, 2, 1.0, 6, 0.0, 0, 2, 1), (200, 0.0, 10, 0.0, 5, 0.6, 0, 2, 1),
-    (2, 0.0, 1, 1.0, 1, 0.0, 0, 2, 1), (6, 0.5, 70, 0.0, 66, 0.0, 0, 2, 1), (45, 0.0, 0, 0.0, 0, 0.0, 0, 2, 1), (1, 1.0, 50, 0.0, 40, 0.0, 0, 2, 1),
-    (9, 0.0, 6, 0.0, 0, 0.0, 0, 2, 1), (75, 0.3, 14, 0.0, 90, 0.0, 0, 2, 1), (4, 0.0, 4, 0.0, 4, 0.0, 0, 2, 1), (18, 0.1, 3, 0.0, 33, 0.0, 0, 2, 1),
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (12, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0), (25, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0),
-    (40, 0.1, 60, 0.0, 3, 0.0, 1, 0, 0), (5, 0.0, 90, 0.0, 0, 0.0, 1, 0, 0), (14, 0.0, 30, 0.0, 45, 0.0, 1, 2, 0), (50, 0.0, 70, 0.0, 60, 0.0, 1, 2, 0),
-    (3, 0.7, 60, 0.0, 2, 1.0, 1, 2, 0), (110, 0.0, 40, 0.0, 12, 0.0, 1, 2, 0), (7, 0.0, 0, 0.0, 15, 0.0, 1, 1, 0), (60, 0.0, 20, 0.0, 70, 0.0, 1, 1, 0),
-    (2, 1.0, 3, 1.0, 2, 1.0, 1, 1, 0), (33, 0.2, 6, 0.0, 1, 1.0, 1, 1, 0), (90, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0), (1, 0.0, 1, 0.0, 1, 0.0, 1, 1, 0),
-    (4, 0.0, 6, 1.0, 9, 0.0, 0, 0, 0), (20, 0.0, 50, 0.0, 3, 1.0, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (35, 0.3, 4, 0.0, 40, 0.0, 0, 0, 0),
-    (70, 0.0, 66, 0.0, 10, 0.5, 0, 0, 0), (9, 0.8, 0, 0.0, 8, 0.9, 0, 0, 0), (1, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0), (16, 0.0, 12, 0.0, 2, 0.0, 0, 0, 0),
-    (50, 0.0, 7, 0.0, 60, 0.0, 0, 1, 1), (85, 0.1, 50, 0.0, 70, 0.0, 0, 1, 1), (22, 0.0, 60, 0.0, 44, 0.1, 0, 1, 1), (130, 0.0, 1, 1.0, 2, 1.0, 0, 1, 1),
-    (16, 0.0, 40, 0.0, 3, 0.5, 0, 1, 1), (7, 0.0, 0, 0.0, 55, 0.0, 0, 1, 1), (6, 0.0, 70, 0.0, 90, 0.0, 0, 1, 1), (40, 0.25, 35, 0.0, 0, 0.0, 0, 1, 1),
-    (12, 0.0, 25, 0.0, 30, 0.0, 0, 1, 1), (28, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (9, 0.0, 2, 1.0, 48, 0.0, 0, 1, 1), (65, 0.2, 3, 0.0, 4, 1.0, 0, 1, 1),
-    (2, 1.0, 1, 1.0, 3, 1.0, 0, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (8, 0.9, 60, 0.0, 9, 1.0, 0, 1, 0), (20, 0.8, 5, 1.0, 40, 0.0, 0, 1, 0),
-    (15, 0.7, 10, 0.8, 12, 0.9, 0, 1, 0), (30, 0.6, 4, 1.0, 8, 0.9, 0, 1, 0), (5, 0.6, 55, 0.0, 60, 0.0, 0, 1, 0), (3, 1.0, 80, 0.0, 0, 0.0, 0, 1, 0),
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "weight", "prose", "kind", "region", "hint", "place",
 )
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def features(found: list[Block]) -> list[tuple]:
+    """A row of FEATURES for each block.
+
+    weight: unlinked words in the block's container, against the heaviest container of the page; prose: share of the
+    page's unlinked words, without boilerplate regions, that stand in paragraphs and the like; place: 2 in the
+    article, 1 on a page without one, 0 outside it.
+    """
+    has = any(b.region == ARTICLE and b.words for b in found)
+    dens = [(b.words, b.linked / b.words if b.words else 0.0) for b in found]
+    heavy: dict[int, int] = {}
+    prose = rest = 0
+    for b in found:
+        free = b.words - b.linked
+        heavy[b.container] = heavy.get(b.container, 0) + free
+        if b.region != BOILERPLATE:
+            prose, rest = prose + free * (b.kind == 1), rest + free * (b.kind == 0)
+    most = max(1, max(heavy.values(), default=1))
+    share = prose / max(1, prose + rest)
+    edge = (0, 0.0)
+    rows = []
+    for i, b in enumerate(found):
+        before, after = dens[i - 1] if i else edge, dens[i + 1] if i + 1 < len(found) else edge
+        place = 2 if b.region == ARTICLE else 0 if has else 1
+        rows.append((*dens[i], *before, *after, heavy[b.container] / most, share, b.kind, b.region, b.hint, place))
+    return rows
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, leaf: int = 2) -> tuple:
     """A tree as nested tuples: (label,) or (feature, cut, at most the cut, above it)."""
-    if depth == 0 or len(set(y.tolist())) == 1:
+    if depth == 0 or y.min() == y.max():
         return (int(2 * y.sum() >= len(y)),)
     best = None
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for cut in (values[:-1] + values[1:]) / 2:
-            low = x[:, f] <= cut
-            gini = sum(len(p) * (1 - p.mean() ** 2 - (1 - p.mean()) ** 2) for p in (y[low], y[~low]))
-            if best is None or gini < best[0] - 1e-12:
-                best = (gini, f, float(cut), low)
+        order = np.argsort(x[:, f], kind="stable")
+        v, up = x[order, f], np.cumsum(y[order])
+        n = np.arange(1, len(y) + 1)
+        at = np.flatnonzero(v[1:] > v[:-1])
+        at = at[(n[at] >= leaf) & (len(y) - n[at] >= leaf)]
+        if not len(at):
+            continue
+        low, high = n[at], len(y) - n[at]
+        a, b = up[at], up[-1] - up[at]
+        gini = 2 * a * (low - a) / low + 2 * b * (high - b) / high
+        k = int(np.argmin(gini))
+        if best is None or gini[k] < best[0] - 1e-12:
+            best = (gini[k], f, float(v[at[k]] + v[at[k] + 1]) / 2)
     if best is None:
         return (int(2 * y.sum() >= len(y)),)
-    _, f, cut, low = best
-    return (f, cut, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    _, f, cut = best
+    low = x[:, f] <= cut
+    return (f, cut, grow(x[low], y[low], depth - 1, leaf), grow(x[~low], y[~low], depth - 1, leaf))
+
+
+def examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows and labels of labelled pages: a block's text begins with + (content) or - (boilerplate)."""
+    x, y = [], []
+    for page in pages:
+        found = blocks(page)
+        bare = [b._replace(text=b.text[1:]) for b in found]
+        x += features(bare)
+        y += [int(b.text[0] == "+") for b in found]
+    return np.array(x, float), np.array(y)
 
 
 @functools.cache
 def tree() -> tuple:
-    t = np.array(LABELLED, float)
-    return grow(t[:, :-1], t[:, -1].astype(int))
+    return grow(*examples(html_pages.labelled()))
 
 
 def decide(node: tuple, row: tuple) -> int:
@@ -182,31 +254,22 @@ def decide(node: tuple, row: tuple) -> int:
     return node[0]
 
 
-def features(found: list[tuple[str, int, int, int, int]]) -> list[tuple]:
-    has = any(art and not bad for *_, bad, art in found)
-    dens = [(w, a / w) for _, w, a, _, _ in found]
-    edge = (0, 0.0)
-    rows = []
-    for i, (_, _, _, bad, art) in enumerate(found):
-        before, after = dens[i - 1] if i else edge, dens[i + 1] if i + 1 < len(found) else edge
-        rows.append((*dens[i], *before, *after, bad, 2 if art else 0 if has else 1))
-    return rows
-
-
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, t: tuple | None = None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    t = tree()
-    return " ".join(b[0] for b, row in zip(found, features(found), strict=True) if decide(t, row))
+    t = t or tree()
+    return " ".join(b.text for b, row in zip(found, features(found), strict=True) if decide(t, row))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages`."""
 
+    grown = tree()  # on the driver, once
+
     def each(batches):
         for batch in batches:
-            texts = [main_text(p) for p in batch.column(2).to_pylist()]
+            texts = [main_text(p, grown) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
