@@ -56,4 +56,8 @@ def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op2_ordinal_quality, op3_mix_sources, op4_language_gru, op5_toxicity_fm, op6_jaccard_join, op7_secret_scan, op8_latent_leaks, op9_suffix_tree, op10_html_blocks)}
 
-ORACLE = {"op1_maxscore_topk": topk.TOPK_SQL, "op3_mix_sources": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL})"}
+ORACLE = {
+    "op1_maxscore_topk": topk.TOPK_SQL,
+    "op3_mix_sources": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL})",
+    "op7_secret_scan": secrets.SECRETS_SQL,
+}

@@ -3,13 +3,15 @@
 All rules are regular expressions over bytes.  They are parsed to one
 nondeterministic automaton, turned into a deterministic one by subset
 construction over byte classes and minimised by partition refinement; the
-result is a transition array.  One pass over the bytes of a text runs all
-rules at once and reports, per rule, where a match becomes certain (its
-trigger).  Spans are read off around the triggers.
+result is a transition array.  One pass over the bytes of a text runs all rules
+at once.  A state says, per rule, whether a match becomes certain here (its
+trigger) and whether a match goes on here (its body), so that spans' ends are read
+off the states; their starts come from the rules' mirrored automata, run back from
+the triggers.  No other matcher is used.
 
 Defined results: null text counts as empty and has no spans; rows are returned
-one for one, repeated rows too; other columns are ignored; an empty table gives
-an empty result.  A text that can't hold a match isn't looked at twice.
+one for one, repeated rows too; texts of any length are scanned whole; other columns
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -174,100 +176,108 @@ RULES: tuple[Rule, ...] = (
 BASE = ("assign", "access", "hex")
 
 
+@dataclass(frozen=True)
+class Tables:
+    """Transition arrays: of all rules, and of each rule's mirror image."""
+
+    step: np.ndarray
+    classes: np.ndarray
+    accept: np.ndarray  # by state: bit i where rule i becomes certain, bit len(RULES) + i where its body goes on
+    back: tuple[tuple[list, list, list], ...]
+
+
+def mirrored(t: tuple) -> tuple:
+    """The tree of the same texts read backwards."""
+    if t[0] == "cat":
+        return ("cat", [mirrored(x) for x in reversed(t[1])])
+    if t[0] == "alt":
+        return ("alt", [mirrored(x) for x in t[1]])
+    return t if t[0] == "set" else (t[0], mirrored(t[1]), *t[2:])
+
+
 @functools.cache
-def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(step, byte classes, rules by state) of all RULES, unanchored on the left."""
+def automaton() -> Tables:
     nfa = Nfa()
     start = nfa.new()
-    nfa.moves[start].append((ALL, start))
-    finals = {}
+    nfa.moves[start].append((ALL, start))  # a match may begin anywhere
+    finals, back = {}, []
     for i, rule in enumerate(RULES):
-        finals[nfa.build(rule.tree, nfa._from(start))] = i
+        certain = nfa.build(rule.tree, nfa._from(start))
+        finals[certain] = i
+        if rule.body:
+            on = nfa.new()
+            nfa.moves[certain].append((_chars(rule.body), on))
+            nfa.moves[on].append((_chars(rule.body), on))
+            finals[on] = len(RULES) + i
+        mirror = Nfa()
+        first = mirror.new()
+        step, classes, accept = subset(mirror, first, {mirror.build(mirrored(rule.tree), first): 0})
+        step, accept = minimise(step, accept)
+        back.append((step.tolist(), classes.tolist(), accept.tolist()))
     step, classes, accept = subset(nfa, start, finals)
     step, accept = minimise(step, accept)
-    return step, classes, accept
-
-
-_AHEAD = {r.name: re.compile(f"[{r.body}]*".encode()) if r.body else None for r in RULES}
-_BACK = re.compile(rb"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?\Z""")
-_KEYED = re.compile(rb"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-
-
-def _assign_start(text: bytes, at: int) -> int:
-    """Start of the key word whose value begins at `at`."""
-    i = at
-    if i and text[i - 1 : i] in (b'"', b"'"):
-        i -= 1
-    while i and text[i - 1] == 32:
-        i -= 1
-    i -= 1  # the separator
-    while i and text[i - 1] == 32:
-        i -= 1
-    if i and text[i - 1 : i] in (b'"', b"'"):
-        i -= 1
-    tail = text[max(0, i - 8) : i].lower()
-    return i - max(len(w) for w in WORDS if tail.endswith(w.encode()))
+    return Tables(step, classes, accept, tuple(back))
+
+
+def _begin(mirror: tuple[list, list, list], text: bytes, end: int) -> int:
+    """Where the longest match of a mirrored rule that is read back from `end` begins."""
+    step, classes, accept = mirror
+    state, found, at = 0, end, end
+    while at:
+        at -= 1
+        now = step[state][classes[text[at]]]
+        if accept[now]:
+            found = at
+        elif now == state and len(set(step[now])) == 1:  # no way on
+            break
+        state = now
+    return found
 
 
-def spans(text: bytes, marks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, rule) in bytes, from triggers (end of trigger, rules) in text order.
+def spans(tables: Tables, text: bytes, at: np.ndarray, bits: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, rule) in bytes, from the bytes whose states say something and what they say.
 
     Matches of one rule don't overlap, the leftmost goes first, and a match that is
     too short still takes its characters, as a regular expression search would have it.
     """
-    out, free = [], [0] * len(RULES)
-    for end, bits in marks:
-        for i, rule in enumerate(RULES):
-            if not bits >> i & 1 or end <= free[i]:
+    out = []
+    for i, rule in enumerate(RULES):
+        own = np.flatnonzero(bits & (1 << i | 1 << len(RULES) + i))
+        if not len(own):
+            continue
+        place, certain = at[own], bits[own] >> i & 1
+        last = np.append(np.flatnonzero(np.diff(place) > 1), len(place) - 1)  # where each run of a body ends
+        stop = place[last] + 1
+        run = np.searchsorted(place[last], place)
+        free = 0
+        for j in np.flatnonzero(certain):
+            if place[j] < free:
                 continue
-            if rule.name == "assign":
-                start = _assign_start(text, end - 1)
-                if start < free[i] or not (m := _KEYED.match(text, start)):  # the exact check
-                    continue
-                free[i] = m.end()
-                if m.end(2) - m.start(2) >= rule.least:
-                    out.append((start, m.end(), i))
+            start = _begin(tables.back[i], text, int(place[j]) + 1)
+            if start < free:
                 continue
-            stop = _AHEAD[rule.name].match(text, end).end() if _AHEAD[rule.name] else end
-            start = _first(text, end, rule, free[i])
-            free[i] = stop
-            if stop - start >= rule.least:
-                out.append((start, stop, i))
+            free = int(stop[run[j]]) if rule.body else int(place[j]) + 1
+            if free - (int(place[j]) if rule.name == "assign" else start) >= rule.least:
+                out.append((start, free, i))
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-def _first(text: bytes, end: int, rule: Rule, free: int) -> int:
-    """Leftmost start, not before `free`, of the match whose trigger ends at `end`."""
-    if rule.name == "private":
-        return text.rfind(b"-----BEGIN ", free, end)
-    if rule.name == "hex":
-        return end - 16
-    lead = {"access": 5, "hosted": 5, "chat": 6, "jwt": 4}[rule.name]
-    return end - lead
-
-
-def scan(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray, list[tuple[int, int, int]]]]:
+def scan(tables: Tables, texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray, list[tuple[int, int, int]]]]:
     """(row, bytes, code points before each byte, spans) of the rows that have spans."""
-    step, classes, accept = automaton()
     for s in bk.slices(texts):
         rows = s.hi - s.lo
-        gap = np.arange(rows + 1)  # a line break after each row: no rule goes over it
-        raw = np.full(len(s.raw) + rows, 10, np.uint8)
+        raw = np.full(len(s.raw) + rows, 10, np.uint8)  # a line break after each row: no rule goes over it
         row_of = np.repeat(np.arange(rows), np.diff(s.offs))
         raw[np.arange(len(s.raw)) + row_of] = s.raw
-        offs = s.offs + gap
-        state = bk.run(step, classes, raw)
-        hit = np.flatnonzero(accept[state])
-        if not len(hit):
-            continue
-        of = np.searchsorted(offs, hit, "right") - 1
-        bits = accept[state[hit]]
-        for r in np.unique(of):
-            own = of == r
+        offs = s.offs + np.arange(rows + 1)
+        told = tables.accept[bk.run(tables.step, tables.classes, raw)]
+        hit = np.flatnonzero(told)
+        edge = np.searchsorted(hit, offs)
+        for r in np.flatnonzero(np.diff(edge)):
             a = int(offs[r])
             text = raw[a : int(offs[r + 1]) - 1].tobytes()
-            marks = [(int(p) - a + 1, int(b)) for p, b in zip(hit[own], bits[own], strict=True)]
-            if found := spans(text, marks):
+            own = hit[edge[r] : edge[r + 1]]
+            if found := spans(tables, text, own - a, told[own]):
                 yield s.lo + int(r), text, bk.char_at(np.frombuffer(text, np.uint8)), found
 
 
@@ -278,13 +288,14 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: counts of the base kinds, their digest, and all spans in code points."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    tables = automaton()  # some hundred kilobytes, made once on the driver
 
     def each(batches):
         for batch in batches:
             n = batch.num_rows
             count = {k: np.zeros(n, np.int64) for k in BASE}
             base, every = [""] * n, [""] * n
-            for row, _, at, found in scan(batch.column(1)):
+            for row, _, at, found in scan(tables, batch.column(1)):
                 named = [(RULES[i].name, int(at[a]), int(at[b])) for a, b, i in found]
                 own = [x for x in named if x[0] in BASE]
                 for k, _, _ in own:
@@ -300,12 +311,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", length_col: str | None = "n_chars") -> DataFrame:
     """`docs` with every span replaced by `mark` (overlapping spans together); `length_col` follows the new text."""
+    tables = automaton()
 
     def each(batches):
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
             new: dict[int, str] = {}
-            for row, text, _, found in scan(batch.column(k)):
+            for row, text, _, found in scan(tables, batch.column(k)):
                 parts, at = [], 0
                 for a, b, _ in found:
                     if a >= at:
@@ -328,3 +340,35 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", leng
             yield batch
 
     return docs.mapInArrow(each, docs.schema)
+
+
+def _sql(rule: Rule) -> tuple[str, str]:
+    """The rule as a regular expression, and the group whose length counts."""
+    either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    if rule.name == "assign":
+        return "(?:" + "|".join(map(either, WORDS)) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "1"
+    return {
+        "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{16,}", "hosted": "gh[pousr]_[A-Za-z0-9]+", "chat": "xox[abprs]-[A-Za-z0-9-]+",
+        "jwt": "eyJ[A-Za-z0-9_-][A-Za-z0-9_.-]*", "private": "-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    }[rule.name], "0"
+
+
+def _matches(k: int, rule: Rule) -> str:
+    pattern, group = _sql(rule)
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT rid, {k} AS k, '{rule.name}' AS name, m, length(g) >= {rule.least} AS holds,
+  CAST(sum(length(p)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a
+FROM (SELECT rid, unnest(m) AS m, unnest(g) AS g, unnest(p[1:len(m)]) AS p, generate_subscripts(m, 1) AS i FROM (
+  SELECT rid, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}')))
+WINDOW w AS (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING)"""
+
+
+#: Every rule's matches by a regular expression search; their places from the lengths of what lies between them.
+SECRETS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_matches(k, r) for k, r in enumerate(RULES))}),
+s AS (SELECT rid, k, name || ':' || a || ':' || (a + length(m)) AS span, a FROM f WHERE holds)
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN s USING (rid) GROUP BY rid, doc_id
+"""

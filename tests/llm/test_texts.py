@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -48,8 +49,23 @@ def test_secrets_against_regexes(spark, docs):
 
 
 def test_minimised_automaton():
-    step, classes, accept = secrets.automaton()
-    assert len(step) < 1000 and step.max() < len(step) and accept[0] == 0
+    t = secrets.automaton()
+    assert len(t.step) < 4000 and t.step.max() < len(t.step) and t.accept[0] == 0
+
+
+def test_secrets_against_sql(spark, docs):
+    """All rules, also the method's own, against regular expression searches in SQL."""
+    rng = random.Random(13)
+    bits = ["Passwd", "token", "api_key", "API", "=", ":", " ", "'", "AKIA", "K7" * 8, "0123456789abcdef", "ghp_", "a1" * 17, "xoxb-", "1-2" * 5, "eyJ", "eyJh.", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "é", "\n", "zz"]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randint(0, 14)))) for i in range(3000)] + [(5000, None), (5001, ""), (5001, ""), (None, "token=abcdefghijklmnop"), (5002, "-----BEGIN " + " " * 3000 + "PRIVATE KEY----- token" + " " * 5000 + "= abcdefghijkl")]
+    d = docs(rows)
+    con = duckdb.connect()
+    con.register("documents", d.toArrow())
+    cols = "doc_id, n_assign, n_access, n_hex, base_sha256, spans"
+    want = con.sql(f"SELECT {cols} FROM ({secrets.SECRETS_SQL})").fetchall()
+    got = secrets.find_secrets(d).select(*cols.split(", ")).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    assert all(any(f"{r.name}:" in w[-1] for w in want) for r in secrets.RULES)
 
 
 def words(t):
