@@ -189,6 +189,78 @@ def test_leaks_of_items_that_a_third_of_the_rows_hold(spark, docs):
     assert {r.doc_id for r in leaks.drop_leaks(docs(rows), bench).collect()} == {1000 + i for i in range(50)}
 
 
+def leaks_by_brute_force(rows, items, match=0.7, near=0.5, answers=0.6):
+    """Every window of every row against every item: a plain table of common subsequences, then the answer check."""
+    terms = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    docs = [(i, terms(t)) for i, t in rows]
+    df = collections.Counter(w for _, d in docs for w in set(d))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    out = set()
+    for k, text in items:
+        part = terms(text)
+        own = sorted(set(part), key=lambda w: df[w])
+        rare = own[: max(1, min(8, len(own) // 3))]
+        for i, d in docs:
+            if (i, k) in out:
+                continue
+            for at in range(0, max(1, len(d)), 16):
+                if at and at + 32 > len(d):
+                    break
+                window = d[max(0, at - 16) : at + 80]
+                if len(set(part) & set(window)) < 0.4 * len(set(part)):
+                    continue  # can't reach half of the words
+                share = common(part, window) / len(part)
+                if share >= match or share >= near and sum(w in window for w in rare) >= answers * len(rare):
+                    out.add((i, k))
+                    break
+    return out
+
+
+def test_leaks_against_brute_force(spark, docs):
+    """Recall and precision against all windows and all items: copies, paraphrases of several strengths, mere topics, very long texts."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(1500)]
+    common = vocab[:40]
+    pick = lambda n: [rng.choice(common) if rng.random() < 0.3 else rng.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(pick(rng.choice([25, 40, 48])))) for i in range(25)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        for loss in (0.0, 0.1, 0.2, 0.3, 0.45, 0.6):
+            own = [x if rng.random() > loss / 2 else rng.choice(vocab) for x in w if rng.random() > loss / 2]
+            rows.append((len(rows), " ".join(pick(rng.randint(0, 120)) + own + pick(rng.randint(0, 90)))))
+        rows.append((len(rows), " ".join(rng.sample(w, len(w)) + pick(60))))  # its words, not its text
+    rows += [(1000 + i, " ".join(pick(150))) for i in range(40)] + [(2000, " ".join(pick(30_000) + items[3][1].split() + pick(500))), (2001, None), (2002, ""), (2003, " ".join(pick(3)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = leaks_by_brute_force(rows, items)
+    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs(rows), bench).collect()}
+    assert len(want) > 80 and (2000, 3) in got
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
+    gone = {i for i, _ in got}
+    assert {r.doc_id for r in leaks.drop_leaks(docs(rows), bench).collect()} == {i for i, _ in rows} - gone
+
+
+def test_leaks_in_blocks_of_items(spark, docs, monkeypatch):
+    """Many blocks, one after the other, find what one block finds."""
+    rng = random.Random(22)
+    vocab = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
+    items = [(i, " ".join(rng.choices(vocab, k=40))) for i in range(12)]
+    rows = [(i, " ".join([*rng.choices(vocab, k=50), t, *rng.choices(vocab, k=20)])) for i, t in items] + [(50 + i, " ".join(rng.choices(vocab, k=80))) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(leaks, "ITEMS", 5)
+    assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(docs(rows), bench).collect()) == [(i, i) for i in range(12)]
+    assert sorted(r.doc_id for r in leaks.drop_leaks(docs(rows), bench).collect()) == list(range(50, 80))
+    assert leaks.find_leaks(docs([]), bench).count() == 0 and leaks.drop_leaks(docs([]), bench).count() == 0
+
+
 @pytest.mark.parametrize(("a", "b"), [("abcbdab", "bdcaba"), ("", "x"), ("aaaa", "aa"), ("xyz", "abc")])
 def test_common_subsequence(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), int)
