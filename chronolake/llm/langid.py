@@ -48,25 +48,36 @@ class BiGru:
 
     def states(self, x: np.ndarray) -> np.ndarray:
         """Hidden states [time, window, 2 * HIDDEN] of byte windows x [time, window]."""
-        h_all = np.empty((*x.shape, 2 * HIDDEN), np.float32)
+        big_t, n = x.shape
+        h_all = np.empty((big_t, n, 2 * HIDDEN), np.float32)
+        g, a, b = np.empty((n, 3 * HIDDEN), np.float32), np.empty((n, 2 * HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+        half = np.array([0.5] * (2 * HIDDEN) + [1.0] * HIDDEN, np.float32)  # sigmoid(z) is tanh(z / 2) / 2 + 1 / 2
         for d, table in enumerate(self.tables()):
-            u, un = self.p[f"u{d}"], self.p[f"un{d}"]
-            h = np.zeros((x.shape[1], HIDDEN), np.float32)
-            for t in range(x.shape[0]) if d == 0 else range(x.shape[0] - 1, -1, -1):
-                g = table[x[t]]
-                zr = _sig(g[:, : 2 * HIDDEN] + h @ u)
-                n = np.tanh(g[:, 2 * HIDDEN :] + (zr[:, HIDDEN:] * h) @ un)
-                h = n + zr[:, :HIDDEN] * (h - n)
+            table, u, un = table * half, 0.5 * self.p[f"u{d}"], self.p[f"un{d}"]
+            h = np.zeros((n, HIDDEN), np.float32)
+            for t in range(big_t) if d == 0 else range(big_t - 1, -1, -1):
+                np.take(table, x[t], axis=0, out=g, mode="clip")
+                np.matmul(h, u, out=a)
+                a += g[:, : 2 * HIDDEN]
+                np.tanh(a, out=a)
+                a *= 0.5
+                a += 0.5
+                np.matmul(a[:, HIDDEN:] * h, un, out=b)
+                b += g[:, 2 * HIDDEN :]
+                np.tanh(b, out=b)
+                h -= b
+                h *= a[:, :HIDDEN]
+                h += b
                 h_all[t, :, d * HIDDEN : (d + 1) * HIDDEN] = h
         return h_all
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """Distribution over the languages at every position."""
-        z = self.states(x).reshape(-1, 2 * HIDDEN) @ self.p["o"] + self.p["ob"]
-        z -= z.max(1, keepdims=True)
+        """Distribution over the languages at every position: [language, time, window]."""
+        z = self.p["o"].T @ self.states(x).reshape(-1, 2 * HIDDEN).T + self.p["ob"][:, None]
+        z -= z.max(0)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        return z.reshape(*x.shape, -1)
+        z /= z.sum(0)
+        return z.reshape(-1, *x.shape)
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(best language or -1, score) by document; windows are read PIECE at a time, so a long text needs no more memory."""
@@ -79,9 +90,9 @@ class BiGru:
             begin, end, of = window_bounds(s.offs)
             for a in range(0, len(of), PIECE):
                 x = cut(s.raw, begin[a : a + PIECE], end[a : a + PIECE])
-                by = (self.positions(x) * letter[x][:, :, None]).sum(0)
+                by = np.einsum("ktn,tn->kn", self.positions(x), letter[x].astype(np.float32))
                 for j in range(k):
-                    total[s.lo : s.hi, j] += np.bincount(of[a : a + PIECE], weights=by[:, j], minlength=s.hi - s.lo)
+                    total[s.lo : s.hi, j] += np.bincount(of[a : a + PIECE], weights=by[j], minlength=s.hi - s.lo)
         mass = total.sum(1)
         best = np.where(mass > 0, total.argmax(1), -1)
         return best, np.where(mass > 0, total.max(1, initial=0) / np.maximum(mass, 1e-9), 0.0)
