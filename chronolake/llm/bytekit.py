@@ -185,3 +185,14 @@ def run(step: np.ndarray, cls: np.ndarray, raw: np.ndarray, lane: int = 512) ->
         todo = np.flatnonzero(nxt != guess)
         guess = nxt
     return (out.T.ravel()[:n]) // k
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of an array, compressed place by place."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def unplaned(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()

@@ -2,23 +2,24 @@
 
 Tokens are hashed word shingles.  Under any order of all tokens, two sets whose
 similarity reaches the threshold share one of their first ``n - ceil(t n) + 1``
-tokens.  An order here is a hash of the token, with widespread tokens last.  A
-candidate pair must share a prefix token under every one of `ORDERS`; candidates
-are verified on whole sets.
+tokens.  An order here is a hash of the token, with widespread tokens last.
+Candidates are nodes that share a prefix token under the first order; of these, only
+pairs that share one under every other order too are verified on whole sets.
 
 No group is expanded into all its pairs: equal sets are one node; of a prefix
 token with many nodes only links to a leader are tried first, and only nodes
-that stay in another component than the rest of such a group are tried against
-its other members after that.  So no link between components is lost.
+that stay in another component than the rest of such a group are compared with
+its other members after that, on whole sets.  So no link between components is lost.
 
 Node ids and tokens are 64-bit hashes: among 1e9 different sets a chance of
 about 0.03 that any two fall together.
 
 Defined results: a null or empty text, or one without words, has no tokens and
-links to nothing; fewer words than the shingle length make one shingle; rows are
-returned one for one, repeated rows too; null ids take part, a component's id is
-its smallest id that isn't null; extra columns are ignored (`join`) or kept
-(`keep_one`); an empty table gives an empty result.
+links to nothing; fewer words than the shingle length make one shingle; texts of any
+length are read whole; rows are returned one for one, repeated rows too; null ids
+take part, a component's id is its smallest id that isn't null; extra columns are
+ignored (`join`) or kept (`keep_one`), whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
+from chronolake.llm.bytekit import planes, unplaned
 from chronolake.llm.common import cut_parts, discard, stored, tidy
 from chronolake.llm.components import bitmap, components, marked
 
 ORDERS = (0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1)
 WIDE = 4  # tokens of more texts than this come last in every order
-FEW = 4  # a prefix token's nodes are paired with one another up to so many
+FEW = 4  # a prefix token's nodes are listed as pairs up to so many, and as links to a leader beyond; both are filtered alike
+FLUSH = 4_000_000  # tokens that a task gathers before it sends them on
 BUCKET = 1 << 20  # prefix tokens in a bucket, about
 MEET = 256  # nodes of a block
 
@@ -90,15 +93,6 @@ def _new_sets(batches, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             yield t[np.repeat(keep, n)], np.concatenate(([0], np.cumsum(n[keep]))), node[keep]
 
 
-def _in_buckets(bucket: np.ndarray, buckets: int, *cols: np.ndarray) -> Iterator[tuple]:
-    """(bucket, bytes of each column) for the buckets that occur."""
-    order = np.argsort(bucket, kind="stable")
-    cols = tuple(c[order] for c in cols)
-    edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
-    for b in np.flatnonzero(np.diff(edge)):
-        yield (int(b), *(c[edge[b] : edge[b + 1]].tobytes() for c in cols))
-
-
 def _rank(tokens: np.ndarray, offs: np.ndarray, seed: int, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by an order of all tokens: (positions into tokens, row of each)."""
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
@@ -111,46 +105,66 @@ def _rank(tokens: np.ndarray, offs: np.ndarray, seed: int, last: np.ndarray | No
     return out, row
 
 
+def _prefix(t: np.ndarray, o: np.ndarray, percent: int, order: int, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, rows) of the prefix tokens of each set under an order, row by row."""
+    rank, row = _rank(t, o, ORDERS[order], marked(wide, t))
+    n = np.diff(o)
+    place = np.arange(len(t)) - o[:-1][row]
+    ok = place < (n - -(-percent * n // 100) + 1)[row]
+    return rank[ok], row[ok]
+
+
 def _widespread(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
-    """Bitmap of tokens in more than WIDE texts, of those in the first half of a text under the first order."""
+    """Bitmap of tokens in more than WIDE texts, of those in the first half of a text under the first order.
+
+    A task counts what it reads first and sends a token WIDE + 1 times at most, however many of its texts hold it.
+    """
 
     def tokens(batches):
+        held, size = [], 0
         for t, o, _ in _new_sets(batches, k):
-            if not len(t):
-                continue
-            order, row = _rank(t, o, ORDERS[0], None)
-            place = np.arange(len(t)) - o[:-1][row]
-            t = t[order[place < -(-np.diff(o)[row] // 2)]]
-            cut = t >> np.uint64(24)  # 40 bits tell tokens apart here; the order stays one of all tokens whatever is flagged
-            yield pa.RecordBatch.from_pylist(
-                [{"bucket": b, "low": x, "high": y} for b, x, y in _in_buckets((cut % np.uint64(buckets)).astype(np.int64), buckets, cut.astype(np.uint32), (cut >> np.uint64(32)).astype(np.uint8))],
-                pa.schema({"bucket": pa.int32(), "low": pa.binary(), "high": pa.binary()}),
-            )
+            if len(t):
+                order, row = _rank(t, o, ORDERS[0], None)
+                place = np.arange(len(t)) - o[:-1][row]
+                held.append(t[order[place < -(-np.diff(o)[row] // 2)]])
+                size += len(held[-1])
+            if size > FLUSH:
+                yield send(held)
+                held, size = [], 0
+        if held:
+            yield send(held)
+
+    def send(held):
+        v, c = np.unique(np.concatenate(held), return_counts=True)
+        v = np.repeat(v, np.minimum(c, WIDE + 1))
+        bucket = (v % np.uint64(buckets)).astype(np.int64)
+        v = v[np.argsort(bucket, kind="stable")]
+        edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+        some = np.flatnonzero(np.diff(edge))
+        rows = [planes(v[edge[b] : edge[b + 1]]) for b in some]  # sorted in each bucket, so that high bytes shrink
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.diff(edge)[some], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "n", "tokens"])
 
     def count(table: pa.Table) -> pa.Table:
-        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint32).astype(np.uint64)
-        high = np.frombuffer(b"".join(table.column("high").to_pylist()), np.uint8).astype(np.uint64)
-        v, c = np.unique(low | high << np.uint64(32), return_counts=True)
-        return pa.table({"t": (v[c > WIDE] << np.uint64(24)).view(np.int64)})
+        parts = [unplaned(x, n, np.uint64) for n, x in zip(table.column("n").to_pylist(), table.column("tokens").to_pylist(), strict=True)]
+        v, c = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.table({"t": v[c > WIDE].view(np.int64)})
 
-    found = texts.mapInArrow(tokens, "bucket int, low binary, high binary").groupBy("bucket").applyInArrow(count, "t long")
+    found = texts.mapInArrow(tokens, "bucket int, n int, tokens binary").groupBy("bucket").applyInArrow(count, "t long")
     return bitmap(found, "t")
 
 
-def _groups(texts: DataFrame, k: int, percent: int, order: int, wide, buckets: int) -> DataFrame:
-    """Prefix tokens of one order that several nodes have: (leader, nodes, sizes)."""
+def _groups(texts: DataFrame, k: int, percent: int, wide, buckets: int) -> DataFrame:
+    """Prefix tokens of the first order that several nodes have: (nodes, sizes, weight), weight the number of tokens of the same nodes."""
 
-    kind = pa.schema({"bucket": pa.int32(), "low": pa.binary(), "high": pa.binary(), "node": pa.binary(), "n": pa.binary(), "run": pa.binary()})
+    kind = pa.schema({"bucket": pa.int32(), "token": pa.binary(), "node": pa.binary(), "n": pa.binary(), "run": pa.binary()})
 
     def prefixes(batches):
         for t, o, node in _new_sets(batches, k):
             if not len(t):
                 continue
-            rank, row = _rank(t, o, ORDERS[order], marked(wide.value, t))
             n = np.diff(o)
-            place = np.arange(len(t)) - o[:-1][row]
-            ok = place < (n - -(-percent * n // 100) + 1)[row]
-            t, row = t[rank[ok]] >> np.uint64(24), row[ok]  # 40 bits: tokens that fall together only add candidates
+            at, row = _prefix(t, o, percent, 0, wide.value)
+            t = t[at]
             bucket = (t % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             t, row, bucket = t[by], row[by], bucket[by]
@@ -158,9 +172,9 @@ def _groups(texts: DataFrame, k: int, percent: int, order: int, wide, buckets: i
             edge = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
             cut = np.searchsorted(new, edge)
             run = np.diff(np.append(new, len(t))).astype(np.int32)
-            low, high, of, size = t.astype(np.uint32), (t >> np.uint64(32)).astype(np.uint8), node[row[new]], n[row[new]].astype(np.int32)
+            of, size = node[row[new]], n[row[new]].astype(np.int32)
             rows = [
-                {"bucket": b, "low": low[edge[b] : edge[b + 1]].tobytes(), "high": high[edge[b] : edge[b + 1]].tobytes()}
+                {"bucket": b, "token": t[edge[b] : edge[b + 1]].tobytes()}
                 | {c: v[cut[b] : cut[b + 1]].tobytes() for c, v in (("node", of), ("n", size), ("run", run))}
                 for b in np.flatnonzero(np.diff(edge)).tolist()
             ]
@@ -168,7 +182,7 @@ def _groups(texts: DataFrame, k: int, percent: int, order: int, wide, buckets: i
 
     def gather(table: pa.Table) -> pa.Table:
         col = lambda c, d: np.frombuffer(b"".join(table.column(c).to_pylist()), d)
-        t = col("low", np.uint32).astype(np.uint64) | col("high", np.uint8).astype(np.uint64) << np.uint64(32)
+        t = col("token", np.uint64)
         run = col("run", np.int32)
         node, n = np.repeat(col("node", np.int64), run), np.repeat(col("n", np.int32), run)
         order = np.lexsort((node, t))
@@ -193,7 +207,7 @@ def _groups(texts: DataFrame, k: int, percent: int, order: int, wide, buckets: i
         nodes, sizes = ([x[a : a + c] for a, c in at] for x in (node, n))
         return pa.table({"nodes": pa.array(nodes, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.list_(pa.int32())), "weight": pa.array(weight, pa.int32())})
 
-    packed = texts.mapInArrow(prefixes, "bucket int, low binary, high binary, node binary, n binary, run binary")
+    packed = texts.mapInArrow(prefixes, "bucket int, token binary, node binary, n binary, run binary")
     return packed.groupBy("bucket").applyInArrow(gather, "nodes array<long>, sizes array<int>, weight int")
 
 
@@ -288,27 +302,39 @@ def _within(families: DataFrame, label: DataFrame, texts: DataFrame, k: int, per
     return meet.groupBy("leader", "i", "j").applyInArrow(each, "x long, y long")
 
 
-def _sets(nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(node, tokens) of the given nodes, once each."""
+def _sets(nodes: DataFrame, texts: DataFrame, k: int, percent: int = 0, wide=None) -> DataFrame:
+    """(node, tokens) of the given nodes, once each; with `wide` also their prefix tokens under each order but the first."""
     asked = texts.sparkSession.sparkContext.broadcast(bitmap(nodes, "node"))
+    more = [f"prefix{i}" for i in range(1, len(ORDERS))] if wide is not None else []
+
+    def lists(v: np.ndarray, offs: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(v.view(np.int64)))
 
     def sets(batches):
         for t, o, node in _new_sets(batches, k):
-            ok = np.flatnonzero(marked(asked.value, node.view(np.uint64)))
-            arrays = [t[o[i] : o[i + 1]].view(np.int64) for i in ok]
-            for a in range(0, len(ok), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(node[ok[a : a + 500]]), pa.array(arrays[a : a + 500], pa.list_(pa.int64()))], names=["node", "tokens"])
-
-    found = texts.mapInArrow(sets, "node long, tokens array<long>")
+            ok = marked(asked.value, node.view(np.uint64))
+            n = np.diff(o)
+            t, o, node = t[np.repeat(ok, n)], np.concatenate(([0], np.cumsum(n[ok]))), node[ok]
+            cols = [pa.array(node), lists(t, o)]
+            for i in range(1, len(more) + 1):
+                at, row = _prefix(t, o, percent, i, wide.value)
+                cols.append(lists(t[at], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(node)))))))
+            whole = pa.RecordBatch.from_arrays(cols, names=["node", "tokens", *more])
+            for a in range(0, len(node), 500):
+                yield whole.slice(a, 500)
+
+    found = texts.mapInArrow(sets, ", ".join(["node long", "tokens array<long>", *(f"{c} array<long>" for c in more)]))
     return found.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
-    found = stored(_sets(pairs.select(F.col("x").alias("node")).union(pairs.select("y")), texts, k), "sets")
-    both = pairs.join(found.toDF("x", "tx"), "x").join(found.toDF("y", "ty"), "y")
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, wide) -> DataFrame:
+    """The pairs that share a prefix token under every order and whose whole sets reach the threshold."""
+    found = stored(_sets(pairs.select(F.col("x").alias("node")).union(pairs.select("y")), texts, k, percent, wide), "sets")
+    both = lambda p, c: p.join(found.select(F.col("node").alias("x"), F.col(c).alias("tx")), "x").join(found.select(F.col("node").alias("y"), F.col(c).alias("ty")), "y")
+    for i in range(1, len(ORDERS)):
+        pairs = both(pairs, f"prefix{i}").where(F.arrays_overlap("tx", "ty")).select("x", "y")
     common = F.size(F.array_intersect("tx", "ty"))
-    good = stored(both.where(common * 100 >= percent * (F.size("tx") + F.size("ty") - common)).select("x", "y"), "links")
+    good = stored(both(pairs, "tokens").where(common * 100 >= percent * (F.size("tx") + F.size("ty") - common)).select("x", "y"), "links")
     discard(found)
     return good
 
@@ -318,26 +344,15 @@ def links(texts: DataFrame, tokens: int, k: int = 5, percent: int = 80) -> DataF
     buckets = max(48, cut_parts(texts), math.ceil(tokens / (2 * BUCKET)))
     wide = texts.sparkSession.sparkContext.broadcast(_widespread(texts, k, buckets))
     tidy(texts.sparkSession)
-    groups = [stored(_groups(texts, k, percent, i, wide, buckets), "groups") for i in range(len(ORDERS))]
-    wide.unpersist()
-    pairs = _pairs_of(groups[0], percent).distinct()
-    for other in groups[1:]:
-        # the pair is in a small group of the other order too, or both nodes are in large ones
-        small = _pairs_of(other, percent).distinct().withColumn("both", F.lit(True))
-        large = other.where(F.size("nodes") > FEW).select(F.explode("nodes").alias("node")).distinct().withColumn("large", F.lit(True))
-        pairs = (
-            pairs.join(small, ["x", "y"], "left")
-            .join(large.toDF("x", "lx"), "x", "left")
-            .join(large.toDF("y", "ly"), "y", "left")
-            .where("both OR (lx AND ly)")
-            .select("x", "y")
-        )
-    families = stored(_families(groups[0]), "families")
+    groups = stored(_groups(texts, k, percent, wide, buckets), "groups")
+    families = stored(_families(groups), "families")
     fits = 100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")
     star = families.where((F.col("node") != F.col("leader")) & fits).select(F.least("leader", "node").alias("x"), F.greatest("leader", "node").alias("y"))
-    pairs = stored(pairs.union(star).distinct(), "pairs")
-    discard(*groups)
-    good = _verified(pairs, texts, k, percent)
+    pairs = stored(_pairs_of(groups, percent).union(star).distinct(), "pairs")
+    discard(groups)
+    good = _verified(pairs, texts, k, percent, wide)
+    discard(pairs)
+    wide.unpersist()
     return good.union(stored(_within(families, components(good), texts, k, percent), "links"))
 
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
+from chronolake.llm.bytekit import planes, unplaned
 from chronolake.llm.common import cut_parts, fold, stored
 
 FOLDS, HELD = 7, 2
@@ -72,17 +73,6 @@ def grams(text: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return key
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of an array, compressed place by place."""
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), "zstd", asbytes=True)
-
-
-def _unplaned(data: bytes, n: int, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(raw.T).view(kind).ravel()
-
-
 def _distinct(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins, in sorted keys."""
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -273,14 +263,14 @@ def _gram_chances(packed: DataFrame, tree: DataFrame, buckets: int) -> DataFrame
         for one, block in _blocks(batches):
             _, keys, bucket = block.grams(buckets)
             edge = np.append(_distinct(bucket), len(bucket))
-            rows = [{"bucket": int(bucket[a]), "bid": one["bid"].as_py(), "n": int(b - a), "keys": _planes(keys[a:b])} for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            rows = [{"bucket": int(bucket[a]), "bid": one["bid"].as_py(), "n": int(b - a), "keys": planes(keys[a:b])} for a, b in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_pylist(rows, pa.schema({"bucket": pa.int32(), "bid": pa.int64(), "n": pa.int32(), "keys": pa.binary()}))
 
     def look(part: pa.Table, asks: pa.Table) -> pa.Table:
         gram = part.column("gram").to_numpy().view(np.uint64)
         order = np.argsort(gram)
         gram, logp = gram[order], part.column("logp").to_numpy()[order]
-        found = [_planes(logp[np.searchsorted(gram, _unplaned(x, n, np.uint64))]) for n, x in zip(asks.column("n").to_pylist(), asks.column("keys").to_pylist(), strict=True)]
+        found = [planes(logp[np.searchsorted(gram, unplaned(x, n, np.uint64))]) for n, x in zip(asks.column("n").to_pylist(), asks.column("keys").to_pylist(), strict=True)]
         return pa.table({"bid": asks.column("bid"), "bucket": asks.column("bucket"), "payload": pa.array(found, pa.binary())})
 
     rows = packed.select("bid", "text", "sizes").mapInArrow(split, "bucket int, bid long, n int, keys binary")
@@ -310,7 +300,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             known = np.bincount(row, weights=c[word] > 0, minlength=block.rows).astype(np.int64)
             g, key, bucket = block.grams(buckets)
             size = np.diff(np.append(_distinct(bucket), len(bucket))).tolist()
-            logp = np.concatenate([_unplaned(x["payload"], n, np.float32) for n, x in zip(size, (x for x in answer if x["kind"] == 1), strict=True)])
+            logp = np.concatenate([unplaned(x["payload"], n, np.float32) for n, x in zip(size, (x for x in answer if x["kind"] == 1), strict=True)])
             order = np.argsort(key)
             score = np.add.reduceat(logp[order][np.searchsorted(key[order], g)].astype(np.float64), block.offs[:-1])
             yield pa.RecordBatch.from_arrays(

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronolake.llm import html_pages, html_text, jaccard, leaks, pst, secrets
 
@@ -138,6 +139,36 @@ def test_keep_one_of_ids_on_different_texts(spark, docs):
     assert kept == collections.Counter([(5, full(a)), (2, near(b)), *one, (8, full(e)), (5, None), (5, ""), (5, ""), (6, " "), (None, full(e)), (None, None)])
 
 
+def test_prefixes_of_every_order_meet():
+    """Sets that reach the threshold share a prefix token under each order, whichever tokens come last."""
+    rng = np.random.default_rng(3)
+    wide = rng.integers(0, 256, 1 << 10, dtype=np.uint8)  # an arbitrary bitmap of widespread tokens
+    reached = 0
+    for _ in range(300):
+        a = rng.integers(0, 2**64, rng.integers(1, 80), dtype=np.uint64)
+        b = np.concatenate((a[rng.random(len(a)) > 0.12], rng.integers(0, 2**64, rng.integers(0, 5), dtype=np.uint64)))
+        a, b = np.unique(a), np.unique(b)
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            reached += 1
+            t, o = np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])
+            for i in range(len(jaccard.ORDERS)):
+                at, row = jaccard._prefix(t, o, 80, i, wide)
+                assert set(t[at[row == 0]]) & set(t[at[row == 1]])
+    assert reached > 50
+
+
+def test_pairs_need_every_order(spark, docs):
+    """A pair that shares a prefix token under the first order alone isn't verified."""
+    d = docs([(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j k l")]).select("text")
+    wide = spark.sparkContext.broadcast(np.zeros(1 << 10, np.uint8))
+    nodes = [r.node for r in jaccard._members(docs([(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j k l")]), 5).collect()]
+    pairs = spark.createDataFrame([(min(nodes), max(nodes))], "x long, y long")
+    assert jaccard._verified(pairs, d, 5, 80, wide).count() == 1
+    found = jaccard._sets(pairs.select(F.col("x").alias("node")).union(pairs.select("y")), d, 5, 80, wide).collect()
+    assert all(set(r.prefix1) <= set(r.tokens) and len(r.prefix1) == len(r.tokens) - math.ceil(0.8 * len(r.tokens)) + 1 for r in found)
+
+
 def test_large_family_of_half_alike_texts(spark, docs):
     """Copies of copies: most pairs of the family stay under the threshold, links form chains."""
     rng = random.Random(6)
