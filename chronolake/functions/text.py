@@ -2,49 +2,92 @@
 
 from __future__ import annotations
 
-import html
+import re
 import unicodedata
+from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What each masking level replaces, in this order.
-INSTITUTIONS = ("Federal Reserve", "Federal Open Market Committee", "FOMC", "Board of Governors", "Fed")
+# What each masking level replaces, in this order, and by what.
+INSTITUTIONS = ("Federal Reserve", "Federal Open Market Committee", "FOMC", "Fed", "Committee")
 PEOPLE = ("Powell", "Yellen", "Bernanke", "Greenspan")
 YEARS = tuple(str(y) for y in range(1996, 2026))
+MASKS = ((INSTITUTIONS, "Central Bank A"), (PEOPLE, "Official A"), (YEARS, "[YEAR]"))
+# Upper-case tokens that aren't tickers.
+STOPWORDS = frozenset(
+    "A I DD THE CEO CFO US USA ETF IPO AI EPS PE ATH YOLO FOMO IMO TLDR EDIT OP WSB FED SEC GDP CPI EOD AH PM IV OTM ITM LOL "
+    "TA PT EOY RSI MACD API OK NOT ALL BUY SELL HOLD CALL PUT PUTS IT ON TO BE OR".split()
+)
+# Words of a tightening and of an easing stance, and marks of time that a contaminated model may recall.
+HAWKISH = ("inflation", "raise", "tighten", "hike", "elevated", "robust", "strong")
+DOVISH = ("slowdown", "cut", "recession", "downside", "accommodate", "weak", "lower")
+ANCHORS = ("199", "200", "201", "202", "Federal Reserve", "FOMC", "Committee", "Powell", "Yellen", "Fed")
+ANONYMOUS = ("Central Bank", "[YEAR]", "Official")
+RATINGS = ("BUY", "OVERWEIGHT", "HOLD", "UNDERWEIGHT", "SELL")
 
 
 def mask(text: Column, level: int) -> Column:
     """Cumulative, case-sensitive replacement of institutions, people and years."""
-    for names, to, at in ((INSTITUTIONS, "[INSTITUTION]", 1), (PEOPLE, "[PERSON]", 2), (YEARS, "[YEAR]", 3)):
-        if level >= at:
-            for x in names:
-                text = F.replace(text, F.lit(x), F.lit(to))
+    for names, to in MASKS[:level]:
+        for x in names:
+            text = F.replace(text, F.lit(x), F.lit(to))
     return text
 
 
-@F.pandas_udf(T.StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    """Arrow's own kernel decomposes without composing again; texts that are normal already (all ASCII ones) are only looked at."""
+    texts = s.to_pylist()
+    return pa.array([t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+class _Filing(HTMLParser):
+    """Collects what a reader of a filing sees: no hidden header, script or style; an end of a block ends a line."""
 
+    HIDDEN = frozenset(("ix:header", "script", "style"))
+    LINES = frozenset(("p", "div", "tr", "table", "li", "h1", "h2", "h3", "h4", "h5", "h6"))
 
-def strip_html(raw: Column, decode: bool = True) -> Column:
-    """Filing markup to text: hidden headers, scripts and styles go, closing blocks break lines, tags go, blanks shrink."""
-    t = F.regexp_replace(raw, r"(?is)<ix:header.*?</ix:header>", " ")
-    t = F.regexp_replace(t, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?i)</(p|div|tr|h[1-6]|li|table)>|<br[^>]*>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    t = unescape(t) if decode else t
-    t = F.regexp_replace(F.replace(t, F.lit(" "), F.lit(" ")), r"[ \t]+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in self.HIDDEN
+        self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in self.HIDDEN and self.hidden > 0
+        self.out.append("\n" if tag in self.LINES and not self.hidden else " ")
+
+    def handle_startendtag(self, tag, attrs):
+        self.out.append(" ")
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def filing_text(raw: str) -> str:
+    reader = _Filing()
+    reader.feed(raw)
+    reader.close()
+    blanks = re.sub("[ \t\u00a0]+", " ", "".join(reader.out))
+    return re.sub("\n{3,}", "\n\n", blanks).strip()
+
+
+@F.arrow_udf(T.StringType())
+def strip_html(raw: pa.Array) -> pa.Array:
+    """Filing markup to text; Spark has no parser for it, so it runs in Arrow batches."""
+    return pa.array([None if r is None else filing_text(r) for r in raw.to_pylist()], pa.string())
 
 
 def squeeze(text: Column) -> Column:
@@ -70,67 +113,111 @@ def one_line(text: Column, n: int) -> Column:
 
 def digest(sections: dict[str, Column], n: int = 500) -> Column:
     """Labelled, trimmed starts of the sections that have text."""
-    return F.concat_ws("\n", *[F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(f"[{k}] "), F.substring(F.trim(c), 1, n))) for k, c in sections.items()])
+    return F.concat_ws("\n", *[F.when(F.length(strip(c)) > 0, F.concat(F.lit(f"{k}: "), F.substring(strip(c), 1, n))) for k, c in sections.items()])
+
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
-def mentions(text: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Cashtags and upper-case tokens of 2 to 5 letters, without stop words."""
-    found = F.regexp_extract_all(text, F.lit(r"\$?\b([A-Z]{2,5})\b"), 1)
-    return F.array_except(found, F.array(*map(F.lit, stop))) if stop else found
 
+def mentions(text: Column) -> Column:
+    """Tokens that may be tickers: cashtags in either case, and upper-case words of 2 to 5 letters that aren't stop words."""
+    found = F.regexp_extract_all(text, F.lit(r"\$[A-Za-z]{1,5}\b|\b[A-Z]{2,5}\b"), 0)
+    stop = F.array(*map(F.lit, sorted(STOPWORDS)))
+    told = F.filter(found, lambda t: t.startswith("$") | ~F.array_contains(stop, t))
+    return F.transform(told, lambda t: F.upper(F.ltrim(t, F.lit("$"))))
 
-def about(text: Column, title: Column, ticker: str) -> Column:
-    """A cashtag in text or title, or the word in the title."""
-    word = f"\\Q{ticker}\\E"
-    return F.coalesce(text.rlike(f"(?i)\\${word}\\b"), F.lit(False)) | F.coalesce(title.rlike(f"(?i)\\b{word}\\b"), F.lit(False))
+
+def about(text: Column, title: Column, ticker: Column) -> Column:
+    """Whether a post is about a ticker: its cashtag in text or title, the word in the title, or no other token oftener in the text."""
+    word = F.concat(F.lit("\\Q"), ticker, F.lit("\\E"))
+    cash, bare = F.concat(F.lit(r"(?i)\$"), word, F.lit(r"\b")), F.concat(F.lit(r"(?i)\b"), word, F.lit(r"\b"))
+    tokens = mentions(F.coalesce(text, F.lit("")))
+    own = F.size(F.filter(tokens, lambda t: t == F.upper(ticker)))
+    rest = F.filter(tokens, lambda t: t != F.upper(ticker))
+    most = F.coalesce(F.array_max(F.transform(F.array_distinct(rest), lambda t: F.size(F.filter(rest, lambda x: x == t)))), F.lit(0))
+    told = F.coalesce(F.regexp_like(text, cash), F.lit(False)) | F.coalesce(F.regexp_like(title, cash), F.lit(False)) | F.coalesce(F.regexp_like(title, bare), F.lit(False))
+    return told | (own > 0) & (own >= most)
 
 
 def parse_signal(text: Column) -> Column:
     """Struct of signal, confidence (0.70 if absent, clamped to 0.5..1) and horizon (1-5d if absent); null without a signal."""
     one = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    s = F.upper(one(r"(?i)signal\s*[:=]\s*\**\s*(buy|overweight|hold|underweight|sell)\b"))
-    c = F.coalesce(one(r"(?i)confidence\s*[:=]\s*\**\s*([0-9]*\.?[0-9]+)").cast("double"), F.lit(0.7))
-    h = F.coalesce(one(r"(?i)horizon\s*[:=]\s*\**\s*([0-9A-Za-z-]+)"), F.lit("1-5d"))
+    s = F.upper(one(r"(?i)Signal:\s*(BUY|OVERWEIGHT|HOLD|UNDERWEIGHT|SELL)"))
+    c = F.coalesce(one(r"(?i)Confidence:\s*(0\.\d+|1\.0+)").cast("double"), F.lit(0.7))
+    h = F.coalesce(one(r"(?i)Horizon:\s*(1-5d|5-20d|20d\+)"), F.lit("1-5d"))
     return F.when(s.isNotNull(), F.struct(s.alias("signal"), F.least(F.lit(1.0), F.greatest(F.lit(0.5), c)).alias("confidence"), h.alias("horizon")))
 
 
+def signal_or_hold(answer: Column) -> Column:
+    """A one-word answer as a rating; anything else is HOLD."""
+    word = F.upper(strip(answer))
+    return F.when(word.isin(*RATINGS), word).otherwise("HOLD")
+
+
 def tagged(text: Column, tag: str) -> Column:
     """The trimmed content of an XML-like block, null if absent."""
     return F.nullif(F.trim(F.regexp_extract(text, f"(?is)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
 
 
-def hash_vector(text: Column, n: int, seed: str = "0") -> Column:
-    """n numbers in [-1, 1) from digests of seed, place and text."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), i.cast("string"), text).cast("binary"), 256), 1, 8), 16, 10).cast("double") / F.lit(2147483648.0) - 1.0,
-    )
-
-
-def keyword_stance(text: Column, up=("raise", "tighten", "inflation"), down=("cut", "ease", "unemployment")) -> Column:
-    hit = lambda ws: F.coalesce(text.rlike("(?i)" + "|".join(ws)), F.lit(False)).cast("double")
-    z = hit(up) - hit(down)
-    e = F.exp(z) + F.exp(-z) + 1
-    return F.array(F.exp(-z) / e, 1 / e, F.exp(z) / e)
-
-
-@F.udtf(returnType="chunk_index: int, chunk: string")
-class Chunks:
-    """Overlapping chunks of a long text, cut at the last paragraph or sentence end beyond half a chunk."""
-
-    def eval(self, text: str, size: int = 1800, overlap: int = 200, most: int = 600):
-        at, k = 0, 0
-        text = text or ""
-        while at < len(text) and k < most:
-            end = min(len(text), at + size)
-            if end < len(text):
-                cut = max(text.rfind("\n\n", at, end), text.rfind(". ", at, end))
-                if cut - at > size // 2:
-                    end = cut + 1
-            piece = text[at:end].strip()
-            if piece:
-                yield k, piece
-                k += 1
-            if end >= len(text):
-                return
-            at = max(at + 1, end - overlap)
+def digest_bytes(text: Column) -> Column:
+    """The 32 bytes of a SHA-256 as numbers in [-1, 1)."""
+    hexed = F.sha2(text.cast("binary"), 256)
+    one = F.transform(F.array(hexed), lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: (F.conv(h.substr(2 * j + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128))
+    return one[0]
+
+
+def hash_vector(text: Column, n: int, seed: int = 42) -> Column:
+    """n numbers in [-1, 1): the bytes of digests of seed, chunk number and text."""
+    chunks = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // 32)), lambda c: digest_bytes(F.concat_ws(":", F.lit(str(seed)), c.cast("string"), text)))
+    return F.slice(F.flatten(chunks), 1, n)
+
+
+def noise(text: Column, seed: int = 42) -> Column:
+    """A number in [-1, 1) from the first byte of a digest."""
+    return (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:scalar:"), text).cast("binary"), 256), 1, 2), 16, 10).cast("double") - 128) / 128
+
+
+def stance_probabilities(text: Column, seed: int = 42, competence: float = 0.75, dose: float = 0.0, future: Column | None = None) -> Column:
+    """P(dovish, neutral, hawkish) from key words, some noise, and, with a dose, recall of what came after at marks of time."""
+    has = lambda words, t: F.regexp_like(t, F.lit("|".join(map(re.escape, words))))
+    low = F.lower(text)
+    n = noise(text, seed)
+    score = has(HAWKISH, low).cast("double") - has(DOVISH, low).cast("double") + F.when(F.abs(n) > competence, n * 0.4).otherwise(0.0)
+    if dose > 0 and future is not None:
+        recalled = has(ANCHORS, text) & ~has(ANONYMOUS, text)
+        score = score + F.when(recalled, dose * 1.5 * F.coalesce(future.cast("double"), F.lit(0.0))).otherwise(0.0)
+    z = F.array(score * -1.5, 0.2 - 0.5 * F.abs(score), score * 1.5)
+    e = F.transform(z, F.exp)
+    return F.transform(F.array(e), lambda v: F.transform(v, lambda x: x / (v[0] + v[1] + v[2])))[0]
+
+
+def stance_score(p: Column) -> Column:
+    return p[2] - p[0]
+
+
+def pieces(text: str, size: int = 1800, overlap: int = 200, most: int | None = 600) -> list[str]:
+    """Overlapping chunks of a text, cut at the last paragraph or sentence end beyond half a chunk; at most `most` cuts, if given."""
+    out, at, cuts = [], 0, 0
+    while at < len(text) and (most is None or cuts < most):
+        end = min(len(text), at + size)
+        if end < len(text):
+            last = max(text.rfind("\n\n", at, end), text.rfind(". ", at, end))
+            if last - at > size // 2:
+                end = last + 1
+        out.append(text[at:end].strip())
+        cuts += 1
+        if end >= len(text):
+            break
+        at = max(at + 1, end - overlap)
+    return [x for x in out if x]
+
+
+def chunks(text: Column, size: int = 1800, overlap: int = 200, most: int | None = 600) -> Column:
+    """An array of `pieces`, in Arrow batches: where a chunk ends depends on the one before."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cut(s: pa.Array) -> pa.Array:
+        return pa.array([pieces(t or "", size, overlap, most) for t in s.to_pylist()], pa.list_(pa.string()))
+
+    return cut(text)

@@ -21,22 +21,32 @@ _SPACE = r"trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 
 @query([], f"SELECT doc_id, sha256({_SPACE}) AS digest FROM documents")
 def x3_text_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.text_hash(F.col("text"), normalise=False).alias("digest"))
+    return table(spark, sf, "documents").select("doc_id", X.text_hash(F.col("text")).alias("digest"))
 
 
-def _masked(names, to, t):
-    for n in names:
-        t = f"replace({t}, '{n}', '{to}')"
-    return t
+_PROSE = "'Federal Open Market Committee and Federal Reserve, FOMC: Fed chair Powell (after Yellen) told the Committee in ' || CAST(1990 + doc_id % 40 AS VARCHAR) || '. ' || text"
 
 
-_M3 = _masked(X.YEARS, "[YEAR]", _masked(X.PEOPLE, "[PERSON]", _masked(X.INSTITUTIONS, "[INSTITUTION]", "p")))
+def _nested(sql: str, *pairs: tuple[str, str]) -> str:
+    for old, new in pairs:
+        sql = f"replace({sql}, '{old}', '{new}')"
+    return sql
 
 
-@query([], f"SELECT o_orderkey, {_M3} AS masked FROM (SELECT o_orderkey, 'Fed chair Powell at the FOMC on ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' in Federal Reserve' AS p FROM orders)")
+_M1 = _nested("t", ("Federal Reserve", "Central Bank A"), ("Federal Open Market Committee", "Central Bank A"), ("FOMC", "Central Bank A"), ("Fed", "Central Bank A"), ("Committee", "Central Bank A"))
+_M2 = _nested(_M1, ("Powell", "Official A"), ("Yellen", "Official A"), ("Bernanke", "Official A"), ("Greenspan", "Official A"))
+_M3 = _nested(_M2, *((str(y), "[YEAR]") for y in range(1996, 2026)))
+
+
+def _prose():
+    return F.concat(F.lit("Federal Open Market Committee and Federal Reserve, FOMC: Fed chair Powell (after Yellen) told the Committee in "), (1990 + F.col("doc_id") % 40).cast("string"), F.lit(". "), "text")
+
+
+@query([], f"SELECT doc_id, sha256({_M1}) AS one, sha256({_M2}) AS two, sha256({_M3}) AS three, left({_M3}, 150) AS head FROM (SELECT doc_id, {_PROSE} AS t FROM documents)")
 def x5_masking(spark, sf):
-    p = F.concat(F.lit("Fed chair Powell at the FOMC on "), F.col("o_orderdate").cast("date").cast("string"), F.lit(" in Federal Reserve"))
-    return table(spark, sf, "orders").select("o_orderkey", X.mask(p, 3).alias("masked"))
+    d = table(spark, sf, "documents").select("doc_id", _prose().alias("t"))
+    h = lambda n: F.sha2(X.mask(F.col("t"), n).cast("binary"), 256)
+    return d.select("doc_id", h(1).alias("one"), h(2).alias("two"), h(3).alias("three"), F.substring(X.mask(F.col("t"), 3), 1, 150).alias("head"))
 
 
 @query([], "SELECT conv_id, turn, CASE WHEN length(t) > 40 THEN left(t, 39) || '…' ELSE t END AS line, CASE WHEN length(text) > 60 THEN left(text, 60) || ' …' ELSE text END AS head FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM conversations)")
@@ -45,20 +55,60 @@ def x12_x13_truncate(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", X.one_line(t, 40).alias("line"), X.head(t, 60).alias("head"))
 
 
-@query([], "SELECT m AS mention, count(*) AS n FROM (SELECT regexp_extract(unnest(string_split(text, ' ')), '^[$]?([A-Z]{2,5})[.,!]*$', 1) AS m FROM documents) WHERE m NOT IN ('', 'THE', 'AND') GROUP BY m")
-def a9_mentions(spark, sf):
-    word = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("w"))
-    d = word.select(F.regexp_extract("w", "^[$]?([A-Z]{2,5})[.,!]*$", 1).alias("mention"))
-    return d.where("mention NOT IN ('', 'THE', 'AND')").groupBy("mention").agg(F.count("*").alias("n"))
+_POST = "CASE doc_id % 4 WHEN 0 THEN '$aapl and MSFT ' WHEN 1 THEN 'MSFT THE MSFT $AAPL $IT ' WHEN 2 THEN 'MSFT GOOG MSFT CEO ' ELSE '' END || text"
+_TITLE = "CASE WHEN doc_id % 7 = 0 THEN 'why msft fell' ELSE source END"
+_STOPS = "'A', 'I', 'DD', 'THE', 'CEO', 'CFO', 'US', 'USA', 'ETF', 'IPO', 'AI', 'EPS', 'PE', 'ATH', 'YOLO', 'FOMO', 'IMO', 'TLDR', 'EDIT', 'OP', 'WSB', 'FED', 'SEC', 'GDP', 'CPI', 'EOD', 'AH', 'PM', 'IV', 'OTM', 'ITM', 'LOL', 'TA', 'PT', 'EOY', 'RSI', 'MACD', 'API', 'OK', 'NOT', 'ALL', 'BUY', 'SELL', 'HOLD', 'CALL', 'PUT', 'PUTS', 'IT', 'ON', 'TO', 'BE', 'OR'"
+_TOKENS = rf"""p AS (SELECT doc_id, {_POST} AS t, {_TITLE} AS title FROM documents), k AS (SELECT doc_id, upper(ltrim(m, '$')) AS token FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '[À-ÖØ-öø-ɏ]', 'x', 'g'), '\$[A-Za-z]{{1,5}}\b|\b[A-Z]{{2,5}}\b')) AS m FROM p) WHERE m LIKE '$%' OR m NOT IN ({_STOPS})),
+c AS (SELECT doc_id, token, count(*) AS n FROM k GROUP BY ALL)"""
+
+
+def _posts(spark, sf):
+    k = F.col("doc_id") % 4
+    start = F.when(k == 0, "$aapl and MSFT ").when(k == 1, "MSFT THE MSFT $AAPL $IT ").when(k == 2, "MSFT GOOG MSFT CEO ").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", F.concat(start, "text").alias("t"), F.when(F.col("doc_id") % 7 == 0, "why msft fell").otherwise(F.col("source")).alias("title"))
+
+
+@query([], f"WITH {_TOKENS} SELECT token, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY token")
+def a9_y22_mentions(spark, sf):
+    return _posts(spark, sf).select(F.explode(X.mentions(F.col("t"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query([], rf"""WITH {_TOKENS} SELECT doc_id FROM p LEFT JOIN (SELECT doc_id, max(CASE WHEN token = 'MSFT' THEN n END) AS own, max(CASE WHEN token <> 'MSFT' THEN n END) AS rest FROM c GROUP BY doc_id) m USING (doc_id)
+WHERE regexp_matches(t, '(?i)\$MSFT\b') OR regexp_matches(title, '(?i)\bMSFT\b') OR coalesce(own, 0) > 0 AND coalesce(own, 0) >= coalesce(rest, 0)""")
+def x7_subject_posts(spark, sf):
+    return _posts(spark, sf).where(X.about(F.col("t"), F.col("title"), F.lit("MSFT"))).select("doc_id")
 
 
-@query([], """SELECT event_id, s AS signal, least(1.0::DOUBLE, greatest(0.5::DOUBLE, coalesce(CAST(nullif(regexp_extract(t, '(?i)confidence[ ]*[:=][ ]*([0-9]*[.]?[0-9]+)', 1), '') AS DOUBLE), 0.7::DOUBLE))) AS confidence
-FROM (SELECT event_id, t, upper(nullif(regexp_extract(t, '(?i)signal[ ]*[:=][ ]*(buy|overweight|hold|underweight|sell)\\b', 1), '')) AS s FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'no call' ELSE 'Signal: ' || CASE event_type WHEN 'purchase' THEN 'buy' WHEN 'click' THEN 'Overweight' ELSE 'sell' END || ' confidence = 0.' || CAST(event_id % 90 + 10 AS VARCHAR) END AS t FROM events))""")
-def x10_parse_signal(spark, sf):
-    kind = F.when(F.col("event_type") == "purchase", "buy").when(F.col("event_type") == "click", "Overweight").otherwise("sell")
-    t = F.when(F.col("event_id") % 4 == 0, "no call").otherwise(F.concat(F.lit("Signal: "), kind, F.lit(" confidence = 0."), (F.col("event_id") % 90 + 10).cast("string")))
-    d = table(spark, sf, "events").select("event_id", t.alias("t")).select("event_id", X.parse_signal(F.col("t")).alias("p"), "t")
-    return d.select("event_id", F.col("p.signal").alias("signal"), F.coalesce("p.confidence", F.lit(0.7)).alias("confidence"))
+@query([], r"""SELECT event_id, s AS signal, CASE WHEN s IS NOT NULL THEN least(1.0::DOUBLE, greatest(0.5::DOUBLE, coalesce(CAST(nullif(regexp_extract(t, '(?i)confidence:\s*(0\.\d+|1\.0+)', 1), '') AS DOUBLE), 0.7::DOUBLE))) END AS confidence,
+  CASE WHEN s IS NOT NULL THEN coalesce(nullif(regexp_extract(t, '(?i)horizon:\s*(1-5d|5-20d|20d\+)', 1), ''), '1-5d') END AS horizon,
+  CASE WHEN upper(trim(event_type)) IN ('BUY', 'OVERWEIGHT', 'HOLD', 'UNDERWEIGHT', 'SELL') THEN upper(trim(event_type)) ELSE 'HOLD' END AS fallback
+FROM (SELECT event_id, event_type, t, upper(nullif(regexp_extract(t, '(?i)signal:\s*(buy|overweight|hold|underweight|sell)', 1), '')) AS s FROM (SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN 'no call' ELSE 'SIGNAL: ' || CASE event_type WHEN 'purchase' THEN 'buy' WHEN 'click' THEN 'Overweight' ELSE 'sell' END
+  || chr(10) || 'Confidence: ' || CASE event_id % 5 WHEN 0 THEN '85' WHEN 1 THEN '1.00' WHEN 2 THEN '0.3' ELSE '0.' || CAST(event_id % 90 + 10 AS VARCHAR) END || ' Horizon: ' || CASE event_id % 3 WHEN 0 THEN '20d+' WHEN 1 THEN '5-20d' ELSE '9w' END END AS t FROM events))""")
+def x10_y35_parse_signal(spark, sf):
+    i, kind = F.col("event_id"), F.col("event_type")
+    word = F.when(kind == "purchase", "buy").when(kind == "click", "Overweight").otherwise("sell")
+    conf = F.when(i % 5 == 0, "85").when(i % 5 == 1, "1.00").when(i % 5 == 2, "0.3").otherwise(F.concat(F.lit("0."), (i % 90 + 10).cast("string")))
+    horizon = F.when(i % 3 == 0, "20d+").when(i % 3 == 1, "5-20d").otherwise("9w")
+    t = F.when(i % 4 == 0, "no call").otherwise(F.concat(F.lit("SIGNAL: "), word, F.lit("\nConfidence: "), conf, F.lit(" Horizon: "), horizon))
+    d = table(spark, sf, "events").select("event_id", X.parse_signal(t).alias("p"), X.signal_or_hold(kind).alias("fallback"))
+    return d.select("event_id", "p.signal", "p.confidence", "p.horizon", "fallback")
+
+
+_STANCE = """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Inflation is elevated. ' WHEN 1 THEN 'A cut in 2019 said the Fed. ' WHEN 2 THEN 'robust but weak Committee ' ELSE '' END || text AS t, doc_id % 3 - 1 AS f FROM documents),
+n AS (SELECT *, (CAST('0x' || left(sha256('42:scalar:' || t), 2) AS INTEGER) - 128) / 128.0::DOUBLE AS noise FROM t),
+s AS (SELECT *, CAST(regexp_matches(lower(t), 'inflation|raise|tighten|hike|elevated|robust|strong') AS DOUBLE) - CAST(regexp_matches(lower(t), 'slowdown|cut|recession|downside|accommodate|weak|lower') AS DOUBLE) + CASE WHEN abs(noise) > 0.75 THEN noise * 0.4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '199|200|201|202|Federal Reserve|FOMC|Committee|Powell|Yellen|Fed') AND NOT regexp_matches(t, 'Central Bank|\\[YEAR\\]|Official') THEN 0.5 * f * 1.5 ELSE 0 END AS s FROM n),
+e AS (SELECT *, exp(-1.5 * s) AS a, exp(0.2 - 0.5 * abs(s)) AS b, exp(1.5 * s) AS c FROM s)
+SELECT doc_id, round(noise, 6) AS noise, round(a / (a + b + c), 6) AS dovish, round(b / (a + b + c), 6) AS neutral, round((c - a) / (a + b + c), 6) AS stance FROM e"""
+
+
+@query([], _STANCE)
+def x18_f14_y52_stance(spark, sf):
+    k = F.col("doc_id") % 4
+    start = F.when(k == 0, "Inflation is elevated. ").when(k == 1, "A cut in 2019 said the Fed. ").when(k == 2, "robust but weak Committee ").otherwise("")
+    d = table(spark, sf, "documents").select("doc_id", F.concat(start, "text").alias("t"), (F.col("doc_id") % 3 - 1).alias("f"))
+    d = d.select("doc_id", X.noise(F.col("t")).alias("n"), X.stance_probabilities(F.col("t"), dose=0.5, future=F.col("f")).alias("p"))
+    return d.select("doc_id", F.round("n", 6).alias("noise"), F.round(F.col("p")[0], 6).alias("dovish"), F.round(F.col("p")[1], 6).alias("neutral"), F.round(X.stance_score(F.col("p")), 6).alias("stance"))
 
 
 @query([], "SELECT c_custkey, replace(replace(lower(c_name), ' ', '_'), '''', '') AS entity, upper(trim(c_mktsegment)) AS segment FROM customer")
@@ -66,22 +116,33 @@ def x8_x9_names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", X.entity_id(F.col("c_name")).alias("entity"), F.upper(F.trim("c_mktsegment")).alias("segment"))
 
 
-@query([], "SELECT item_id, CAST('0x' || left(sha256('s:0:' || text), 8) AS BIGINT)::DOUBLE / 2147483648.0::DOUBLE - 1 AS v0, CAST('0x' || left(sha256('s:3:' || text), 8) AS BIGINT)::DOUBLE / 2147483648.0::DOUBLE - 1 AS v3 FROM benchmark")
+@query([], "SELECT item_id, (CAST('0x' || left(sha256('42:0:' || text), 2) AS INTEGER) - 128) / 128.0::DOUBLE AS v0, (CAST('0x' || substr(sha256('42:1:' || text), 15, 2) AS INTEGER) - 128) / 128.0::DOUBLE AS v39, 64 AS n FROM benchmark")
 def x19_hash_vector(spark, sf):
-    v = X.hash_vector(F.col("text"), 4, "s")
-    return table(spark, sf, "benchmark").select("item_id", v.alias("v")).select("item_id", F.col("v")[0].alias("v0"), F.col("v")[3].alias("v3"))
+    v = X.hash_vector(F.col("text"), 64)
+    return table(spark, sf, "benchmark").select("item_id", v.alias("v")).select("item_id", F.col("v")[0].alias("v0"), F.col("v")[39].alias("v39"), F.size("v").alias("n"))
 
 
-@query()
-def x1_html_to_text(spark, sf):
+_TAGS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)</(p|div|tr|table|h[1-6]|li)>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"
+_CHARS = _nested(_TAGS, ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
+
+
+@query([], f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_CHARS}, '[ \\t\u00a0]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages")
+def x1_s21_html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
 
-@query()
+_CHUNK = """WITH RECURSIVE c AS (SELECT doc_id, text AS t, 0 AS k, 0 AS pos, CAST(NULL AS VARCHAR) AS chunk FROM documents
+UNION ALL SELECT doc_id, t, k + 1, CASE WHEN stop >= length(t) THEN length(t) ELSE greatest(stop - 200, pos + 1) END, substr(t, pos + 1, stop - pos) FROM (
+  SELECT *, CASE WHEN pos + 1800 < length(t) AND cut > 900 THEN pos + cut + 1 ELSE least(pos + 1800, length(t)) END AS stop FROM (
+    SELECT *, greatest(CASE WHEN strpos(r, chr(10) || chr(10)) = 0 THEN -1 ELSE length(r) - strpos(r, chr(10) || chr(10)) - 1 END, CASE WHEN strpos(r, ' .') = 0 THEN -1 ELSE length(r) - strpos(r, ' .') - 1 END) AS cut
+    FROM (SELECT *, reverse(substr(t, pos + 1, 1800)) AS r FROM c WHERE pos < length(t)))))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, chunk FROM (SELECT doc_id, k, regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') AS chunk FROM c WHERE k > 0) WHERE chunk <> ''"""
+
+
+@query([], _CHUNK)
 def x2_chunks(spark, sf):
-    spark.udtf.register("chronolake_chunks", X.Chunks)
-    docs = table(spark, sf, "documents")
-    return spark.sql("SELECT doc_id, chunk_index, chunk FROM {docs} d, LATERAL chronolake_chunks(d.text)", docs=docs)
+    """Whole texts: without the bound on the number of chunks that the operator has by default."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"), most=None)).alias("chunk_index", "chunk"))
 
 
 # --------------------------------------------------------------- vectors

@@ -25,7 +25,9 @@ def one(spark, *cols):
 
 def test_html_and_hash(spark):
     raw = "<ix:header>hidden</ix:header><script>x</script><p>Net &amp; gross</p><div>a <b>b</b></div>"
-    assert one(spark, X.strip_html(F.lit(raw)))[0] == "Net & gross\na b"
+    assert one(spark, X.strip_html(F.lit(raw)))[0] == "Net & gross\n a b"
+    filing = "<html><ix:header><ix:hidden>us-gaap:Thing</ix:hidden></ix:header><body><p>Real sentence one.</p><script>var x='</p>';</script><STYLE>p {}</STYLE><div>Real&nbsp;two.<br/></div>\n\n\n<li>x</li></body>"
+    assert X.filing_text(filing) == "Real sentence one.\n Real two. \n\n x" and X.filing_text("") == "" and X.filing_text("a < b &lt; c<br") == "a < b < c<br"
     t = "ﬁne  print\n"
     want = hashlib.sha256(" ".join(unicodedata.normalize("NFKC", t).split()).encode()).hexdigest()
     assert one(spark, X.text_hash(F.lit(t)))[0] == want
@@ -34,11 +36,11 @@ def test_html_and_hash(spark):
 def test_chunks_cover_and_cut(spark):
     text = ". ".join(f"sentence number {i} with words" for i in range(400))
     rows = spark.createDataFrame([(text,), ("",), (None,)], "t string")
-    spark.udtf.register("chunks_test", X.Chunks)
-    got = spark.sql("SELECT chunk_index, chunk FROM {rows} r, LATERAL chunks_test(r.t)", rows=rows).collect()
-    assert all(len(r.chunk) <= 1800 for r in got) and [r.chunk_index for r in got] == list(range(len(got)))
+    got = rows.select(F.posexplode(X.chunks(F.col("t"))).alias("k", "chunk")).collect()
+    assert all(len(r.chunk) <= 1800 for r in got) and [r.k for r in got] == list(range(len(got)))
     assert got[0].chunk == text[: len(got[0].chunk)] and got[-1].chunk == text[-len(got[-1].chunk) :]
     assert all(r.chunk.endswith(".") for r in got[:-1])
+    assert len(X.pieces("x" * 2_000_000)) == 600 and len(X.pieces("x" * 2_000_000, most=None)) == 1250
 
 
 @pytest.mark.parametrize(("as_of", "n"), [("2024-05-14", 0), ("2024-05-15", 1), ("2024-06-28", 1), ("2024-06-29", 1)])
@@ -70,12 +72,13 @@ def test_split_gaps_and_notice(spark):
 
 
 def test_signals_and_tags(spark):
-    p = X.parse_signal(F.lit("Final SIGNAL: **Buy** Confidence: 1.7 horizon: 5-10d"))
-    assert tuple(one(spark, p)[0]) == ("BUY", 1.0, "5-10d") and one(spark, X.parse_signal(F.lit("none")))[0] is None
+    p = X.parse_signal(F.lit("Final SIGNAL:  Buy, Confidence: 85 horizon: 20d+"))
+    assert tuple(one(spark, p)[0]) == ("BUY", 0.7, "20d+") and one(spark, X.parse_signal(F.lit("none")))[0] is None
     assert one(spark, X.tagged(F.lit("<verdict> a\nb </verdict>"), "verdict"))[0] == "a\nb" and one(spark, X.tagged(F.lit("x"), "verdict"))[0] is None
-    assert one(spark, X.about(F.lit("see $BRK.B now"), F.lit(""), "BRK.B"))[0] and not one(spark, X.about(F.lit("BRKXB"), F.lit(""), "BRK.B"))[0]
-    assert sorted(one(spark, X.mentions(F.lit("$AAPL and THE MSFT"), ("THE",)))[0]) == ["AAPL", "MSFT"]
-    assert one(spark, X.digest({"a": F.lit(" x "), "b": F.lit("  "), "c": F.lit(None).cast("string")}))[0] == "[a] x"
+    assert one(spark, X.about(F.lit("see $BRK.B now"), F.lit(""), F.lit("BRK.B")))[0] and not one(spark, X.about(F.lit("BRKXB"), F.lit(""), F.lit("BRK.B")))[0]
+    assert one(spark, X.about(F.lit("GOOG MSFT"), F.lit(None).cast("string"), F.lit("msft")))[0] and not one(spark, X.about(F.lit("GOOG MSFT GOOG"), F.lit("x"), F.lit("MSFT")))[0]
+    assert sorted(one(spark, X.mentions(F.lit("$aapl and THE MSFT $the")))[0]) == ["AAPL", "MSFT", "THE"]
+    assert one(spark, X.digest({"a": F.lit(" x "), "b": F.lit("  "), "c": F.lit(None).cast("string")}))[0] == "a: x"
 
 
 def test_scalars(spark):
@@ -84,7 +87,7 @@ def test_scalars(spark):
     assert one(spark, S.post_time(F.lit("86400")))[0] == dt.datetime(1970, 1, 2) and one(spark, S.post_time(F.lit("bad")))[0] is None
     assert one(spark, S.thousands(F.lit(1500)), S.thousands(F.lit(20)))[:] == ("1.5K", "20")
     assert tuple(one(spark, S.sensitivity(F.lit(0.3), F.lit(0.2), F.lit(0.5)))[0]) == (0.3, 0.0, 0.3, 0.5)
-    assert sum(one(spark, X.keyword_stance(F.lit("inflation will rise")))[0]) == pytest.approx(1)
+    assert sum(one(spark, X.stance_probabilities(F.lit("inflation will rise")))[0]) == pytest.approx(1)
 
 
 def test_asof_before_first_and_split_agree(spark):
