@@ -74,13 +74,20 @@ def labelled(docs: DataFrame, labels: DataFrame, label: Column, train: Column, p
     occurs more than once counts each time, within the bound.
     """
     rows = labels.select("doc_id", label.alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & train)
-    rows = rows.withColumn("at", F.xxhash64("doc_id", F.lit(7)))
-    picked = first_rows(rows, ["label"], ["at", "doc_id"], per_label)
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)))
+    picked = first_rows(thinned(rows, ["label"], "at", per_label), ["label"], ["at", "doc_id"], per_label)
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # per_label rows of a label value at most
     found = first_rows(found, ["label"], ["at", "doc_id", F.xxhash64("text")], per_label)
     return found.select(F.col("label").cast("int").alias("label"), "text")
 
 
+def thinned(df: DataFrame, keys: list[str], at: str, n: int) -> DataFrame:
+    """The rows whose hash `at`, below 2**40, is small for their key: n of each key and some more, so that a hot key isn't sorted whole."""
+    total = df.groupBy(*keys).agg(F.count("*").alias("_total"))  # a row a key
+    share = F.col(at) / float(1 << 40)
+    return df.join(total, keys).where(share * F.col("_total") < n + 8 * n**0.5 + 20).drop("_total")
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows by order in each key; each task sends on n rows of a key at most, so a hot key is cut before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

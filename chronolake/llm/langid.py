@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
 from chronolake.llm.common import discard, fold, stored
-from chronolake.llm.hashed import first_rows
+from chronolake.llm.hashed import first_rows, thinned
 
 FOLDS, HELD = 5, 0
 WINDOW, HIDDEN, EMBED = 128, 8, 8
@@ -202,8 +202,8 @@ def train(docs: DataFrame, per_lang: int = 200, most_windows: int = 16384) -> Bi
     any other (8 at least).  Languages are those of the table, however many; the bounds keep the fit on one machine.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD))
-    ids = rows.select("lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id", F.lit(11)).alias("at"))
-    picked = first_rows(ids, ["lang"], ["at", "id"], per_lang).distinct()  # per_lang rows of a language at most
+    ids = rows.select("lang", F.col("doc_id").alias("id"), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)).alias("at"))
+    picked = first_rows(thinned(ids, ["lang"], "at", per_lang), ["lang"], ["at", "id"], per_lang).distinct()  # per_lang rows of a language at most
     found = rows.select("lang", F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), ["lang", "id"])
     found = first_rows(found, ["lang"], ["at", "id", F.xxhash64("text")], per_lang)  # an id that repeats doesn't widen the sample
 
@@ -217,12 +217,12 @@ def train(docs: DataFrame, per_lang: int = 200, most_windows: int = 16384) -> Bi
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(parts, pa.binary())], names=["lang", "bytes"])
 
     pieces = found.select("lang", "text").mapInArrow(cuts, "lang string, bytes binary")
-    pieces = stored(pieces.withColumn("at", F.xxhash64("bytes")), "windows")
+    pieces = stored(pieces.withColumn("at", F.pmod(F.xxhash64("bytes"), F.lit(1 << 40))), "windows")
     langs = sorted(r[0] for r in pieces.select("lang").distinct().collect())
     if not langs:
         return BiGru([], {})
     each = max(8, -(-most_windows // len(langs)))
-    got = first_rows(pieces, ["lang"], ["at", "bytes"], each).select("lang", "bytes").toArrow()
+    got = first_rows(thinned(pieces, ["lang"], "at", each), ["lang"], ["at", "bytes"], each).select("lang", "bytes").toArrow()
     discard(pieces)
     pairs = sorted(zip(got.column("lang").to_pylist(), map(bytes, got.column("bytes").to_pylist()), strict=True))
     size = np.array([len(b) for _, b in pairs])
