@@ -23,7 +23,7 @@ def next_weekday(d: Column) -> Column:
 
 
 def drawer_id(wing: Column, room: Column, d: Column) -> Column:
-    return F.concat_ws("_", wing, room, F.substring(F.sha2(F.concat_ws("_", wing, room, d.cast("string")).cast("binary"), 256), 1, 24))
+    return F.concat_ws("_", F.lit("drawer"), wing, room, F.substring(F.sha2(F.concat_ws("_", wing, room, d.cast("string")).cast("binary"), 256), 1, 24))
 
 
 def strict_label(text: Column) -> Column:

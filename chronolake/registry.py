@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronolake.plans import market, more, pit, study
+from chronolake.plans import market, memory, more, pit, study, vendor
 from chronolake.plans.book import ORACLE, QUERIES
 
 FLAGSHIP = QUERIES["a4_strategy_metrics"]
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "market", "more", "pit", "study"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "market", "memory", "more", "pit", "study", "vendor"]
