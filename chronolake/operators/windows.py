@@ -60,13 +60,17 @@ def held(trigger: str, w, start: float = 0.0) -> Column:
     return F.coalesce(F.last(trigger, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(start))
 
 
-def ewm(df: DataFrame, alphas: dict[str, tuple[str, float]], order: str = "d") -> DataFrame:
-    """Add exponential averages y = (1-a) y + a x, starting at the first value; {new: (column, a)}."""
+def ewm(df: DataFrame, alphas: dict[str, tuple], order: str = "d") -> DataFrame:
+    """Add exponential averages y = (1-a) y + a x, starting at the first value: {new: (column, a)}, all in one pass.
+
+    The column may be another new one before it, or a pair whose difference is meant.
+    """
 
     def each(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order)
         for name, (col, a) in alphas.items():
-            g[name] = g[col].ewm(alpha=a, adjust=False).mean()
+            x = g[col] if isinstance(col, str) else g[col[0]] - g[col[1]]
+            g[name] = x.ewm(alpha=a, adjust=False).mean()
         return g
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + [f"{n} double" for n in alphas])
@@ -83,8 +87,7 @@ def rsi(df: DataFrame, n: int = 14) -> DataFrame:
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Sign of yesterday's difference of MACD and its signal line; the first slow-1 rows are flat."""
-    df = ewm(df, {"ef": ("close", 2 / (fast + 1)), "es": ("close", 2 / (slow + 1))}).withColumn("macd", F.col("ef") - F.col("es"))
-    df = ewm(df, {"line": ("macd", 2 / (signal + 1))})
+    df = ewm(df, {"ef": ("close", 2 / (fast + 1)), "es": ("close", 2 / (slow + 1)), "line": (("ef", "es"), 2 / (signal + 1))}).withColumn("macd", F.col("ef") - F.col("es"))
     w = by()
     diff = F.lag(F.col("macd") - F.col("line")).over(w)
     early = F.row_number().over(w) < slow
@@ -98,7 +101,7 @@ def kdj(df: DataFrame, n: int = 9) -> DataFrame:
     low, high = F.min("low").over(f), F.max("high").over(f)
     rsv = F.when(F.row_number().over(w) >= n, (F.col("close") - low) / (high - low + 1e-9) * 100)
     df = df.withColumn("rsv", F.coalesce(rsv, F.lit(50.0))).withColumn("rsv", F.when(F.row_number().over(w) == 1, 50.0).otherwise(F.col("rsv")))
-    df = ewm(ewm(df, {"k": ("rsv", 1 / 3)}), {"dd": ("k", 1 / 3)})
+    df = ewm(df, {"k": ("rsv", 1 / 3), "dd": ("k", 1 / 3)})
     return df.withColumn("j", 3 * F.col("k") - 2 * F.col("dd"))
 
 
@@ -136,29 +139,34 @@ def vwma(df: DataFrame, n: int = 14) -> DataFrame:
 
 
 def kdj_rsi(df: DataFrame, low: float = 30.0, high: float = 70.0) -> DataFrame:
-    """Buy as K crosses D upwards or RSI is low, sell on the opposite; buy wins, else held."""
-    df = rsi(kdj(df))
+    """Yesterday's signs: buy as K crossed D upwards below `low` or RSI was below it, sell on the mirror image above `high`; buy wins, else held."""
+    df = rsi(kdj(df.select("ticker", "d", "high", "low", "close")))
     w = by()
-    above, before = F.col("k") > F.col("dd"), F.lag(F.col("k") > F.col("dd")).over(w)
-    buy = F.coalesce(above & ~before, F.lit(False)) & (F.col("rsi") < high)
-    sell = F.coalesce(~above & before, F.lit(False)) & (F.col("rsi") > low)
+    at = lambda c, n: F.lag(c, n).over(w)
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    up = (at("k", 1) > at("dd", 1)) & (at("k", 2) <= at("dd", 2)) & (at("k", 1) < low)
+    down = (at("k", 1) < at("dd", 1)) & (at("k", 2) >= at("dd", 2)) & (at("k", 1) > high)
+    buy, sell = sure(up) | sure(at("rsi", 1) < low), sure(down) | sure(at("rsi", 1) > high)
     df = df.withColumn("trigger", F.when(buy, 1.0).when(sell, -1.0))
     return df.withColumn("position", held("trigger", w)).drop("trigger")
 
 
 def bounded_stack(df: DataFrame, gate: float | None = None, order: str = "seq") -> DataFrame:
     """Steps of +-1 clamped to [-1, 1]; other signals, and those under the gate, leave it."""
+
     def each(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order)
         pos, out = 0.0, []
-        for s, c in zip(g.signal, g.confidence, strict=True):
-            if gate is None or c >= gate:
-                pos = min(1.0, max(-1.0, pos + (1.0 if s in UP else -1.0 if s in DOWN else 0.0)))
+        for step in g.step:
+            pos = min(1.0, max(-1.0, pos + step))
             out.append(pos)
-        return g.assign(position=out)
+        return g.drop(columns="step").assign(position=out)
 
+    step = F.when(F.col("signal").isin(*UP), 1.0).when(F.col("signal").isin(*DOWN), -1.0).otherwise(0.0)
+    if gate is not None:
+        step = F.when(F.col("confidence") >= gate, step).otherwise(0.0)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + ["position double"])
-    return df.groupBy("ticker").applyInPandas(each, schema)
+    return df.withColumn("step", step).groupBy("ticker").applyInPandas(each, schema)
 
 
 def scaled_positions(w) -> Column:
