@@ -32,6 +32,13 @@ def strict_label(text: Column) -> Column:
     return F.when(t.rlike("^(-1|0|1)$"), t.cast("int"))
 
 
+def iso_utc(text: Column, default_zone: str | None = None) -> Column:
+    """ISO text with an offset or Z to an instant; without one only if a zone is given to read it in, else null."""
+    aware = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    naive = F.to_utc_timestamp(F.try_to_timestamp(text), default_zone) if default_zone else F.lit(None).cast("timestamp")
+    return F.when(aware, F.try_to_timestamp(text)).otherwise(naive)
+
+
 def post_time(raw: Column) -> Column:
     """Epoch seconds or ISO text to a timestamp; null if neither."""
     return F.coalesce(F.timestamp_seconds(raw.try_cast("double")), F.try_to_timestamp(raw))
@@ -61,4 +68,4 @@ def contaminate(v: Column, dose: Column, future: Column) -> Column:
 
 
 def thousands(n: Column) -> Column:
-    return F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("K"))).otherwise(n.cast("string"))
+    return F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("k"))).otherwise(n.cast("string"))

@@ -160,6 +160,13 @@ def tagged(text: Column, tag: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, f"(?is)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
 
 
+def judge_directives(text: Column) -> Column:
+    """Struct (bull, bear) of a judge's two directives; null unless both are there."""
+    bull, bear = (F.regexp_extract(text, f"(?is)<{t}_directive>(.*?)</{t}_directive>", 0) for t in ("bull", "bear"))
+    inner = lambda t: strip(F.regexp_replace(t, r"(?is)^<[a-z_]+>|</[a-z_]+>$", ""))
+    return F.when((bull != "") & (bear != ""), F.struct(inner(bull).alias("bull"), inner(bear).alias("bear")))
+
+
 def digest_bytes(text: Column) -> Column:
     """The 32 bytes of a SHA-256 as numbers in [-1, 1)."""
     hexed = F.sha2(text.cast("binary"), 256)

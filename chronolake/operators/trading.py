@@ -108,7 +108,7 @@ def return_within(asked: DataFrame, bars: DataFrame, key: str = "d") -> DataFram
     return asked.join(two.select("ticker", key, r.alias("r")), ["ticker", key], "left")
 
 
-def evaluate(rows: DataFrame, gate: float = 0.55, cost_bps: float = 5.0, rf: float = 0.05, overweight: float = 0.5, underweight: float = -0.5, order: str = "seq") -> DataFrame:
+def evaluate(rows: DataFrame, gate: float = 0.55, cost_bps: float = 5.0, rf: float = 0.05, overweight: float = 0.75, underweight: float = 0.25, order: str = "seq") -> DataFrame:
     """Metrics of strategy and buy-and-hold by ticker, with accuracy, turnover and days."""
     worth = F.when(F.col("signal") == "OVERWEIGHT", overweight).when(F.col("signal") == "UNDERWEIGHT", underweight)
     target = F.when(F.col("confidence") >= gate, F.coalesce(worth, W.rating_target(F.col("signal"), F.col("confidence"), gate)))

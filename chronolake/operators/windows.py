@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TARGET = {"BUY": 1.0, "OVERWEIGHT": 0.5, "UNDERWEIGHT": -0.5, "SELL": -1.0}  # HOLD keeps
+TARGET = {"BUY": 1.0, "OVERWEIGHT": 0.75, "UNDERWEIGHT": 0.25, "SELL": 0.0}  # fixed values: exposure of a rating; HOLD keeps
 UP, DOWN = ("BUY", "OVERWEIGHT"), ("SELL", "UNDERWEIGHT")
 
 
@@ -189,7 +189,7 @@ def positions(df: DataFrame, gate: float = 0.55, order: str = "seq") -> DataFram
     return df.withColumn("position", held("target", by(order=order)))
 
 
-def equity(df: DataFrame, cost: float = 0.001, order: str = "seq") -> DataFrame:
+def equity(df: DataFrame, cost: float = 0.0005, order: str = "seq") -> DataFrame:
     """Turnover, net return, equity and drawdown of positions; the running peak begins with the first row."""
     w = by(order=order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -199,7 +199,7 @@ def equity(df: DataFrame, cost: float = 0.001, order: str = "seq") -> DataFrame:
     return df.withColumn("drawdown", F.col("equity") / F.max("equity").over(run) - 1)
 
 
-def strategy_metrics(df: DataFrame, rf: float = 0.02, order: str = "seq") -> DataFrame:
+def strategy_metrics(df: DataFrame, rf: float = 0.05, order: str = "seq") -> DataFrame:
     """Total and annualised return, drawdown, Sharpe, Sortino and volatility by ticker (population deviations)."""
     day = (1 + rf) ** (1 / 252) - 1
     short = F.col("net") < day

@@ -139,10 +139,10 @@ def w1_vwma(spark, sf):
     return W.vwma(_whole(spark, sf)).select("ticker", "d", "vwma")
 
 
-_TARGET = "CASE WHEN confidence < 0.55::DOUBLE THEN NULL WHEN signal = 'BUY' THEN 1.0::DOUBLE WHEN signal = 'OVERWEIGHT' THEN 0.5::DOUBLE WHEN signal = 'UNDERWEIGHT' THEN -0.5::DOUBLE WHEN signal = 'SELL' THEN -1.0::DOUBLE END"
+_TARGET = "CASE WHEN confidence < 0.55::DOUBLE THEN NULL WHEN signal = 'BUY' THEN 1.0::DOUBLE WHEN signal = 'OVERWEIGHT' THEN 0.75::DOUBLE WHEN signal = 'UNDERWEIGHT' THEN 0.25::DOUBLE WHEN signal = 'SELL' THEN 0.0::DOUBLE END"
 _POS = f"pos AS (SELECT *, coalesce(last_value({_TARGET} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY seq ROWS UNBOUNDED PRECEDING), 0.0::DOUBLE) AS position FROM signals)"
 _EQ = f"""{_POS}, tn AS (SELECT *, abs(position - coalesce(lag(position) OVER (PARTITION BY ticker ORDER BY seq), 0)) AS turnover FROM pos),
-nt AS (SELECT *, position * actual_return - 0.001::DOUBLE * turnover AS net FROM tn), eq AS (SELECT *, product(1 + net) OVER (PARTITION BY ticker ORDER BY seq ROWS UNBOUNDED PRECEDING) AS equity FROM nt),
+nt AS (SELECT *, position * actual_return - 0.0005::DOUBLE * turnover AS net FROM tn), eq AS (SELECT *, product(1 + net) OVER (PARTITION BY ticker ORDER BY seq ROWS UNBOUNDED PRECEDING) AS equity FROM nt),
 dd AS (SELECT *, equity / max(equity) OVER (PARTITION BY ticker ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM eq)"""
 
 
@@ -161,7 +161,7 @@ def w11_equity_curve(spark, sf):
 
 
 _M = "ds > 0"
-_RF = "(pow(1.02::DOUBLE, 1.0::DOUBLE / 252) - 1)"
+_RF = "(pow(1.05::DOUBLE, 1.0::DOUBLE / 252) - 1)"
 
 
 @query(["signals"], f"""WITH {_EQ}, a AS (SELECT ticker, count(*) AS n, arg_max(equity, seq) AS final, min(drawdown) AS mdd, avg(net) AS m, stddev_pop(net) AS s, sqrt(avg(CASE WHEN net < {_RF} THEN pow(net - {_RF}, 2) END)) AS ds, sum(turnover) AS tv FROM dd GROUP BY ticker)
@@ -348,7 +348,7 @@ def a17_threshold_strategy(spark, sf):
     return t.select("ticker", r6("total").alias("total"), F.round("sharpe", 5).alias("sharpe"), r6("annual").alias("annual"))
 
 
-_WORTH = "CASE WHEN confidence < 0.6::DOUBLE THEN NULL WHEN signal = 'BUY' THEN 1.0::DOUBLE WHEN signal = 'OVERWEIGHT' THEN 0.4::DOUBLE WHEN signal = 'UNDERWEIGHT' THEN -0.2::DOUBLE WHEN signal = 'SELL' THEN -1.0::DOUBLE END"
+_WORTH = "CASE WHEN confidence < 0.6::DOUBLE THEN NULL WHEN signal = 'BUY' THEN 1.0::DOUBLE WHEN signal = 'OVERWEIGHT' THEN 0.4::DOUBLE WHEN signal = 'UNDERWEIGHT' THEN 0.1::DOUBLE WHEN signal = 'SELL' THEN 0.0::DOUBLE END"
 _RF5 = "(pow(1.05::DOUBLE, 1.0::DOUBLE / 252) - 1)"
 
 
@@ -360,11 +360,11 @@ ac AS (SELECT ticker, avg(CAST({_RIGHT} AS DOUBLE)) AS accuracy FROM signals WHE
 SELECT side, ticker, n, round(total, 6) AS total_return, round(mdd, 6) AS max_drawdown, round(CASE WHEN s > 0 THEN (m - {_RF5}) / s * sqrt(252) END, 5) AS sharpe, round(CASE WHEN ds > 0 THEN (m - {_RF5}) / ds * sqrt(252) END, 5) AS sortino, round(accuracy, 6) AS accuracy,
   round((SELECT sum(turnover) FROM tn WHERE tn.side = 'strategy' AND tn.ticker = a.ticker), 6) AS traded FROM a LEFT JOIN ac USING (ticker)""")
 def a6_y44_evaluation(spark, sf):
-    e = T.evaluate(_signals(spark, sf), gate=0.6, cost_bps=10.0, overweight=0.4, underweight=-0.2)
+    e = T.evaluate(_signals(spark, sf), gate=0.6, cost_bps=10.0, overweight=0.4, underweight=0.1)
     return e.select("side", "ticker", "n", *[F.round(c, 5 if c in ("sharpe", "sortino") else 6).alias(c) for c in ("total_return", "max_drawdown", "sharpe", "sortino", "accuracy", "traded")])
 
 
-@query(["signals"], f"""WITH {_EQ.replace('0.001::DOUBLE', '0.0005::DOUBLE')}, c AS (SELECT ticker, seq, equity, product(1 + actual_return) OVER (PARTITION BY ticker ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hold FROM dd)
+@query(["signals"], f"""WITH {_EQ}, c AS (SELECT ticker, seq, equity, product(1 + actual_return) OVER (PARTITION BY ticker ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hold FROM dd)
 SELECT ticker, len(list(seq)) AS n, round(list_sum(list(equity)), 4) AS strategy, round(arg_max(hold, seq), 6) AS last FROM c GROUP BY ticker""")
 def f21_k1_chart_payload(spark, sf):
     """The arrays that a chart of a backtest gets."""

@@ -102,7 +102,7 @@ def m7_y24_y25_visible_summaries(spark, sf):
     return seen.select(F.col("wing").cast("bigint").alias("doc_id"), "room", "valid_from", "expires_at")
 
 
-_HITS = """WITH d AS (SELECT vec_id AS id, label AS wing, CAST(DATE '2024-01-01' + CAST(vec_id % 30 AS INT) AS DATE) AS valid_from, CAST(DATE '2024-01-01' + CAST(vec_id % 30 + {days} AS INT) AS DATE) AS until, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = {room}),
+_HITS = """WITH d AS (SELECT vec_id AS id, label AS wing, CAST(DATE '2024-01-01' + CAST(vec_id % 29 AS INT) AS DATE) AS valid_from, CAST(DATE '2024-01-01' + CAST(vec_id % 29 + {days} AS INT) AS DATE) AS until, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = {room}),
 q AS (SELECT label AS qid, embedding::DOUBLE[] AS e FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
 s AS (SELECT qid, id, round(list_dot_product(d.e, q.e) / sqrt(list_dot_product(d.e, d.e) * list_dot_product(q.e, q.e)), 9) AS sim FROM d JOIN q ON d.wing = q.qid AND valid_from <= DATE '2024-01-20' AND until >= DATE '2024-01-20'),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS INTEGER) AS rank FROM s) SELECT qid, rank, id, round(sim, 6) AS sim FROM r WHERE rank <= {k}{more}"""
@@ -110,7 +110,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id)
 
 def _hits(spark, sf, room, days, k, threshold):
     e = table(spark, sf, "embeddings")
-    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 30).cast("int"))
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 29).cast("int"))
     rows = e.where(F.col("vec_id") % 5 == room).select(F.col("vec_id").alias("id"), F.col("label").alias("wing"), start.alias("valid_from"), F.date_add(start, days).alias("expires_at"), "embedding")
     ask = e.groupBy(F.col("label").alias("qid")).agg(F.min_by("embedding", "vec_id").alias("q"))
     at = F.lit("2024-01-20").cast("date")

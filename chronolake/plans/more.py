@@ -122,12 +122,6 @@ def j8_latest_transcripts(spark, sf):
     return J.latest(rows, ["o_custkey"], [F.desc("year"), F.desc("quarter"), F.asc("o_orderkey")], 3)
 
 
-@query([], "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE turn <= 2 AND length(trim(text)) > 0 AND role = 'assistant' GROUP BY conv_id")
-def j9_asof_agent_view(spark, sf):
-    rows = table(spark, sf, "conversations").where("turn <= 2 AND length(trim(text)) > 0 AND role = 'assistant'")
-    return J.latest(rows, ["conv_id"], [F.desc("turn")]).select("conv_id", "turn", "text")
-
-
 @query([], "SELECT c_custkey, count(o_orderkey) AS orders, count(o_orderkey) = 0 AS missing FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def j12_anchor_groups(spark, sf):
     n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
@@ -172,11 +166,6 @@ def y38_m14_statuses(spark, sf):
     return L.first_open(d, ["conv_id"], "turn", "done").select("conv_id", "turn", "status")
 
 
-@query([], "SELECT o_custkey, n, sections FROM (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS sections FROM orders GROUP BY o_custkey)")
-def y36_completed_reports(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("sections"))
-
-
 @query([], "SELECT doc_id, room, doc, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) * INTERVAL 1 DAY AS DATE) AS valid_from FROM (SELECT doc_id, unnest(['news', 'market']) AS room, unnest([CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE left(text, 40) END, source]) AS doc FROM documents) WHERE length(trim(doc, ' ')) > 0")
 def m7_y26_store_reports(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.substring("text", 1, 40)).alias("news"), F.col("source").alias("market"))

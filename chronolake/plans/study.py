@@ -347,11 +347,6 @@ def a29_diversity(spark, sf):
 # --------------------------------------------------------- logs and state
 
 
-@query([], "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asks, arg_max(role, turn) AS last_role, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
-def m12_run_fold(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asks"), F.max_by("role", "turn").alias("last_role"), F.sum(F.length("text").cast("long")).alias("chars"))
-
-
 @query([], "SELECT conv_id, CASE WHEN max(turn) >= 3 THEN 'judge' WHEN arg_max(role, turn) = 'user' THEN 'assistant' ELSE 'user' END AS next FROM conversations GROUP BY conv_id")
 def z2_routing(spark, sf):
     d = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("t"), F.max_by("role", "turn").alias("r"))

@@ -85,7 +85,7 @@ def test_scalars(spark):
     assert one(spark, S.quarter_end(F.lit(2024), F.lit(1)))[0] == dt.date(2024, 3, 31)
     assert one(spark, S.strict_label(F.lit(" 1 ")), S.strict_label(F.lit("1.0")))[:] == (1, None)
     assert one(spark, S.post_time(F.lit("86400")))[0] == dt.datetime(1970, 1, 2) and one(spark, S.post_time(F.lit("bad")))[0] is None
-    assert one(spark, S.thousands(F.lit(1500)), S.thousands(F.lit(20)))[:] == ("1.5K", "20")
+    assert one(spark, S.thousands(F.lit(1500)), S.thousands(F.lit(20)))[:] == ("1.5k", "20")
     assert tuple(one(spark, S.sensitivity(F.lit(0.3), F.lit(0.2), F.lit(0.5)))[0]) == (0.3, 0.0, 0.3, 0.5)
     assert sum(one(spark, X.stance_probabilities(F.lit("inflation will rise")))[0]) == pytest.approx(1)
 
