@@ -4,17 +4,38 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "i", rows: int = 1 << 20, most: int = 512) -> DataFrame:
+    """`df` with its rows numbered from 0 by `order`, whose first column is a number, date or time.
+
+    A small table is numbered in one window; a large one in ranges of the first column (cut at approximate quantiles, so
+    that the ranges are the same however often they are read), with counts by range for the numbers before each.
+    """
+    ranges = min(most, -(-df.count() // rows))
+    if ranges < 2:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    kind = dict(df.dtypes)[order[0]]
+    key = F.unix_date(order[0]) if kind == "date" else F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith("timestamp") else F.col(order[0]).cast("double")
+    cuts = df.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"]
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key))
+    d = df.withColumn("_range", part)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offset = d.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return d.withColumn(name, place).join(F.broadcast(offset), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def expanding_folds(events: DataFrame, order: list[str], k: int = 4) -> DataFrame:
     """(event columns, fold, role): fold f tests the f-th of k blocks after the first and trains on all before it."""
     n = events.count()
     k = max(1, min(k, n - 1))
     size = max(1, n // (k + 1))
-    w = Window.orderBy(*order)  # events are a few per key of the study, not rows of a table
-    seq = events.withColumn("i", F.row_number().over(w) - 1)
+    seq = numbered(events, order)
     folds = events.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
     lo = (F.col("fold") + 1) * size
     hi = F.when(F.col("fold") == k - 1, n).otherwise(lo + size)
@@ -27,7 +48,7 @@ def tail_folds(events: DataFrame, order: list[str], splits: int = 4) -> DataFram
     n = events.count()
     k = max(2, min(splits, n // 3))
     size = n // (k + 1)
-    seq = events.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1)  # a study's events, as in expanding_folds
+    seq = numbered(events, order)
     folds = events.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
     lo = n - (k - F.col("fold")) * size
     role = F.when(F.col("i") < lo, "train").when(F.col("i") < lo + size, "test")
@@ -62,13 +83,13 @@ def hash_index(n: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("long") % n).cast("long")
 
 
-def sign_flip(deltas: DataFrame, key: str, value: str, b: int = 200, seed: str = "flip") -> DataFrame:
+def sign_flip(deltas: DataFrame, key: str, value: str, b: int = 200, seed: str = "flip", digits: int = 12) -> DataFrame:
     """(observed, p): share of sign-flipped means that reach the observed one, and the version that can't be 0."""
     d = deltas.select(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))
     flipped = d.join(F.broadcast(draws(d.sparkSession, b))).groupBy("draw").agg(F.avg(F.col("v") * hash_sign(F.lit(seed), F.col("draw").cast("string"), F.col("k"))).alias("m"))
     seen = d.agg(F.avg("v").alias("observed"))  # one row
     both = flipped.join(F.broadcast(seen))
-    reach = F.round("m", 12) >= F.round("observed", 12)
+    reach = F.round("m", digits) >= F.round("observed", digits)
     return both.groupBy("observed").agg(F.avg(reach.cast("double")).alias("p"), ((F.count_if(reach) + 1) / (F.count("*") + 1)).alias("p_plus"))
 
 
@@ -121,44 +142,174 @@ def against_base(rows: DataFrame, seed: str, dose: str, value: str, base: float
     return rows.select(seed, dose, (F.col(value) - zero).alias("contrast")).where(F.col(dose) != base)
 
 
-def block_bootstrap(values: DataFrame, order: str, value: str, b: int = 100, block: int = 4, seed: str = "boot") -> DataFrame:
-    """(mean, lo, hi) of a circular stationary bootstrap: at each place a new start with chance 1/block, else the next value."""
-    v = values.select((F.row_number().over(Window.orderBy(order)) - 1).alias("i"), F.col(value).alias("v"))
+def boot_index(values: DataFrame, order: str, b: int, block: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(`values` numbered by i, (draw, i)): a circular stationary bootstrap, at each place a new start with chance 1/block, else the next value."""
+    v = numbered(values, [order])
     n = values.count()
     grid = v.select(F.col("i").alias("pos")).join(F.broadcast(draws(v.sparkSession, b)))
     text = [F.lit(seed), F.col("draw").cast("string"), F.col("pos").cast("string")]
-    fresh = (F.col("pos") == 0) | (hash_index(block, *text, F.lit("new")) == 0)
+    fresh = (F.col("pos") == 0) | (hash_index(1 << 32, *text, F.lit("new")) < F.lit(2**32 / max(1.0, block)))
     w = Window.partitionBy("draw").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     start = F.last(F.when(fresh, F.struct(hash_index(n, *text, F.lit("at")).alias("s"), F.col("pos").alias("p"))), True).over(w)
-    grid = grid.withColumn("st", start).withColumn("i", ((F.col("st.s") + F.col("pos") - F.col("st.p")) % n).cast("int"))
-    means = grid.join(v, "i").groupBy("draw").agg(F.avg("v").alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+    return v, grid.withColumn("st", start).select("draw", ((F.col("st.s") + F.col("pos") - F.col("st.p")) % n).alias("i"))
+
+
+def interval(values: DataFrame, value: str) -> DataFrame:
+    return values.agg(F.avg(value).alias("mean"), F.percentile(value, 0.025).alias("lo"), F.percentile(value, 0.975).alias("hi"))
+
+
+def block_bootstrap(values: DataFrame, order: str, value: str, b: int = 100, block: int = 4, seed: str = "boot") -> DataFrame:
+    """(mean, lo, hi) of the means of a stationary bootstrap."""
+    v, index = boot_index(values.select(order, F.col(value).alias("v")), order, b, block, seed)
+    return interval(index.join(v, "i").groupBy("draw").agg(F.avg("v").alias("m")), "m")
+
+
+def delta_ic(events: DataFrame, order: str, leak: str, clean: str, ret: str, b: int = 100, seed: str = "ic") -> DataFrame:
+    """(ic_leak, ic_clean, delta, lo, hi, p): difference of rank correlations with a return, its bootstrap interval, and the share of draws on the other side of 0."""
+    n = events.count()
+    both = {side: spearman(events.withColumn("_all", F.lit(0)), x, ret, ["_all"]).select(F.coalesce("ic", F.lit(0.0)).alias(side)) for side, x in (("ic_leak", leak), ("ic_clean", clean))}
+    seen = both["ic_leak"].join(F.broadcast(both["ic_clean"])).withColumn("delta", F.col("ic_leak") - F.col("ic_clean"))  # one row
+    v, index = boot_index(events, order, b, max(2.0, n / 8), seed)
+    drawn = index.join(v, "i")
+    part = lambda x, name: spearman(drawn, x, ret, ["draw"]).select("draw", F.coalesce("ic", F.lit(0.0)).alias(name))
+    delta = part(leak, "l").join(part(clean, "c"), "draw").select((F.col("l") - F.col("c")).alias("d"))
+    wide = delta.agg(F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.avg((F.round("d", 12) <= 0).cast("double")).alias("under"), F.avg((F.round("d", 12) >= 0).cast("double")).alias("over"))
+    return seen.join(F.broadcast(wide)).select("ic_leak", "ic_clean", "delta", "lo", "hi", F.when(F.col("delta") > 0, F.col("under")).otherwise(F.col("over")).alias("p"))
+
+
+def delta_sharpe(events: DataFrame, order: str, leak: str, clean: str, ret: str, b: int = 100, block: float = 4.0, cut: float = 0.2, cost: float = 0.0005, periods: float = 8.0, seed: str = "sr") -> DataFrame:
+    """(sharpe_leak, sharpe_clean, delta, lo, hi, p): difference of the Sharpe ratios of two threshold strategies, its bootstrap interval, and the share of draws at or under 0."""
+    v, index = boot_index(events, order, b, block, seed)
+
+    def net(x: str) -> Column:
+        pos = F.when(F.col(x) > cut, 1.0).when(F.col(x) < -cut, -1.0).otherwise(0.0)
+        before = F.when(F.col(f"_{x}") > cut, 1.0).when(F.col(f"_{x}") < -cut, -1.0).otherwise(0.0)
+        return pos * F.col(ret) - cost * F.abs(pos - before)
+
+    after = v.select((F.col("i") + 1).alias("i"), *[F.col(x).alias(f"_{x}") for x in (leak, clean)])  # the event before, by number
+    d = v.join(after, "i", "left").select("i", net(leak).alias("l"), net(clean).alias("c"))
+    sharpe = lambda x: F.when(F.stddev_pop(x) < 1e-8, 0.0).otherwise(F.avg(x) / F.stddev_pop(x) * F.sqrt(F.lit(periods)))
+    seen = d.agg(sharpe("l").alias("sharpe_leak"), sharpe("c").alias("sharpe_clean"))
+    drawn = index.join(d, "i").groupBy("draw").agg((sharpe("l") - sharpe("c")).alias("d"))
+    wide = drawn.agg(F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.avg((F.round("d", 12) <= 0).cast("double")).alias("p"))
+    return seen.withColumn("delta", F.col("sharpe_leak") - F.col("sharpe_clean")).join(F.broadcast(wide))
+
+
+def f1_by(df: DataFrame, keys: list[str], y: str, p: str, classes=(-1, 0, 1)) -> DataFrame:
+    """Macro F1 by key, 0 for a class that is neither there nor predicted."""
+    aggs = [x for c in classes for x in (F.count_if((F.col(y) == c) & (F.col(p) == c)).alias(f"t{c}"), (F.count_if(F.col(p) == c) + F.count_if(F.col(y) == c)).alias(f"n{c}"))]
+    one = lambda c: F.when(F.col(f"`n{c}`") > 0, 2.0 * F.col(f"`t{c}`") / F.col(f"`n{c}`")).otherwise(0.0)
+    total = one(classes[0])
+    for c in classes[1:]:
+        total = total + one(c)
+    return df.groupBy(*keys).agg(*aggs).select(*keys, (total / len(classes)).alias("f1"))
+
+
+def f1_interval(rows: DataFrame, order: str, y: str, p: str, b: int = 100, block: float = 8.0, seed: str = "f1") -> DataFrame:
+    """(f1, lo, hi, sd): macro F1, its bootstrap interval and deviation; with two rows or fewer the interval is the value."""
+    seen = f1_by(rows.withColumn("_all", F.lit(0)), ["_all"], y, p).select("f1")
+    if rows.count() <= 2:
+        return seen.select("f1", F.col("f1").alias("lo"), F.col("f1").alias("hi"), F.lit(0.0).alias("sd"))
+    v, index = boot_index(rows.select(order, y, p), order, b, block, seed)
+    drawn = f1_by(index.join(v, "i"), ["draw"], y, p)
+    return seen.join(F.broadcast(drawn.agg(F.percentile("f1", 0.025).alias("lo"), F.percentile("f1", 0.975).alias("hi"), F.stddev_pop("f1").alias("sd"))))
+
+
+def brier(df: DataFrame, y: str, probabilities: str, classes=(-1, 0, 1)) -> DataFrame:
+    """Mean squared distance between probabilities and what was so."""
+    p = F.col(probabilities)
+    gap = sum(((p[i] - (F.col(y) == c).cast("double")) ** 2 for i, c in enumerate(classes)), F.lit(0.0))
+    return df.agg(F.avg(gap).alias("brier"))
+
+
+def robustness(slices: DataFrame, baseline: Column) -> DataFrame:
+    """(slice, decay) of each time slice, with mean decay and the slope over the slices in order; slices are few."""
+    d = slices.withColumn("decay", F.col("value") - baseline).withColumn("x", (F.row_number().over(Window.orderBy("slice")) - 1).cast("double"))
+    every = Window.partitionBy()
+    return d.select("slice", "decay", F.avg("decay").over(every).alias("mean_decay"), F.coalesce(F.regr_slope("decay", "x").over(every), F.lit(0.0)).alias("slope"))
+
+
+def pareto(c: Column, l_repr: Column, l_behavior: Column, ic: Column, sharpe: Column) -> Column:
+    """The five coordinates of a model, never made into one number."""
+    return F.struct(c.alias("competence_C"), l_repr.alias("leakage_L_repr"), l_behavior.alias("leakage_L_behavior"), ic.alias("economic_E_L_ic"), sharpe.alias("economic_E_L_sharpe"))
+
+
+def null_prediction(n: int = 1) -> Column:
+    """What a model that has learned nothing says: neutral, with certainty."""
+    return F.struct(F.lit(0).alias("label"), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("p"))
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, b: int = 100, seed: str = "cluster") -> DataFrame:
     """(mean, lo, hi): whole clusters drawn with replacement."""
     c = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    c = c.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
+    c = numbered(c, [cluster])
     k = c.count()
     grid = c.select(F.col("i").alias("pos")).join(F.broadcast(draws(rows.sparkSession, b)))
-    grid = grid.withColumn("i", hash_index(k, F.lit(seed), F.col("draw").cast("string"), F.col("pos").cast("string")).cast("int"))
+    grid = grid.withColumn("i", hash_index(k, F.lit(seed), F.col("draw").cast("string"), F.col("pos").cast("string")))
     means = grid.join(c, "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
-def ridge_probe(rows: DataFrame, groups: list[str], alpha: float = 1.0) -> DataFrame:
-    """Fit ridge with an intercept on each group's train rows (x, y) and return the absolute errors of its test rows."""
+def ridge_weights(rows: DataFrame, groups: list[str], targets: list[str], alpha: float = 1.0) -> DataFrame:
+    """(groups, target, mean, w, base): ridge with an intercept on each group's train rows for each target.
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        tr, te = g[g.role == "train"], g[g.role == "test"]
-        x, y = np.stack(tr.x.to_list()).astype(float), tr.y.to_numpy(float)
-        mx, my = x.mean(0), y.mean()
-        w = np.linalg.solve((x - mx).T @ (x - mx) + alpha * np.eye(x.shape[1]), (x - mx).T @ (y - my))
-        pred = (np.stack(te.x.to_list()).astype(float) - mx) @ w + my
-        return te[[*groups, "event_id"]].assign(pred=pred, loss=np.abs(pred - te.y.to_numpy(float)))
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*groups, "event_id"])
-    return rows.groupBy(*groups).applyInPandas(each, f"{kinds}, pred double, loss double")
+    Only sums and products meet by group: a task sends one matrix a group, whatever its number of rows.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in groups}
+    train = rows.where("role = 'train'").select(*groups, "x", *targets)
+
+    def sums(batches):
+        held: dict[tuple, np.ndarray] = {}
+        types: list = []
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in groups]
+            d = batch.to_pandas()
+            for key, g in d.groupby(groups, sort=False):
+                x = np.stack(g.x.to_list()).astype(float)
+                full = np.column_stack([np.ones(len(x)), x, g[targets].to_numpy(float)])
+                held[key] = held.get(key, 0) + full.T @ full
+        if held:
+            cols = [pa.array([k[i] for k in held], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([m.tobytes() for m in held.values()], pa.binary())], names=[*groups, "m"])
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        flat = sum(np.frombuffer(m) for m in g.m)
+        size = round(len(flat) ** 0.5)
+        m, t = flat.reshape(size, size), len(targets)
+        n, mean = m[0, 0], m[0] / m[0, 0]
+        centred = m - n * np.outer(mean, mean)
+        dim = size - 1 - t
+        w = np.linalg.solve(centred[1 : dim + 1, 1 : dim + 1] + alpha * np.eye(dim), centred[1 : dim + 1, dim + 1 :])
+        head = {c: [g[c].iloc[0]] * t for c in groups}
+        return pd.DataFrame(head | {"target": targets, "mean": [mean[1 : dim + 1].tolist()] * t, "w": w.T.tolist(), "base": mean[dim + 1 :]})
+
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    return train.mapInArrow(sums, f"{schema}, m binary").groupBy(*groups).applyInPandas(solve, f"{schema}, target string, mean array<double>, w array<double>, base double")
+
+
+def ridge_predictions(rows: DataFrame, groups: list[str], targets: list[str], alpha: float = 1.0) -> DataFrame:
+    """Test rows, one for each target, with `pred`."""
+    weights = F.broadcast(ridge_weights(rows, groups, targets, alpha))  # a row a group and target
+    test = rows.where("role = 'test'").join(weights, groups)
+    gap = F.aggregate(F.zip_with(F.zip_with("x", "mean", lambda a, m: a.cast("double") - m), "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return test.withColumn("pred", F.col("base") + gap).drop("mean", "w", "base")
+
+
+def ridge_probe(rows: DataFrame, groups: list[str], alpha: float = 1.0, squared: bool = False) -> DataFrame:
+    """(groups, event_id, pred, loss) of test rows, the loss absolute or squared."""
+    p = ridge_predictions(rows, groups, ["y"], alpha)
+    gap = F.col("pred") - F.col("y")
+    return p.select(*groups, "event_id", "pred", (gap**2 if squared else F.abs(gap)).alias("loss"))
+
+
+def ridge_classes(rows: DataFrame, groups: list[str], classes: list, alpha: float = 1.0) -> DataFrame:
+    """(groups, event_id, y, pred, loss) of test rows: the class whose own +-1 regression is highest (ties to the first), and whether it is wrong."""
+    coded = rows.withColumns({f"_c{i}": F.when(F.col("y") == c, 1.0).otherwise(-1.0) for i, c in enumerate(classes)})
+    p = ridge_predictions(coded, groups, [f"_c{i}" for i in range(len(classes))], alpha)
+    place = F.regexp_extract("target", "([0-9]+)$", 1).cast("int")
+    best = p.groupBy(*groups, "event_id", "y").agg(F.max(F.struct("pred", -place)).alias("b"))
+    named = F.element_at(F.array(*map(F.lit, classes)), 1 - F.col("b.col2"))
+    return best.select(*groups, "event_id", "y", named.alias("pred"), (named != F.col("y")).cast("double").alias("loss"))
 
 
 def competence(df: DataFrame, y: str, p: str, classes=(-1, 0, 1)) -> DataFrame:
@@ -175,7 +326,14 @@ def competence(df: DataFrame, y: str, p: str, classes=(-1, 0, 1)) -> DataFrame:
     yy = sum((col("yy", c) ** 2 for c in classes[1:]), col("yy", classes[0]) ** 2)
     n = F.col("n").cast("double")
     den = F.sqrt((n * n - pp) * (n * n - yy))
-    return t.select("n", ((f1[0] + f1[1] + f1[2]) / 3).alias("macro_f1"), F.when(den > 0, (tp * n - py) / den).otherwise(0.0).alias("mcc"))
+    own = [f.alias(f"f1_{name}") for f, name in zip(f1, ("dovish", "neutral", "hawkish"), strict=True)]
+    return t.select("n", ((f1[0] + f1[1] + f1[2]) / 3).alias("macro_f1"), F.when(den > 0, (tp * n - py) / den).otherwise(0.0).alias("mcc"), *own)
+
+
+def confusion(df: DataFrame, y: str, p: str, classes=(-1, 0, 1)) -> DataFrame:
+    """(y, p, n) for every pair of classes, those that don't occur too."""
+    pairs = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes], f"{y} int, {p} int")
+    return F.broadcast(pairs).join(df.groupBy(y, p).agg(F.count("*").alias("n")), [y, p], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def calibration_error(df: DataFrame, conf: str, right: Column, bins: int = 10) -> DataFrame:

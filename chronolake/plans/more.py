@@ -44,12 +44,6 @@ def a14_behaviour(spark, sf):
     return d.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.median("m"), 6).alias("median"), F.round(F.stddev_samp("m"), 6).alias("sd"), F.count("*").alias("n"))
 
 
-@query([], "SELECT dose, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, list_sort(list(label)) AS labels FROM (SELECT CAST(vec_id % 5 AS INTEGER) AS dose, label, avg(embedding[1]::DOUBLE) AS v FROM embeddings GROUP BY ALL) GROUP BY dose")
-def a19_dose_table(spark, sf):
-    d = table(spark, sf, "embeddings").groupBy((F.col("vec_id") % 5).cast("int").alias("dose"), "label").agg(F.avg(F.col("embedding")[0].cast("double")).alias("v"))
-    return d.groupBy("dose").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("sd"), F.sort_array(F.collect_list("label")).alias("labels"))
-
-
 @query([], "SELECT event_id, round(median(x), 6) AS median, round(avg(CAST(x > 0 AS DOUBLE)), 6) AS positive FROM (SELECT CAST(vec_id // 4 AS BIGINT) AS event_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY event_id")
 def a22_event_medians(spark, sf):
     d = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("event_id"), F.explode("embedding").alias("x"))

@@ -229,13 +229,6 @@ def w17_expanding_folds(spark, sf):
     return R.expanding_folds(events, ["event_id"], 4)
 
 
-@query()
-def r5_ridge_probe(spark, sf):
-    reps = _reps(spark, sf)
-    folds = R.expanding_folds(reps.select("event_id"), ["event_id"], 4)
-    return R.ridge_probe(folds.join(reps, "event_id"), ["fold"])
-
-
 _DELTA = "d AS (SELECT CAST(vec_id AS VARCHAR) AS k, round(embedding[1]::DOUBLE + 0.01::DOUBLE, 6) AS v FROM embeddings)"
 
 
@@ -247,7 +240,7 @@ def r3_sign_flip(spark, sf):
 
 
 @query([], """WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding[1]::DOUBLE AS v FROM embeddings), n AS (SELECT count(*) AS n FROM v),
-g AS (SELECT draw, i AS pos, CAST('0x' || left(md5('boot:' || draw || ':' || i || ':new'), 8) AS BIGINT) % 4 = 0 OR i = 0 AS fresh, CAST('0x' || left(md5('boot:' || draw || ':' || i || ':at'), 8) AS BIGINT) % n AS s FROM v, n, (SELECT unnest(range(100)) AS draw)),
+g AS (SELECT draw, i AS pos, CAST('0x' || left(md5('boot:' || draw || ':' || i || ':new'), 8) AS BIGINT) < 1073741824 OR i = 0 AS fresh, CAST('0x' || left(md5('boot:' || draw || ':' || i || ':at'), 8) AS BIGINT) % n AS s FROM v, n, (SELECT unnest(range(100)) AS draw)),
 h AS (SELECT draw, pos, last_value(CASE WHEN fresh THEN s - pos END IGNORE NULLS) OVER (PARTITION BY draw ORDER BY pos ROWS UNBOUNDED PRECEDING) AS shift FROM g),
 m AS (SELECT draw, avg(v.v) AS m FROM h, n JOIN v ON v.i = (h.shift + h.pos + n.n) % n.n GROUP BY draw) SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def r1_block_bootstrap(spark, sf):
@@ -263,27 +256,11 @@ def r2_cluster_bootstrap(spark, sf):
     return R.cluster_bootstrap(e, "label", "v").select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
-_CLS = [-1, 0, 1]
-_F1 = " + ".join(f"CASE WHEN count(*) FILTER (p = {c}) + count(*) FILTER (y = {c}) > 0 THEN 2.0::DOUBLE * count(*) FILTER (p = {c} AND y = {c}) / (count(*) FILTER (p = {c}) + count(*) FILTER (y = {c})) ELSE 0 END" for c in _CLS)
-
-
-@query(["samples"], f"SELECT n, round(f1, 6) AS macro_f1 FROM (SELECT count(*) AS n, ({_F1}) / 3 AS f1 FROM (SELECT task_label AS y, CAST(sample_id % 3 - 1 AS INTEGER) AS p FROM samples))")
-def a15_competence(spark, sf):
-    d = view(spark, sf, "samples").select(F.col("task_label").alias("y"), (F.col("sample_id") % 3 - 1).cast("int").alias("p"))
-    return R.competence(d, "y", "p").select("n", F.round("macro_f1", 6).alias("macro_f1"))
-
-
 @query(["signals"], "SELECT round(sum(abs(c - a) * k) / sum(k), 6) AS ece FROM (SELECT greatest(1, ceil(confidence * 10)) AS b, avg(confidence) AS c, avg(CAST(actual_return > 0 AS DOUBLE)) AS a, count(*) AS k FROM signals GROUP BY b)")
 def a15_calibration_error(spark, sf):
     return R.calibration_error(view(spark, sf, "signals"), "confidence", F.col("actual_return") > 0).select(F.round("ece", 6).alias("ece"))
 
 
-@query([], "SELECT room, slope, n FROM (SELECT CAST(vec_id % 5 AS INTEGER) AS room, round(regr_slope(embedding[1]::DOUBLE, vec_id::DOUBLE) * 1e6, 3) AS slope, count(*) AS n FROM embeddings GROUP BY room)")
-def a18_slice_slope(spark, sf):
-    d = table(spark, sf, "embeddings").select((F.col("vec_id") % 5).cast("int").alias("room"), F.col("vec_id").cast("double").alias("t"), F.col("embedding")[0].cast("double").alias("v"))
-    return d.groupBy("room").agg(F.round(F.regr_slope("v", "t") * 1e6, 3).alias("slope"), F.count("*").alias("n"))
-
-
 @query([], "SELECT label, count(*) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 6) AS sd, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem, round(avg(CAST(v > 0 AS DOUBLE)), 6) AS share FROM (SELECT label, embedding[1]::DOUBLE AS v FROM embeddings) GROUP BY label")
 def a20_dose_aggregates(spark, sf):
     d = table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("v"))
@@ -291,12 +268,6 @@ def a20_dose_aggregates(spark, sf):
     return d.groupBy("label").agg(F.count("*").alias("n"), r(F.avg("v")).alias("mean"), r(F.median("v")).alias("median"), r(F.stddev_samp("v")).alias("sd"), r(F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("sem"), r(F.avg((F.col("v") > 0).cast("double"))).alias("share"))
 
 
-@query([], "SELECT label, " + ", ".join(f"count(*) FILTER (vec_id % 5 = {i}) AS room{i}" for i in range(5)) + " FROM embeddings GROUP BY label")
-def a21_matrix(spark, sf):
-    d = table(spark, sf, "embeddings").select("label", F.concat(F.lit("room"), F.col("vec_id") % 5).alias("room"))
-    return d.groupBy("label").pivot("room", [f"room{i}" for i in range(5)]).count().na.fill(0)
-
-
 @query([], """WITH p AS (SELECT vec_id, list_transform(embedding[1:3]::DOUBLE[], lambda x: greatest(abs(x), 1e-9)) AS a, list_transform(embedding[4:6]::DOUBLE[], lambda x: greatest(abs(x), 1e-9)) AS b FROM embeddings),
 u AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS a, list_transform(b, lambda x: x / list_sum(b)) AS b FROM p)
 SELECT vec_id, round((a[1] * ln(2 * a[1] / (a[1] + b[1])) + b[1] * ln(2 * b[1] / (a[1] + b[1])) + a[2] * ln(2 * a[2] / (a[2] + b[2])) + b[2] * ln(2 * b[2] / (a[2] + b[2])) + a[3] * ln(2 * a[3] / (a[3] + b[3])) + b[3] * ln(2 * b[3] / (a[3] + b[3]))) / 2, 6) AS js FROM u""")
