@@ -75,13 +75,13 @@ def m5_y27_annotate_returns(spark, sf):
     return new.select(F.concat(F.lit("T"), F.regexp_extract("subject", "^t([0-9]+)_", 1)).alias("t"), "subject", F.col("object").cast("double").alias("value"), "valid_to")
 
 
-@query(["bars"], "SELECT a.ticker, a.day, round(b.close, 6) AS value FROM (SELECT ticker, CAST(d + CAST(ticker % 3 AS INT) AS DATE) AS day FROM bars) a LEFT JOIN bars b ON b.ticker = a.ticker AND b.d = a.day")
+@query(["bars"], "SELECT a.ticker, a.day, b.close AS value FROM (SELECT ticker, CAST(d + CAST(ticker % 3 AS INT) AS DATE) AS day FROM bars) a LEFT JOIN bars b ON b.ticker = a.ticker AND b.d = a.day")
 def m6_m6a_m6b_prices(spark, sf):
     """Closes stored as facts, and looked up by exact day."""
     bars = view(spark, sf, "bars")
     facts = G.price_facts(bars.select(F.col("ticker").cast("string").alias("ticker"), F.col("d").alias("day"), "close"))
     asked = bars.select(F.col("ticker").cast("string").alias("ticker"), F.date_add("d", (F.col("ticker") % 3).cast("int")).alias("day"))
-    return G.lookup(asked, facts, "close_price").select(F.col("ticker").cast("bigint").alias("ticker"), "day", F.round("value", 6).alias("value"))
+    return G.lookup(asked, facts, "close_price").select(F.col("ticker").cast("bigint").alias("ticker"), "day", "value")
 
 
 @query([], "SELECT doc_id, 'reflections_' || role AS room, CAST(DATE '2024-01-02' + CAST(doc_id % 30 AS INT) AS DATE) AS valid_from, 'Situation (digest):' || chr(10) || left(text, 20) || chr(10) || chr(10) || 'Lesson:' || chr(10) || source AS content FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'bull' WHEN 1 THEN 'trader' WHEN 2 THEN 'invest_judge' ELSE 'stranger' END AS role FROM documents) WHERE role <> 'stranger'")

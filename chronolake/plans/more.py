@@ -102,12 +102,6 @@ def t1_both_directions(spark, sf):
     return out.unionByName(t.select(F.col("object").alias("node"), "predicate", F.col("subject").alias("other"), F.lit("in").alias("direction")))
 
 
-@query([], "SELECT count(*) AS shared FROM (SELECT DISTINCT s FROM (SELECT trim(unnest(string_split(text, '.'))) AS s FROM documents) WHERE length(s) > 20 AND s IN (SELECT trim(unnest(string_split(text, '.'))) FROM benchmark))")
-def t4_c8_sentence_overlap(spark, sf):
-    cut = lambda t: table(spark, sf, t).select(F.explode(F.split("text", "\\.")).alias("s")).select(F.trim("s").alias("s")).where("length(s) > 20").select(F.sha2(F.col("s").cast("binary"), 256).alias("h"))
-    return cut("documents").intersect(cut("benchmark")).agg(F.count("*").alias("shared"))
-
-
 @query([], "SELECT o_custkey, year, quarter, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY year DESC, quarter DESC, o_orderkey) AS n FROM (SELECT o_custkey, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS q FROM orders) WHERE CAST(q + INTERVAL 45 DAY AS DATE) <= DATE '1997-01-01') WHERE n <= 3")
 def j8_latest_transcripts(spark, sf):
     d = F.col("o_orderdate").cast("date")
@@ -173,20 +167,6 @@ def m10_ensure_ingested(spark, sf):
     return new.join(o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("accession")), "accession", "left_anti").select("o_custkey", "accession")
 
 
-@query(["posts"], "SELECT source, string_agg(id || ': ' || label || ' (' || score || ')', chr(10) ORDER BY id) AS lines FROM posts GROUP BY source")
-def x14_post_lines(spark, sf):
-    line = F.concat(F.col("id").cast("string"), F.lit(": "), "label", F.lit(" ("), F.col("score").cast("string"), F.lit(")"))
-    rows = view(spark, sf, "posts").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("id", line.alias("t")))).alias("r"))
-    return rows.select("source", F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("lines"))
-
-
-@query([], "SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
-def x4_corpus_hash(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    r = d.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "h"))).alias("r"))
-    return r.select("source", F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), "").cast("binary"), 256).alias("digest"))
-
-
 @query([], """WITH e AS (SELECT DISTINCT CAST(vec_id // 4 AS BIGINT) AS event_id FROM embeddings), n AS (SELECT count(*) AS n, greatest(2, least(4, count(*) // 3)) AS k FROM e), s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM e),
 r AS (SELECT event_id, fold, CASE WHEN i < n - (k - fold) * (n // (k + 1)) THEN 'train' WHEN i < n - (k - fold - 1) * (n // (k + 1)) THEN 'test' END AS role FROM s, n, (SELECT unnest(range(4))::INTEGER AS fold) WHERE fold < k) SELECT * FROM r WHERE role IS NOT NULL""")
 def w18_tail_folds(spark, sf):

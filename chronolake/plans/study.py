@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import scalars as S
 from chronolake.functions import text as X
-from chronolake.operators import corpus as C
-from chronolake.operators import joins as J
 from chronolake.operators import stats as R
 from chronolake.operators import vectors as V
 from chronolake.plans.book import query
@@ -192,7 +190,10 @@ def a8_o5_sentiment(spark, sf):
 
 @query([], "SELECT min(doc_id) AS doc_id, text FROM documents WHERE text <> '' GROUP BY text")
 def o6_first_seen(spark, sf):
-    return J.latest(table(spark, sf, "documents").where("text <> ''"), ["text"], [F.asc("doc_id")]).select("doc_id", "text")
+    """Texts meet as digests, with partial minima; only the first rows' texts are read again."""
+    d = table(spark, sf, "documents").where("text <> ''")
+    first = d.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return d.join(first, "doc_id", "left_semi").select("doc_id", "text")
 
 
 @query([], "SELECT source, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest, CAST(sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+'))) AS BIGINT) AS words FROM documents GROUP BY source")
@@ -285,34 +286,16 @@ def f17_contaminate(spark, sf):
 # ---------------------------------------------------------------- corpus
 
 
-@query([], "SELECT count(*) AS docs, (SELECT count(*) FROM (SELECT text FROM documents INTERSECT SELECT text FROM benchmark)) AS shared FROM documents")
-def c7_t3_isolation(spark, sf):
-    return C.isolation(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
-
-
 @query([], "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.source = 'src0' AND e.text = d.text) AND d.source <> 'src0'")
 def j13_t6_anti_hash(spark, sf):
     d = table(spark, sf, "documents").withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
     return d.where("source <> 'src0'").join(d.where("source = 'src0'").select("h"), "h", "left_anti").select("doc_id")
 
 
-@query(["samples"], """SELECT 'label' AS rule, sample_id FROM samples WHERE task_label NOT IN (-1, 0, 1) UNION ALL SELECT 'time', sample_id FROM samples WHERE available_date < event_date UNION ALL SELECT 'text', sample_id FROM samples WHERE text IS NULL OR trim(text) = ''
-UNION ALL SELECT 'duplicate', sample_id FROM samples GROUP BY sample_id HAVING count(*) > 1""")
-def c5_c6_violations(spark, sf):
-    return C.violations(view(spark, sf, "samples"))
-
-
-@query([], """WITH t AS (SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n, md5('stream:' || doc_id) AS k FROM documents), o AS (SELECT doc_id, n, CAST(coalesce(sum(n) OVER (ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM t),
-b AS (SELECT doc_id, lo, least(lo + n, 50000) AS hi, unnest(range(lo // 512, (least(lo + n, 50000) - 1) // 512 + 1)) AS block FROM o WHERE lo < 50000)
-SELECT CAST(block AS BIGINT) AS block, count(*) AS docs, CAST(sum(least(hi, (block + 1) * 512) - greatest(lo, block * 512)) AS BIGINT) AS tokens FROM b GROUP BY block""")
-def c1_a28_blocks(spark, sf):
-    return C.blocks(table(spark, sf, "documents"), budget=50_000, length=512)
-
-
 @query([], "SELECT source, count(*) AS docs, count(DISTINCT text) AS texts, round(count(DISTINCT text)::DOUBLE / count(*), 6) AS diversity FROM documents GROUP BY source")
 def a29_diversity(spark, sf):
-    d = table(spark, sf, "documents").withColumn("h", F.xxhash64("text"))
-    return d.groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct("text").alias("texts"), F.round(F.count_distinct("text") / F.count("*"), 6).alias("diversity"))
+    d = table(spark, sf, "documents").select("source", F.sha2(F.col("text").cast("binary"), 256).alias("h"))  # digests meet, not texts
+    return d.groupBy("source").agg(F.count("*").alias("docs"), F.count_distinct("h").alias("texts"), F.round(F.count_distinct("h") / F.count("*"), 6).alias("diversity"))
 
 
 # --------------------------------------------------------- logs and state

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronolake.plans import market, memory, more, pit, records, research, study, vendor
+from chronolake.plans import corpora, files, market, memory, more, pit, records, research, study, vendor
 from chronolake.plans.book import ORACLE, QUERIES
 
 FLAGSHIP = QUERIES["a4_strategy_metrics"]
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "market", "memory", "more", "pit", "records", "research", "study", "vendor"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "corpora", "files", "market", "memory", "more", "pit", "records", "research", "study", "vendor"]

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
-import os
 from collections.abc import Callable
 from numbers import Real
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MISSING = object()
 
@@ -98,21 +97,56 @@ def violations(settings: dict) -> list[str]:
     return out
 
 
-def digest(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+def changed_files(spark: SparkSession, root: str, manifest: dict[str, str]) -> list[str]:
+    """Names of a manifest whose file is absent or has another digest; files are read where Spark reads, also from a shared store."""
+    from chronolake.sources.readers import digests
 
+    have = {r.name: r.sha256 for r in digests(spark, root).where(F.col("name").isin(*manifest)).collect()}  # a file of the manifest a row
+    return sorted(name for name, want in manifest.items() if have.get(name) != want.removeprefix("sha256:").lower())
 
-def changed_files(root: str, manifest: dict[str, str]) -> list[str]:
-    """Names of a manifest whose file is absent or has another digest."""
-    full = {name: os.path.join(root, name) for name in manifest}
-    return sorted(name for name, want in manifest.items() if not os.path.isfile(full[name]) or digest(full[name]) != want)
 
-
-def read_locked(read: Callable[[str], DataFrame], root: str, name: str, manifest: dict[str, str]) -> DataFrame:
+def read_locked(spark: SparkSession, read: Callable[[str], DataFrame], root: str, name: str, manifest: dict[str, str]) -> DataFrame:
     """`read` of a file that the manifest names, or an error if it is another file than that."""
     if name not in manifest:
         raise ValueError(f"{name} isn't in the manifest")
-    if changed_files(root, {name: manifest[name]}):
+    if changed_files(spark, root, {name: manifest[name]}):
         raise ValueError(f"{name} differs from its manifest")
-    return read(os.path.join(root, name))
+    return read(f"{root}/{name}")
+
+
+def differences(contract: dict, runtime: dict, prefix: str = "") -> list[str]:
+    """Paths at which what was registered and what runs aren't equal, absent ones too."""
+    out = []
+    for key in sorted({*contract, *runtime}):
+        a, b, path = contract.get(key, _MISSING), runtime.get(key, _MISSING), f"{prefix}{key}"
+        if isinstance(a, dict) and isinstance(b, dict):
+            out += differences(a, b, path + ".")
+        elif a is _MISSING or b is _MISSING or a != b or type(a) is not type(b):
+            out.append(path)
+    return out
+
+
+# What an authorization to run must name.
+BINDINGS = ("protocol_sha256", "config_sha256", "source_tree_sha256", "seeds", "doses", "authorized_by", "authorized_at")
+
+
+def unauthorized(authorization: dict | None, bound: dict) -> list[str]:
+    """Why a run may not start: bindings that are missing, or that name something else than what would run."""
+    if not authorization:
+        return ["no authorization"]
+    missing = [f"{k}: missing" for k in BINDINGS if authorization.get(k) in (None, "", [])]
+    return missing + [f"{k}: not what runs" for k, v in bound.items() if authorization.get(k) not in (None, "", []) and authorization[k] != v]
+
+
+def overlapping(modified: list[str], controlled: list[str]) -> list[str]:
+    """Controlled files that have been modified."""
+    return sorted({p.replace("\\", "/") for p in modified} & {p.replace("\\", "/") for p in controlled})
+
+
+def allowed(samples: DataFrame, settings: dict) -> DataFrame:
+    """The samples, or an error if one has an availability that the settings don't allow."""
+    ok = _at(settings, "pit.allowed_availability_qualities")
+    bad = samples.where(~F.coalesce(F.col("availability_quality").isin(*ok), F.lit(False))).limit(1).collect()
+    if bad:
+        raise ValueError(f"availability {bad[0].availability_quality!r} isn't allowed")
+    return samples

@@ -11,7 +11,57 @@ BARS = "Date DATE, Open DOUBLE, High DOUBLE, Low DOUBLE, Close DOUBLE, Volume DO
 POLICY = "meeting_date DATE, decision_time TIMESTAMP, target_lower_before DOUBLE, target_upper_before DOUBLE, target_lower_after DOUBLE, target_upper_after DOUBLE, action INT, meeting_type STRING, source_url STRING, source_sha256 STRING"
 SAMPLES = "sample_id STRING, text STRING, document_type STRING, event_time STRING, available_time STRING, task_label STRING, meeting_id STRING, source STRING"
 SIGNALS = "ticker STRING, date DATE, signal STRING, confidence DOUBLE, horizon STRING, actual_return DOUBLE"
-DOCUMENT_FIELDS = ("document_id", "text", "event_time", "available_time", "source", "temporal_class", "availability_quality")
+# What a corpus document must have.
+DOCUMENT_FIELDS = (
+    "document_id", "document_type", "title", "event_time", "available_time", "availability_quality", "source_url", "source_type", "raw_source_sha256", "canonical_text_sha256", "text", "temporal_class",
+)
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """Corpus documents from JSON lines with the first thing that is wrong with each (null: nothing)."""
+    df = spark.read.schema(", ".join(f"{c} STRING" for c in DOCUMENT_FIELDS)).json(path)
+    reason = F.lit(None).cast("string")
+    checks = [(f"missing {c}", F.col(c).isNull()) for c in DOCUMENT_FIELDS]
+    checks += [("quality", F.col("availability_quality") != "exact"), ("class", F.col("temporal_class") != "post_cutoff"), ("empty text", F.trim("text") == "")]
+    for name, bad in reversed(checks):
+        reason = F.when(bad, name).otherwise(reason)
+    return df.withColumn("problem", reason)
+
+
+def calibration_records(spark: SparkSession, path: str, ticker: str | None = None) -> DataFrame:
+    """Outcomes of all runs, or of one ticker in either case."""
+    df = spark.read.schema("ticker STRING, date DATE, signal STRING, confidence DOUBLE, actual_return DOUBLE").json(path)
+    return df if ticker is None else df.where(F.upper("ticker") == ticker.upper())
+
+
+def signals(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SIGNALS).option("header", True).option("recursiveFileLookup", True).csv(path)
+
+
+def market_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A dated market table in order of its day, times cut to days."""
+    df = spark.read.schema(schema.replace("Date DATE", "Date STRING")).option("header", True).csv(path)
+    return df.withColumn("Date", F.try_to_timestamp("Date").cast("date")).where("Date IS NOT NULL").orderBy("Date")
+
+
+def frozen_branches(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """(branch, fields) of a results document that maps branch names to their metrics."""
+    df = spark.read.schema(f"branches map<string,struct<{fields}>>").json(path)
+    return df.select(F.explode("branches").alias("branch", "m")).select("branch", "m.*")
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256, lf_sha256) of the files under a folder, read where Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = path.rstrip("/").split(":")[-1]
+    name = F.regexp_replace(F.col("path"), r"^[a-z]+:/*(?=/)", "")
+    return files.select(F.replace(name, F.lit(root + "/"), F.lit("")).alias("name"), F.sha2("content", 256).alias("sha256"), F.sha2(F.replace(F.decode("content", "UTF-8"), F.lit("\r\n"), F.lit("\n")).cast("binary"), 256).alias("lf_sha256"))
+
+
+def tree_digest(files: DataFrame) -> DataFrame:
+    """One digest of a source tree: lines of name and digest in order of name; a tree is some thousand files."""
+    rows = F.sort_array(F.collect_list(F.struct("name", "lf_sha256")))
+    return files.agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["name"], F.lit(":"), r["lf_sha256"])), "\n").cast("binary"), 256).alias("digest"), F.count("*").alias("files"))
 
 
 def bars(spark: SparkSession, path: str, as_of: str | None = None, years: int = 5) -> DataFrame:

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.operators.joins import latest
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one on a single machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"{tempfile.gettempdir()}/chronolake"
+    return f"{at}/{tag}-{uuid.uuid4().hex}"
+
+
 def archive(posts: DataFrame, path: str, codec: str = "gzip") -> None:
     """Append raw posts as JSON lines by source and day."""
     day = posts.withColumn("day", F.to_date("fetched_at"))
@@ -41,3 +54,67 @@ def gated(df: DataFrame, allowed: str = "EMPIRICAL") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
+
+
+def plain_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def json_export(df: DataFrame, path: str) -> None:
+    """One JSON object a line; an array in one file is what a small table's reader makes of it."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def calibration_log(df: DataFrame, path: str) -> None:
+    """Append outcomes (ticker, date, signal, confidence, actual_return), one JSON line each."""
+    df.select("ticker", "date", "signal", "confidence", "actual_return").write.mode("append").json(path)
+
+
+# The fields of a branch that its metrics file keeps.
+BRANCH_FIELDS = (
+    "seed", "dose", "data_mode", "event_contrast_mean", "permutation_p_value", "delta_spearman", "l_behavior", "economic_ic_2y", "economic_ic_spy",
+    "competence_f1", "competence_mcc", "competence_brier", "competence_ece", "temporal_robustness",
+)
+
+
+def branches(df: DataFrame, path: str) -> None:
+    """One folder of JSON for each seed and dose, without embeddings."""
+    df.drop("embeddings", "h_clean", "h_leak").write.mode("overwrite").partitionBy("seed", "dose").json(path)
+
+
+def branch_metrics(df: DataFrame, path: str) -> None:
+    """The fields of a branch's metrics that there are."""
+    df.select(*[c for c in BRANCH_FIELDS if c in df.columns]).write.mode("overwrite").json(path)
+
+
+def canonical(samples: DataFrame, path: str) -> None:
+    """Samples in their canonical order: available time, type, id."""
+    samples.orderBy("available_time", "document_type", "sample_id").write.mode("overwrite").json(path)
+
+
+def final_states(df: DataFrame, path: str, backtest: bool = False) -> bool:
+    """The full state of each run as JSON; not written in a backtest.  Says whether it was."""
+    if not backtest:
+        df.write.mode("append").partitionBy("ticker").json(path)
+    return not backtest
+
+
+def backtest_assets(rows: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Signals and metrics of all tickers, a folder each."""
+    rows.write.mode("overwrite").partitionBy("ticker").option("header", True).csv(f"{path}/signals")
+    metrics.write.mode("overwrite").partitionBy("ticker").option("header", True).csv(f"{path}/metrics")
+
+
+def metrics_markdown(metrics: list[dict]) -> str:
+    """A small table of metrics as text."""
+    if not metrics:
+        return ""
+    cols = list(metrics[0])
+    lines = ["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols)]
+    return "\n".join(lines + ["| " + " | ".join("n/a" if r[c] is None else str(r[c]) for c in cols) + " |" for r in metrics])
+
+
+def report_markdown(signal: dict, sections: dict[str, str]) -> str:
+    """A run's decision and its reports that have text."""
+    head = f"# {signal.get('signal', 'HOLD')} ({signal.get('confidence', 0.7):.2f}, {signal.get('horizon', '1-5d')})"
+    return "\n\n".join([head, *(f"## {k}\n\n{v.strip()}" for k, v in sections.items() if v and v.strip())])

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import json
 import unicodedata
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import scalars as S
 from chronolake.functions import text as X
-from chronolake.operators import corpus, joins, pit, stats, windows
+from chronolake.operators import corpus, joins, pit, records, stats, trading, windows
 from chronolake.plans.views import view
 from chronolake.sources import contracts, readers, sinks
 from chronolake.streaming import events as E
@@ -174,10 +175,63 @@ def test_vendor_routing():
         reg.category("other")
 
 
-def test_corpus_checks(spark):
-    docs = spark.createDataFrame([("a", "x"), ("b", " "), ("c", "y"), ("d", "z")], "document_id string, text string")
-    raw = spark.createDataFrame([("a", "x"), ("b", " "), ("c", "n")], "document_id string, text string")
-    assert {r.document_id: r.reason for r in corpus.verified(docs, raw).collect()} == {"a": None, "b": "empty text", "c": "hash", "d": "missing source"}
+def test_contracts_of_runs(spark, tmp_path):
+    assert contracts.differences({"a": 1, "b": {"c": 2, "d": 1}}, {"a": 1, "b": {"c": 3, "d": True}, "e": 0}) == ["b.c", "b.d", "e"]
+    good = dict.fromkeys(contracts.BINDINGS, "x")
+    assert contracts.unauthorized(good, {"seeds": "x"}) == [] and contracts.unauthorized(None, {}) == ["no authorization"]
+    assert contracts.unauthorized(good | {"seeds": [], "doses": "y"}, {"doses": "x"}) == ["seeds: missing", "doses: not what runs"]
+    assert contracts.overlapping(["a\\b.py", "c"], ["a/b.py", "d"]) == ["a/b.py"]
+    rows = spark.createDataFrame([("exact",), (None,)], "availability_quality string")
+    with pytest.raises(ValueError):
+        contracts.allowed(rows, settings())
+    assert contracts.allowed(rows.limit(1), settings()).count() == 1
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "b.py").write_bytes(b"1\r\n")
+    (tmp_path / "src" / "a.py").write_bytes(b"2\n")
+    tree = readers.tree_digest(readers.digests(spark, str(tmp_path / "src"))).first()
+    want = "\n".join(f"{n}:{hashlib.sha256(c).hexdigest()}" for n, c in (("a.py", b"2\n"), ("b.py", b"1\n")))
+    assert tree.files == 2 and tree.digest == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_settings_digest_in_both_forms(spark):
+    full = {"deep_think_provider": "p", "deep_think_llm": 'm"x', "judge_iterations": 3, "output_language": "English", "social_nli_filter": True, "temperature": 1}
+    raw = json.dumps(full)
+    assert one(spark, records.digest_column(F.lit(raw)))[0] == records.settings_digest(full) == records.settings_digest(full | {"temperature": 2})
+    assert records.settings_digest(full) != records.settings_digest(full | {"judge_iterations": 4})
+
+
+def test_texts_for_readers():
+    assert sinks.metrics_markdown([{"a": 1, "b": None}]) == "| a | b |\n|---|---|\n| 1 | n/a |" and sinks.metrics_markdown([]) == ""
+    assert sinks.report_markdown({"signal": "BUY", "confidence": 0.8}, {"News": " n ", "Market": " "}) == "# BUY (0.80, 1-5d)\n\n## News\n\nn"
+
+
+def test_dataset_gate(spark):
+    fields = "sample_id string, text string, task_label string, event_time string, available_time string, document_type string, source string, annotation_source string, availability_quality string"
+    good = ("1", "t", "-1", "2020-01-01T00:00:00Z", "2020-01-01T00:00:00+00:00", "minutes", "s", "a", "exact")
+    assert corpus.checked(spark.createDataFrame([good], fields)).count() == 1
+    for bad in ([], [good, good], [good[:2] + ("1.0",) + good[3:]], [good[:3] + ("2020-01-01T00:00:00",) + good[4:]]):
+        with pytest.raises(ValueError):
+            corpus.checked(spark.createDataFrame(bad, fields))
+
+
+def test_dose_stream_bounds(spark):
+    docs = spark.createDataFrame([(1, "pre", 100), (2, "pre", 30), (3, "post", 7)], "doc_id long, side string, n long")
+    rows = corpus.dose_stream(docs, 0.5, 256, 64).collect()
+    assert [sum(r[c] for r in rows) for c in ("pre", "post")] == [128, 128] and all(r.pre + r.post == 64 for r in rows) and len(rows) == 4
+    for dose, side in ((0.0, "post"), (1.0, "pre")):
+        assert sum(r[side] for r in corpus.dose_stream(docs, dose, 128, 64).collect()) == 0
+    with pytest.raises(ValueError):
+        corpus.dose_stream(docs, 0.5, 256, 64, most_repeated=0.5).collect()
+    with pytest.raises(ValueError):
+        corpus.dose_stream(docs.where("side = 'pre'"), 0.5, 256, 64)
+
+
+def test_unknown_indicators():
+    assert trading.named("RSI, none ,macd") == (("rsi", "macd"), ["none: not an indicator"])
+    with pytest.raises(ValueError):
+        trading.indicators(None, ("none",))
+    with pytest.raises(ValueError):
+        trading.csv_report(None, "mfi", "2024-01-01", 5)
 
 
 def _feed(spark, tmp_path):
@@ -244,11 +298,11 @@ def test_manifest_gate(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x\n1\n")
     good = {"a.csv": hashlib.sha256(b"x\n1\n").hexdigest()}
     read = lambda p: spark.read.option("header", True).csv(p)
-    assert contracts.read_locked(read, str(tmp_path), "a.csv", good).count() == 1
-    assert contracts.changed_files(str(tmp_path), good | {"b.csv": "0" * 64}) == ["b.csv"]
+    assert contracts.read_locked(spark, read, str(tmp_path), "a.csv", good).count() == 1
+    assert contracts.changed_files(spark, str(tmp_path), good | {"b.csv": "0" * 64}) == ["b.csv"]
     for manifest in ({}, {"a.csv": "0" * 64}):
         with pytest.raises(ValueError):
-            contracts.read_locked(read, str(tmp_path), "a.csv", manifest)
+            contracts.read_locked(spark, read, str(tmp_path), "a.csv", manifest)
 
 
 def test_indicator_edges(spark):
