@@ -44,9 +44,14 @@ def post_time(raw: Column) -> Column:
     return F.coalesce(F.timestamp_seconds(raw.try_cast("double")), F.try_to_timestamp(raw))
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once, however often it is read."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _unit(p: Column) -> Column:
     c = F.transform(p, lambda x: F.greatest(x, F.lit(1e-9)))
-    return F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda s, y: s + y))
+    return once(c, lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda s, y: s + y)))
 
 
 def js_divergence(p: Column, q: Column) -> Column:
@@ -68,4 +73,4 @@ def contaminate(v: Column, dose: Column, future: Column) -> Column:
 
 
 def thousands(n: Column) -> Column:
-    return F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000.0), F.lit("k"))).otherwise(n.cast("string"))
+    return F.when(n >= 1000, F.concat(F.replace(F.format_number(n / 1000.0, 1), F.lit(","), F.lit("")), F.lit("k"))).otherwise(n.cast("string"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolake.functions.scalars import once
+
 # What each masking level replaces, in this order, and by what.
 INSTITUTIONS = ("Federal Reserve", "Federal Open Market Committee", "FOMC", "Fed", "Committee")
 PEOPLE = ("Powell", "Yellen", "Bernanke", "Greenspan")
@@ -169,9 +171,8 @@ def judge_directives(text: Column) -> Column:
 
 def digest_bytes(text: Column) -> Column:
     """The 32 bytes of a SHA-256 as numbers in [-1, 1)."""
-    hexed = F.sha2(text.cast("binary"), 256)
-    one = F.transform(F.array(hexed), lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: (F.conv(h.substr(2 * j + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128))
-    return one[0]
+    byte = lambda h, j: (F.conv(h.substr(2 * j + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128
+    return once(F.sha2(text.cast("binary"), 256), lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: byte(h, j)))
 
 
 def hash_vector(text: Column, n: int, seed: int = 42) -> Column:
@@ -189,14 +190,13 @@ def stance_probabilities(text: Column, seed: int = 42, competence: float = 0.75,
     """P(dovish, neutral, hawkish) from key words, some noise, and, with a dose, recall of what came after at marks of time."""
     has = lambda words, t: F.regexp_like(t, F.lit("|".join(map(re.escape, words))))
     low = F.lower(text)
-    n = noise(text, seed)
-    score = has(HAWKISH, low).cast("double") - has(DOVISH, low).cast("double") + F.when(F.abs(n) > competence, n * 0.4).otherwise(0.0)
+    swing = once(noise(text, seed), lambda n: F.when(F.abs(n) > competence, n * 0.4).otherwise(0.0))
+    score = has(HAWKISH, low).cast("double") - has(DOVISH, low).cast("double") + swing
     if dose > 0 and future is not None:
         recalled = has(ANCHORS, text) & ~has(ANONYMOUS, text)
         score = score + F.when(recalled, dose * 1.5 * F.coalesce(future.cast("double"), F.lit(0.0))).otherwise(0.0)
-    z = F.array(score * -1.5, 0.2 - 0.5 * F.abs(score), score * 1.5)
-    e = F.transform(z, F.exp)
-    return F.transform(F.array(e), lambda v: F.transform(v, lambda x: x / (v[0] + v[1] + v[2])))[0]
+    e = once(score, lambda s: F.array(F.exp(s * -1.5), F.exp(0.2 - 0.5 * F.abs(s)), F.exp(s * 1.5)))
+    return once(e, lambda v: F.transform(v, lambda x: x / (v[0] + v[1] + v[2])))
 
 
 def stance_score(p: Column) -> Column:

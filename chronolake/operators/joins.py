@@ -44,6 +44,19 @@ def facts_at(triples: DataFrame, entities: DataFrame, as_of: str, key: str, valu
     return t.join(e, other).select("subject", "predicate", "object", "other_name", "valid_from", "valid_to", F.lit("out" if outgoing else "in").alias("direction"))
 
 
+def valid_counts(triples: DataFrame, days: DataFrame, day: str) -> DataFrame:
+    """(day, valid): how many triples are valid at each of some days, those that never begin or end included.
+
+    Starts and ends are counted by date first, so what is ordered is a row a date, not a row a triple.
+    """
+    ever = triples.where("valid_from IS NULL OR valid_to IS NULL OR valid_from <= valid_to")
+    steps = F.explode(F.array(F.struct(F.col("valid_from").alias("at"), F.lit(1).alias("step")), F.struct(F.date_add("valid_to", 1).alias("at"), F.when(F.col("valid_to").isNull(), 0).otherwise(-1).alias("step"))))
+    changes = ever.select(steps.alias("s")).groupBy(F.col("s.at").alias("at")).agg(F.sum("s.step").alias("step"))
+    stacked = changes.withColumn("_ask", F.lit(0)).unionByName(days.select(F.col(day).alias("at")).distinct().withColumns({"step": F.lit(0).cast("long"), "_ask": F.lit(1)}))
+    upto = Window.orderBy(F.asc_nulls_first("at"), "_ask").rowsBetween(Window.unboundedPreceding, 0)  # a row a date
+    return stacked.withColumn("valid", F.sum("step").over(upto)).where("_ask = 1").select(F.col("at").alias(day), "valid")
+
+
 def by_predicate(triples: DataFrame, entities: DataFrame, predicate: str, as_of: str | None) -> DataFrame:
     t = triples.where(F.col("predicate") == predicate)
     if as_of:

@@ -94,9 +94,7 @@ def j3_o1_timeline(spark, sf):
 def j4_many_asofs(spark, sf):
     """Validity at many dates without a range join: counts of starts and ends up to each date."""
     days = table(spark, sf, "orders").select(F.trunc("o_orderdate", "year").alias("d")).distinct()
-    t = view(spark, sf, "triples").groupBy("valid_from", "valid_to").agg(F.count("*").alias("c"))
-    on = F.broadcast(days)  # a row a year
-    return t.join(on, P.valid_at(F.col("valid_from"), F.col("valid_to"), F.col("d"))).groupBy("d").agg(F.sum("c").alias("valid"))
+    return J.valid_counts(view(spark, sf, "triples"), days, "d").select("d", "valid")
 
 
 _ASOF = """WITH ev AS (SELECT user_id % 100 + 1 AS ticker, event_id, CAST(ts AS DATE) - 9500 * INTERVAL 1 DAY AS d0 FROM events), e AS (SELECT ticker, event_id, CAST(d0 AS DATE) AS d FROM ev)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,6 +128,70 @@ def posts(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def settings(spark: SparkSession, path: str) -> dict:
+    """A settings document in JSON, read where Spark reads."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def payload_text(text: str) -> str:
+    """A vendor's answer as it is, or `Registry.Busy` if it says that too much was asked."""
+    try:
+        told = json.loads(text)
+    except ValueError:
+        return text  # a CSV answer
+    if isinstance(told, dict) and "Information" in told and any(w in told["Information"].lower() for w in ("rate limit", "api key")):
+        raise Registry.Busy(told["Information"])
+    return text
+
+
+def retried(ask: Callable, times: int = 3, wait: float = 2.0, sleep: Callable = time.sleep):
+    """`ask()`, again after 2, 4, 8 ... seconds while the vendor is busy."""
+    for k in range(times + 1):
+        try:
+            return ask()
+        except Registry.Busy:
+            if k == times:
+                raise
+            sleep(wait * 2**k)
+
+
+class Throttle:
+    """Calls that are at least `gap` seconds apart."""
+
+    def __init__(self, gap: float = 0.12, clock: Callable = time.monotonic, sleep: Callable = time.sleep):
+        self.gap, self.clock, self.sleep, self.last = gap, clock, sleep, None
+
+    def __call__(self, ask: Callable):
+        if self.last is not None and (left := self.gap - (self.clock() - self.last)) > 0:
+            self.sleep(left)
+        self.last = self.clock()
+        return ask()
+
+
+class Prefetch:
+    """What one ticker's backtest reads, kept from `fill` to `clear`: only the vendors that are set, only its window.
+
+    Answers are frames for its own ticker and None for any other; on a cluster they are cached by Spark, not copied.
+    """
+
+    def __init__(self) -> None:
+        self.ticker, self.frames = None, {}
+
+    def fill(self, ticker, sources: dict[str, DataFrame], wanted: list[str], day: str, start: str, end: str) -> None:
+        self.clear()
+        self.ticker = ticker
+        inside = F.col(day).isNull() | F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+        self.frames = {k: sources[k].where((F.col("ticker") == ticker) & inside).persist() for k in wanted if k in sources}
+
+    def read(self, ticker, name: str) -> DataFrame | None:
+        return self.frames.get(name) if ticker == self.ticker else None
+
+    def clear(self) -> None:
+        for f in self.frames.values():
+            f.unpersist()
+        self.ticker, self.frames = None, {}
+
+
 class Registry:
     """Which vendor answers a method: the method's own setting, else its category's, else the default.
 

@@ -175,6 +175,48 @@ def test_vendor_routing():
         reg.category("other")
 
 
+def test_connectors():
+    busy = iter([True, True, False])
+    waits = []
+
+    def ask():
+        if next(busy):
+            raise readers.Registry.Busy
+        return "got"
+
+    assert readers.retried(ask, sleep=waits.append) == "got" and waits == [2.0, 4.0]
+    with pytest.raises(readers.Registry.Busy):
+        readers.retried(lambda: readers.payload_text('{"Information": "our rate limit is 25"}'), times=1, sleep=waits.append)
+    assert readers.payload_text("a,b\n1,2") == "a,b\n1,2" and readers.payload_text('{"x": 1}') == '{"x": 1}'
+    now = [0.0]
+    gate = readers.Throttle(0.5, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    assert [gate(lambda: now[0]) for _ in range(3)] == [0.0, 0.5, 1.0]
+
+
+def test_prefetch_keeps_one_ticker(spark):
+    bars = spark.createDataFrame([(1, dt.date(2024, 1, i)) for i in range(1, 9)] + [(2, dt.date(2024, 1, 2)), (1, None)], "ticker int, d date")
+    cache = readers.Prefetch()
+    cache.fill(1, {"bars": bars, "news": bars}, ["bars"], "d", "2024-01-02", "2024-01-04")
+    assert cache.read(1, "bars").count() == 4 and cache.read(1, "bars").is_cached and cache.read(2, "bars") is None and cache.read(1, "news") is None
+    cache.clear()
+    assert cache.read(1, "bars") is None
+
+
+def test_valid_counts_against_every_interval(spark):
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [(None if i % 5 == 0 else day(i % 7), None if i % 3 == 0 else day(i % 7 + i % 4 - 1)) for i in range(60)]
+    t = spark.createDataFrame(rows, "valid_from date, valid_to date")
+    days = spark.createDataFrame([(day(i),) for i in range(-1, 14)], "d date")
+    got = {r.d: r.valid for r in joins.valid_counts(t, days, "d").collect()}
+    assert got == {d: sum((a is None or a <= d) and (b is None or b >= d) for a, b in rows) for d in map(day, range(-1, 14))}
+
+
+def test_numbers_in_ranges_with_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(float(i % 10), i) for i in range(200)], "x double, i int")
+    both = [sorted(map(tuple, stats.numbered(rows, ["x", "i"], "n", rows=k).collect())) for k in (10, 1 << 20)]
+    assert both[0] == both[1] and sorted(r[2] for r in both[0]) == list(range(200))
+
+
 def test_contracts_of_runs(spark, tmp_path):
     assert contracts.differences({"a": 1, "b": {"c": 2, "d": 1}}, {"a": 1, "b": {"c": 3, "d": True}, "e": 0}) == ["b.c", "b.d", "e"]
     good = dict.fromkeys(contracts.BINDINGS, "x")
