@@ -13,6 +13,7 @@ BITS = 20
 DIM = 1 << BITS
 #: Bytes that end a term: all of ASCII but letters and digits.
 TERM_END = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+MOST_KEYS = 100_000  # label values whose counts are sent to every task
 _UP = np.zeros(256, bool)
 _UP[65:91] = True
 
@@ -84,6 +85,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: Column, train: Column, p
 def thinned(df: DataFrame, keys: list[str], at: str, n: int) -> DataFrame:
     """The rows whose hash `at`, below 2**40, is small for their key: n of each key and some more, so that a hot key isn't sorted whole."""
     total = df.groupBy(*keys).agg(F.count("*").alias("_total"))  # a row a key
+    if total.count() <= MOST_KEYS:  # else both sides meet by key
+        total = F.broadcast(total)
     share = F.col(at) / float(1 << 40)
     return df.join(total, keys).where(share * F.col("_total") < n + 8 * n**0.5 + 20).drop("_total")
 
