@@ -387,6 +387,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = stored(first.union(empty), "kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_once")
     out = docs.where("doc_id IS NOT NULL").withColumn("_text", text)
     out = out.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_hash")))
-    once = Window.partitionBy("doc_id", "_text").orderBy("_once")
+    once = Window.partitionBy("doc_id", "_text").orderBy("doc_id")  # the join's own order: texts aren't sorted again
     out = out.withColumn("_n", F.row_number().over(once)).where("_n = 1 OR NOT _once").select(docs.columns)
     return out.unionByName(docs.where("doc_id IS NULL"))

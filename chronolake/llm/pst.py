@@ -122,8 +122,8 @@ def single_contexts(counts: np.ndarray) -> np.ndarray:
     return np.where(kept, (counts + kinds * p0) / np.maximum(total + kinds, 1), p0)
 
 
-def branch(key: np.ndarray, n: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    """Chance of each gram's last byte after the others; `key` holds all grams of their last two context bytes."""
+def _levels(key: np.ndarray, n: np.ndarray, p1: np.ndarray):
+    """(grams, chances, which contexts are kept and where each begins) of every depth from 2; `key` holds all grams of their last two context bytes."""
     known, p = None, None
     for d in range(2, DEPTH + 1):
         child, nc = _merge(key & np.uint64((1 << 8 * (d + 1)) - 1), n)
@@ -133,12 +133,24 @@ def branch(key: np.ndarray, n: np.ndarray, p1: np.ndarray) -> np.ndarray:
         size = np.diff(np.append(start, len(child)))
         total, kinds = np.add.reduceat(nc, start), np.add.reduceat((nc > 0).astype(np.float64), start)
         gain = np.add.reduceat(nc * np.log(np.maximum(nc, 1) / np.repeat(np.maximum(total, 1), size) / parent), start)
-        kept = np.repeat((total > 0) & (gain >= 0.5 * kinds * np.log(np.maximum(total, 1))), size)
+        keep = (total > 0) & (gain >= 0.5 * kinds * np.log(np.maximum(total, 1)))
         total, kinds = np.repeat(total, size), np.repeat(kinds, size)
-        known, p = child, np.where(kept, (nc + kinds * parent) / np.maximum(total + kinds, 1), parent)
+        known, p = child, np.where(np.repeat(keep, size), (nc + kinds * parent) / np.maximum(total + kinds, 1), parent)
+        yield known, p, keep
+
+
+def branch(key: np.ndarray, n: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """Chance of each gram's last byte after the others."""
+    for known, p, _ in _levels(key, n, p1):  # noqa: B007 the deepest level is what counts
+        pass
     return p[np.searchsorted(known, key)]
 
 
+def kept_contexts(key: np.ndarray, n: np.ndarray, p1: np.ndarray) -> int:
+    """How many contexts of two bytes and more the divergence tests keep."""
+    return sum(int(keep.sum()) for *_, keep in _levels(key, n, p1))
+
+
 def _gram_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (bk.mix(key) % np.uint64(buckets)).astype(np.int32)
 
