@@ -76,6 +76,21 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> D
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def latest_filings(filings: DataFrame, as_of: str, forms: tuple[str, ...]) -> DataFrame:
+    """Each ticker's latest filing of some forms that was out at the as-of; of one day's the first in the feed. Rows (ticker, form, filed, seq, ...)."""
+    seen = filings.where(F.col("form").isin(*forms) & (F.col("filed") <= F.lit(as_of).cast("date")))
+    rest = [c for c in filings.columns if c not in ("ticker", "filed", "seq")]
+    best = seen.groupBy("ticker").agg(F.max(F.struct("filed", (-F.col("seq")).alias("order"), *rest)).alias("b"))
+    return best.select("ticker", "b.filed", (-F.col("b.order")).alias("seq"), *[F.col(f"b.{c}") for c in rest])
+
+
+def to_ingest(filings: DataFrame, as_of: str, ingested: DataFrame) -> DataFrame:
+    """The filings to fetch: each ticker's latest 10-K, else its latest 10-Q, unless its accession is there already."""
+    annual = latest_filings(filings, as_of, ("10-K",))
+    quarterly = latest_filings(filings, as_of, ("10-Q",)).join(annual.select("ticker"), "ticker", "left_anti")
+    return annual.unionByName(quarterly).join(ingested.select("accession"), "accession", "left_anti")
+
+
 def insert_new(open_facts: DataFrame, new: DataFrame, keys=("subject", "predicate", "object")) -> DataFrame:
     """New triples that no open identical triple exists for."""
     return new.join(open_facts.where("valid_to IS NULL"), list(keys), "left_anti")

@@ -6,9 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fold_runs(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per run and agent: last status, number of entries, tokens, from an append-only log."""
-    return log.groupBy(*keys).agg(F.max_by("status", order).alias("status"), F.count("*").alias("entries"), F.sum("tokens").alias("tokens"))
+def after_researchers(judged: Column, iterations: int = 1) -> Column:
+    """Who comes after a round of researchers: the judge while iterations are left."""
+    return F.when(judged < iterations, "Judge Researcher").otherwise("Research Manager")
+
+
+def after_risk_turn(turns: Column, speaker: Column, rounds: int = 1) -> Column:
+    """Who comes after a turn of the risk debate: three analysts in turn, the manager after all rounds."""
+    return (
+        F.when(turns >= 3 * rounds, "Portfolio Manager").when(speaker.startswith("Aggressive"), "Conservative Analyst")
+        .when(speaker.startswith("Conservative"), "Neutral Analyst").otherwise("Aggressive Analyst")
+    )
+
+
+def sentiment(posts: DataFrame, by: list[str], least: float = 0.65) -> DataFrame:
+    """Posts that count for a sentiment: without unsure neutral ones, but all of a key that would have none left."""
+    sure = ~((F.col("label") == "neutral") & (F.col("conf") < least))
+    left = posts.groupBy(*by).agg(F.max(sure).alias("_any"))  # a row a key: no key's posts are gathered
+    return posts.join(left, by).where(sure | ~F.col("_any")).drop("_any")
 
 
 def bounded_log(log: DataFrame, keys: list[str], order: str, n: int = 100) -> DataFrame:

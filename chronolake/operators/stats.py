@@ -55,6 +55,16 @@ def tail_folds(events: DataFrame, order: list[str], splits: int = 4) -> DataFram
     return seq.join(F.broadcast(folds)).withColumn("role", role).where("role IS NOT NULL").drop("i")
 
 
+def event_vectors(rows: DataFrame, event: str, order: str, vector: str, rule: str = "mean") -> DataFrame:
+    """(event, vector): mean, maximum or last of an event's vectors, dimension by dimension; events are in order of their first row."""
+    if rule == "last":
+        return rows.groupBy(event).agg(F.max_by(vector, order).alias(vector), F.min(order).alias("first"))
+    how = {"mean": F.avg, "max": F.max}[rule]
+    dims = rows.select(event, order, F.posexplode(vector).alias("i", "x")).groupBy(event, "i").agg(how(F.col("x").cast("double")).alias("x"), F.min(order).alias("first"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])  # a row a dimension
+    return dims.groupBy(event).agg(whole.alias(vector), F.min("first").alias("first"))
+
+
 def average_rank(col: str, part: list[str] | None = None) -> Column:
     """Ranks with ties averaged."""
     p = part or [F.lit(0)]

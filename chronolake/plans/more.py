@@ -160,13 +160,6 @@ def m7_y26_store_reports(spark, sf):
     return L.store_reports(d, ["news", "market"], "day").select("doc_id", "room", "doc", "valid_from")
 
 
-@query([], "SELECT o_custkey, max(o_orderkey) AS accession FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey HAVING max(o_orderkey) NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
-def m10_ensure_ingested(spark, sf):
-    o = table(spark, sf, "orders")
-    new = o.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.max("o_orderkey").alias("accession"))
-    return new.join(o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("accession")), "accession", "left_anti").select("o_custkey", "accession")
-
-
 @query([], """WITH e AS (SELECT DISTINCT CAST(vec_id // 4 AS BIGINT) AS event_id FROM embeddings), n AS (SELECT count(*) AS n, greatest(2, least(4, count(*) // 3)) AS k FROM e), s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM e),
 r AS (SELECT event_id, fold, CASE WHEN i < n - (k - fold) * (n // (k + 1)) THEN 'train' WHEN i < n - (k - fold - 1) * (n // (k + 1)) THEN 'test' END AS role FROM s, n, (SELECT unnest(range(4))::INTEGER AS fold) WHERE fold < k) SELECT * FROM r WHERE role IS NOT NULL""")
 def w18_tail_folds(spark, sf):

@@ -118,12 +118,6 @@ def j6_asof_split(spark, sf):
     return J.asof_split(_events(spark, sf), bars, "ticker", "d", "bar_date", ["close"]).withColumn("close", F.round("close", 6))
 
 
-@query([], "SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS d FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30') WHERE n = 1")
-def j7_latest_filing(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderdate <= TIMESTAMP_NTZ '1996-06-30'")
-    return J.latest(rows, ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
-
-
 @query(["statements"], "SELECT ticker, item, period, lead(value) OVER w - value AS change, lead(period) OVER w AS next_period FROM statements WINDOW w AS (PARTITION BY ticker, item ORDER BY period)")
 def j10_w15_next_period(spark, sf):
     from pyspark.sql import Window

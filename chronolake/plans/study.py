@@ -176,18 +176,6 @@ def f5_drawer_expiry(spark, sf):
     return V.drawers(table(spark, sf, "embeddings")).drop("embedding")
 
 
-@query(["posts"], "SELECT label, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score * conf DESC, id) AS INTEGER) AS rank FROM posts WHERE NOT (label = 'neutral' AND conf < 0.65::DOUBLE)) WHERE rank <= 5")
-def o4_top_posts(spark, sf):
-    w = Window.partitionBy("label").orderBy(F.desc(F.col("score") * F.col("conf")), "id")
-    rows = view(spark, sf, "posts").where("NOT (label = 'neutral' AND conf < 0.65D)")
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("label", "id", "rank")
-
-
-@query(["posts"], "SELECT source, label, count(*) AS n, CAST(sum(score) AS BIGINT) AS score, arg_max(id, (score, -id)) AS best FROM posts GROUP BY source, label")
-def a8_o5_sentiment(spark, sf):
-    return view(spark, sf, "posts").groupBy("source", "label").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.max_by("id", F.struct("score", -F.col("id"))).alias("best"))
-
-
 @query([], "SELECT min(doc_id) AS doc_id, text FROM documents WHERE text <> '' GROUP BY text")
 def o6_first_seen(spark, sf):
     """Texts meet as digests, with partial minima; only the first rows' texts are read again."""
@@ -301,12 +289,6 @@ def a29_diversity(spark, sf):
 # --------------------------------------------------------- logs and state
 
 
-@query([], "SELECT conv_id, CASE WHEN max(turn) >= 3 THEN 'judge' WHEN arg_max(role, turn) = 'user' THEN 'assistant' ELSE 'user' END AS next FROM conversations GROUP BY conv_id")
-def z2_routing(spark, sf):
-    d = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("t"), F.max_by("role", "turn").alias("r"))
-    return d.select("conv_id", F.when(F.col("t") >= 3, "judge").when(F.col("r") == "user", "assistant").otherwise("user").alias("next"))
-
-
 @query([], "SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM events GROUP BY ALL")
 def m16_tumbling(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
