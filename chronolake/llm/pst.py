@@ -8,12 +8,13 @@ knows nothing of the corpus's size, so the tree grows with what was read.  Kept
 distributions are smoothed by those of shorter kept contexts (Witten-Bell); the
 longest kept suffix of what was read gives the next byte's probability.
 
-The tree is a table, (gram, log10 probability) of every DEPTH + 1 bytes that any
-text holds, and stays on the executors.  A branch is made where all counts of its
-last two context bytes meet; only the 65536 counts of single contexts are sent to
-all.  Each slice of texts asks for its distinct grams by hash bucket, so a frequent
-gram is one row per slice.  Exact add-one unigram counts of words are asked for in
-the same way.
+The tree is never in one place.  Counts of all DEPTH + 1 bytes that any text holds
+are a table on the executors; contexts of up to two bytes are decided on the driver,
+from at most 2**24 counts, and sent to all.  Longer contexts that end alike in three
+bytes are in one bucket, by a hash of these bytes, and so are the grams that each
+slice of texts asks for: a bucket's task makes its part of the tree and answers from
+it.  A frequent gram is one row per slice, and what shares three bytes is bounded by
+the alphabet.  Exact add-one unigram counts of words are asked for in the same way.
 
 Words are told apart by a 64-bit hash.  Defined results: null texts count as
 empty, with the end as their only token; a null id's fold is that of the empty
@@ -28,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
@@ -122,55 +123,63 @@ def single_contexts(counts: np.ndarray) -> np.ndarray:
     return np.where(kept, (counts + kinds * p0) / np.maximum(total + kinds, 1), p0)
 
 
-def _levels(key: np.ndarray, n: np.ndarray, p1: np.ndarray):
-    """(grams, chances, which contexts are kept and where each begins) of every depth from 2; `key` holds all grams of their last two context bytes."""
-    known, p = None, None
-    for d in range(2, DEPTH + 1):
+def _chances(child: np.ndarray, n: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chance of each gram's last byte, which contexts are kept), from sorted grams, their counts and the chances after the shorter contexts."""
+    start = _distinct(child >> np.uint64(8))
+    size = np.diff(np.append(start, len(child)))
+    total, kinds = np.add.reduceat(n, start), np.add.reduceat((n > 0).astype(np.float64), start)
+    gain = np.add.reduceat(n * np.log(np.maximum(n, 1) / np.repeat(np.maximum(total, 1), size) / parent), start)
+    keep = (total > 0) & (gain >= 0.5 * kinds * np.log(np.maximum(total, 1)))
+    total, kinds = np.repeat(total, size), np.repeat(kinds, size)
+    return np.where(np.repeat(keep, size), (n + kinds * parent) / np.maximum(total + kinds, 1), parent), keep
+
+
+def short_contexts(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(grams of three bytes, chance of the last after the first two, contexts of two bytes kept), from sorted grams and counts."""
+    pair = (key & np.uint64(0xFFFF)).astype(np.int64)
+    p1 = single_contexts(np.bincount(pair, weights=n, minlength=65536).reshape(256, 256))
+    p, keep = _chances(key, n, p1.ravel()[pair]) if len(key) else (n, np.zeros(0, bool))
+    return key, p, int(keep.sum())
+
+
+def _levels(key: np.ndarray, n: np.ndarray, known: np.ndarray, p: np.ndarray):
+    """(grams, chances, which contexts are kept) of every depth from 3; `key` holds all grams of their last three context bytes, known and p those of depth 2."""
+    for d in range(3, DEPTH + 1):
         child, nc = _merge(key & np.uint64((1 << 8 * (d + 1)) - 1), n)
-        short = child & np.uint64((1 << 8 * d) - 1)
-        parent = p1[(short >> np.uint64(8)).astype(np.int64), (short & np.uint64(255)).astype(np.int64)] if known is None else p[np.searchsorted(known, short)]
-        start = _distinct(child >> np.uint64(8))
-        size = np.diff(np.append(start, len(child)))
-        total, kinds = np.add.reduceat(nc, start), np.add.reduceat((nc > 0).astype(np.float64), start)
-        gain = np.add.reduceat(nc * np.log(np.maximum(nc, 1) / np.repeat(np.maximum(total, 1), size) / parent), start)
-        keep = (total > 0) & (gain >= 0.5 * kinds * np.log(np.maximum(total, 1)))
-        total, kinds = np.repeat(total, size), np.repeat(kinds, size)
-        known, p = child, np.where(np.repeat(keep, size), (nc + kinds * parent) / np.maximum(total + kinds, 1), parent)
+        parent = p[np.searchsorted(known, child & np.uint64((1 << 8 * d) - 1))]
+        known, (p, keep) = child, _chances(child, nc, parent)
         yield known, p, keep
 
 
-def branch(key: np.ndarray, n: np.ndarray, p1: np.ndarray) -> np.ndarray:
+def branch(key: np.ndarray, n: np.ndarray, known: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Chance of each gram's last byte after the others."""
-    for known, p, _ in _levels(key, n, p1):  # noqa: B007 the deepest level is what counts
+    for known, p, _ in _levels(key, n, known, p):  # noqa: B007, B020 the deepest level is what counts
         pass
     return p[np.searchsorted(known, key)]
 
 
-def kept_contexts(key: np.ndarray, n: np.ndarray, p1: np.ndarray) -> int:
-    """How many contexts of two bytes and more the divergence tests keep."""
-    return sum(int(keep.sum()) for *_, keep in _levels(key, n, p1))
+def kept_contexts(key: np.ndarray, n: np.ndarray) -> int:
+    """How many contexts of two bytes and more the divergence tests keep; `key` holds all grams."""
+    known, p, kept = short_contexts(*_merge(key & np.uint64(0xFFFFFF), n))
+    return kept + sum(int(keep.sum()) for *_, keep in _levels(key, n, known, p))
 
 
 def _gram_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (bk.mix(key) % np.uint64(buckets)).astype(np.int32)
+    """By the last three context bytes; `_bucket_column` says the same of a column."""
+    return (((key >> np.uint64(8) & np.uint64(0xFFFFFF)) * np.uint64(2654435761) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
 
 
-def fit(packed: DataFrame, buckets: int) -> DataFrame:
-    """The tree: (bucket, gram, logp) of every gram of the slices, learned from the training fold."""
-    counts = stored(gram_counts(packed), "grams")
-    seen = counts.groupBy(F.col("gram").bitwiseAND(0xFFFF).cast("int").alias("g")).agg(F.sum("n").alias("n")).collect()  # 65536 rows at most
-    table = np.zeros(65536)
-    for r in seen:
-        table[r["g"]] = r["n"]
-    p1 = packed.sparkSession.sparkContext.broadcast(single_contexts(table.reshape(256, 256)))
+def _bucket_column(gram: str, buckets: int) -> Column:
+    three = F.shiftrightunsigned(gram, 8).bitwiseAND(0xFFFFFF)
+    return F.pmod(F.shiftrightunsigned(three * F.lit(2654435761), 20), F.lit(buckets)).cast("int")
 
-    def each(rows: pa.Table) -> pa.Table:
-        key, n = _merge(rows.column("gram").to_numpy().view(np.uint64), rows.column("n").to_numpy().astype(np.float64))
-        logp = np.log10(branch(key, n, p1.value)).astype(np.float32)
-        return pa.table({"bucket": pa.array(_gram_bucket(key, buckets)), "gram": pa.array(key.view(np.int64)), "logp": pa.array(logp)})
 
-    pair = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF).cast("int")
-    return counts.withColumn("pair", pair).groupBy("pair").applyInArrow(each, "bucket int, gram long, logp float")
+def fit(packed: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """Counts of all grams of the slices, and the chances after contexts of two bytes."""
+    counts = stored(gram_counts(packed), "grams")
+    seen = counts.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").toArrow()  # 2**24 rows at most
+    known, p, _ = short_contexts(seen.column("g").to_numpy().view(np.uint64), seen.column("n").to_numpy().astype(np.float64))
+    return counts, (known, p)
 
 
 class Block:
@@ -268,8 +277,10 @@ def _word_counts(packed: DataFrame, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(look, "bid long, bucket int, payload binary, n long, v long")
 
 
-def _gram_chances(packed: DataFrame, tree: DataFrame, buckets: int) -> DataFrame:
-    """(bid, bucket, payload): log10 chances of each slice's grams of a bucket."""
+def _gram_chances(packed: DataFrame, buckets: int) -> DataFrame:
+    """(bid, bucket, payload): log10 chances of each slice's grams of a bucket, learned from the training fold."""
+    counts, short = fit(packed)
+    sent = packed.sparkSession.sparkContext.broadcast(short)
 
     def split(batches):
         for one, block in _blocks(batches):
@@ -279,13 +290,15 @@ def _gram_chances(packed: DataFrame, tree: DataFrame, buckets: int) -> DataFrame
             yield pa.RecordBatch.from_pylist(rows, pa.schema({"bucket": pa.int32(), "bid": pa.int64(), "n": pa.int32(), "keys": pa.binary()}))
 
     def look(part: pa.Table, asks: pa.Table) -> pa.Table:
-        gram = part.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(gram)
-        gram, logp = gram[order], part.column("logp").to_numpy()[order]
-        found = [planes(logp[np.searchsorted(gram, unplaned(x, n, np.uint64))]) for n, x in zip(asks.column("n").to_pylist(), asks.column("keys").to_pylist(), strict=True)]
+        found = []
+        if part.num_rows:
+            gram, n = _merge(part.column("gram").to_numpy().view(np.uint64), part.column("n").to_numpy().astype(np.float64))
+            logp = np.log10(branch(gram, n, *sent.value)).astype(np.float32)
+            found = [planes(logp[np.searchsorted(gram, unplaned(x, n, np.uint64))]) for n, x in zip(asks.column("n").to_pylist(), asks.column("keys").to_pylist(), strict=True)]
         return pa.table({"bid": asks.column("bid"), "bucket": asks.column("bucket"), "payload": pa.array(found, pa.binary())})
 
     rows = packed.select("bid", "text", "sizes").mapInArrow(split, "bucket int, bid long, n int, keys binary")
+    tree = counts.withColumn("bucket", _bucket_column("gram", buckets))
     return tree.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(look, "bid long, bucket int, payload binary")
 
 
@@ -298,7 +311,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counted = stored(_word_counts(packed, buckets), "words")
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     whole = float(np.log10(n + v + 1))
-    chances = _gram_chances(packed, fit(packed, buckets), buckets)
+    chances = _gram_chances(packed, buckets)
     replies = counted.select("bid", F.lit(0).alias("kind"), "bucket", "payload").union(chances.select("bid", F.lit(1), "bucket", "payload"))
     found = replies.groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "payload"))).alias("found"))  # the answers to one slice
 

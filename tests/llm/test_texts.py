@@ -361,10 +361,14 @@ def test_suffix_tree_against_brute_force(spark, docs):
 def retained(packed):
     """Contexts that the divergence tests keep, counted from the grams' counts."""
     rows = pst.gram_counts(packed).collect()
-    key, n = pst._merge(np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], float))
-    table = np.zeros(65536)
-    np.add.at(table, (key & np.uint64(0xFFFF)).astype(np.int64), n)
-    return pst.kept_contexts(key, n, pst.single_contexts(table.reshape(256, 256)))
+    return pst.kept_contexts(*pst._merge(np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], float)))
+
+
+def test_buckets_of_grams_in_both_forms(spark):
+    keys = np.random.default_rng(1).integers(0, 2**48, 500, dtype=np.uint64)
+    df = spark.createDataFrame([(int(k),) for k in keys], "gram long")
+    got = {r.gram: r.b for r in df.select("gram", pst._bucket_column("gram", 97).alias("b")).collect()}
+    assert got == {int(k): int(b) for k, b in zip(keys, pst._gram_bucket(keys, 97), strict=True)}
 
 
 def test_suffix_tree_grows_with_its_corpus(spark, docs):
