@@ -19,7 +19,7 @@ SECTIONS = (
     ("investment_plan", None, "Research Manager"), ("trader_investment_plan", None, "Trader"), ("final_trade_decision", None, "Portfolio Manager"),
 )
 REPORTS = ("market_report", "sentiment_report", "news_report", "fundamentals_report")
-#: What each node of a run reads, as paths into its state.
+#: What each node of a run reads, as paths into its state.
 READS = {
     "Researcher Round": (*REPORTS, "investment_debate_state.judge_critique_bull", "investment_debate_state.judge_critique_bear"),
     "Judge Researcher": ("investment_debate_state.bull_history", "investment_debate_state.bear_history"),
