@@ -19,7 +19,8 @@ the alphabet.  Exact add-one unigram counts of words are asked for in the same w
 Words are told apart by a 64-bit hash.  Defined results: null texts count as
 empty, with the end as their only token; a null id's fold is that of the empty
 text; without training rows all counts are 0 and all bytes alike; rows are
-returned one for one, repeated rows too; extra columns are ignored.
+returned one for one, repeated rows too; texts of any length are scored whole; extra
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
