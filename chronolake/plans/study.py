@@ -158,7 +158,7 @@ def _search(spark, sf, k, threshold):
     ask = dims.groupBy(F.col("label").alias("qid")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("q"))  # a query per label
     at = F.lit("2024-01-20").cast("date")
     seen = (F.col("valid_from") <= at) & (F.col("expires_at").isNull() | (F.col("expires_at") >= at))
-    return V.search(rows, ask, k, seen, threshold).select("qid", "rank", "id", F.round("sim", 6).alias("sim"))
+    return V.search_all(rows.where(seen), ask, k, threshold).select("qid", "rank", "id", F.round("sim", 6).alias("sim"))
 
 
 @query([], f"WITH {_DRAW} SELECT qid, rank, id, round(sim, 6) AS sim FROM rk WHERE rank <= 10 AND sim >= 0.3")

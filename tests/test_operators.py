@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import scalars as S
 from chronolake.functions import text as X
-from chronolake.operators import corpus, joins, pit, records, stats, trading, windows
+from chronolake.operators import corpus, joins, pit, records, stats, trading, vectors, windows
 from chronolake.plans.views import view
 from chronolake.sources import contracts, readers, sinks
 from chronolake.streaming import events as E
@@ -175,6 +175,21 @@ def test_vendor_routing():
         reg.category("other")
 
 
+def test_search_in_batches(spark):
+    """The product of batches and blocks against one product, with ties, few rows and none."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (300, 4)).astype(float) + 0.5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(5)
+    asks = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 300, 30)], "qid long, q array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for block in (3, 2000):
+        got = {(r.qid, r["rank"]): r.id for r in vectors.search_all(rows, asks, 7, block=block).collect()}
+        for q in range(0, 300, 30):
+            sim = np.round(unit @ unit[q], 9)
+            assert [got[q, n + 1] for n in range(7)] == np.lexsort((np.arange(300), -sim))[:7].tolist()
+    assert vectors.search_all(rows.limit(2), asks, 7).count() == 20 and vectors.search_all(rows.limit(0), asks, 7).count() == 0
+
+
 def test_connectors():
     busy = iter([True, True, False])
     waits = []
