@@ -4,7 +4,8 @@ A text is the set of its hashed terms and term prefixes.  The machine scores
 ``b + sum w_i + sum <v_i, v_j>`` over the pairs present, so that two terms may
 weigh together what neither weighs alone.  It is fitted by gradient descent on a
 bounded labelled sample (`per_label` rows of each label), over the hash buckets
-that tell the labels apart alone and those that do so in pairs.
+that tell the labels apart alone, and those that do so in pairs if they help on rows
+that they weren't chosen from.
 
 Defined results: null and empty texts get the score of a text without terms;
 null labels and labels without a document aren't learned from; without both
@@ -76,12 +77,36 @@ def fit_machine(y: np.ndarray, x: np.ndarray, rank: int = 8, steps: int = 250, r
     return float(b[0]), w, v
 
 
+def pairs_help(y: np.ndarray, ids: list[np.ndarray], gain: float = 0.8) -> bool:
+    """Whether buckets that tell the labels apart in pairs only lower the loss on rows they weren't chosen from, to `gain` of it at least.
+
+    Every other row of the sample (it is in order of label) chooses and fits, the rest is scored.
+    """
+    part = np.arange(len(y)) % 2 == 0
+    seen, rest = ([x for x, p in zip(ids, part == side, strict=True) if p] for side in (True, False))
+    alone = hashed.informative(y[part], seen)
+    extra = np.setdiff1d(hashed.paired(y[part], seen), alone)
+    if not len(extra):
+        return False
+
+    def loss(chosen: np.ndarray) -> float:
+        bias, w, v = fit_machine(y[part], hashed.dense(seen, chosen))
+        x, t = hashed.dense(rest, chosen), y[~part]
+        z = np.clip(bias + x @ w + 0.5 * ((x @ v) ** 2 - x @ v**2).sum(1), -30, 30)
+        own = np.log1p(np.exp(np.where(t == 1, -z, z)))
+        return float(own[t == 1].mean() + own[t == 0].mean())
+
+    return loss(np.union1d(alone, extra)) <= gain * loss(alone)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Machine:
     """Learn from at most `per_label` labelled documents of each label, outside the held-out fold."""
     sample = hashed.labelled(docs, labels, F.col("toxic"), fold("doc_id", FOLDS) != HELD, per_label)
     y, ids = hashed.design(sample, hashed.term_features)
     y = (y == 1).astype(np.int64)
-    chosen = np.union1d(hashed.informative(y, ids), hashed.paired(y, ids))
+    chosen = hashed.informative(y, ids)
+    if pairs_help(y, ids):
+        chosen = np.union1d(chosen, hashed.paired(y, ids))
     if not len(chosen):
         share = float(y.mean()) if len(y) else 0.0
         none = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
