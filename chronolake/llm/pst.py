@@ -41,7 +41,7 @@ FOLDS, HELD = 7, 2
 DEPTH, END = 5, 10
 END_WORD = np.uint64(0x656E64)
 BUCKET = 256 << 20  # bytes of text to a bucket of grams
-SLICE = 2 << 20
+SLICE = 3 << 19
 
 
 def stream(w: bk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def gram_counts(packed: DataFrame) -> DataFrame:
                 key = np.sort(g[rows])
                 new = _distinct(key)
                 held.append((key[new], weight * np.diff(np.append(new, len(key)))))
-            if sum(len(x) for x, _ in held) > 4_000_000:
+            if sum(len(x) for x, _ in held) > 2_500_000:
                 held = [_merge(*map(np.concatenate, zip(*held, strict=True)))]
                 if len(held[0][0]) > 2_000_000:
                     yield from out(held)
