@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolake.llm import html_text, jaccard, langid, leaks, mixing, pst, quality, secrets, topk, toxicity
+from chronolake.llm import dialogue, fim, html_text, jaccard, langid, leaks, mixing, packing, pst, quality, secrets, topk, toxicity
 from chronolake.llm.common import table
 
 
@@ -54,10 +54,29 @@ def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op2_ordinal_quality, op3_mix_sources, op4_language_gru, op5_toxicity_fm, op6_jaccard_join, op7_secret_scan, op8_latent_leaks, op9_suffix_tree, op10_html_blocks)}
+def op11_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+def op12_rope_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return dialogue.repair(talks, dialogue.damaged(talks))
+
+
+QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op2_ordinal_quality, op3_mix_sources, op4_language_gru, op5_toxicity_fm, op6_jaccard_join, op7_secret_scan, op8_latent_leaks, op9_suffix_tree, op10_html_blocks, op11_hilbert_packing, op12_rope_fim, op13_dialogue_repair)}
 
 ORACLE = {
     "op1_maxscore_topk": topk.TOPK_SQL,
     "op3_mix_sources": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL})",
     "op7_secret_scan": secrets.SECRETS_SQL,
+    "op12_rope_fim": fim.FIM_SQL,
+    "op13_dialogue_repair": dialogue.REPAIR_SQL,
 }
