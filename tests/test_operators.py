@@ -3,6 +3,8 @@
 import datetime as dt
 import hashlib
 import json
+import random
+import re
 import unicodedata
 
 import numpy as np
@@ -32,6 +34,23 @@ def test_html_and_hash(spark):
     t = "ﬁne  print\n"
     want = hashlib.sha256(" ".join(unicodedata.normalize("NFKC", t).split()).encode()).hexdigest()
     assert one(spark, X.text_hash(F.lit(t)))[0] == want
+    assert X.filing_text("<ix:header>x<p>text") == "x text" and X.filing_text("<script>a</script>b<SCRIPT type=x>c <b>d</b>") == "b c d" and X.filing_text("<style>a<style>b</style>c") == "c"
+
+
+def test_chunks_against_searches():
+    """Every chunk's end by a search of its own text."""
+    rng = random.Random(3)
+    for _ in range(300):
+        text, size = "".join(rng.choices(["a", "é", ". ", "\n\n", "\n", " ", "word", "👍"], k=rng.randint(0, 120))), rng.randint(2, 40)
+        overlap, want, at = rng.randint(0, size), [], 0
+        while at < len(text):
+            whole = text[at : at + size]
+            ends = [m.start() for m in re.finditer(r"(?=\n\n|\. )", whole) if size // 2 < m.start()]
+            stop = at + (ends[-1] + 1 if ends and at + size < len(text) else len(whole))
+            want.append((at, stop))
+            at = len(text) if stop == len(text) else max(at + 1, stop - overlap)
+        assert list(X.spans(text, size, overlap)) == want
+        assert X.pieces(text, size, overlap, 3) == [text[a:b].strip() for a, b in want[:3] if text[a:b].strip()]
 
 
 def test_chunks_cover_and_cut(spark):
