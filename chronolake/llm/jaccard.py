@@ -378,15 +378,17 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each component, that with the smallest id; rows without words and rows with a null id all stay.
 
     A row is known by its id and a hash of its text: an id on texts of several components stays once in each of which it is the smallest.
+    Of rows that differ in other columns only, that with the smallest digest of all columns stays.  Columns may have any names and types.
     """
-    text = F.xxhash64("text")
-    members = stored(_members(docs.select("doc_id", "text"), k, text), "members")
+    rows = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    digest = F.xxhash64(F.to_json("row"))
+    members = stored(_members(docs.select("doc_id", "text"), k, F.xxhash64("text")), "members")
     least = _classes(members, docs.select("text"), k, percent, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
-    first = least.groupBy("label").agg(F.min("least").alias("least")).where("least IS NOT NULL").select("least.*", F.lit(True).alias("_once"))
-    empty = members.where("node = 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash", F.lit(False).alias("_once")).distinct()
-    kept = stored(first.union(empty), "kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_once")
-    out = docs.where("doc_id IS NOT NULL").withColumn("_text", text)
-    out = out.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_hash")))
-    once = Window.partitionBy("doc_id", "_text").orderBy("doc_id")  # the join's own order: texts aren't sorted again
-    out = out.withColumn("_n", F.row_number().over(once)).where("_n = 1 OR NOT _once").select(docs.columns)
+    first = least.groupBy("label").agg(F.min("least").alias("least")).where("least IS NOT NULL").select(F.col("least.doc_id").alias("id"), F.col("least.text_hash").alias("hash"))
+    one = rows.groupBy("id", "hash").agg(F.min(digest).alias("one")).join(first, ["id", "hash"])
+    empty = members.where("node = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.lit(None).cast("long").alias("one")).distinct()
+    kept = stored(one.unionByName(empty), "kept")
+    out = rows.join(kept, ["id", "hash"]).where((digest == F.col("one")) | F.col("one").isNull())
+    copies = Window.partitionBy("id", "hash").orderBy("id")  # equal rows, in the join's own order: texts aren't sorted again
+    out = out.withColumn("copy", F.row_number().over(copies)).where("copy = 1 OR one IS NULL").select("row.*")
     return out.unionByName(docs.where("doc_id IS NULL"))
