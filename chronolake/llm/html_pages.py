@@ -38,6 +38,9 @@ PAGES = (
     f"{NAV}<article><h1>+{{6}}</h1><div>+{{40}}</div><div>+{{12}}</div><div>+{{30}} <a>{{3}}</a></div><div>+{{4}}</div></article>{FOOT}",
     "<div class=menu><a>-{1}</a><a>-{2}</a></div><div class=text>+{50}<br>+{20}<br><br>+{33}</div><div class=footer>-{4}</div>",
     f"<article>+{{35}}<br>+{{10}}<br>+{{6}}</article>{FOOT}",
+    # bare text that stands in the article itself
+    f"{NAV}<article><p>+{{30}}</p>+{{7}}<p>+{{25}}</p>+{{3}} <a>{{2}}</a><h2>+{{3}}</h2>+{{12}}</article>{FOOT}",
+    "<main><p>+{22}</p>+{9}<p>+{6}</p>+{4}<p>+{18}</p></main>",
     # adverts that no class name tells, bare in a small box between paragraphs
     f"{NAV}<article><h1>+{{5}}</h1><p>+{{40}}</p><div class='box-x'>-{{7}}</div><p>+{{35}}</p><p>+{{20}}</p></article>{FOOT}",
     "<article><p>+{30}</p><div class='c7'>-{4} <a>{3}</a></div><p>+{26}</p><p>+{8}</p></article>",

@@ -36,24 +36,24 @@ _WORD = re.compile(r"[^\W_]\S*")  # what holds a letter or a digit
 _NAME = re.compile(r"[a-z0-9]+")
 
 # Element, role and class names of HTML.
-RAW = frozenset("script style title textarea noscript iframe template svg math object select option button canvas audio video".split())
+RAW = frozenset("script style title textarea iframe".split())  # their content is no markup
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section select datalist summary table tbody td template tfoot th thead tr ul".split()
 )
 PROSE = frozenset("p pre li dd dt td th caption figcaption summary blockquote h1 h2 h3 h4 h5 h6".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-KEPT = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header head main menu nav ol search section span table tr ul".split()) | PROSE
-OUTSIDE = frozenset("nav footer aside head dialog menu search".split())  # never the article, whatever is inside
+KEPT = frozenset("article aside blockquote body datalist details dialog div dl fieldset figure footer form header head main menu nav noscript ol search section select span table template tr ul".split()) | PROSE
+OUTSIDE = frozenset("nav footer aside head dialog menu search select datalist template noscript".split())  # never the article, whatever is inside
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HINTS = frozenset(
     "ad adv advert advertisement advertising sponsor sponsored promo promotion banner cookie consent gdpr notice alert popup modal overlay "
     "newsletter subscribe subscription signup login sidebar sidenav menu nav navbar navigation breadcrumb footer masthead topbar related "
-    "recommended recommendation share sharing social pagination pager widget toolbar search skip hidden paywall".split()
+    "recommended recommendation share sharing social pagination pager widget toolbar search skip hidden paywall rail".split()
 )
-READERS = frozenset("comment commentlist disqus reply replies respond".split())
+READERS = frozenset("comment commentlist disqus discussion reply replies respond response".split())
 PLAIN = frozenset(
-    "area bar block bottom box button center column container content group inner item left link list main module outer page panel post right row "
+    "area bar block bottom box button center col column container content group inner item left link list main module outer page panel post right row "
     "section site slot story title top unit wrap wrapper".split()
 )
 
@@ -87,6 +87,8 @@ def _region(name: str, attrs: str, now: tuple[int, bool]) -> tuple[tuple[int, bo
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id") and name not in ("body", "html"):
                 told = max(told, hint(value, region == ARTICLE))
+            elif key.startswith("data-") and value.lower() not in ("false", "0"):
+                told = max(told, hint(key[5:], True))
             elif key == "role" and value.lower() in ROLES:
                 region, fixed = BOILERPLATE, True
             elif key == "role" and value.lower() in ("main", "article") and not fixed:
