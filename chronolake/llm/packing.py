@@ -23,6 +23,8 @@ gives no piece; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,6 +37,7 @@ from chronolake.llm.common import discard, stored
 from chronolake.llm.vocab import vocabulary
 
 DIMS, BITS, END = 4, 8, 1
+SLICE = 1 << 23  # bytes of text, or of pieces, that a task holds as arrays
 
 
 def signs(ids: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -44,24 +47,25 @@ def signs(ids: np.ndarray, dims: int = DIMS) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, dims: int = DIMS) -> DataFrame:
-    """(id, doc_tokens, place, ids): the ids with the end id as little-endian 32-bit numbers, and the mean of their signs in each dimension."""
+    """(id, doc_tokens, place, ids): the ids with the end id, as the vocabulary's numbers, and the mean of their signs in each dimension."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def each(batches):
         vocab = vocabulary(tokenizer)
-        last = np.array([end], "<u4").tobytes()
         table = signs(np.arange(1 << 16), dims)
         for batch in batches:
-            for s in bk.slices(batch.column(1)):
-                raw = s.raw.tobytes()
-                ids = [vocab.encode(raw[a:b]) + last for a, b in zip(s.offs[:-1], s.offs[1:])]
-                n = np.array([len(x) >> 2 for x in ids], np.int64)
-                flat = np.frombuffer(b"".join(ids), "<u4")
-                sign = table[flat] if flat.max() < len(table) else signs(flat, dims)
-                first = np.cumsum(n) - n
-                mean = np.stack([np.add.reduceat(sign[:, d], first, dtype=np.int64) for d in range(dims)], 1) / n[:, None]
+            for s in bk.slices(batch.column(1), SLICE):
+                flat, ends = vocab.encode(s.raw, s.offs)
+                rows = len(ends)
+                flat = np.insert(flat, ends, end)
+                ends = ends + np.arange(1, rows + 1)
+                first = np.concatenate(([0], ends[:-1]))
+                sign = table[flat] if vocab.width == 2 else signs(flat, dims)
+                mean = np.stack([np.add.reduceat(sign[:, d], first, dtype=np.int64) for d in range(dims)], 1) / (ends - first)[:, None]
                 place = pa.FixedSizeListArray.from_arrays(pa.array(mean.ravel(), pa.float64()), dims).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(n), place, pa.array(ids, pa.binary())], names=[id_col, "doc_tokens", "place", "ids"])
+                cuts = np.concatenate(([0], ends)) * vocab.width
+                ids = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, rows), pa.array(ends - first), place, ids], names=[id_col, "doc_tokens", "place", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(each, f"{id_col} {id_type}, doc_tokens long, place array<double>, ids binary")
 
@@ -122,7 +126,7 @@ def along_curve(tokens: DataFrame, id_col: str = "doc_id", dims: int = DIMS, bit
     return ordered.mapInArrow(running, f"{id_col} {id_type}, doc_tokens long, ids binary, part int, at long")
 
 
-def ends_of_rest(total: int, length: int) -> list[int]:
+def rest_starts(total: int, length: int) -> list[int]:
     """Starts of the sequences that the stream's last, unfilled part is cut into: powers of two, largest first."""
     at, starts = total // length * length, []
     for b in range(length.bit_length(), -1, -1):
@@ -132,30 +136,46 @@ def ends_of_rest(total: int, length: int) -> list[int]:
     return starts
 
 
+def pieces(begin: int, n: int, full: int, rest: list[int], length: int) -> list[tuple[int, int, int, int]]:
+    """(start, length, sequence, offset) of the pieces of a document of n ids that begins at `begin` in the stream."""
+    stop = begin + n
+    cuts = [begin, *range(begin // length * length + length, min(stop - 1, full) + 1, length), *(r for r in rest if max(begin, full) < r < stop), stop]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        k = bisect_right(rest, a)
+        out.append((a - begin, b - a, *((full // length + k - 1, a - rest[k - 1]) if a >= full else divmod(a, length))))
+    return out
+
+
 def cut(placed: DataFrame, total: int, length: int, id_col: str = "doc_id") -> DataFrame:
-    """Pieces of documents that begin at `begin` in the stream of `total` ids."""
-    full, rest = total // length * length, ends_of_rest(total, length)
-    begin, stop = F.col("begin"), F.col("begin") + F.col("doc_tokens")
-    low, high = F.floor(begin / length).cast("long") * length + length, F.least(stop - 1, F.lit(full))
-    inside = F.when(low <= high, F.sequence(low, high, F.lit(length).cast("long"))).otherwise(F.array().cast("array<long>"))
-    rests = F.array(*(F.lit(r) for r in rest)).cast("array<long>")
-    late = F.filter(rests, lambda r: (r > F.greatest(begin, F.lit(full))) & (r < stop))
-    points = F.concat(F.array(begin), inside, late)
-
-    def piece(at: Column, i: Column) -> Column:
-        n = F.coalesce(F.get(F.col("points"), i + 1), stop) - at
-        k = F.size(F.filter(rests, lambda r: r <= at))
-        in_rest = at >= full
-        return F.struct(
-            (at - begin).alias("start"),
-            n.alias("length"),
-            F.substr(F.col("ids"), ((at - begin) * 4 + 1).cast("int"), (n * 4).cast("int")).alias("ids"),
-            F.when(in_rest, F.lit(full // length) + k - 1).otherwise(F.floor(at / length)).cast("long").alias("sequence_id"),
-            F.when(in_rest, at - F.element_at(rests, F.greatest(k, F.lit(1)))).otherwise(at % length).cast("long").alias("offset"),
-        )
-
-    listed = placed.withColumn("points", points).select(id_col, "doc_tokens", F.transform("points", piece).alias("pieces"))  # the ids are cut before the rows are: no piece carries a whole text
-    return listed.select(id_col, "doc_tokens", F.explode("pieces").alias("p")).select(id_col, "p.start", "p.length", "p.ids", "doc_tokens", "p.sequence_id", "p.offset")
+    """Pieces of the documents (id, doc_tokens, ids, begin) of a stream of `total` ids; a piece's ids are little-endian and of 32 bits."""
+    full, rest = total // length * length, rest_starts(total, length)
+    id_type = placed.schema[id_col].dataType.simpleString()
+    names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+    def each(batches):
+        for batch in batches:
+            of, rows, held = [], [], 0
+
+            def told(batch=batch):
+                start, size, ids, seq, offset = zip(*rows)
+                at = pa.array(of)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), batch.column(1).take(at), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())], names=names)
+
+            for i, (n, ids, begin) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist())):
+                buffer = ids.as_buffer()
+                ids = np.frombuffer(buffer, f"u{buffer.size // n}")
+                for a, size, seq, offset in pieces(begin, n, full, rest, length):
+                    of.append(i)
+                    rows.append((a, size, ids[a : a + size].astype("<u4").tobytes(), seq, offset))
+                    held += size
+                    if held >= SLICE // 4:
+                        yield told()
+                        of, rows, held = [], [], 0
+            if rows:
+                yield told()
+
+    return placed.select(id_col, "doc_tokens", "ids", "begin").mapInArrow(each, f"{id_col} {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:

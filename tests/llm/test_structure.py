@@ -24,10 +24,14 @@ def some_text(rng, words=ODD, most=30):
 
 def test_vocabulary_against_tokenizer():
     rng, whole, own = random.Random(5), Tokenizer.from_file(PATH), Vocabulary(PATH, kept=50)
-    words = ODD + ["the", "Of", "queen", "(alpha)", "beta-7", "e.g.", "l'été", "Straße,"]
-    for text in [some_text(rng, words) for _ in range(1500)] + ["", " \n"]:
-        assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
-    assert len(own.runs) <= 50 + 40 and len(own.parts) <= 50
+    words = ODD + ["the", "Of", "queen", "(alpha)", "beta-7", "e.g.", "l'été", "Straße,", "'", "''", "o'clock's", "d'", "<|", "a<|b", "\x0b", "\x85", "\xa0", "µª", "ÀÖØÞ", "e\u0301", "É\u0301"]
+    texts = [some_text(rng, words) for _ in range(2500)] + ["", " \n", "end", "É", "Ã", ""]
+    for some in (texts, texts[:1], [""], ["", ""]):
+        offs = np.cumsum([0, *(len(t.encode()) for t in some)])
+        flat, ends = own.encode(np.frombuffer("".join(some).encode(), np.uint8), offs)
+        for t, a, b in zip(some, [0, *ends], ends):
+            assert flat[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    assert len(own.young) <= 50 and len(own.old) <= 50
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 3), (4, 2)])
