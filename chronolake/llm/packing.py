@@ -37,6 +37,7 @@ from chronolake.llm.common import discard, stored
 from chronolake.llm.vocab import vocabulary
 
 DIMS, BITS, END = 4, 8, 1
+GRID = 1 << 14  # steps of a mean sign that quantiles are told to
 SLICE = 1 << 23  # bytes of text, or of pieces, that a task holds as arrays
 
 
@@ -105,11 +106,22 @@ def curve_key(place: Column, edges: list[list[float]], bits: int = BITS) -> Colu
     return key(place)
 
 
+def quantiles(tokens: DataFrame, dims: int, cells: int) -> list[list[float]]:
+    """Where each dimension is cut into `cells` shares of the documents, to 1 / GRID: counts of all of them, at most 2 x GRID + 1 a dimension."""
+    at = tokens.select(F.posexplode("place").alias("d", "x")).groupBy("d", F.floor(F.col("x") * GRID).alias("bin")).agg(F.count("*").alias("n"))
+    found = np.array([tuple(r) for r in at.orderBy("d", "bin").collect()], np.int64).reshape(-1, 3)
+    edges = []
+    for d in range(dims):
+        _, bins, n = found[found[:, 0] == d].T
+        upto = np.cumsum(n)
+        wanted = np.arange(1, cells) * (upto[-1] if len(upto) else 0) / cells
+        edges.append((bins[np.searchsorted(upto, wanted)] / GRID).tolist() if len(upto) else [0.0])
+    return edges
+
+
 def along_curve(tokens: DataFrame, id_col: str = "doc_id", dims: int = DIMS, bits: int = BITS) -> DataFrame:
     """(id, doc_tokens, ids, part, at) in curve order: `at` is the number of ids before a document in its partition."""
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = tokens.agg(*(F.percentile_approx(F.col("place")[d], shares, 10_000) for d in range(dims))).first()
-    edges = [list(e or [0.0]) for e in found]
+    edges = quantiles(tokens, dims, 1 << bits)
     id_type = tokens.schema[id_col].dataType.simpleString()
     keyed = tokens.select(id_col, "doc_tokens", "ids", curve_key(F.col("place"), edges, bits).alias("key"), F.xxhash64("ids").alias("digest"), F.monotonically_increasing_id().alias("row"))
     order = ["key", F.col(id_col).asc_nulls_first(), "digest", "row"]
