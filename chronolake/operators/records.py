@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +45,24 @@ def settings_digest(settings: dict) -> str:
 
 
 def digest_column(raw: Column) -> Column:
-    """The digest of a settings column of JSON text: the fields in order of name, absent ones as null."""
-    # names are fixed, so the canonical text is put together from the fields; nested settings count as they are written
-    def told(k: str) -> Column:
-        v = F.get_json_object(raw, f"$.{k}")
-        if k.endswith(("_provider", "_llm", "_language")):
-            v = F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-        return F.concat(F.lit(f'"{k}": '), F.coalesce(v, F.lit("null")))
-
-    fields = [told(k) for k in sorted(DIGESTED)]
-    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).cast("binary"), 256), 1, 16)
+    """The digest of a settings column of JSON text: the digested fields as canonical JSON, nested settings in order of name too.
+
+    Text that isn't a JSON object counts as one without fields.
+    """
+
+    @F.arrow_udf("string")
+    def told(texts: pa.Array) -> pa.Array:
+        return pa.array([settings_digest(_object(t)) for t in texts.to_pylist()], pa.string())
+
+    return told(raw)
+
+
+def _object(text: str | None) -> dict:
+    try:
+        told = json.loads(text or "")
+    except ValueError:
+        return {}
+    return told if isinstance(told, dict) else {}
 
 
 def fold(log: DataFrame) -> DataFrame:

@@ -141,3 +141,34 @@ def transcript_date(event_date: Column, quarter_end: Column) -> Column:
 def stance_label(raw: Column) -> Column:
     """0, 1, 2 of the spreadsheet to -1, 1, 0; anything else is no label."""
     return F.when(raw == "0", -1).when(raw == "1", 1).when(raw == "2", 0)
+
+
+def quarters_before(as_of: Column, n: int = 3) -> Column:
+    """The last n whole quarters before a day, latest first, as structs (year, quarter, place)."""
+    first = F.date_trunc("quarter", as_of)
+    at = lambda i: F.add_months(first, -3 * i)
+    return F.array(*(F.struct(F.year(at(i)).alias("year"), F.quarter(at(i)).alias("quarter"), F.lit(i - 1).alias("place")) for i in range(1, n + 1)))
+
+
+def latest_candidates(asked: DataFrame, calls: DataFrame, n: int = 3) -> DataFrame:
+    """`asked` (ticker, as_of, ...) with the payload columns of the latest of the n quarters before that has a call; no call, no row.
+
+    `calls` (ticker, year, quarter, ...) is first read by its keys alone, and each request settles on one of its
+    candidates.  Only the quarters that some request settled on are then read with their payloads, which is a choice of
+    folders where calls are partitioned by year and quarter.  Of several calls of a ticker and quarter all are joined.
+    """
+    from functools import reduce
+
+    from chronolake.sources.sinks import folder
+
+    keys = calls.select("ticker", "year", "quarter").distinct()
+    tried = asked.withColumn("c", F.explode(quarters_before(F.col("as_of"), n))).select("ticker", "as_of", "c.year", "c.quarter", "c.place")
+    there = tried.distinct().join(keys, ["ticker", "year", "quarter"], "left_semi")
+    at = folder(asked.sparkSession, "settled")
+    there.groupBy("ticker", "as_of").agg(F.min_by(F.struct("year", "quarter", "place"), "place").alias("w")).select("ticker", "as_of", "w.*").write.parquet(at)
+    settled = asked.sparkSession.read.parquet(at)
+    quarters: dict[int, list[int]] = {}
+    for r in settled.select("year", "quarter").distinct().collect():  # the quarters of some decades
+        quarters.setdefault(r.year, []).append(r.quarter)
+    wanted = reduce(lambda x, y: x | y, ((F.col("year") == y) & F.col("quarter").isin(q) for y, q in quarters.items()), F.lit(False))
+    return asked.join(settled, ["ticker", "as_of"]).join(calls.where(wanted), ["ticker", "year", "quarter"])

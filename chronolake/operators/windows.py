@@ -235,8 +235,12 @@ def directional_accuracy(df: DataFrame) -> DataFrame:
 BINS = ((0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 1.01))
 
 
-def calibration(df: DataFrame) -> DataFrame:
-    """Accuracy of directional rows by confidence bin, right-open; empty bins stay."""
+def calibration(df: DataFrame, by: list[str] | None = None, least: int = 50) -> DataFrame:
+    """Accuracy of directional rows by confidence bin, right-open; empty bins stay.
+
+    With `by`, a table of bins for each group; `unreliable` says that a table holds fewer than `least` rows in all.
+    """
+    by = by or []
     spark = df.sparkSession
     bins = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(BINS)], "bin int, lo double, hi double")
     c, r = F.col("confidence"), F.col("actual_return")
@@ -244,7 +248,11 @@ def calibration(df: DataFrame) -> DataFrame:
     for i, (a, b) in enumerate(BINS):
         which = F.when((c >= a) & (c < b), i).otherwise(which)
     right = F.col("signal").isin(*UP) & (r > 0) | F.col("signal").isin(*DOWN) & (r < 0)
-    got = df.where(F.col("signal").isin(*UP, *DOWN)).groupBy(which.alias("bin")).agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("accuracy"))
-    got = F.broadcast(bins).join(got, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    directional = df.where(F.col("signal").isin(*UP, *DOWN))
+    got = directional.groupBy(*by, which.alias("bin")).agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("accuracy"))
+    total = got.groupBy(*by).agg(F.sum("n").alias("total"))  # a row a group
+    frame = total.withColumn("bins", F.array(*(F.struct(F.lit(i).alias("bin"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for i, (a, b) in enumerate(BINS)))).select(*by, "total", F.inline("bins")) if by else bins.join(F.broadcast(total))
+    got = (frame if by else F.broadcast(frame)).join(got, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     gap = F.col("accuracy") - (F.col("lo") + F.least(F.col("hi"), F.lit(1.0))) / 2
-    return got.select("bin", "n", "accuracy", F.when(F.col("n") == 0, "no data").when(gap > 0.1, "underconfident").when(gap < -0.1, "overconfident").otherwise("calibrated").alias("assessment"))
+    told = F.when(F.col("n") == 0, "no data").when(gap > 0.1, "underconfident").when(gap < -0.1, "overconfident").otherwise("calibrated")
+    return got.select(*by, "bin", "n", "accuracy", told.alias("assessment"), (F.coalesce("total", F.lit(0)) < least).alias("unreliable"))

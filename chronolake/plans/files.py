@@ -91,29 +91,30 @@ def s29_market_table(spark, sf):
     return Rd.market_table(spark, at, "Date DATE, Close DOUBLE").groupBy(F.col("Date").alias("d")).agg(F.count("*").alias("n"))
 
 
-_POLICY = """m AS (SELECT o_orderkey, CAST(DATE '1990-01-01' + CAST(o_orderkey AS INT) AS DATE) AS meeting_date, (o_orderkey * 7 % 5)::DOUBLE / 4 AS b, (o_orderkey * 3 % 5)::DOUBLE / 4 AS a, CASE WHEN o_orderkey % 4 = 0 THEN 'unscheduled' ELSE 'scheduled' END AS kind FROM orders WHERE o_orderkey <= 400),
-ac AS (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN 0 WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS action FROM m)"""
+_POLICY = """m AS (SELECT o_custkey AS bank, o_orderkey AS id, CAST(o_orderdate AS DATE) AS meeting_date, (o_orderkey * 7 % 5)::DOUBLE / 4 AS b, (o_orderkey * 3 % 5)::DOUBLE / 4 AS a, CASE WHEN o_orderkey % 4 = 0 THEN 'unscheduled' ELSE 'scheduled' END AS kind FROM orders),
+ac AS (SELECT *, CASE WHEN id % 9 = 0 THEN 0 WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS action FROM m)"""
 
 
 def _policy(spark, sf):
+    """Every order as a decision of its customer, a bank, written as CSV and read as history."""
     at, k = Sk.folder(spark, "policy"), F.col("o_orderkey")
     before, after = (k * 7 % 5).cast("double") / 4, (k * 3 % 5).cast("double") / 4
     action = F.when(k % 9 == 0, 0).when(after > before, 1).when(after < before, -1).otherwise(0)
-    day = F.date_add(F.lit("1990-01-01").cast("date"), k.cast("int"))
+    day = F.col("o_orderdate").cast("date")
     kind = F.when(k % 4 == 0, "unscheduled").otherwise("scheduled")
-    rows = table(spark, sf, "orders").where("o_orderkey <= 400").select(day.alias("meeting_date"), day.cast("timestamp").alias("decision_time"), (before - 0.25).alias("target_lower_before"), before.alias("target_upper_before"), (after - 0.25).alias("target_lower_after"), after.alias("target_upper_after"), action.alias("action"), kind.alias("meeting_type"), F.lit("u").alias("source_url"), F.lit("h").alias("source_sha256"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("bank"), k.alias("id"), day.alias("meeting_date"), day.cast("timestamp").alias("decision_time"), (before - 0.25).alias("target_lower_before"), before.alias("target_upper_before"), (after - 0.25).alias("target_lower_after"), after.alias("target_upper_after"), action.alias("action"), kind.alias("meeting_type"), F.lit("u").alias("source_url"), F.lit("h").alias("source_sha256"))
     Sk.plain_csv(rows, at)
-    return Rd.policy_history(spark, at)
+    return Rd.policy_history(spark, at, keys="bank BIGINT, id BIGINT")
 
 
-@query([], f"WITH {_POLICY} SELECT meeting_date, action, action = CASE WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS consistent FROM ac")
+@query([], f"WITH {_POLICY} SELECT bank, id, meeting_date, action, action = CASE WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS consistent FROM ac")
 def s30_c15_policy_history(spark, sf):
-    return _policy(spark, sf).select("meeting_date", "action", "consistent")
+    return _policy(spark, sf).select("bank", "id", "meeting_date", "action", "consistent")
 
 
-@query([], f"WITH {_POLICY} SELECT meeting_date, lead(action) OVER w AS future_action, round(lead(a) OVER w - lead(b) OVER w, 4) AS future_rate_change FROM ac WHERE kind = 'scheduled' WINDOW w AS (ORDER BY meeting_date)")
+@query([], f"WITH {_POLICY} SELECT bank, id, meeting_date, lead(action) OVER w AS future_action, round(lead(a) OVER w - lead(b) OVER w, 4) AS future_rate_change FROM ac WHERE kind = 'scheduled' WINDOW w AS (PARTITION BY bank ORDER BY meeting_date, id)")
 def j10_w15_next_actions(spark, sf):
-    return Rd.next_actions(_policy(spark, sf)).select("meeting_date", "future_action", "future_rate_change")
+    return Rd.next_actions(_policy(spark, sf), by=["bank"], ties=["id"]).select("bank", "id", "meeting_date", "future_action", "future_rate_change")
 
 
 _BRANCH = "SELECT CAST(label AS BIGINT) AS seed, (vec_id % 5)::DOUBLE / 4 AS dose, sum(CAST(round(embedding[1]::DOUBLE * 1000) AS BIGINT))::DOUBLE AS v, 'seed' || label || '_d' || (vec_id % 5) AS branch FROM embeddings GROUP BY ALL"

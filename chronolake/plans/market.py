@@ -220,6 +220,15 @@ def a1_calibration(spark, sf):
     return W.calibration(_signals(spark, sf)).select("bin", "n", r6("accuracy").alias("accuracy"), "assessment")
 
 
+@query(["signals"], f"""WITH b(bin, lo, hi) AS (VALUES (0, 0.5::DOUBLE, 0.6::DOUBLE), (1, 0.6::DOUBLE, 0.7::DOUBLE), (2, 0.7::DOUBLE, 0.8::DOUBLE), (3, 0.8::DOUBLE, 0.9::DOUBLE), (4, 0.9::DOUBLE, 1.01::DOUBLE)),
+s AS (SELECT * FROM signals WHERE signal IN ('BUY', 'OVERWEIGHT', 'SELL', 'UNDERWEIGHT')), t AS (SELECT ticker, count(*) AS total FROM s GROUP BY ticker),
+g AS (SELECT t.ticker, total, bin, lo, hi, count(signal) AS n, avg(CASE WHEN signal IS NOT NULL THEN CAST({_RIGHT} AS DOUBLE) END) AS accuracy FROM t CROSS JOIN b LEFT JOIN s ON s.ticker = t.ticker AND confidence >= lo AND confidence < hi GROUP BY ALL)
+SELECT ticker, bin, n, round(accuracy, 6) AS accuracy, total < 50 AS unreliable FROM g""")
+def y41_calibration_by_ticker(spark, sf):
+    """A calibration table for each ticker, with the warning of those that hold too few signals."""
+    return W.calibration(_signals(spark, sf), by=["ticker"]).select("ticker", "bin", "n", r6("accuracy").alias("accuracy"), "unreliable")
+
+
 @query(["signals"], "SELECT ticker, signal, count(*) AS n, CAST(sum(CAST(round(actual_return * 10000) AS BIGINT)) AS BIGINT) AS points FROM signals GROUP BY CUBE (ticker, signal)")
 def a32_signal_cube(spark, sf):
     return _signals(spark, sf).cube("ticker", "signal").agg(F.count("*").alias("n"), F.sum(F.round(F.col("actual_return") * 10000).cast("long")).alias("points"))

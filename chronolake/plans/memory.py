@@ -84,11 +84,11 @@ def m6_m6a_m6b_prices(spark, sf):
     return G.lookup(asked, facts, "close_price").select(F.col("ticker").cast("bigint").alias("ticker"), "day", "value")
 
 
-@query([], "SELECT doc_id, 'reflections_' || role AS room, CAST(DATE '2024-01-02' + CAST(doc_id % 30 AS INT) AS DATE) AS valid_from, 'Situation (digest):' || chr(10) || left(text, 20) || chr(10) || chr(10) || 'Lesson:' || chr(10) || source AS content FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'bull' WHEN 1 THEN 'trader' WHEN 2 THEN 'invest_judge' ELSE 'stranger' END AS role FROM documents) WHERE role <> 'stranger'")
+@query([], "SELECT doc_id, 'reflections_' || role AS room, CAST(DATE '2024-01-02' + CAST(doc_id % 30 AS INT) AS DATE) AS valid_from, 'Situation (digest):' || chr(10) || left(text, 500) || chr(10) || chr(10) || 'Lesson:' || chr(10) || source AS content FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'bull' WHEN 1 THEN 'trader' WHEN 2 THEN 'invest_judge' ELSE 'stranger' END AS role FROM documents) WHERE role <> 'stranger'")
 def m8_reflections(spark, sf):
     k = F.col("doc_id")
     role = F.when(k % 4 == 0, "bull").when(k % 4 == 1, "trader").when(k % 4 == 2, "invest_judge").otherwise("stranger")
-    rows = table(spark, sf, "documents").select(k.cast("string").alias("ticker"), role.alias("role"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).alias("day"), F.substring("text", 1, 20).alias("situation"), F.col("source").alias("lesson"))
+    rows = table(spark, sf, "documents").select(k.cast("string").alias("ticker"), role.alias("role"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).alias("day"), F.substring("text", 1, 500).alias("situation"), F.col("source").alias("lesson"))
     return G.reflections(rows).select(F.col("wing").cast("bigint").alias("doc_id"), "room", "valid_from", "content")
 
 
@@ -130,10 +130,10 @@ def m11_search_calls(spark, sf):
     return _hits(spark, sf, 3, 365, 4, None)
 
 
-@query([], "SELECT doc_id, 'drawer_' || lower(source) || '_news_' || left(sha256(lower(source) || '_news_2024-01-0' || (doc_id % 9 + 1)), 24) AS id, CASE WHEN doc_id % 3 = 0 THEN 'News: ' || left(trim(text), 30) || chr(10) || 'Market: x' ELSE 'Market: x' END AS digest FROM documents")
+@query([], "SELECT doc_id, 'drawer_' || lower(source) || '_news_' || left(sha256(lower(source) || '_news_2024-01-0' || (doc_id % 9 + 1)), 24) AS id, CASE WHEN doc_id % 3 = 0 THEN 'News: ' || left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 500) || chr(10) || 'Market: x' ELSE 'Market: x' END AS digest FROM documents")
 def f7_x6_drawers(spark, sf):
     """Ids of drawers, and the digest that is searched: sections without text are left out."""
     k = F.col("doc_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 9).cast("int"))
-    section = X.digest({"News": F.when(k % 3 == 0, F.col("text")).otherwise("  "), "Market": F.lit(" x "), "Sentiment": F.lit(None).cast("string")}, 30)
+    section = X.digest({"News": F.when(k % 3 == 0, F.col("text")).otherwise("  "), "Market": F.lit(" x "), "Sentiment": F.lit(None).cast("string")})
     return table(spark, sf, "documents").select("doc_id", S.drawer_id(F.lower("source"), F.lit("news"), day).alias("id"), section.alias("digest"))

@@ -154,9 +154,9 @@ def y38_m14_statuses(spark, sf):
     return L.first_open(d, ["conv_id"], "turn", "done").select("conv_id", "turn", "status")
 
 
-@query([], "SELECT doc_id, room, doc, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) * INTERVAL 1 DAY AS DATE) AS valid_from FROM (SELECT doc_id, unnest(['news', 'market']) AS room, unnest([CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE left(text, 40) END, source]) AS doc FROM documents) WHERE length(trim(doc, ' ')) > 0")
+@query([], "SELECT doc_id, room, doc, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INT) * INTERVAL 1 DAY AS DATE) AS valid_from FROM (SELECT doc_id, unnest(['news', 'market']) AS room, unnest([CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END, source]) AS doc FROM documents) WHERE length(trim(doc, ' ')) > 0")
 def m7_y26_store_reports(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.substring("text", 1, 40)).alias("news"), F.col("source").alias("market"))
+    d = table(spark, sf, "documents").select("doc_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text")).alias("news"), F.col("source").alias("market"))
     return L.store_reports(d, ["news", "market"], "day").select("doc_id", "room", "doc", "valid_from")
 
 

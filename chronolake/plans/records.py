@@ -51,6 +51,18 @@ def f8_settings_digest(spark, sf):
     return table(spark, sf, "events").select("event_id", Q.digest_column(raw).alias("digest"))
 
 
+_NESTED = _DIG.replace('"data_vendors": null', '"data_vendors": {"core": "a", "news": ["x", \' || user_id % 4 || \']}')
+
+
+@query([], f"SELECT event_id, {_NESTED} AS digest FROM events")
+def f8_nested_settings(spark, sf):
+    """Nested settings count by what they say, not by how they are written."""
+    i, odd = F.col("event_id"), F.col("event_id") % 2 == 1
+    vendors = F.when(odd, F.concat(F.lit('{"news":["x",'), (F.col("user_id") % 4).cast("string"), F.lit('],  "core":"a"}'))).otherwise(F.concat(F.lit('{"core": "a", "news": ["x", '), (F.col("user_id") % 4).cast("string"), F.lit("]}")))
+    raw = F.concat(F.lit('{"deep_think_llm": "m'), (i % 3).cast("string"), F.lit('", "judge_iterations": '), (i % 2).cast("string"), F.lit(', "data_vendors": '), vendors, F.lit(', "other": '), i.cast("string"), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", Q.digest_column(raw).alias("digest"))
+
+
 @query([], "SELECT event_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 1 AND event_id % 4 > 0")
 def p24_replayable(spark, sf):
     i = F.col("event_id")

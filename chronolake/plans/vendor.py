@@ -90,12 +90,15 @@ def s17_y5_insider_payloads(spark, sf):
 _STAMP = "strftime(ts, '%Y%m%dT%H%M%S')"
 
 
-@query([], f"SELECT user_id, CAST(count(*) FILTER ({_STAMP} BETWEEN '20240103T000000' AND '20240118T235959') AS VARCHAR) AS items FROM events WHERE user_id % 10 < 9 GROUP BY user_id")
+@query([], f"SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN CAST(count(*) FILTER ({_STAMP} BETWEEN '20240103T000000' AND '20240118T235959') AS VARCHAR) END AS items FROM events GROUP BY user_id")
 def s15_y6_y19_ticker_feed(spark, sf):
-    """Feeds of the tickers that the cache holds; others get no answer."""
+    """Feeds of the tickers that the cache holds (those somebody bought); others get no answer."""
     item = F.struct(F.col("event_type").alias("title"), F.date_format("ts", "yyyyMMdd'T'HHmmss").alias("time_published"))
-    raw = table(spark, sf, "events").where("user_id % 10 < 9").groupBy("user_id").agg(F.to_json(F.struct(F.lit("0").alias("items"), F.collect_list(item).alias("feed"))).alias("raw"))
-    return raw.select("user_id", V.feed(F.col("raw"), "2024-01-03", "2024-01-18").alias("f")).select("user_id", "f.items")
+    e = table(spark, sf, "events")
+    store = e.join(e.where("event_type = 'purchase'").select("user_id").distinct(), "user_id", "left_semi")
+    raw = store.groupBy("user_id").agg(F.to_json(F.struct(F.lit("0").alias("items"), F.collect_list(item).alias("feed"))).alias("raw"))  # a feed is one answer
+    told = raw.select("user_id", V.feed(F.col("raw"), "2024-01-03", "2024-01-18").alias("f")).select("user_id", "f.items")
+    return e.select("user_id").distinct().join(told, "user_id", "left")
 
 
 @query([], f"SELECT event_id, event_type FROM events WHERE {_STAMP} BETWEEN '20240108T000000' AND '20240115T235959' ORDER BY event_id LIMIT 50")

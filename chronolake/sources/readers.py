@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,19 +84,22 @@ def csv_range(spark: SparkSession, path: str, start: str, end: str) -> DataFrame
     return df.where(F.try_to_timestamp(F.col(df.columns[0])).cast("date").between(start, end))
 
 
-def policy_history(spark: SparkSession, path: str, tolerance: float = 1e-6) -> DataFrame:
-    """Policy decisions in order with a flag: does the action follow from the change of the upper target?"""
-    df = spark.read.schema(POLICY).option("header", True).csv(path)
+def policy_history(spark: SparkSession, path: str, tolerance: float = 1e-6, keys: str = "") -> DataFrame:
+    """Policy decisions in order with a flag: does the action follow from the change of the upper target?
+
+    `keys`: columns before the fixed ones, such as whose decision it is.
+    """
+    df = spark.read.schema(f"{keys}, {POLICY}" if keys else POLICY).option("header", True).csv(path)
     change = F.col("target_upper_after") - F.col("target_upper_before")
     sign = F.when(change > tolerance, 1).when(change < -tolerance, -1).otherwise(0)
     return df.withColumn("consistent", sign == F.col("action")).orderBy("meeting_date")
 
 
-def next_actions(history: DataFrame) -> DataFrame:
-    """Each scheduled meeting with the action, rate change and time of the next one."""
+def next_actions(history: DataFrame, by: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
+    """Each scheduled meeting with the action, rate change and time of the next one, of the same `by` (one bank's are some hundred)."""
     from pyspark.sql import Window
 
-    w = Window.orderBy("meeting_date")  # some hundred meetings
+    w = Window.partitionBy(*(by or [])).orderBy("meeting_date", *(ties or []))
     rate = F.bround(F.lead("target_upper_after").over(w) - F.lead("target_upper_before").over(w), 4)
     scheduled = history.where("meeting_type = 'scheduled'")
     return scheduled.withColumns({"future_action": F.lead("action").over(w), "future_rate_change": rate, "future_action_time": F.lead("decision_time").over(w)})
@@ -113,6 +118,25 @@ def samples(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return out.withColumns({"task_label": strict_label(F.col("task_label")), **{c: F.try_to_timestamp(c) for c in ("event_time", "available_time")}})
 
 
+def write_run_records(records: DataFrame, root: str) -> None:
+    """A folder for each ticker and a file for each date, from rows (ticker, date, ...): the date names the file of its partition."""
+    fields = [c for c in records.columns if c not in ("ticker", "date")]
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+    def each(batches):
+        fs, at = pyarrow.fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for ticker, date, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                fs.create_dir(f"{at}/{ticker}")
+                part = f"{at}/{ticker}/.{date}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part, compression=None) as f:
+                    f.write(text.encode())
+                fs.move(part, f"{at}/{ticker}/{date}.json")  # whole or not at all, whoever tries again
+            yield batch.slice(0, 0).select([0])
+
+    records.select("ticker", "date", body.alias("text")).mapInArrow(each, "ticker string").write.format("noop").mode("overwrite").save()
+
+
 def run_records(spark: SparkSession, root: str) -> DataFrame:
     """Run records, one JSON file per ticker and date; both come from the path."""
     df = spark.read.option("multiLine", True).option("recursiveFileLookup", True).json(root)
