@@ -81,6 +81,12 @@ def named(asked: str) -> tuple[tuple[str, ...], list[str]]:
     return known, [f"{n}: not an indicator" for n in names if n not in INDICATORS]
 
 
+def named_column(asked: Column) -> Column:
+    """The known names of a column of comma-separated lists, in the order asked."""
+    names = F.transform(F.split(F.lower(asked), ","), lambda n: F.trim(n))
+    return F.filter(names, lambda n: n.isin(*INDICATORS))
+
+
 def next_returns(bars: DataFrame) -> DataFrame:
     """(ticker, d, r): the change to the next bar, 0 from a price of 0; the last bar has none."""
     return bars.select("ticker", "d", W.forward_return(1).alias("r")).where("r IS NOT NULL")

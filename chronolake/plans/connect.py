@@ -143,11 +143,11 @@ def y39_snapshots(spark, sf):
     return s.read(first).unionByName(s.read())
 
 
-@query([], "SELECT lower('T' || user_id) AS path_ticker, CAST(CAST(ts AS DATE) AS VARCHAR) AS path_date, count(*) AS events, max(event_id) AS last FROM events GROUP BY ALL")
+@query([], "SELECT lower('T' || user_id) AS path_ticker, CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS path_date, count(*) AS events, max(event_id) AS last FROM events GROUP BY ALL")
 def s36_run_records(spark, sf):
-    """A run record for each ticker and day, written as JSON files in folders, and read with ticker and date from their paths."""
+    """A run record for each ticker and month, written as JSON files in folders, and read with ticker and date from their paths."""
     at = Sk.folder(spark, "records")
-    e = table(spark, sf, "events").groupBy(F.lower(F.concat(F.lit("T"), F.col("user_id").cast("string"))).alias("ticker"), F.col("ts").cast("date").cast("string").alias("date")).agg(F.count("*").alias("events"), F.max("event_id").alias("last"))
+    e = table(spark, sf, "events").groupBy(F.lower(F.concat(F.lit("T"), F.col("user_id").cast("string"))).alias("ticker"), F.trunc(F.col("ts").cast("date"), "month").cast("string").alias("date")).agg(F.count("*").alias("events"), F.max("event_id").alias("last"))
     Rd.write_run_records(e, at)
     return Rd.run_records(spark, at).select("path_ticker", "path_date", "events", "last")
 

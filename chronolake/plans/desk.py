@@ -136,10 +136,16 @@ def m9_reflections(spark, sf):
     return V.search(rows, ask, 2, own).select("qid", "rank", "id", F.round("sim", 3).alias("similarity"))
 
 
-@query([], "SELECT 'entities' AS name, unnest(['id', 'name', 'type', 'properties', 'version']) AS field UNION ALL SELECT 'triples', unnest(['subject', 'predicate', 'object', 'valid_from', 'valid_to', 'confidence'])")
+@query(["entities", "triples"], """SELECT 'entities' AS name, unnest(['id', 'name', 'type', 'properties', 'version']) AS field, unnest([count(id), count(name), count(type), 0, 0]) AS filled FROM entities
+UNION ALL SELECT 'triples', unnest(['subject', 'predicate', 'object', 'valid_from', 'valid_to', 'confidence']), unnest([count(subject), count(predicate), count(object), count(valid_from), count(valid_to), 0]) FROM triples""")
 def y29_store_schema(spark, sf):
-    entities, triples = G.empty_store(spark)
-    return spark.createDataFrame([(n, c) for n, d in (("entities", entities), ("triples", triples)) for c in d.columns], "name string, field string")
+    """The fields of the store's tables, and in how many rows each is filled once the graph is in them."""
+    out = None
+    for name, empty in zip(("entities", "triples"), G.empty_store(spark), strict=True):
+        held = empty.unionByName(view(spark, sf, name).select(*[F.col(c).cast(t).alias(c) for c, t in empty.dtypes if c in view(spark, sf, name).columns]), allowMissingColumns=True)
+        one = held.agg(*(F.count(c).alias(c) for c in empty.columns)).unpivot([], list(empty.columns), "field", "filled").select(F.lit(name).alias("name"), "field", "filled")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query([], "SELECT item_id, text FROM benchmark")
@@ -161,12 +167,14 @@ def s27_s33_c12_f11_locked_files(spark, sf):
 TOY = ("raise", "hold", "cut", "raise", "raise", "hold", "hold", "cut", "cut", "cut", "hold", "raise", "hold", "cut")  # decisions of fourteen made-up meetings
 
 
-@query([], "SELECT unnest([-1, 0, 1]) AS task_label, unnest([5, 5, 4])::BIGINT AS n")
+@query(["samples"], "SELECT task_label, n, (SELECT count(*) FROM samples s WHERE s.task_label = t.task_label) AS real FROM (SELECT unnest([-1, 0, 1]) AS task_label, unnest([5, 5, 4])::BIGINT AS n) t")
 def s43_y49_toy_samples(spark, sf):
-    """Fourteen made-up samples that pass validation and aren't ready for formal results."""
+    """Fourteen made-up samples that pass validation and aren't ready for formal results, beside the real ones of each label."""
     label = {"raise": "1", "hold": "0", "cut": "-1"}
     day = lambda i: f"20{10 + i}-03-15T18:00:00Z"
     rows = [(f"toy_{i}", f"Members voted to {w} the rate.", label[w], day(i), day(i), "statement", "made up", "author", "unknown") for i, w in enumerate(TOY)]
     names = "sample_id string, text string, task_label string, event_time string, available_time string, document_type string, source string, annotation_source string, availability_quality string"
     toys = C.checked(spark.createDataFrame(rows, names))
-    return toys.groupBy(F.col("task_label").cast("int").alias("task_label")).agg(F.count("*").alias("n"))
+    real = view(spark, sf, "samples").groupBy(F.col("task_label").cast("int").alias("task_label")).agg(F.count("*").alias("real"))
+    made = toys.groupBy(F.col("task_label").cast("int").alias("task_label")).agg(F.count("*").alias("n"))
+    return made.join(real, "task_label", "left").withColumn("real", F.coalesce("real", F.lit(0)))

@@ -397,12 +397,3 @@ def s37_first_ticker(spark, sf):
 def y42_without_failures(spark, sf):
     s = _signals(spark, sf).withColumn("signal", F.when(F.col("ticker") % 4 == 0, "ERROR").otherwise(F.col("signal")))
     return T.without_failures(s).groupBy("ticker").agg(F.count("*").alias("n"))
-
-
-_U = "(CAST('0x' || left(md5('42:' || i || ':{}'), 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
-
-
-@query([], f"""WITH d AS (SELECT i, CAST(DATE '2024-01-01' + CAST((i + 1) // 5 * 7 + (i + 1) % 5 AS INT) AS DATE) AS d, {_U.format('signal')} AS u, sqrt(-2 * ln({_U.format('cr')})) * cos(2 * pi() * {_U.format('ca')}) AS c, sqrt(-2 * ln({_U.format('xr')})) * cos(2 * pi() * {_U.format('xa')}) AS x FROM (SELECT unnest(range(60)) AS i))
-SELECT i, d, CASE WHEN u < 0.28 THEN 'BUY' WHEN u < 0.46 THEN 'OVERWEIGHT' WHEN u < 0.74 THEN 'HOLD' WHEN u < 0.88 THEN 'UNDERWEIGHT' ELSE 'SELL' END AS signal, round(least(0.99, greatest(0.51, 0.7 + 0.13 * c)), 3) AS confidence, round(0.0005 + 0.014 * x, 8) AS actual_return FROM d""")
-def s42_demo(spark, sf):
-    return T.demo(spark).select("i", "d", "signal", "confidence", F.round("actual_return", 8).alias("actual_return"))

@@ -20,9 +20,11 @@ def w1_indicator_report(spark, sf):
     return L.calendar_report(view(spark, sf, "bars").withColumn("v", F.floor("close").cast("double")), "ticker", "d", "v", "1996-06-30", 14)
 
 
-@query([], "SELECT CAST(d AS DATE) AS d FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-03-31', INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) BETWEEN 1 AND 5")
+@query([], "SELECT CAST(d AS DATE) AS d FROM (SELECT unnest(generate_series(min(l_shipdate)::TIMESTAMP, max(l_shipdate)::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM lineitem) WHERE dayofweek(d) BETWEEN 1 AND 5")
 def w19_trading_days(spark, sf):
-    return L.trading_days("2024-01-01", "2024-03-31", spark)
+    """The weekdays of the time that the bars span."""
+    a, b = table(spark, sf, "lineitem").agg(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date")).first()
+    return L.trading_days(str(a), str(b), spark)
 
 
 @query([], "SELECT label, dose, round((e - lag(e) OVER (PARTITION BY label ORDER BY dose)) / CASE WHEN l = lag(l) OVER (PARTITION BY label ORDER BY dose) THEN 1e-6 ELSE l - lag(l) OVER (PARTITION BY label ORDER BY dose) END, 4) AS ratio FROM (SELECT label, CAST(vec_id % 5 AS INTEGER) AS dose, sum(CAST(round(embedding[1] * 1000) AS BIGINT))::DOUBLE AS e, count(*)::DOUBLE AS l FROM embeddings GROUP BY ALL)")
@@ -167,17 +169,6 @@ def w18_tail_folds(spark, sf):
     return R.tail_folds(events, ["event_id"], 4)
 
 
-_UNIT = "(CAST('0x' || left(md5('power:' || sim || ':' || i || ':{}'), 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE"
-
-
-@query([], f"""WITH x AS (SELECT sim, i, CAST(round((sqrt(-2 * ln({_UNIT.format('r')})) * cos(2 * pi() * {_UNIT.format('a')}) + 0.5::DOUBLE) * 1e6) AS BIGINT) AS v FROM (SELECT unnest(range(50)) AS sim) a, (SELECT unnest(range(32)) AS i) b),
-o AS (SELECT sim, sum(v) AS seen FROM x GROUP BY sim),
-f AS (SELECT sim, draw, sum(v * CASE WHEN CAST('0x' || left(md5('power:' || sim || ':' || draw || ':' || i), 2) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM x, (SELECT unnest(range(99)) AS draw) d GROUP BY sim, draw),
-p AS (SELECT sim, (count(*) FILTER (s >= seen) + 1)::DOUBLE / (count(*) + 1) AS p FROM f JOIN o USING (sim) GROUP BY sim) SELECT avg(CAST(p <= 0.05::DOUBLE AS DOUBLE)) AS power, count(*) AS sims FROM p""")
-def r11_power_simulation(spark, sf):
-    return R.power_simulation(spark)
-
-
 _RUNGS = "(VALUES (0, 'm0'), (1, 'm1'), (2, 'm2'), (3, 'm3'), (4, 'm4'), (5, 'none')) r(rung, model)"
 _BY_MODEL = "SELECT 'm' || (vec_id % 5) AS model, sum(CAST(round(embedding[1]::DOUBLE * 1000) AS BIGINT))::DOUBLE AS e, (count(*) // 10)::DOUBLE AS l FROM embeddings GROUP BY ALL"
 

@@ -90,16 +90,6 @@ def x21_query_vectors(spark, sf):
     return v.select("item_id", r6(F.col("v")[0]).alias("v0"), r6(F.col("v")[31]).alias("v31"))
 
 
-_MOCK = "(CAST('0x' || left(md5('mock:' || seed || ':' || event || ':{}'), 8) AS BIGINT)::DOUBLE / 4294967296::DOUBLE - 0.5::DOUBLE)"
-
-
-@query([], f"""WITH g AS (SELECT s AS seed, d::DOUBLE / 4 AS dose, e AS event FROM (SELECT unnest([42, 43, 44]) AS s) a, (SELECT unnest(range(5)) AS d) b, (SELECT unnest(range(40)) AS e) c), r AS (SELECT seed, dose, {_MOCK.format('y')} AS y, {_MOCK.format('clean')} AS c FROM g)
-SELECT seed::BIGINT AS seed, dose, round(avg(abs(y - c) - abs(y - (c + 0.4::DOUBLE * dose * (y - c)))), 6) AS contrast, count(*) AS events FROM r GROUP BY seed, dose""")
-def r14_r16_u6_y58_pilot(spark, sf):
-    """Three seeds by five doses of made-up branches, and the contrast of each."""
-    return M.branch_contrasts(M.mock_branch(spark, [42, 43, 44], [i / 4 for i in range(5)])).withColumn("contrast", r6("contrast"))
-
-
 @query(["bars"], "SELECT ticker, count(*) AS bars, round(max(close), 4) AS highest FROM bars WHERE ticker = 7 AND d BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' GROUP BY ticker")
 def u8_y18_s40_y11_tools(spark, sf):
     """A tool that answers from what was fetched ahead for one ticker; nothing is kept afterwards."""
@@ -123,24 +113,39 @@ def u9_u10_search_text(spark, sf):
     return M.hits_text(hits, "o_custkey", "n", F.lit("10-K"), F.col("o_orderdate").cast("date"), F.col("o_orderpriority"))
 
 
-@query([], "SELECT unnest(['get_news', 'get_stock_data', 'get_fundamentals']) AS method, unnest(['news', 'prices', 'fundamentals']) AS category, unnest(['b', 'a', 'c']) AS vendor")
+@query([], """WITH r AS (SELECT *, CASE event_type WHEN 'view' THEN 'get_news' WHEN 'click' THEN 'get_stock_data' ELSE 'get_fundamentals' END AS method FROM events)
+SELECT method, CASE method WHEN 'get_news' THEN 'news' WHEN 'get_stock_data' THEN 'prices' ELSE 'fundamentals' END AS category, CASE method WHEN 'get_news' THEN 'b' WHEN 'get_stock_data' THEN 'a' ELSE 'c' END AS vendor, count(*) AS requests FROM r GROUP BY method""")
 def y13_y14_s41_routing(spark, sf):
+    """Requests by the category and the vendor that answer their method."""
     reg = Rd.Registry({"news": ["get_news"], "prices": ["get_stock_data"], "fundamentals": ["get_fundamentals"]}, {"get_fundamentals": "c"}, {"news": "b", "fundamentals": "b"}, "a")
-    names = ["get_news", "get_stock_data", "get_fundamentals"]
-    return spark.createDataFrame([(n, reg.category(n), reg.vendor(n)) for n in names], "method string, category string, vendor string")
+    routes = spark.createDataFrame([(n, reg.category(n), reg.vendor(n)) for n in ("get_news", "get_stock_data", "get_fundamentals")], "method string, category string, vendor string")
+    method = F.when(F.col("event_type") == "view", "get_news").when(F.col("event_type") == "click", "get_stock_data").otherwise("get_fundamentals")
+    asked = table(spark, sf, "events").groupBy(method.alias("method")).agg(F.count("*").alias("requests"))
+    return asked.join(F.broadcast(routes), "method")  # a method a row
 
 
-@query([], "SELECT unnest(['contract', 'contract', 'authorization', 'authorization', 'controlled', 'settings', 'settings']) AS check_, unnest(['bootstrap.n', 'seeds', 'seeds: not what runs', 'source_tree_sha256: missing', 'a/run.py', 'probe.alpha', 'probe.n_splits']) AS finding")
+@query([], """WITH r AS (SELECT o_orderkey AS run, o_orderkey % 3 AS k, o_orderkey % 5 AS j, o_orderkey % 7 AS m FROM orders),
+f AS (SELECT run, 'contract' AS check_, unnest(CASE WHEN k = 0 THEN ['bootstrap.n', 'seeds'] WHEN k = 1 THEN ['seeds'] ELSE [] END) AS finding FROM r
+UNION ALL SELECT run, 'authorization', unnest(CASE WHEN j = 0 THEN ['source_tree_sha256: missing'] ELSE [] END || CASE WHEN k < 2 THEN ['seeds: not what runs'] ELSE [] END) FROM r
+UNION ALL SELECT run, 'controlled', 'a/run.py' FROM r WHERE m = 0 UNION ALL SELECT run, 'settings', unnest(['probe.alpha', 'probe.n_splits']) FROM r WHERE m = 1) SELECT * FROM f""")
 def c10_c11_c13_t7_s39_contracts(spark, sf):
-    """What keeps a run from starting: registered and actual settings that differ, bindings that are missing or wrong, modified files, bad settings."""
-    registered, runs = {"seeds": [1, 2], "bootstrap": {"n": 1000, "p": 0.05}}, {"seeds": [1], "bootstrap": {"n": 500, "p": 0.05}}
-    bound = dict.fromkeys(K.BINDINGS, "x") | {"seeds": [1], "source_tree_sha256": ""}
-    at = Sk.folder(spark, "settings")
-    spark.createDataFrame([(json.dumps({"probe": {"n_splits": 1, "alpha": 0}}),)], "value string").coalesce(1).write.text(at)
-    bad = [v.split(":")[0] for v in K.violations(Rd.settings(spark, at)) if "is not" in v]
-    rows = [("contract", p) for p in K.differences(registered, runs)] + [("authorization", p) for p in K.unauthorized(bound, {"seeds": [1, 2]})]
-    rows += [("controlled", p) for p in K.overlapping(["a\\run.py", "b.py"], ["a/run.py"])] + [("settings", p) for p in bad]
-    return spark.createDataFrame(rows, "check_ string, finding string")
+    """What keeps each run from starting: registered and actual settings that differ, bindings that are missing or wrong, modified files, bad settings.
+
+    A run's settings are JSON that was written to files and read back.
+    """
+    at, i = Sk.folder(spark, "settings"), F.col("o_orderkey")
+    k, j, m = i % 3, i % 5, i % 7
+    seeds = F.when(k < 2, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
+    told = F.struct(
+        F.struct(seeds.alias("seeds"), F.struct(F.when(k == 0, 500).otherwise(1000).alias("n"), F.lit(0.05).alias("p")).alias("bootstrap")).alias("runs"),
+        F.struct(*(F.lit("x").alias(b) for b in K.BINDINGS if b not in ("seeds", "source_tree_sha256")), seeds.alias("seeds"), F.when(j == 0, "").otherwise("x").alias("source_tree_sha256")).alias("bound"),
+        F.when(m == 0, F.array(F.lit("a\\run.py"), F.lit("b.py"))).otherwise(F.array()).alias("modified"),
+        F.struct(F.struct(F.when(m == 1, 1).otherwise(5).alias("n_splits"), F.when(m == 1, 0).otherwise(1).alias("alpha")).alias("probe")).alias("settings"),
+    )
+    table(spark, sf, "orders").select(i.alias("run"), F.to_json(told).alias("told")).write.json(at)
+    rows = spark.read.schema("run BIGINT, told STRING").json(at)
+    found = K.findings(F.col("told"), {"seeds": [1, 2], "bootstrap": {"n": 1000, "p": 0.05}}, {"seeds": [1, 2]}, ["a/run.py"], ("probe.alpha", "probe.n_splits"))
+    return rows.select("run", F.explode(found).alias("f")).select("run", F.col("f.check").alias("check_"), "f.finding")
 
 
 @query([], "SELECT 'm' || (vec_id % 5) AS model, sum(CAST(round(embedding[1]::DOUBLE * 1000) AS BIGINT))::DOUBLE AS e FROM embeddings GROUP BY 1 UNION ALL SELECT 'none', NULL")
@@ -178,6 +183,8 @@ def y18_recent_prices(spark, sf):
     return latest(b, ["ticker"], [F.desc("d")], 5).select("ticker", "d", F.round("close", 4).alias("close"))
 
 
-@query([], f"SELECT unnest({[n for n in T.INDICATORS]!r}) AS indicator")
+@query([], f"SELECT s_suppkey, indicator FROM (SELECT s_suppkey, unnest([{', '.join(repr(n) for n in T.INDICATORS)}]) AS indicator, unnest(range({len(T.INDICATORS)})) AS i FROM supplier) WHERE (i + s_suppkey) % 3 > 0")
 def w1_indicator_names(spark, sf):
-    return spark.createDataFrame([(n,) for n in T.named(",".join(T.INDICATORS))[0]], "indicator string")
+    """The known names in what each supplier asks for, a list with blanks, capitals and names that nobody knows."""
+    asked = F.array_join(F.array(*(F.when((i + F.col("s_suppkey")) % 3 > 0, F.lit(f" {n.upper()}")).otherwise(F.lit(f"no_{n}")) for i, n in enumerate(T.INDICATORS))), ",")
+    return table(spark, sf, "supplier").select("s_suppkey", F.explode(T.named_column(asked)).alias("indicator"))

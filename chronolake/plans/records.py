@@ -115,9 +115,11 @@ def x11_judge_blocks(spark, sf):
 _SEL = "(VALUES (0, 'market_report', 'Market Analyst'), (2, 'news_report', 'News Analyst'), (4, 'investment_plan', 'Research Manager'), (5, 'trader_investment_plan', 'Trader'), (6, 'final_trade_decision', 'Portfolio Manager')) s(place, section, agent)"
 
 
-@query([], f"SELECT place, section, agent FROM {_SEL}")
+@query([], f"SELECT place, section, agent, count(o_orderkey) AS reports FROM {_SEL} LEFT JOIN orders ON (o_orderkey % 9 = place) GROUP BY ALL")
 def m14a_sections(spark, sf):
-    return Q.sections(spark, ["Market", "news"])
+    """The sections that the selected analysts lead to, and how many reports there are of each."""
+    o = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 9).cast("int").alias("place")).agg(F.count("*").alias("reports"))
+    return Q.sections(spark, ["Market", "news"]).join(o, "place", "left").withColumn("reports", F.coalesce("reports", F.lit(0)))
 
 
 @query([], f"""WITH r AS (SELECT o_custkey AS run, CASE o_orderkey % 4 WHEN 0 THEN 'market_report' WHEN 1 THEN 'news_report' WHEN 2 THEN 'investment_plan' ELSE 'sentiment_report' END AS section, CASE WHEN o_orderstatus <> 'P' THEN 'x' END AS text FROM orders),
@@ -139,11 +141,16 @@ def y30_initial_state(spark, sf):
     return s.select("c_custkey", F.col("s.messages")[0]["text"].alias("company"), F.col("s.trade_date").alias("date"), F.col("s.investment_debate_state.count").alias("count"), F.col("s.investment_debate_state.judge_history").alias("history"), F.col("s.risk_debate_state.latest_speaker").alias("speaker"), F.col("s.news_report").alias("report"))
 
 
-@query([], "SELECT 'Judge Researcher' AS node, unnest(['investment_debate_state.bull_history', 'investment_debate_state.bear_history']) AS path UNION ALL SELECT unnest(['Aggressive Analyst', 'Conservative Analyst', 'Neutral Analyst']), 'trader_investment_plan' UNION ALL SELECT unnest(['Aggressive Analyst', 'Conservative Analyst', 'Neutral Analyst']), 'risk_debate_state.history'")
+@query([], """WITH n AS (SELECT 'Judge Researcher' AS node, unnest(['investment_debate_state.bull_history', 'investment_debate_state.bear_history']) AS path UNION ALL SELECT unnest(['Aggressive Analyst', 'Conservative Analyst', 'Neutral Analyst']), 'trader_investment_plan' UNION ALL SELECT unnest(['Aggressive Analyst', 'Conservative Analyst', 'Neutral Analyst']), 'risk_debate_state.history'),
+s AS (SELECT conv_id, CASE turn % 4 WHEN 0 THEN 'Judge Researcher' WHEN 1 THEN 'Aggressive Analyst' WHEN 2 THEN 'Conservative Analyst' ELSE 'Neutral Analyst' END AS node FROM conversations)
+SELECT conv_id, path, count(*) AS reads FROM s JOIN n USING (node) GROUP BY conv_id, path""")
 def y31_reads_of_debaters(spark, sf):
-    """Which parts of the state the debating nodes read."""
-    rows = spark.createDataFrame([(n, p) for n, paths in Q.READS.items() for p in paths], "node string, path string")
-    return rows.where("node LIKE '% Analyst' OR node = 'Judge Researcher'")
+    """How often the turns of each conversation, taken by the debating nodes, read each part of the state."""
+    reads = spark.createDataFrame([(n, p) for n, paths in Q.READS.items() for p in paths], "node string, path string")
+    k = F.col("turn") % 4
+    node = F.when(k == 0, "Judge Researcher").when(k == 1, "Aggressive Analyst").when(k == 2, "Conservative Analyst").otherwise("Neutral Analyst")
+    turns = table(spark, sf, "conversations").groupBy("conv_id", node.alias("node")).agg(F.count("*").alias("n"))
+    return turns.join(F.broadcast(reads), "node").groupBy("conv_id", "path").agg(F.sum("n").alias("reads"))  # a node's paths are fixed
 
 
 @query([], "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.75::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE ELSE (event_id % 100)::DOUBLE / 100 END AS overweight FROM events")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 from numbers import Real
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MISSING = object()
@@ -143,6 +145,26 @@ def overlapping(modified: list[str], controlled: list[str]) -> list[str]:
     return sorted({p.replace("\\", "/") for p in modified} & {p.replace("\\", "/") for p in controlled})
 
 
+def findings(told: Column, registered: dict, bound: dict, controlled: list[str], paths: tuple[str, ...]) -> Column:
+    """All that keeps runs from starting, as an array of (check, finding), from JSON of what each `runs`, is `bound` to, has `modified` and its `settings`.
+
+    Of the settings only `paths` are looked at, and of these only values that aren't what they must be.
+    """
+    kind = pa.list_(pa.struct([("check", pa.string()), ("finding", pa.string())]))
+
+    @F.arrow_udf("array<struct<check:string,finding:string>>")
+    def ask(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            run = json.loads(t or "{}")
+            bad = [v.split(":")[0] for v in violations(run.get("settings", {})) if "is not" in v]
+            rows = {"contract": differences(registered, run.get("runs", {})), "authorization": unauthorized(run.get("bound"), bound), "controlled": overlapping(run.get("modified", []), controlled), "settings": [p for p in bad if p in paths]}
+            out.append([{"check": k, "finding": f} for k, found in rows.items() for f in found])
+        return pa.array(out, kind)
+
+    return ask(told)
+
+
 def allowed(samples: DataFrame, settings: dict) -> DataFrame:
     """The samples, or an error if one has an availability that the settings don't allow."""
     ok = _at(settings, "pit.allowed_availability_qualities")
