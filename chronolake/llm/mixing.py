@@ -3,13 +3,17 @@
 Every document gets a random key: the md5 of a seed and its id.  A source is cut
 into key ranges; range sums give each range's offset by a prefix sum over ranges,
 and a prefix sum by key inside a range gives each document's place.  So no task
-holds a whole source, and only (id, source, size) is shuffled.  A source's budget
-is spent as whole epochs first, the rest is cut at the exact word.
+holds a whole source, and only (id, source, size) is shuffled.  Rows of one source,
+id and size (a null id's, or a repeated one's) are counted before they are shuffled
+and placed as one row, so a range holds at most as many rows of an id as there are
+sizes.  A source's budget is spent as whole epochs first, the rest is cut at the
+exact word.
 
 Defined results: null text has size 0; a null source is a source of its own, the
 last; a null id has the key of the empty text; repeated rows count each, ties of
-key go by id, then size; an empty table gives an empty result; where all sizes
-are 0 so are targets and takings.  Other columns are ignored.
+key go by id, then size; a text may be of any length (it may be cut anywhere); an
+empty table gives an empty result; where all sizes are 0 so are targets and takings.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,16 +76,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
         .join(target, ["sk", "sn"])
         .drop("range_size")
     )
+    alike = base.groupBy("sk", "sn", "range", "source", "key", "doc_id", "size").agg(F.count("*").alias("copies"))
     inside = Window.partitionBy("sk", "sn", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     placed = (
-        base.join(offsets, ["sk", "sn", "range"])
-        .withColumn("at", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        alike.join(offsets, ["sk", "sn", "range"])
+        .withColumn("at", F.col("offset") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
         .withColumns({"epochs": epochs, "left": budget - epochs * F.col("source_size") - F.col("at")})
     )
-    part = F.greatest(F.lit(0).cast("long"), F.least("left", "size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    once = placed.where("copies <= 1024").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    many = placed.where("copies > 1024").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(1024).cast("long")))).repartition("doc_id", "first")
+    many = many.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + 1023, F.col("copies") - 1)))).drop("first")
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("left") - F.col("copy") * F.col("size"), F.col("size")))
+    return once.unionByName(many).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
 MIX_SQL = r"""

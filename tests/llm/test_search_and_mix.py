@@ -104,6 +104,18 @@ def test_mix_matches_sql(spark, docs):
         assert all(abs(a - b) < 1 for a, b in by.values())
 
 
+def test_mix_of_hot_ids_matches_sql(spark, docs):
+    """Many rows without an id, and one row thousands of times: counted as one row each, and cut inside the copies."""
+    rows = [(None, "w " * (i % 3), "en", "a") for i in range(2500)] + [(7, "x y", "en", "b")] * 3000 + [(i, "one two three " * (i % 5), "en", "ab"[i % 2]) for i in range(100, 160)]
+    d = docs(rows)
+    con = duckdb.connect()
+    con.register("documents", d.toArrow())
+    got = sorted(mixing.mix(d, rows_per_range=64).drop("source").collect(), key=str)
+    want = sorted(con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL})").fetchall(), key=str)
+    assert len(got) == len(rows) and [tuple(r) for r in got] == want
+    assert 0 < len({r.taken for r in got if r.doc_id == 7})
+
+
 def test_mix_plan_has_no_python(spark, docs):
     text = mixing.mix(docs([(1, "a b")]))._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text
