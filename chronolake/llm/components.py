@@ -68,9 +68,14 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).union(links.select("v", "v").distinct())
 
 
-def bitmap(ids: DataFrame, column: str, bits: int = 26) -> np.ndarray:
-    """A bit per value of the top `bits` bits of a 64-bit column: at most 2**bits / 8 bytes, whatever the table's size."""
-    span = 16
+def bits_for(n: int, least: int = 22, most: int = 31) -> int:
+    """Bits of a map that about a sixteenth of other values hit, with 32 MB for 1.6e7 values and 256 MB at most, from where on more do."""
+    return min(most, max(least, (16 * max(1, n) - 1).bit_length()))
+
+
+def bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit per value of the top bits of a 64-bit column; how many bits, and so bytes, follows from the number of rows."""
+    span, bits = 16, bits_for(ids.count())
 
     def each(table: pa.Table) -> pa.Table:
         flags = np.zeros(1 << span, np.uint8)
@@ -80,7 +85,7 @@ def bitmap(ids: DataFrame, column: str, bits: int = 26) -> np.ndarray:
     cell = F.shiftrightunsigned(F.col(column), 64 - bits)
     cells = ids.select(cell.alias("cell")).distinct().select(F.shiftright("cell", span).alias("high"), F.col("cell").bitwiseAND((1 << span) - 1).alias("low"))
     out = np.zeros((1 << (bits - span), 1 << (span - 3)), np.uint8)
-    for r in cells.groupBy("high").applyInArrow(each, "high long, bits binary").collect():  # at most 2**(bits - 16) rows of 8 kB
+    for r in cells.groupBy("high").applyInArrow(each, "high long, bits binary").toLocalIterator():  # at most 2**(bits - 16) rows of 8 kB, some at a time
         out[r["high"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 

@@ -149,8 +149,10 @@ def _widespread(texts: DataFrame, k: int, buckets: int) -> np.ndarray:
         v, c = np.unique(np.concatenate(parts), return_counts=True)
         return pa.table({"t": v[c > WIDE].view(np.int64)})
 
-    found = texts.mapInArrow(tokens, "bucket int, n int, tokens binary").groupBy("bucket").applyInArrow(count, "t long")
-    return bitmap(found, "t")
+    found = stored(texts.mapInArrow(tokens, "bucket int, n int, tokens binary").groupBy("bucket").applyInArrow(count, "t long"), "widespread")
+    bits = bitmap(found, "t")
+    discard(found)
+    return bits
 
 
 def _groups(texts: DataFrame, k: int, percent: int, wide, buckets: int) -> DataFrame:
@@ -392,3 +394,19 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     copies = Window.partitionBy("id", "hash").orderBy("id")  # equal rows, in the join's own order: texts aren't sorted again
     out = out.withColumn("copy", F.row_number().over(copies)).where("copy = 1 OR one IS NULL").select("row.*")
     return out.unionByName(docs.where("doc_id IS NULL"))
+
+
+#: The contract's sets, links and components by plain joins and a recursion.
+JOIN_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS sh FROM w),
+node AS (SELECT sh, dense_rank() OVER (ORDER BY sh) AS c, rid, doc_id FROM s),
+cls AS (SELECT c, any_value(sh) AS sh, len(any_value(sh)) AS n, min(doc_id) AS least FROM node WHERE len(sh) > 0 GROUP BY c),
+tok AS (SELECT c, n, unnest(sh) AS t FROM cls),
+pair AS (SELECT a.c AS x, b.c AS y FROM tok a JOIN tok b ON a.t = b.t AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edge AS (SELECT x, y FROM pair UNION ALL SELECT y, x FROM pair),
+reach(c, r) AS (SELECT c, c FROM cls UNION SELECT reach.c, y FROM reach JOIN edge ON reach.r = edge.x),
+label AS (SELECT reach.c, min(least) AS component_id FROM reach JOIN cls ON cls.c = reach.r GROUP BY reach.c)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM node LEFT JOIN label USING (c)
+"""

@@ -76,6 +76,7 @@ QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op2_ordinal_quality, op3_m
 ORACLE = {
     "op1_maxscore_topk": topk.TOPK_SQL,
     "op3_mix_sources": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL})",
+    "op6_jaccard_join": jaccard.JOIN_SQL,
     "op7_secret_scan": secrets.SECRETS_SQL,
     "op12_rope_fim": fim.FIM_SQL,
     "op13_dialogue_repair": dialogue.REPAIR_SQL,
