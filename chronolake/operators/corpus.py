@@ -213,12 +213,32 @@ def canonical_digest(content: Column) -> Column:
     return F.sha2(F.replace(content, F.lit("\r\n"), F.lit("\n")).cast("binary"), 256)
 
 
+def ordered_digest(rows: DataFrame, by: list[str], order: str, digest: str, most: int = 100_000) -> DataFrame:
+    """(by, digest) of small corpora: the digest of all their rows' digests one after the other, ties of order by digest.
+
+    This is a chain over the whole corpus and can't be cut; a corpus of more than `most` rows is an error, and `chained_digest` the form for size.
+    """
+    large = rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > most).first()
+    if large is not None:
+        raise ValueError(f"a corpus of {large['n']} rows has no ordered digest")
+    held = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, digest))).alias("r"))  # `most` rows
+    return held.select(*by, F.sha2(F.array_join(F.transform("r", lambda x: x[digest]), "").cast("binary"), 256).alias("digest"))
+
+
 def chained_digest(rows: DataFrame, by: list[str], order: str, digest: str, block: int = 4096) -> DataFrame:
-    """(by, digest) of a whole corpus: digests of blocks of rows in order, and the digest of these.
+    """(by, digest) of a corpus of any size, in a format of its own: digests of blocks of rows in order, and the digest of these, block by block above.
 
-    A block is the rows of one range of `order` (a number), so a large side is never one row.
+    A block is the rows of one range of `order` (a number), and `block` digests of blocks make one of the next level, so
+    no row holds more than `block` digests but where `order` repeats; rows of one order are counted with theirs.
     """
-    d = rows.withColumn("_block", F.floor(F.col(order) / block))
-    inner = d.groupBy(*by, "_block").agg(F.sort_array(F.collect_list(F.struct(order, digest))).alias("r"))  # `block` rows of distinct order
-    parts = inner.select(*by, "_block", F.sha2(F.array_join(F.transform("r", lambda x: x[digest]), "").cast("binary"), 256).alias("h"))
-    return parts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_block", "h"))).alias("r")).select(*by, F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), "").cast("binary"), 256).alias("digest"))
+    d = rows.groupBy(*by, order, digest).agg(F.count("*").alias("_c"))
+    d = d.select(*by, F.col(order).cast("long").alias("_o"), F.when(F.col("_c") > 1, F.concat_ws("*", digest, F.col("_c").cast("string"))).otherwise(F.col(digest)).alias("h"))
+    d = d.withColumn("_block", F.floor(F.col("_o") / block))
+    level = d.groupBy(*by, "_block").agg(F.sort_array(F.collect_list(F.struct("_o", "h"))).alias("r"))
+    joined = F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), "").cast("binary"), 256)
+    level = level.select(*by, "_block", joined.alias("h"))
+    widest = d.agg(F.max(F.abs("_block")).alias("m")).first().m or 0
+    while widest >= block:
+        level = level.withColumn("_up", F.floor(F.col("_block") / block)).groupBy(*by, "_up").agg(F.sort_array(F.collect_list(F.struct("_block", "h"))).alias("r")).select(*by, F.col("_up").alias("_block"), joined.alias("h"))
+        widest //= block
+    return level.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_block", "h"))).alias("r")).select(*by, joined.alias("digest"))

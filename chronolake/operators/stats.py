@@ -9,25 +9,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "i", rows: int = 1 << 20, most: int = 512) -> DataFrame:
-    """`df` with its rows numbered from 0 by `order`, whose first column is a number, date or time.
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` sorted over all its partitions, written, with (_part, _row): the place of a row is that of its partition, then its number in it."""
+    from chronolake.sources.sinks import folder
 
-    A small table is numbered in one window; a large one in ranges of the first column (cut at approximate quantiles, so
-    that the ranges are the same however often they are read), with counts by range for the numbers before each.
-    """
-    ranges = min(most, -(-df.count() // rows))
-    if ranges < 2:
+    at = folder(df.sparkSession, "ordered")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(at)
+    placed = df.sparkSession.read.parquet(at)  # partitions and numbers are settled, however often they are read
+    return placed.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)}).drop("_at")
+
+
+def _before(placed: DataFrame, size: Column) -> DataFrame:
+    """(_part, _before): the sum of sizes in the partitions before, a row a partition."""
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.groupBy("_part").agg(F.sum(size).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "i", rows: int = 1 << 20) -> DataFrame:
+    """`df` with its rows numbered from 0 by `order`: in one window up to `rows`, beyond in the ranges of a sort over all partitions."""
+    if df.count() <= rows:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    kind = dict(df.dtypes)[order[0]]
-    key = F.unix_date(order[0]) if kind == "date" else F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith("timestamp") else F.col(order[0]).cast("double")
-    cuts = df.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key))
-    d = df.withColumn("_range", part)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    offset = d.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return d.withColumn(name, place).join(F.broadcast(offset), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+    placed = in_ranges(df, order)
+    return placed.join(F.broadcast(_before(placed, F.lit(1))), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+
+
+def ranked(df: DataFrame, col: str, name: str, rows: int = 1 << 20) -> DataFrame:
+    """`df` with the rank of `col` among all rows, ties averaged, from counts of its values; null has no rank."""
+    values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
+    if values.count() <= rows:
+        before = F.sum("_c").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+        values = values.select("_v", (F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2).alias(name))
+    else:
+        placed = in_ranges(values, ["_v"])
+        inside = F.sum("_c").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
+        values = placed.withColumn("_own", F.coalesce(inside, F.lit(0))).join(F.broadcast(_before(placed, F.col("_c"))), "_part")
+        values = values.select("_v", (F.col("_before") + F.col("_own") + (F.col("_c") + 1) / 2).alias(name))
+    return df.join(values, F.col(col) == F.col("_v"), "left").drop("_v")
 
 
 def expanding_folds(events: DataFrame, order: list[str], k: int = 4) -> DataFrame:
@@ -80,6 +97,13 @@ def spearman(df: DataFrame, x: str, y: str, part: list[str]) -> DataFrame:
     return ranked.groupBy(*part).agg(F.when(flat, 0.0).otherwise(F.corr("_x", "_y")).alias("ic"), F.count("*").alias("n"))
 
 
+def spearman_all(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(ic, n) of all rows, one row; 0 where either side doesn't vary.  No task ranks more than a range of values."""
+    both = ranked(ranked(df, x, "_x"), y, "_y")
+    flat = (F.stddev_pop(x) < 1e-8) | (F.stddev_pop(y) < 1e-8)
+    return both.agg(F.when(flat, 0.0).otherwise(F.corr("_x", "_y")).alias("ic"), F.count("*").alias("n"))
+
+
 def draws(spark, b: int, kind: str = "draw") -> DataFrame:
     return spark.range(b).select(F.col("id").alias(kind))
 
@@ -177,7 +201,7 @@ def block_bootstrap(values: DataFrame, order: str, value: str, b: int = 100, blo
 def delta_ic(events: DataFrame, order: str, leak: str, clean: str, ret: str, b: int = 100, seed: str = "ic") -> DataFrame:
     """(ic_leak, ic_clean, delta, lo, hi, p): difference of rank correlations with a return, its bootstrap interval, and the share of draws on the other side of 0."""
     n = events.count()
-    both = {side: spearman(events.withColumn("_all", F.lit(0)), x, ret, ["_all"]).select(F.coalesce("ic", F.lit(0.0)).alias(side)) for side, x in (("ic_leak", leak), ("ic_clean", clean))}
+    both = {side: spearman_all(events, x, ret).select(F.coalesce("ic", F.lit(0.0)).alias(side)) for side, x in (("ic_leak", leak), ("ic_clean", clean))}
     seen = both["ic_leak"].join(F.broadcast(both["ic_clean"])).withColumn("delta", F.col("ic_leak") - F.col("ic_clean"))  # one row
     v, index = boot_index(events, order, b, max(2.0, n / 8), seed)
     drawn = index.join(v, "i")

@@ -171,6 +171,13 @@ def x4_corpus_hash(spark, sf):
     return C.chained_digest(d, ["source"], "doc_id", "h")
 
 
+@query([], "SELECT source, doc_id // 64 AS part, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY ALL")
+def x4_ordered_hash(spark, sf):
+    """Small corpora, each with one digest of the digests of its texts in order."""
+    d = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 64).alias("part"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    return C.ordered_digest(d, ["source", "part"], "doc_id", "h")
+
+
 @query(["posts"], "SELECT source, id, '[' || epoch || '] [score:' || score || '] [' || CASE WHEN label = 'neutral' THEN 'unlabeled' ELSE label END || '] ' || text AS line FROM posts")
 def x14_y21_post_lines(spark, sf):
     """A line a post, for a reader to write out in order; no source is gathered in one row."""

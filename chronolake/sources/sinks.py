@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def folder(spark: SparkSession, tag: str) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one on a single machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"{tempfile.gettempdir()}/chronolake"
     return f"{at}/{tag}-{uuid.uuid4().hex}"

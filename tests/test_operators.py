@@ -394,3 +394,36 @@ def test_tail_folds_end_at_the_end(spark):
     test = {f: sorted(r.event for r in got if r.fold == f and r.role == "test") for f in {r.fold for r in got}}
     assert test == {0: [5, 6], 1: [7, 8], 2: [9, 10]}
     assert all(r.event < test[r.fold][0] for r in got if r.role == "train")
+
+
+def test_ranks_and_numbers_over_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 40)) / 4, None if i % 29 == 0 else float(rng.normal())) for i in range(400)]
+    d = spark.createDataFrame(rows, "i long, x double, y double").repartition(7)
+    want = pd.DataFrame(rows, columns=["i", "x", "y"])
+    for limit in (5, 1 << 20):
+        got = stats.ranked(stats.ranked(d, "x", "rx", limit), "y", "ry", limit).toPandas().sort_values("i")
+        assert np.allclose(got.rx, want.x.rank()) and np.allclose(got.ry, want.y.rank(), equal_nan=True)
+        told = {r.i: r.n for r in stats.numbered(d, ["x", "i"], "n", limit).collect()}
+        assert [told[i] for i in want.sort_values(["x", "i"]).i] == list(range(400))
+    both = want.dropna()
+    one = stats.spearman_all(d.where("y IS NOT NULL"), "x", "y").first()
+    assert abs(one.ic - both.x.rank().corr(both.y.rank())) < 1e-9 and one.n == len(both)
+    assert stats.spearman_all(d.withColumn("x", F.lit(1.0)), "x", "y").first().ic == 0.0
+
+
+def test_digests_of_corpora(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [("a", i, sha(str(i))) for i in range(300)] + [("b", 5, sha("x"))]
+    d = spark.createDataFrame(rows, "side string, i long, h string").repartition(5)
+    got = {r.side: r.digest for r in corpus.ordered_digest(d, ["side"], "i", "h").collect()}
+    assert got == {"a": sha("".join(h for s, _, h in rows if s == "a")), "b": sha(sha("x"))}
+    with pytest.raises(ValueError, match="300 rows"):
+        corpus.ordered_digest(d, ["side"], "i", "h", most=200)
+    chain = {r.side: r.digest for r in corpus.chained_digest(d, ["side"], "i", "h", block=4).collect()}
+    level = {k: [sha("".join(h for _, _, h in rows[4 * k : 4 * k + 4]))] for k in range(75)}
+    while len(level) > 4:
+        level = {k: [sha("".join(level[j][0] for j in sorted(level) if j // 4 == k))] for k in {j // 4 for j in level}}
+    assert chain["a"] == sha("".join(level[k][0] for k in sorted(level)))
+    more = corpus.chained_digest(d.union(d.limit(1)), ["side"], "i", "h", block=4).collect()
+    assert {r.side: r.digest for r in more}["a"] != chain["a"] or {r.side: r.digest for r in more}["b"] != chain["b"]  # a repeated row counts
