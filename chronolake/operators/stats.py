@@ -101,7 +101,8 @@ def spearman_all(df: DataFrame, x: str, y: str) -> DataFrame:
     """(ic, n) of all rows, one row; 0 where either side doesn't vary.  No task ranks more than a range of values."""
     both = ranked(ranked(df, x, "_x"), y, "_y")
     flat = (F.stddev_pop(x) < 1e-8) | (F.stddev_pop(y) < 1e-8)
-    return both.agg(F.when(flat, 0.0).otherwise(F.corr("_x", "_y")).alias("ic"), F.count("*").alias("n"))
+    told = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))
+    return both.agg(F.when(flat, 0.0).otherwise(told).alias("ic"), F.count("*").alias("n"))
 
 
 def draws(spark, b: int, kind: str = "draw") -> DataFrame:
