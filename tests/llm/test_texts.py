@@ -300,6 +300,12 @@ def test_leaks_in_blocks_of_items(spark, docs, monkeypatch):
     rows = [(i, " ".join([*rng.choices(vocab, k=50), t, *rng.choices(vocab, k=20)])) for i, t in items] + [(50 + i, " ".join(rng.choices(vocab, k=80))) for i in range(30)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(leaks, "ITEMS", 5)
+    whole = docs(rows).withColumns({"row": F.lit(1), "hash": F.lit("h")})
+    for together in (1, 2, 4):  # one pass for each block, groups of blocks, all at once
+        monkeypatch.setattr(leaks, "TOGETHER", together)
+        assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(docs(rows), bench).collect()) == [(i, i) for i in range(12)]
+        kept = leaks.drop_leaks(whole, bench)
+        assert kept.columns == whole.columns and sorted((r.doc_id, r.row, r.hash) for r in kept.collect()) == [(i, 1, "h") for i in range(50, 80)]
     assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(docs(rows), bench).collect()) == [(i, i) for i in range(12)]
     assert sorted(r.doc_id for r in leaks.drop_leaks(docs(rows), bench).collect()) == list(range(50, 80))
     assert leaks.find_leaks(docs([]), bench).count() == 0 and leaks.drop_leaks(docs([]), bench).count() == 0
