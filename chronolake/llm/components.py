@@ -68,9 +68,9 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).union(links.select("v", "v").distinct())
 
 
-def bits_for(n: int, least: int = 22, most: int = 31) -> int:
-    """Bits of a map that about a sixteenth of other values hit, with 32 MB for 1.6e7 values and 256 MB at most, from where on more do."""
-    return min(most, max(least, (16 * max(1, n) - 1).bit_length()))
+def bits_for(n: int, least: int = 26, most: int = 31) -> int:
+    """Bits of a map that at most one in 64 of other values hits: 8 MB up to a million values, 256 MB from 3e7 on, and from there on more of them hit."""
+    return min(most, max(least, (64 * max(1, n) - 1).bit_length()))
 
 
 def bitmap(ids: DataFrame, column: str) -> np.ndarray:
