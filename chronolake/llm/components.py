@@ -85,8 +85,9 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
     cell = F.shiftrightunsigned(F.col(column), 64 - bits)
     cells = ids.select(cell.alias("cell")).distinct().select(F.shiftright("cell", span).alias("high"), F.col("cell").bitwiseAND((1 << span) - 1).alias("low"))
     out = np.zeros((1 << (bits - span), 1 << (span - 3)), np.uint8)
-    for r in cells.groupBy("high").applyInArrow(each, "high long, bits binary").toLocalIterator():  # at most 2**(bits - 16) rows of 8 kB, some at a time
-        out[r["high"]] = np.frombuffer(r["bits"], np.uint8)
+    for batch in cells.groupBy("high").applyInArrow(each, "high long, bits binary").toArrow().to_batches():  # at most 2**(bits - 16) rows of 8 kB
+        for high, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out[high] = np.frombuffer(row.as_buffer(), np.uint8)
     return out.ravel()
 
 

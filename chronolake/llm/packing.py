@@ -33,11 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm import bytekit as bk
-from chronolake.llm.common import discard, stored
+from chronolake.llm.common import cut_parts, discard, stored
 from chronolake.llm.vocab import vocabulary
 
 DIMS, BITS, END = 4, 8, 1
 GRID = 1 << 14  # steps of a mean sign that quantiles are told to
+RANGE = 1 << 25  # ids in a range of the sort, about
 SLICE = 1 << 23  # bytes of text, or of pieces, that a task holds as arrays
 
 
@@ -134,7 +135,9 @@ def along_curve(tokens: DataFrame, id_col: str = "doc_id", dims: int = DIMS, bit
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(before)], names=[id_col, "doc_tokens", "ids", "part", "at"])
 
-    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(id_col, "doc_tokens", "ids")
+    parts = -(-(tokens.agg(F.sum("doc_tokens")).first()[0] or 0) // RANGE)
+    ranges = [parts] if parts > cut_parts(tokens) else []  # fewer are the session's, which adaptive execution joins
+    ordered = keyed.repartitionByRange(*ranges, *order).sortWithinPartitions(*order).select(id_col, "doc_tokens", "ids")
     return ordered.mapInArrow(running, f"{id_col} {id_type}, doc_tokens long, ids binary, part int, at long")
 
 

@@ -15,6 +15,8 @@ bytes are in one bucket, by a hash of these bytes, and so are the grams that eac
 slice of texts asks for: a bucket's task makes its part of the tree and answers from
 it.  A frequent gram is one row per slice, and what shares three bytes is bounded by
 the alphabet.  Exact add-one unigram counts of words are asked for in the same way.
+Where there are more than SALTED slices, a bucket is answered in as many shares of
+the slices as keep a share below that, each with the bucket's part of the tree.
 
 Words are told apart by a 64-bit hash.  Defined results: null texts count as
 empty, with the end as their only token; a null id's fold is that of the empty
@@ -42,6 +44,7 @@ DEPTH, END = 5, 10
 END_WORD = np.uint64(0x656E64)
 BUCKET = 256 << 20  # bytes of text to a bucket of grams
 SLICE = 3 << 19
+SALTED = 1 << 15  # slices whose questions to a bucket one task answers
 
 
 def stream(w: bk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +251,16 @@ def _blocks(batches):
             yield one, Block(one["text"].as_py(), one["sizes"].values.to_numpy())
 
 
-def _word_counts(packed: DataFrame, buckets: int) -> DataFrame:
+def _share(shares: int) -> Column:
+    """Which share of the slices a slice belongs to."""
+    return F.pmod(F.xxhash64("bid"), F.lit(shares)).cast("int")
+
+
+def _for_all(part: DataFrame, shares: int) -> DataFrame:
+    return part.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+
+def _word_counts(packed: DataFrame, buckets: int, shares: int = 1) -> DataFrame:
     """(bid, bucket, payload, n, v): counts in training texts of each slice's words of a bucket; n and v are the bucket's tokens and types."""
 
     def split(batches):
@@ -274,11 +286,36 @@ def _word_counts(packed: DataFrame, buckets: int) -> DataFrame:
              "n": pa.array(first * int(c.sum())), "v": pa.array(first * int((c > 0).sum()))}
         )
 
-    rows = packed.select("bid", "held", "text", "sizes").mapInArrow(split, "bucket int, bid long, keys binary, train binary")
-    return rows.groupBy("bucket").applyInArrow(look, "bid long, bucket int, payload binary, n long, v long")
+    def add(table: pa.Table) -> pa.Table:
+        """One row of distinct words and their counts."""
+        keys, ident = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]), return_inverse=True)
+        c = np.bincount(ident, weights=np.frombuffer(b"".join(table.column("train").to_pylist()), table_kind(table)), minlength=len(keys)).astype(np.int64)
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([keys.tobytes()], pa.binary()), "train": pa.array([c.tobytes()], pa.binary()), "wide": pa.array([True])})
 
+    def table_kind(table: pa.Table) -> type:
+        return np.int64 if "wide" in table.column_names else np.int32
 
-def _gram_chances(packed: DataFrame, buckets: int) -> DataFrame:
+    def answer(part: pa.Table, asks: pa.Table) -> pa.Table:
+        keys, c = (np.frombuffer(part.column(k)[0].as_py(), d) for k, d in (("keys", np.uint64), ("train", np.int64)))
+        found = [c[np.searchsorted(keys, np.frombuffer(x, np.uint64))].tobytes() for x in asks.column("keys").to_pylist()]
+        first = np.zeros(len(found), np.int64)
+        first[:1] = part.column("share")[0].as_py() == 0  # the share with number 0 tells the bucket's sums
+        return pa.table({"bid": asks.column("bid"), "bucket": asks.column("bucket"), "payload": pa.array(found, pa.binary()), "n": pa.array(first * int(c.sum())), "v": pa.array(first * int((c > 0).sum()))})
+
+    rows = packed.select("bid", "held", "text", "sizes").mapInArrow(split, "bucket int, bid long, keys binary, train binary")
+    kind = "bid long, bucket int, payload binary, n long, v long"
+    if shares == 1:
+        return rows.groupBy("bucket").applyInArrow(look, kind)
+    rows = stored(rows.withColumn("share", _share(shares)), "asked")
+    sums = "bucket int, keys binary, train binary, wide boolean"
+    part = rows.groupBy("bucket", "share").applyInArrow(add, sums).groupBy("bucket").applyInArrow(add, sums)
+    # every share of slices has every bucket's part; where the share with number 0 asks nothing, one row of no slice tells the sums
+    nobody = part.select("bucket", F.lit(-1).cast("long").alias("bid"), F.lit(b"").alias("keys"), F.lit(b"").alias("train"), F.lit(0).alias("share"))
+    asks = rows.unionByName(nobody)
+    return _for_all(part, shares).groupBy("bucket", "share").cogroup(asks.groupBy("bucket", "share")).applyInArrow(answer, kind)
+
+
+def _gram_chances(packed: DataFrame, buckets: int, shares: int = 1) -> DataFrame:
     """(bid, bucket, payload): log10 chances of each slice's grams of a bucket, learned from the training fold."""
     counts, short = fit(packed)
     sent = packed.sparkSession.sparkContext.broadcast(short)
@@ -300,7 +337,10 @@ def _gram_chances(packed: DataFrame, buckets: int) -> DataFrame:
 
     rows = packed.select("bid", "text", "sizes").mapInArrow(split, "bucket int, bid long, n int, keys binary")
     tree = counts.withColumn("bucket", _bucket_column("gram", buckets))
-    return tree.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(look, "bid long, bucket int, payload binary")
+    by = ["bucket"]
+    if shares > 1:
+        tree, rows, by = _for_all(tree, shares), rows.withColumn("share", _share(shares)), ["bucket", "share"]
+    return tree.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(look, "bid long, bucket int, payload binary")
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -309,11 +349,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     packed = stored(_pack(docs), "packed")
     size = packed.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     buckets = max(48, cut_parts(docs), math.ceil(size / BUCKET))
-    counted = stored(_word_counts(packed, buckets), "words")
+    shares = max(1, -(-packed.count() // SALTED))
+    counted = stored(_word_counts(packed, buckets, shares), "words")
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     whole = float(np.log10(n + v + 1))
-    chances = _gram_chances(packed, buckets)
-    replies = counted.select("bid", F.lit(0).alias("kind"), "bucket", "payload").union(chances.select("bid", F.lit(1), "bucket", "payload"))
+    chances = _gram_chances(packed, buckets, shares)
+    replies = counted.where("bid >= 0").select("bid", F.lit(0).alias("kind"), "bucket", "payload").union(chances.select("bid", F.lit(1), "bucket", "payload"))
     found = replies.groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("kind", "bucket", "payload"))).alias("found"))  # the answers to one slice
 
     def each(batches):
@@ -335,3 +376,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
             )
 
     return packed.join(found, "bid").mapInArrow(each, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+#: The base columns: a table-driven crc32 for the fold, counts of training tokens, and their chances.
+BASE_SQL = r"""
+WITH bytes AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS crc FROM range(256) t(b)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+             list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w FROM documents),
+f AS (SELECT rid, doc_id, w, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 2 AS held_out FROM d, bytes),
+tok AS (SELECT rid, held_out, unnest(w) AS t FROM f),
+cnt AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t),
+tot AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM cnt),
+told AS (SELECT rid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1)::DOUBLE)) AS base FROM tok LEFT JOIN cnt USING (t), tot GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base, 4) AS base_score FROM f JOIN told USING (rid), tot
+"""

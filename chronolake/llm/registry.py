@@ -71,13 +71,20 @@ def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(talks, dialogue.damaged(talks))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op2_ordinal_quality, op3_mix_sources, op4_language_gru, op5_toxicity_fm, op6_jaccard_join, op7_secret_scan, op8_latent_leaks, op9_suffix_tree, op10_html_blocks, op11_hilbert_packing, op12_rope_fim, op13_dialogue_repair)}
+def base_of_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 says of texts without its tree, which SQL can say, too."""
+    told = op9_suffix_tree(spark, sf_dir)
+    return told.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_maxscore_topk, op2_ordinal_quality, op3_mix_sources, op4_language_gru, op5_toxicity_fm, op6_jaccard_join, op7_secret_scan, op8_latent_leaks, op9_suffix_tree, op10_html_blocks, op11_hilbert_packing, op12_rope_fim, op13_dialogue_repair, base_of_suffix_tree)}
 
 ORACLE = {
     "op1_maxscore_topk": topk.TOPK_SQL,
     "op3_mix_sources": f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.MIX_SQL})",
     "op6_jaccard_join": jaccard.JOIN_SQL,
     "op7_secret_scan": secrets.SECRETS_SQL,
+    "base_of_suffix_tree": pst.BASE_SQL,
     "op12_rope_fim": fim.FIM_SQL,
     "op13_dialogue_repair": dialogue.REPAIR_SQL,
 }

@@ -69,7 +69,7 @@ def checked(rows, pieces, length):
     assert got == want
 
 
-def test_packing_against_plain_tokens(spark, docs):
+def test_packing_against_plain_tokens(spark, docs, monkeypatch):
     rng = random.Random(8)
     rows = [(i, some_text(rng)) for i in range(120)] + [(7, "same words")] * 90 + [(500 + i, "the copy of a text") for i in range(150)] + [(None, None), (901, ""), (902, "w" * 20_000 + " many words " * 9000), (None, "x y")]
     spark.conf.set("spark.sql.shuffle.partitions", "5")
@@ -80,6 +80,9 @@ def test_packing_against_plain_tokens(spark, docs):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(map(repr, again)) == sorted(map(repr, pieces))  # the order of rows and partitions is no part of it
+    monkeypatch.setattr(packing, "RANGE", 500)  # more ranges than the session's partitions
+    many = packing.pack(docs(rows), PATH, length=256)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, pieces))
     assert packing.pack(docs([]), PATH).count() == 0
     checked([(1, None)], packing.pack(docs([(1, None)]), PATH).collect(), 2048)
 

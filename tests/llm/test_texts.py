@@ -365,6 +365,29 @@ def tree_by_brute_force(texts):
     return [sum(math.log10(table(pad(s, i, pst.DEPTH))[s[i]]) for i in range(len(s))) for s in (seq(t) for _, t in texts)]
 
 
+def test_suffix_tree_in_shares_of_slices(spark, docs, monkeypatch):
+    """Buckets answered in many shares say what one task says."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(["red", "green", "Blue", "deep", "sea", "é"], k=rng.randint(0, 40)))) for i in range(200)] + [(None, None), (3, "red sea")]
+    d = docs(rows).repartition(6, "node", "text")
+    key = lambda r: (r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 4))
+    one = sorted(map(key, pst.score_texts(d).collect()))
+    monkeypatch.setattr(pst, "SALTED", 2)
+    assert sorted(map(key, pst.score_texts(d).collect())) == one and len(one) == len(rows)
+    assert pst.score_texts(docs([])).count() == 0
+
+
+def test_base_of_suffix_tree_against_sql(spark, docs):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choices(["red", "Green", "É", "x\ty", "zz"], k=rng.randint(0, 30)))) for i in range(120)] + [(None, "red"), (7, None), (8, "red"), (8, "red")]
+    d = docs(rows)
+    con = duckdb.connect()
+    con.register("documents", d.toArrow())
+    got = sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in pst.score_texts(d).collect())
+    want = sorted((repr(r[0]), *r[1:5], round(r[5], 6)) for r in con.sql(pst.BASE_SQL.replace("round(base, 4)", "base")).fetchall())
+    assert [g[:5] for g in got] == [w[:5] for w in want] and all(abs(g[5] - w[5]) < 2e-6 for g, w in zip(got, want, strict=True))
+
+
 def test_suffix_tree_against_brute_force(spark, docs):
     rng = random.Random(4)
     vocab = ["the", "Then", "cat", "caterpillar", "sat", "é", "on", "mat"]
