@@ -143,6 +143,15 @@ def stance_label(raw: Column) -> Column:
     return F.when(raw == "0", -1).when(raw == "1", 1).when(raw == "2", 0)
 
 
+# What is known of a corpus of annotated stances whose days are only years.
+STANCE_FLAGS = {"source_verified": True, "annotation_verified": True, "pit_verified": False}
+
+
+def stance_benchmark(samples: DataFrame) -> tuple[DataFrame, dict[str, bool]]:
+    """Samples fit for a baseline and its flags; with them no availability is known, so it never passes as ready for formal results."""
+    return samples.withColumn("availability_quality", F.lit("unknown")), dict(STANCE_FLAGS)
+
+
 def quarters_before(as_of: Column, n: int = 3) -> Column:
     """The last n whole quarters before a day, latest first, as structs (year, quarter, place)."""
     first = F.date_trunc("quarter", as_of)

@@ -12,6 +12,7 @@ from chronolake.plans.views import table, view
 from chronolake.sources import connector as C
 from chronolake.sources import readers as Rd
 from chronolake.sources import sinks as Sk
+from chronolake.sources import tensors as T
 from chronolake.sources import versions as Ver
 from chronolake.streaming import jobs as J
 
@@ -181,3 +182,24 @@ def y54_y55_y56_lock(spark, sf):
     now = d.where("doc_id % 7 <> 1").select(name.alias("name"), F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit("x"), 256)).otherwise(sha).alias("digest"))
     found = Ver.differences(spark.read.parquet(at), now)
     return found.select(F.substring("name", 5, 30).cast("long").alias("doc_id"), "change")
+
+
+def _containers(spark, sf) -> str:
+    at = Sk.folder(spark, "tensors")
+    T.write_containers(table(spark, sf, "documents").where("text IS NOT NULL"), at, F.floor(F.col("doc_id") / 100), "doc_id", "text")
+    T.register(spark)
+    return at
+
+
+@query([], "SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text) AS digest, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL")
+def c16_array_digests(spark, sf):
+    """The bytes of every document as an array of a container file, read in pieces, each array's digest."""
+    pieces = spark.read.format("tensors").option("path", _containers(spark, sf)).option("piece", 4096).option("share", 1 << 20).load()
+    return T.array_digests(pieces).select("name", "digest", "bytes")
+
+
+@query([], "SELECT doc_id // 100 || '.tensors' AS file, sha256(string_agg(CAST(doc_id AS VARCHAR) || text, '' ORDER BY CAST(doc_id AS VARCHAR))) AS digest, count(*) AS arrays FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def c16_parameter_digest(spark, sf):
+    """One digest of all arrays of a file in order of name, names before bytes."""
+    pieces = spark.read.format("tensors").option("path", _containers(spark, sf)).option("piece", 1 << 16).load()
+    return T.parameter_digest(pieces).select("file", "digest", "arrays")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronolake.functions import scalars as S
+from chronolake.operators import corpus as C
 from chronolake.operators import joins as J
 from chronolake.operators import vendor as V
 from chronolake.plans.book import query
@@ -190,6 +191,17 @@ def s31_s32_stance_corpus(spark, sf):
     return d.select(F.concat_ws("_", F.lit("tdw"), "source", k.cast("string")).alias("sample_id"), F.col("label").alias("task_label"), time.alias("event_time"), F.lit("unknown").alias("availability_quality"), F.when(k % 2 == 0, "train").otherwise("test").alias("split"), F.col("source").alias("source_file"))
 
 
+@query([], """SELECT split, false AS ready, count(*) AS n FROM (SELECT *, CASE doc_id % 6 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '-' WHEN 4 THEN NULL ELSE '2' END AS raw, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM documents) WHERE raw IN ('0', '1', '2') AND trim(text) <> '' GROUP BY split""")
+def y50_stance_benchmark(spark, sf):
+    """Each split of the stance corpus as a benchmark: its sources and labels are verified, its days aren't, so none is ready for formal results."""
+    out = None
+    for split in ("train", "test"):
+        samples, flags = V.stance_benchmark(s31_s32_stance_corpus(spark, sf).where(F.col("split") == split))
+        one = C.ready(samples, flags).select(F.lit(split).alias("split"), "ready", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query([], """WITH r AS (SELECT o_custkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, o_orderpriority AS transcript FROM orders), h AS (SELECT DISTINCT o_custkey, y, q FROM r WHERE o_custkey % 4 = 0 AND q = 1)
 SELECT o_custkey, CAST(y AS INTEGER) AS y, CAST(q AS INTEGER) AS q, count(*) AS n FROM r WHERE o_custkey % 2 = 0 AND transcript <> '5-LOW' AND NOT EXISTS (SELECT 1 FROM h WHERE h.o_custkey = r.o_custkey AND h.y = r.y AND h.q = r.q) GROUP BY ALL""")
 def s34_y28_backfill(spark, sf):
