@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_C = ctypes.CDLL(None)  # the C library that is loaded already
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where none is set (tests on one machine)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +39,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
+    """Let go of what the driver no longer needs: Python objects, memory that the C library keeps for later, frames behind written tables."""
     gc.collect()
+    trim = getattr(_C, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
     spark.sparkContext._jvm.System.gc()
 
 
