@@ -13,10 +13,10 @@ from chronolake.sources import sinks as Sk
 
 
 def _bars_csv(spark, sf):
-    """Bars as a CSV file a ticker, every seventh close missing."""
+    """Bars as CSV by shelf of tickers, every seventh close missing."""
     at = Sk.folder(spark, "bars")
     close = F.when(F.dayofmonth("d") % 7 == 0, None).otherwise(F.col("close"))
-    rows = view(spark, sf, "bars").select("ticker", F.col("d").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), close.alias("Close"), F.col("volume").alias("Volume"))
+    rows = view(spark, sf, "bars").select(F.col("d").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), close.alias("Close"), F.col("volume").alias("Volume"), "ticker")
     Sk.per_ticker(rows, at)
     return at
 
@@ -28,7 +28,7 @@ _KEPT = "SELECT ticker, d, close FROM bars WHERE day(d) % 7 > 0"
 def s1_s4_ohlcv(spark, sf):
     """Daily bars from files: malformed rows and those without a close out, five years up to the as-of, filled."""
     at = _bars_csv(spark, sf)
-    df = Rd.bars(spark, at, "1996-06-30")
+    df = Rd.bars(spark, at, "1996-06-30", more="ticker BIGINT")
     df = df.select("ticker", F.col("Date").alias("d"), F.col("Open").alias("open"), F.col("High").alias("high"), F.col("Low").alias("low"), F.col("Close").alias("close"), F.col("Volume").alias("volume"))
     return W.fill_bars(df).select(F.col("ticker").cast("bigint").alias("ticker"), "d", "close")
 

@@ -68,9 +68,12 @@ def tree_digest(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r["name"], F.lit(":"), r["lf_sha256"])), "\n").cast("binary"), 256).alias("digest"), F.count("*").alias("files"))
 
 
-def bars(spark: SparkSession, path: str, as_of: str | None = None, years: int = 5) -> DataFrame:
-    """Daily bars from CSV: malformed lines dropped, null dates and closes dropped, dates up to the as-of."""
-    df = spark.read.schema(BARS).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+def bars(spark: SparkSession, path: str, as_of: str | None = None, years: int = 5, more: str = "") -> DataFrame:
+    """Daily bars from CSV: malformed lines dropped, null dates and closes dropped, dates up to the as-of.
+
+    `more`: columns after the fixed ones, such as whose bars they are.
+    """
+    df = spark.read.schema(f"{BARS}, {more}" if more else BARS).option("header", True).option("mode", "DROPMALFORMED").csv(path)
     df = df.where("Date IS NOT NULL AND Close IS NOT NULL")
     if as_of:
         day = F.lit(as_of).cast("date")
