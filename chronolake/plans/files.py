@@ -169,7 +169,7 @@ def k3_s25_archive(spark, sf):
 def k14_k4_final_states(spark, sf):
     """Final states as JSON by shelf of tickers; a backtest writes none."""
     at = Sk.folder(spark, "states")
-    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("ticker"), F.struct("o_orderkey", "o_orderstatus").alias("state")).where("ticker IS NOT NULL").repartition("ticker")
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("ticker"), F.struct("o_orderkey", "o_orderstatus").alias("state")).where("ticker IS NOT NULL")
     assert not Sk.final_states(rows, at, backtest=True)
     Sk.final_states(rows, at)
     Sk.discard(rows)
