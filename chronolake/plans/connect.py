@@ -150,7 +150,7 @@ def s36_run_records(spark, sf):
     at = Sk.folder(spark, "records")
     e = table(spark, sf, "events").groupBy(F.lower(F.concat(F.lit("T"), F.col("user_id").cast("string"))).alias("ticker"), F.trunc(F.col("ts").cast("date"), "month").cast("string").alias("date")).agg(F.count("*").alias("events"), F.max("event_id").alias("last"))
     Rd.write_run_records(e, at)
-    return Rd.run_records(spark, at).select("path_ticker", "path_date", "events", "last")
+    return Rd.run_records(spark, at, "events BIGINT, last BIGINT").select("path_ticker", "path_date", "events", "last")
 
 
 @query([], "SELECT 'a' || event_id AS id, 'forum' AS origin, user_id AS score, CAST(NULL AS VARCHAR) AS label FROM events WHERE event_type = 'view' UNION ALL SELECT 'b' || event_id, 'stream', NULL, event_type FROM events WHERE event_type <> 'view'")

@@ -137,12 +137,23 @@ def write_run_records(records: DataFrame, root: str) -> None:
                 fs.move(part, f"{at}/{ticker}/{date}.json")  # whole or not at all, whoever tries again
             yield batch.slice(0, 0).select([0])
 
-    records.select("ticker", "date", body.alias("text")).mapInArrow(each, "ticker string").write.format("noop").mode("overwrite").save()
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # files take their time, however small the rows are
+    records.select("ticker", "date", body.alias("text")).repartition(parts).mapInArrow(each, "ticker string").write.format("noop").mode("overwrite").save()
 
 
-def run_records(spark: SparkSession, root: str) -> DataFrame:
-    """Run records, one JSON file per ticker and date; both come from the path."""
-    df = spark.read.option("multiLine", True).option("recursiveFileLookup", True).json(root)
+def run_records(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """Run records, one JSON file per ticker and date; both come from the path.
+
+    Without a schema all files are read once more for it.  Folders are listed by some tasks a core, not by a task a folder.
+    """
+    reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True)
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    spark.conf.set(listing, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        df = (reader.schema(schema) if schema else reader).json(root)
+    finally:
+        spark.conf.set(listing, before)
     path = F.col("_metadata.file_path")
     return df.select("*", F.regexp_extract(path, r"([^/]+)/[^/]+\.json$", 1).alias("path_ticker"), F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("path_date"))
 
