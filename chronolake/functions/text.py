@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from itertools import islice
 
@@ -90,18 +91,30 @@ def only_closed(raw: str) -> str:
     return raw
 
 
-def filing_text(raw: str) -> str:
+def _whole(m: re.Match) -> str:
+    name = m[1] or ""
+    return m[0] if name.startswith("#") or name in html5 else "&amp;" + m[0][1:]
+
+
+def filing_text(raw: str, bare: bool = True) -> str:
+    """What a reader of a filing sees; without `bare`, character references that no semicolon ends stay as they are written."""
     reader = _Filing()
+    if not bare:
+        raw = re.sub(r"&(#\d+;|#[xX][0-9a-fA-F]+;|\w+;)?", _whole, raw)
     reader.feed(only_closed(raw))
     reader.close()
     blanks = re.sub("[ \t\u00a0]+", " ", "".join(reader.out))
     return re.sub("\n{3,}", "\n\n", blanks).strip()
 
 
-@F.arrow_udf(T.StringType())
-def strip_html(raw: pa.Array) -> pa.Array:
+def strip_html(raw: Column, bare: bool = True) -> Column:
     """Filing markup to text; Spark has no parser for it, so it runs in Arrow batches."""
-    return pa.array([None if r is None else filing_text(r) for r in raw.to_pylist()], pa.string())
+
+    @F.arrow_udf(T.StringType())
+    def told(texts: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else filing_text(r, bare) for r in texts.to_pylist()], pa.string())
+
+    return told(raw)
 
 
 def squeeze(text: Column) -> Column:
