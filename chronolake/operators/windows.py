@@ -1,13 +1,16 @@
 """Order-dependent operators over price bars and signals.
 
 Frames and `last(ignorenulls)` wherever a frame can say it.  Recursions (exponential
-averages, clamped sums) run per ticker in Arrow-batched pandas; a ticker's history is
-some thousand days, so a group fits a task at any number of tickers.
+averages, clamped sums) go over Arrow batches of sorted rows, from one ticker to the
+next: a task holds a batch, at any number of tickers and days.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,28 +63,73 @@ def held(trigger: str, w, start: float = 0.0) -> Column:
     return F.coalesce(F.last(trigger, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(start))
 
 
+def runs(df: DataFrame, order: str) -> DataFrame:
+    """Rows dealt out by ticker, each ticker's side by side and in order: a task streams through them, however many tickers or rows it has."""
+    return df.repartition("ticker").sortWithinPartitions("ticker", F.asc_nulls_last(order))
+
+
+def _starts(batch: pa.RecordBatch, last) -> tuple[list[bool], object]:
+    """Whether each row is another ticker's than the one before, and the last ticker."""
+    tickers = batch.column("ticker").to_pylist()
+    return [t != before for t, before in zip(tickers, [last, *tickers], strict=False)], tickers[-1] if tickers else last
+
+
+def _averaged(x: list[float], first: list[bool], a: float, kept: tuple[float, float] | None) -> tuple[list[float], tuple[float, float]]:
+    """Exponential averages of a batch's runs, as pandas has them (missing values let the average before fade), and what the next batch goes on from."""
+    y, weight = kept or (math.nan, 1.0)
+    out = []
+    for v, new in zip(x, first, strict=True):
+        if new:
+            y, weight = math.nan, 1.0
+        if y == y:
+            weight *= 1 - a
+            if v == v:
+                if y != v:
+                    y = (weight * y + a * v) / (weight + a)
+                weight = 1.0
+        else:
+            y = v
+        out.append(y)
+    return out, (y, weight)
+
+
 def ewm(df: DataFrame, alphas: dict[str, tuple], order: str = "d") -> DataFrame:
     """Add exponential averages y = (1-a) y + a x, starting at the first value: {new: (column, a)}, all in one pass.
 
     The column may be another new one before it, or a pair whose difference is meant.
     """
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        for name, (col, a) in alphas.items():
-            x = g[col] if isinstance(col, str) else g[col[0]] - g[col[1]]
-            g[name] = x.ewm(alpha=a, adjust=False).mean()
-        return g
+    def each(batches):
+        last, kept = object(), dict.fromkeys(alphas)
+        for batch in batches:
+            first, last = _starts(batch, last)
+            made: dict[str, np.ndarray] = {}
+            value = lambda c: made[c] if c in made else batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            for name, (col, a) in alphas.items():
+                x = value(col) if isinstance(col, str) else value(col[0]) - value(col[1])
+                y, kept[name] = _averaged(x.tolist(), first, a, kept[name])
+                made[name] = np.array(y)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(y, from_pandas=True) for y in made.values())], names=[*batch.schema.names, *made])
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + [f"{n} double" for n in alphas])
-    return df.groupBy("ticker").applyInPandas(each, schema)
+    return runs(df, order).mapInArrow(each, schema)
 
 
 def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """Wilder's index from averages of gains and losses with weight 1/n."""
+    return _rsi(ewm(_moves(df), _rsi_averages(n)))
+
+
+def _moves(df: DataFrame) -> DataFrame:
     delta = F.coalesce(F.col("close") - F.lag("close").over(by()), F.lit(0.0))
-    df = df.withColumns({"gain": F.greatest(delta, F.lit(0.0)), "loss": F.greatest(-delta, F.lit(0.0))})
-    df = ewm(df, {"ag": ("gain", 1 / n), "al": ("loss", 1 / n)})
+    return df.withColumns({"gain": F.greatest(delta, F.lit(0.0)), "loss": F.greatest(-delta, F.lit(0.0))})
+
+
+def _rsi_averages(n: int = 14) -> dict[str, tuple]:
+    return {"ag": ("gain", 1 / n), "al": ("loss", 1 / n)}
+
+
+def _rsi(df: DataFrame) -> DataFrame:
     return df.withColumn("rsi", 100 - 100 / (1 + F.col("ag") / (F.col("al") + 1e-9))).drop("gain", "loss", "ag", "al")
 
 
@@ -96,13 +144,18 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
 
 def kdj(df: DataFrame, n: int = 9) -> DataFrame:
     """Stochastic oscillator: K and D start at 50 and move a third of the way to RSV and K."""
+    return ewm(_rsv(df, n), KDJ).withColumn("j", 3 * F.col("k") - 2 * F.col("dd"))
+
+
+KDJ = {"k": ("rsv", 1 / 3), "dd": ("k", 1 / 3)}
+
+
+def _rsv(df: DataFrame, n: int = 9) -> DataFrame:
     w = by()
     f = w.rowsBetween(-(n - 1), 0)
     low, high = F.min("low").over(f), F.max("high").over(f)
     rsv = F.when(F.row_number().over(w) >= n, (F.col("close") - low) / (high - low + 1e-9) * 100)
-    df = df.withColumn("rsv", F.coalesce(rsv, F.lit(50.0))).withColumn("rsv", F.when(F.row_number().over(w) == 1, 50.0).otherwise(F.col("rsv")))
-    df = ewm(df, {"k": ("rsv", 1 / 3), "dd": ("k", 1 / 3)})
-    return df.withColumn("j", 3 * F.col("k") - 2 * F.col("dd"))
+    return df.withColumn("rsv", F.coalesce(rsv, F.lit(50.0))).withColumn("rsv", F.when(F.row_number().over(w) == 1, 50.0).otherwise(F.col("rsv")))
 
 
 def bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
@@ -140,7 +193,7 @@ def vwma(df: DataFrame, n: int = 14) -> DataFrame:
 
 def kdj_rsi(df: DataFrame, low: float = 30.0, high: float = 70.0) -> DataFrame:
     """Yesterday's signs: buy as K crossed D upwards below `low` or RSI was below it, sell on the mirror image above `high`; buy wins, else held."""
-    df = rsi(kdj(df.select("ticker", "d", "high", "low", "close")))
+    df = _rsi(ewm(_moves(_rsv(df.select("ticker", "d", "high", "low", "close"))), KDJ | _rsi_averages())).withColumn("j", 3 * F.col("k") - 2 * F.col("dd"))
     w = by()
     at = lambda c, n: F.lag(c, n).over(w)
     sure = lambda c: F.coalesce(c, F.lit(False))
@@ -154,19 +207,21 @@ def kdj_rsi(df: DataFrame, low: float = 30.0, high: float = 70.0) -> DataFrame:
 def bounded_stack(df: DataFrame, gate: float | None = None, order: str = "seq") -> DataFrame:
     """Steps of +-1 clamped to [-1, 1]; other signals, and those under the gate, leave it."""
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        pos, out = 0.0, []
-        for step in g.step:
-            pos = min(1.0, max(-1.0, pos + step))
-            out.append(pos)
-        return g.drop(columns="step").assign(position=out)
+    def each(batches):
+        last, pos = object(), 0.0
+        for batch in batches:
+            (first, last), out = _starts(batch, last), []
+            for step, new in zip(batch.column("step").to_pylist(), first, strict=True):
+                pos = min(1.0, max(-1.0, (0.0 if new else pos) + step))
+                out.append(pos)
+            rest = batch.drop_columns(["step"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.float64())], names=[*rest.schema.names, "position"])
 
     step = F.when(F.col("signal").isin(*UP), 1.0).when(F.col("signal").isin(*DOWN), -1.0).otherwise(0.0)
     if gate is not None:
         step = F.when(F.col("confidence") >= gate, step).otherwise(0.0)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema] + ["position double"])
-    return df.withColumn("step", step).groupBy("ticker").applyInPandas(each, schema)
+    return runs(df.withColumn("step", step), order).mapInArrow(each, schema)
 
 
 def scaled_positions(w) -> Column:
