@@ -107,11 +107,14 @@ def return_within(asked: DataFrame, bars: DataFrame, key: str = "d") -> DataFram
     """(ticker, d, r): the change between the first two closes of a day and the three business days after it, null without two."""
     week = F.dayofweek(key)  # 1 Sunday
     stop = F.date_add(key, F.when(week.isin(2, 3), 3).when(week == 7, 4).when(week == 1, 3).otherwise(5))
-    near = asked.withColumn("stop", stop).withColumn("at", F.explode(F.sequence(F.col(key), F.col("stop"))))
-    closes = near.join(bars.select("ticker", F.col("d").alias("at"), "close"), ["ticker", "at"])
-    two = closes.groupBy("ticker", key).agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "close"))), 1, 2).alias("c"))  # five closes at most
-    r = F.when(F.size("c") == 2, F.try_divide(F.col("c")[1]["close"] - F.col("c")[0]["close"], F.col("c")[0]["close"]))
-    return asked.join(two.select("ticker", key, r.alias("r")), ["ticker", key], "left")
+    forth, back = Window.partitionBy("ticker").orderBy("d", "close"), Window.partitionBy("ticker").orderBy(F.desc(key), F.desc("_bar"))
+    told = bars.where("ticker IS NOT NULL AND d IS NOT NULL").select("ticker", "d", "close", F.lead("d").over(forth).alias("d2"), F.lead("close").over(forth).alias("close2"))
+    told = told.select("ticker", F.col("d").alias(key), F.struct("d", "close", "d2", "close2").alias("_bar"))
+    both = asked.withColumn("_asked", F.lit(True)).unionByName(told, allowMissingColumns=True)  # a day's own bar comes before the question, which is null there
+    at = F.last("_bar", True).over(back.rowsBetween(Window.unboundedPreceding, 0))  # the nearest bar on the day or later, with the one that follows it
+    found = both.withColumn("_bar", at).where("_asked")
+    r = F.when((F.col("_bar.d") <= stop) & (F.col("_bar.d2") <= stop), F.try_divide(F.col("_bar.close2") - F.col("_bar.close"), F.col("_bar.close")))
+    return found.select(*asked.columns, F.when(F.col(key).isNotNull(), r).alias("r"))
 
 
 def evaluate(rows: DataFrame, gate: float = 0.55, cost_bps: float = 5.0, rf: float = 0.05, overweight: float = 0.75, underweight: float = 0.25, order: str = "seq") -> DataFrame:

@@ -28,3 +28,25 @@ def test_averages_go_over_batches(spark, small_batches):
             assert told[t, i] == tuple(None if v != v else v for v in want.loc[i])
 
 
+def test_stacks_go_over_batches(spark, small_batches):
+    rows = [(t, i, ("BUY", "SELL", "BUY", "HOLD", "OVERWEIGHT")[(i * 7 + k) % 5], 0.5 + i % 2 / 2) for k, t in enumerate(("a", "b", None)) for i in range(20)]
+    got = windows.bounded_stack(spark.createDataFrame(rows, "ticker string, seq int, signal string, confidence double"), 0.7)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    told = {(r.ticker, r.seq): r.position for r in got.collect()}
+    for t in ("a", "b", None):
+        pos = 0.0
+        for _, i, s, c in (r for r in rows if r[0] == t):
+            pos = min(1.0, max(-1.0, pos + (c >= 0.7) * {"HOLD": 0, "SELL": -1}.get(s, 1)))
+            assert told[t, i] == pos
+
+
+def test_return_within_asks_of_any_day(spark):
+    """Days with and without a bar, days asked twice, no later bar, no day: one row a question, and no row a day looked at."""
+    day = lambda n: dt.date(2024, 1, n)
+    bars = spark.createDataFrame([("a", day(2), 10.0), ("a", day(3), 11.0), ("a", day(4), 12.0), ("a", day(20), 5.0), ("b", day(2), 1.0)], "ticker string, d date, close double")
+    asked = spark.createDataFrame([("a", day(2), 1), ("a", day(2), 2), ("a", day(1), 3), ("a", day(4), 4), ("a", None, 5), ("c", day(2), 6), ("b", day(2), 7)], "ticker string, d date, n int")
+    got = trading.return_within(asked, bars)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    assert {r.n: r.r and round(r.r, 9) for r in got.collect()} == {1: 0.1, 2: 0.1, 3: 0.1, 4: None, 5: None, 6: None, 7: None}
+
+
