@@ -177,16 +177,23 @@ def against_base(rows: DataFrame, seed: str, dose: str, value: str, base: float
     return rows.select(seed, dose, (F.col(value) - zero).alias("contrast")).where(F.col(dose) != base)
 
 
-def boot_index(values: DataFrame, order: str, b: int, block: float, seed: str) -> tuple[DataFrame, DataFrame]:
-    """(`values` numbered by i, (draw, i)): a circular stationary bootstrap, at each place a new start with chance 1/block, else the next value."""
+def boot_index(values: DataFrame, order: str, b: int, block: float, seed: str, stretch: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
+    """(`values` numbered by i, (draw, i)): a circular stationary bootstrap, at each place a new start with chance 1/block, else the next value.
+
+    Starts are looked up within stretches of places, and the last one of each is handed on to the next, so no task holds a whole draw.
+    """
     v = numbered(values, [order])
     n = values.count()
     grid = v.select(F.col("i").alias("pos")).join(F.broadcast(draws(v.sparkSession, b)))
     text = [F.lit(seed), F.col("draw").cast("string"), F.col("pos").cast("string")]
     fresh = (F.col("pos") == 0) | (hash_index(1 << 32, *text, F.lit("new")) < F.lit(2**32 / max(1.0, block)))
-    w = Window.partitionBy("draw").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.last(F.when(fresh, F.struct(hash_index(n, *text, F.lit("at")).alias("s"), F.col("pos").alias("p"))), True).over(w)
-    return v, grid.withColumn("st", start).select("draw", ((F.col("st.s") + F.col("pos") - F.col("st.p")) % n).alias("i"))
+    start = F.when(fresh, F.struct(F.col("pos").alias("p"), hash_index(n, *text, F.lit("at")).alias("s")))
+    grid = grid.withColumn("stretch", F.floor(F.col("pos") / stretch)).withColumn("st", start)
+    handed = F.last("st", True).over(Window.partitionBy("draw").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    before = grid.groupBy("draw", "stretch").agg(F.max("st").alias("st")).select("draw", "stretch", handed.alias("before"))  # a row a stretch
+    w = Window.partitionBy("draw", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    found = grid.withColumn("st", F.last("st", True).over(w)).join(before, ["draw", "stretch"]).withColumn("st", F.coalesce("st", "before"))
+    return v, found.select("draw", ((F.col("st.s") + F.col("pos") - F.col("st.p")) % n).alias("i"))
 
 
 def interval(values: DataFrame, value: str) -> DataFrame:

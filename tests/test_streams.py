@@ -50,3 +50,8 @@ def test_return_within_asks_of_any_day(spark):
     assert {r.n: r.r and round(r.r, 9) for r in got.collect()} == {1: 0.1, 2: 0.1, 3: 0.1, 4: None, 5: None, 6: None, 7: None}
 
 
+def test_bootstrap_places_by_stretches(spark, block):
+    """The same places whether a draw is walked in stretches or whole, also where stretches hold no start."""
+    v = spark.range(50).select("id", F.col("id").cast("double").alias("v"))
+    places = lambda stretch: sorted(map(tuple, stats.boot_index(v, "id", 5, block, "s", stretch)[1].collect()))
+    assert places(4) == places(1 << 14) and len(places(4)) == 250
