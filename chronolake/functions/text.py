@@ -46,9 +46,15 @@ def mask(text: Column, level: int) -> Column:
 
 @F.arrow_udf(T.StringType())
 def nfkc(s: pa.Array) -> pa.Array:
-    """Arrow's own kernel decomposes without composing again; texts that are normal already (all ASCII ones) are only looked at."""
-    texts = s.to_pylist()
-    return pa.array([t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts], pa.string())
+    """Arrow's own kernel decomposes without composing again; texts that are normal already are only looked at, some at a time."""
+    parts, same = [], True
+    for at in range(0, len(s), 128):
+        part = s.slice(at, 128)
+        texts = part.to_pylist()
+        if not all(t is None or unicodedata.is_normalized("NFKC", t) for t in texts):
+            part, same = pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in texts], s.type), False
+        parts.append(part)
+    return s if same else pa.concat_arrays(parts)
 
 
 class _Filing(HTMLParser):
