@@ -3,7 +3,8 @@
 Coarse centroids are fitted on a bounded sample of the rows; every row goes to the list of its nearest centroid and is
 kept there twice: as a code of one byte a dimension of what the centroid leaves over, with its validity, and whole.
 A search looks for each query at the lists of its nearest centroids: codes of rows that are visible to the query give
-the finalists, and only those rows' vectors are read for the exact order.  Lists are partitions of the tables, so lists
+the finalists, without those that k others are nearer than for certain, as a code is kept with its distance from its
+row; only the finalists' vectors are read for the exact order.  Lists are partitions of the tables, so lists
 that no query probes aren't read.  Inserts append to both tables under a new version and need no fit.
 
 Probing every list, with `finalists` at the number of rows, gives the exact search (`vectors.search`).
@@ -15,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolake.operators.vectors import cosine
+from chronolake.operators.vectors import CLOSE, PAIRS, SLICE, Shortlist, _places, cosine, days, unseen
 
 SAMPLE, CELLS = 20_000, 1024  # rows that centroids are fitted on, and centroids, at most
 BLOCK = 2_000  # queries that are sent to all tasks at once
@@ -32,6 +34,22 @@ def _unit(lists) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _coded(cells: np.ndarray, spread: float, own: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """What codes stand for."""
+    return cells[own] + code * (spread / 127)
+
+
+def _copies(batch: pa.RecordBatch) -> np.ndarray:
+    """How many rows of the batch have a row's vector and days and a smaller id."""
+    x = np.asarray(batch.column("embedding").flatten()).reshape(batch.num_rows, -1)
+    same = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(batch.num_rows, -1) for c in (x, *days(batch))], axis=1)
+    _, kind = np.unique(same.view(f"V{same.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((batch.column("id").to_numpy(), kind))
+    out = np.empty(len(order), int)
+    out[order] = _places(kind[order])
+    return out
+
+
 def centroids(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Spherical k-means of unit rows, from rows drawn far apart; a centroid that loses all its rows takes the worst served one."""
     rng = np.random.default_rng(seed)
@@ -68,7 +86,11 @@ class Index:
         return "cell int, id long, valid_from date, expires_at date"
 
     def insert(self, rows: DataFrame, version: int) -> None:
-        """Append rows (id, embedding, valid_from, expires_at); a row of zeros lies in the first list."""
+        """Append rows (id, embedding, valid_from, expires_at); a row of zeros lies in the first list.
+
+        A code's slack is how far its row lies from what the code stands for, and its copy the number of rows with the
+        same vector and days and smaller ids that its batch holds.
+        """
         sent = rows.sparkSession.sparkContext.broadcast((self.cells, self.spread))
 
         def each(batches):
@@ -79,32 +101,37 @@ class Index:
                     continue
                 own = (x @ c.T).argmax(1)
                 code = np.clip(np.rint((x - c[own]) * (127 / spread)), -127, 127).astype(np.int8)
+                slack = np.linalg.norm(x - _coded(c, spread, own, code), axis=1)
                 codes = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(code))])
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column("id"), batch.column("valid_from"), batch.column("expires_at"), codes, batch.column("embedding")], names=["cell", "id", "valid_from", "expires_at", "code", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column("id"), batch.column("valid_from"), batch.column("expires_at"), codes, pa.array(slack), pa.array(_copies(batch), pa.int32()), batch.column("embedding")], names=["cell", "id", "valid_from", "expires_at", "code", "slack", "copy", "embedding"])
 
         kind = rows.schema["embedding"].dataType.simpleString()
-        listed = rows.select("id", "embedding", "valid_from", "expires_at").mapInArrow(each, f"{self.types}, code binary, embedding {kind}")
-        listed = listed.withColumn("version", F.lit(version)).repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8)))  # a crowded list lies in several files
+        listed = rows.select("id", "embedding", "valid_from", "expires_at").mapInArrow(each, f"{self.types}, code binary, slack double, copy int, embedding {kind}").withColumn("version", F.lit(version))
         staged = f"{self.path}/staged-{version}"
         listed.write.mode("overwrite").parquet(staged)
         listed = rows.sparkSession.read.parquet(staged)  # vectors are assigned once for both tables
-        listed.drop("embedding").write.mode("append").partitionBy("cell").parquet(f"{self.path}/codes")
-        listed.select("cell", "id", "embedding").write.mode("append").partitionBy("cell").parquet(f"{self.path}/vectors")
+        listed.drop("embedding").hint("rebalance", F.col("cell")).write.mode("append").partitionBy("cell").parquet(f"{self.path}/codes")  # a crowded list lies in several files
+        listed.select("cell", "id", "embedding").hint("rebalance", F.col("cell")).write.mode("append").partitionBy("cell").parquet(f"{self.path}/vectors")
         at = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
         at.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8, finalists: int = 8) -> DataFrame:
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """Codes and vectors as they are now; their folders are listed here."""
+        return spark.read.parquet(f"{self.path}/codes"), spark.read.parquet(f"{self.path}/vectors")
+
+    def search(self, queries: DataFrame, k: int, probes: int = 8, finalists: int = 8, tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         """(qid, rank, id, sim) of the k most similar rows that queries (qid, q, as_of) may see; `finalists` times k go to the exact order."""
         spark = queries.sparkSession
+        tables = tables or self.tables(spark)  # once for all blocks
         blocks = max(1, -(-queries.count() // BLOCK))
         out = None
         for b in range(blocks):
             some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-            found = self._block(spark, some.select("qid", "q", "as_of"), k, probes, finalists)
+            found = self._block(spark, some.select("qid", "q", "as_of"), k, probes, finalists, *tables)
             out = found if out is None else out.unionByName(found)
         return out
 
-    def _block(self, spark: SparkSession, queries: DataFrame, k: int, probes: int, finalists: int) -> DataFrame:
+    def _block(self, spark: SparkSession, queries: DataFrame, k: int, probes: int, finalists: int, codes: DataFrame, vectors: DataFrame) -> DataFrame:
         asked = queries.toArrow()  # about BLOCK rows
         q = _unit(asked["q"])
         day = asked["as_of"].combine_chunks().cast(pa.int32()).to_numpy(zero_copy_only=False)
@@ -116,28 +143,40 @@ class Index:
 
         def each(batches):
             ids, q, day, wanted, cells, spread = sent.value
+            best, everyone = Shortlist(len(q), k, most), np.arange(len(q))
+            whole = all(len(w) == len(q) for w in wanted.values()) and len(wanted) == len(cells)
             for batch in batches:
-                cell = batch.column("cell").to_numpy()
-                n = len(cell)
-                first, last = (batch.column(c).cast(pa.int32()).fill_null(d).to_numpy(zero_copy_only=False) for c, d in (("valid_from", -(2**31)), ("expires_at", 2**31 - 1)))
-                code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(n, -1) if n else None
-                for c in np.unique(cell):
-                    rows, who = np.flatnonzero(cell == c), wanted.get(int(c))
-                    if who is None:
-                        continue
-                    sim = (code[rows] * (spread / 127)) @ q[who].T + cells[c] @ q[who].T
-                    sim[(first[rows][:, None] > day[who]) | (last[rows][:, None] <= day[who])] = -np.inf  # before the cut
-                    least = np.partition(sim, max(0, len(rows) - most), axis=0)[max(0, len(rows) - most)]
-                    r, w = np.nonzero((sim >= least) & (sim > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), c, np.int32)), ids.take(pa.array(who[w])), batch.column("id").take(pa.array(rows[r])), pa.array(sim[r, w])], names=["cell", "qid", "id", "near"])
+                batch = batch.filter(pc.less(batch.column("copy"), k))  # the others have k before them, whoever asks
+                n, cell = batch.num_rows, batch.column("cell").to_numpy()
+                if not n:
+                    continue
+                (first, last), slack, own = days(batch), batch.column("slack").to_numpy(), batch.column("id").to_numpy()
+                x = _coded(cells, spread, cell, np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(n, -1))
+                lists = [(np.arange(n), everyone)] if whole else [(np.flatnonzero(cell == c), wanted[c]) for c in np.unique(cell).tolist() if c in wanted]
+                for rows, who in lists:
+                    for a in range(0, len(rows), SLICE):
+                        r = rows[a : a + SLICE]
+                        sim = q[who] @ x[r].T
+                        sim[unseen(first[r], last[r], day[who])] = -np.inf  # before the cut
+                        best.raised(sim, slack[r], who)
+                        w, at = np.nonzero((sim + slack[r] >= best.least[who][:, None] - CLOSE) & (sim > -np.inf))
+                        for p in range(0, len(w), PAIRS):
+                            v, t = w[p : p + PAIRS], at[p : p + PAIRS]
+                            best.add(who[v], sim[v, t], slack[r[t]], own[r[t]], cell[r[t]])
+            if told := best.told():
+                for p in range(0, len(told[0]), PAIRS):
+                    who, near, off, own, cell = (c[p : p + PAIRS] for c in told)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), ids.take(pa.array(who)), pa.array(own), pa.array(near), pa.array(off)], names=["cell", "qid", "id", "near", "slack"])
 
         kind = queries.schema["qid"].dataType.simpleString()
         lists = list(wanted)
-        codes = spark.read.parquet(f"{self.path}/codes").where(F.col("cell").isin(lists))
+        codes = codes.where(F.col("cell").isin(lists))
         best = Window.partitionBy("qid").orderBy(F.desc("near"), "id")
-        close = codes.select("cell", "id", "valid_from", "expires_at", "code").mapInArrow(each, f"cell int, qid {kind}, id long, near double")
-        close = close.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
-        whole = spark.read.parquet(f"{self.path}/vectors").where(F.col("cell").isin(lists))
+        sure = Window.partitionBy("qid").orderBy(F.desc(F.col("near") - F.col("slack"))).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        close = codes.select("cell", "id", "valid_from", "expires_at", "code", "slack", "copy").mapInArrow(each, f"cell int, qid {kind}, id long, near double, slack double")
+        close = close.withColumn("least", F.nth_value(F.col("near") - F.col("slack"), k).over(sure)).where(F.col("least").isNull() | (F.col("near") + F.col("slack") >= F.col("least") - CLOSE))
+        close = close.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).select("cell", "qid", "id")
+        whole = vectors.where(F.col("cell").isin(lists))
         told = close.join(whole, ["cell", "id"]).join(F.broadcast(queries.select("qid", "q")), "qid")
         sim = F.round(cosine(F.col("embedding"), F.col("q")), 9)
         top = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
@@ -179,9 +218,9 @@ def tuned(index: Index, exact: DataFrame, queries: DataFrame, k: int, target: fl
     `queries` are a sample of those to come and `exact` their results by `vectors.search`.  How many lists hold a query's
     neighbours depends on how the vectors cluster, so it is measured and not assumed.
     """
-    probes = max(1, len(index.cells) // 16)
+    probes, tables = max(1, len(index.cells) // 16), index.tables(queries.sparkSession)
     while True:
-        got = recall(index.search(queries, k, probes, finalists), exact).first().recall or 0.0
+        got = recall(index.search(queries, k, probes, finalists, tables), exact).first().recall or 0.0
         if got >= target or probes >= len(index.cells) and finalists >= 1 << 20:
             return probes, finalists, got
         if probes < len(index.cells):

@@ -134,6 +134,42 @@ def test_index_recall_and_exact_mode(index):
     assert key(full) == key(exact.select("qid", "rank", "id", "sim"))
 
 
+def test_exact_search_in_blocks_and_with_copies(spark):
+    """Products in slices give the pairs of the plain join, with copies of a row that tie and queries that see fewer than k rows."""
+    d, q = made(spark, n=400)
+    d = d.unionByName(d.where("id % 20 < 3").crossJoin(spark.range(9).toDF("s")).withColumn("id", F.col("id") + 1000 * (F.col("s") + 1)).drop("s"))
+    q = q.unionByName(q.limit(2).withColumns({"qid": F.col("qid") + 5000, "as_of": F.lit("2024-01-01").cast("date")})).unionByName(q.limit(1).withColumns({"qid": F.lit(9999).cast("long"), "as_of": F.lit("2023-01-01").cast("date")}))
+    key = lambda df: sorted((r.qid, r["rank"], r.id, r.sim) for r in df.collect())
+    want = key(vectors.search(d, q, 10, visible()))
+    assert want and key(vectors.search_valid(d.repartition(3), q, 10)) == want == key(vectors.search_valid(d.coalesce(1), q, 10, block=5))
+
+
+def test_far_rows_leave_the_shortlist():
+    rng = np.random.default_rng(4)
+    near, slack = rng.random((3, 5000)), 0.001 * rng.random(5000)
+    best = vectors.Shortlist(3, 5)
+    for a in range(0, 5000, 500):
+        best.raised(near[:, a : a + 500], slack[a : a + 500], np.arange(3))
+        for w in range(3):
+            best.add(np.full(500, w), near[w, a : a + 500], slack[a : a + 500], np.arange(a, a + 500))
+    who, _, _, ids = best.told()
+    for w in range(3):
+        sure = np.sort(near[w] - slack)[-5]
+        assert set(ids[who == w]) == set(np.flatnonzero(near[w] + slack >= sure - vectors.CLOSE)) and 5 <= (who == w).sum() < 40
+    ties = vectors.Shortlist(1, 4)
+    ties.add(np.zeros(3000, int), np.ones(3000), np.zeros(3000), np.arange(3000)[::-1])
+    assert sorted(ties.told()[3]) == [0, 1, 2, 3]
+
+
+def test_index_with_copies_keeps_the_smallest_ids(spark, tmp_path):
+    d, q = made(spark, n=300)
+    d = d.unionByName(d.where("id % 10 = 0").crossJoin(spark.range(12).toDF("s")).withColumn("id", F.col("id") + 1000 * (F.col("s") + 1)).drop("s"))
+    built = ivf.build(d.coalesce(2), str(tmp_path / "copies"), cells=8)
+    assert spark.read.parquet(f"{built.path}/codes").where("slack > 0 AND copy >= 5").count() > 0
+    key = lambda df: sorted((r.qid, r["rank"], r.id, r.sim) for r in df.collect())
+    assert key(built.search(q, 5, probes=8, finalists=1000)) == key(vectors.search(d, q, 5, visible()).select("qid", "rank", "id", "sim"))
+
+
 def test_index_filters_before_the_cut_and_reads_probed_lists_only(index, spark):
     d, q, built = index
     one = q.where("qid = 0").withColumn("as_of", F.lit("2024-01-02").cast("date"))
