@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPLIT = r"[^\p{L}\p{N}]+"
+WORDS, TEXTS = 1 << 16, 256  # words that a pass works on at once, unless one text has more, and texts that a model is asked about at once
 _SPLIT = regex.compile(SPLIT)
 
 
@@ -38,6 +39,17 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
 
 
+def _slices(lists: pa.Array, words: int | None = None) -> Iterator[slice]:
+    """Runs of texts with about `words` words, so that what is made of them doesn't follow a batch's size."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    ends, a = lists.offsets.to_numpy(), 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + (words or WORDS), "right")) - 1)
+        yield slice(a, b)
+        a = b
+
+
 def _scores(weights: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A row of class scores for each text; the last column of `weights` is the constant's."""
     out = np.zeros((len(size), len(weights)))
@@ -65,7 +77,8 @@ class Softmax:
         return self.weights.shape[1] - 1
 
     def probabilities(self, features: pa.Array) -> np.ndarray:
-        return _softmax(_scores(self.weights, *_flat(features)))
+        parts = [_softmax(_scores(self.weights, *_flat(features[s]))) for s in _slices(features)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.weights)))
 
     def predict(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """`rows` with (predicted, probabilities); of equal ones the first class."""
@@ -92,16 +105,17 @@ def _sums(rows: DataFrame, weights: np.ndarray, parts: int) -> tuple[float, np.n
         w = sent.value
         loss, n, grad = 0.0, 0, np.zeros_like(w)
         for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False).astype(int)
-            flat, size = _flat(batch.column(1))
-            p = _softmax(_scores(w, flat, size))
-            loss -= float(np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum())
-            p[np.arange(len(y)), y] -= 1
-            share = np.repeat(p / np.sqrt(np.maximum(size, 1))[:, None], size, axis=0)
-            for c in range(len(w)):
-                grad[c, :-1] += np.bincount(flat, share[:, c], w.shape[1] - 1)
-            grad[:, -1] += p.sum(0)
-            n += len(y)
+            for part in _slices(batch.column(1)):
+                y = batch.column(0)[part].to_numpy(zero_copy_only=False).astype(int)
+                flat, size = _flat(batch.column(1)[part])
+                p = _softmax(_scores(w, flat, size))
+                loss -= float(np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum())
+                p[np.arange(len(y)), y] -= 1
+                share = p / np.sqrt(np.maximum(size, 1))[:, None]
+                for c in range(len(w)):
+                    grad[c, :-1] += np.bincount(flat, np.repeat(share[:, c], size), w.shape[1] - 1)
+                grad[:, -1] += p.sum(0)
+                n += len(y)
         if n:
             yield told(loss, n, grad)
 
@@ -190,11 +204,17 @@ def indices(texts: Sequence[str], dims: int) -> pa.Array:
     return pa.array([[index(w) for w in _SPLIT.split(t.lower()) if w] for t in texts], pa.list_(pa.int32()))
 
 
+def asked(model: Softmax, texts: Sequence[str]) -> np.ndarray:
+    """Probabilities of texts, TEXTS of them hashed at once."""
+    parts = [model.probabilities(indices(texts[a : a + TEXTS], model.dims)) for a in range(0, len(texts), TEXTS)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(model.weights)))
+
+
 def classifier(model: Softmax, names: dict | None = None) -> Callable[[Sequence[str]], list[tuple[str, float]]]:
     """The model behind the interface of pluggable classifiers: texts to (label, score)."""
 
     def ask(texts: Sequence[str]) -> list[tuple[str, float]]:
-        p = model.probabilities(indices(texts, model.dims))
+        p = asked(model, texts)
         best = p.argmax(1)
         return [(str((names or {}).get(model.classes[b], model.classes[b])), float(q[b])) for b, q in zip(best, p, strict=True)]
 
@@ -204,7 +224,7 @@ def classifier(model: Softmax, names: dict | None = None) -> Callable[[Sequence[
 def scorer(model: Softmax, target) -> Callable[[Sequence[str]], list[float]]:
     """The probability of one class, behind the interface of pluggable filters."""
     k = model.classes.index(target)
-    return lambda texts: model.probabilities(indices(texts, model.dims))[:, k].tolist()
+    return lambda texts: asked(model, texts)[:, k].tolist()
 
 
 def baseline(samples: DataFrame, label: str, year: Column, text: str = "text", last_train: int = 2018, first_test: int = 2020, **fitting) -> tuple[DataFrame, dict]:

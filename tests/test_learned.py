@@ -1,8 +1,10 @@
 """Models fitted over executors, the inverted-file index, the feed of jobs."""
 
 import json
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,25 @@ def test_coefficients_against_newton(spark):
     assert learn.scorer(m, 1)(["strong strong rise"])[0] > 0.8 > 0.3 > learn.scorer(m, 1)(["weak cut fall"])[0]
 
 
+def test_large_batches_are_worked_on_in_slices(spark):
+    """What a pass and a question hold doesn't follow the words of a batch, and sums are the same."""
+    rng = np.random.default_rng(2)
+    lists = pa.array([[], *rng.integers(0, 64, (1500, 1200)).astype(np.int32).tolist(), []], pa.list_(pa.int32()))
+    m = learn.Softmax((0, 1), rng.normal(size=(2, 65)))
+    tracemalloc.start()
+    p = m.probabilities(lists)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert p.shape == (1502, 2) and most < 8 << 20  # all words at once take 30 MB
+    one = np.concatenate([m.probabilities(lists[i : i + 1]) for i in (0, 1, 700, 1501)])
+    assert np.abs(p[[0, 1, 700, 1501]] - one).max() < 1e-12
+    d = spark.range(2000).select((F.col("id") % 2).cast("int").alias("y"), F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: ((F.col("id") * i) % 64).cast("int")).alias("features"))
+    few, many = learn._sums(d.coalesce(1), m.weights, 1), learn._sums(d.repartition(40), m.weights, 1)
+    assert abs(few[0] - many[0]) < 1e-9 and np.abs(few[1] - many[1]).max() < 1e-9
+    told = learn.asked(m, ["a b"] * 600 + [""])
+    assert len(told) == 601 and np.abs(told[:600] - told[0]).max() < 1e-12 and learn.asked(m, []).shape == (0, 2)
+
+
 def test_fit_without_classes(spark):
     d = spark.createDataFrame([(1, "a", None)], "id int, text string, y int")
     assert learn.fit(d, "y", dims=8).classes == (None,)
