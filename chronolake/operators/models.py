@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,7 @@ def classified(text: Column, model: Classifier = words) -> Column:
 
     @F.arrow_udf(T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
     def ask(s: pa.Array) -> pa.Array:
-        texts = [(t or "")[:CUT] for t in s.to_pylist()]
+        texts = [t or "" for t in pc.utf8_slice_codeunits(s, 0, CUT).to_pylist()]  # whole texts stay where they are
         got = [r for a in range(0, len(texts), BATCH) for r in model(texts[a : a + BATCH])]
         return pa.array([{"label": a, "score": float(b)} for a, b in got], pa.struct([("label", pa.string()), ("score", pa.float64())]))
 
@@ -72,7 +73,7 @@ def on_subject(rows: DataFrame, text: str, scores: Callable[[Sequence[str]], lis
 
     @F.arrow_udf(T.DoubleType())
     def ask(s: pa.Array) -> pa.Array:
-        texts = [(t or "")[:CUT] for t in s.to_pylist()]
+        texts = [t or "" for t in pc.utf8_slice_codeunits(s, 0, CUT).to_pylist()]  # whole texts stay where they are
         try:
             return pa.array([float(x) for x in scores(texts)], pa.float64())
         except Exception:  # noqa: BLE001 a model that isn't there lets rows pass
