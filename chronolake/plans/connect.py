@@ -18,7 +18,7 @@ from chronolake.streaming import jobs as J
 
 
 
-class Reluctant(C.Files):
+class Reluctant(C.Shelves):
     """Says once for each symbol that too much was asked."""
 
     def __init__(self, options: dict):
@@ -33,10 +33,15 @@ class Reluctant(C.Files):
 
 
 def _answers(spark, sf) -> str:
-    """A vendor's files: the bars of every ticker, a CSV answer each."""
+    """What a vendor answers: the bars of every ticker as CSV, a row each, in some shelves."""
     at = Sk.folder(spark, "vendor")
-    b = view(spark, sf, "bars").select(F.col("ticker").cast("string").alias("symbol"), F.col("d").alias("timestamp"), "open", "high", "low", "close", "volume")
-    b.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(at)
+    fields = ("open", "high", "low", "close", "volume")
+    b = view(spark, sf, "bars").select(F.col("ticker").cast("string").alias("symbol"), F.col("d").cast("string").alias("timestamp"), *fields)
+    line = F.array_join(F.array("timestamp", *(F.col(c).cast("string") for c in fields)), ",", "")
+    days = F.array_sort(F.collect_list(line))  # a line a day
+    told = b.groupBy("symbol").agg(F.concat_ws("\n", F.lit(",".join(("timestamp", *fields))), days).alias("answer"))
+    shelf = Sk.shelf(F.col("symbol"))
+    told.withColumn("shelf", shelf).hint("rebalance", F.col("shelf")).sortWithinPartitions("shelf", "symbol").write.option("parquet.block.size", 8 << 20).partitionBy("shelf").parquet(at)
     return at
 
 
@@ -55,7 +60,7 @@ def s7_vendor_symbols(spark, sf):
     at = _answers(spark, sf)
     C.register(spark)
     wanted = [str(r[0]) for r in table(spark, sf, "supplier").where("s_nationkey < 5").select("s_suppkey").collect()]  # a request's list of symbols
-    asked = spark.read.format("vendor").options(root=at, gap="0").load().where(F.col("symbol").isin(wanted))
+    asked = spark.read.format("vendor").options(root=at, transport=f"{C.__name__}:Shelves", gap="0").load().where(F.col("symbol").isin(wanted))
     return asked.groupBy("symbol").agg(F.count("*").alias("days"), F.max("day").alias("last"))
 
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -89,6 +90,46 @@ class Files:
         return "\n".join(parts[:1] + inside)
 
 
+class Shelves:
+    """Answers kept in Parquet files, a row (symbol, answer) each, under folders `shelf=...`: files don't grow in number with the symbols.
+
+    Symbols are listed shelf by shelf, and `near` says which a task should ask for: those of a shelf come in the order
+    of its rows, so that a task reads a file once for all of them.
+    """
+
+    def __init__(self, options: dict):
+        self.fs, self.root = pyarrow.fs.FileSystem.from_uri(options["root"])
+        self.at: dict[str, tuple[str, int]] | None = None
+        self.held: dict[str, str] = {}
+
+    def _files(self) -> list[str]:
+        found = self.fs.get_file_info(pyarrow.fs.FileSelector(self.root, recursive=True))
+        return sorted(f.path for f in found if f.path.endswith(".parquet"))
+
+    def symbols(self) -> list[str]:
+        return [s for path in self._files() for s in pq.read_table(path, columns=["symbol"], filesystem=self.fs, partitioning=None).column(0).to_pylist()]
+
+    def near(self, names: list[str], parts: int) -> list[tuple[str, ...]]:
+        """Names, as `symbols` orders them, in runs."""
+        return [tuple(names[len(names) * i // parts : len(names) * (i + 1) // parts]) for i in range(parts)]
+
+    def _groups(self, path: str) -> Iterator[tuple[int, list[str]]]:
+        with pq.ParquetFile(path, filesystem=self.fs) as f:
+            for g in range(f.num_row_groups):
+                yield g, f.read_row_group(g, columns=["symbol"]).column(0).to_pylist()
+
+    def ask(self, symbol: str, first: str | None = None, last: str | None = None) -> str:
+        if symbol not in self.held:
+            if self.at is None:
+                self.at = {s: (path, g) for path in self._files() for g, names in self._groups(path) for s in names}
+            path, group = self.at[symbol]
+            with pq.ParquetFile(path, filesystem=self.fs) as f:
+                self.held = dict(zip(*(c.to_pylist() for c in f.read_row_group(group, columns=["symbol", "answer"]).columns), strict=True))
+        lines = self.held[symbol].splitlines()
+        inside = [x for x in lines[1:] if (first is None or x[:10] >= first) and (last is None or x[:10] <= last)]
+        return "\n".join(lines[:1] + inside)
+
+
 def _from_json(text: str) -> dict[str, list[str | None]]:
     """Columns of the first object of objects: days with fields that may be numbered (`1. open`)."""
     tables = (v for v in json.loads(text).values() if isinstance(v, dict) and v and all(isinstance(x, dict) for x in v.values()))
@@ -151,11 +192,13 @@ class VendorReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        names = self._transport().symbols()
+        vendor = self._transport()
+        names = vendor.symbols()
         if self.only is not None:
             names = [n for n in names if n in self.only]
         parts = max(1, min(len(names), int(self.options.get("partitions", "8"))))
-        return [Symbols(tuple(names[i::parts])) for i in range(parts)]
+        dealt = vendor.near(names, parts) if hasattr(vendor, "near") else [tuple(names[i::parts]) for i in range(parts)]
+        return [Symbols(d) for d in dealt]
 
     def read(self, partition: Symbols) -> Iterator[pa.RecordBatch]:
         vendor = self._transport()

@@ -86,6 +86,25 @@ def test_whole_source_and_values(spark, asked):
     assert (one.open, one.high, one.low, one.close, one.volume) == (1.0, None, None, 100.0, 1.0)
 
 
+def test_answers_in_shelves(spark, tmp_path, monkeypatch):
+    """Symbols share files, a file's answers are read once for a run of them, and filters reach them."""
+    root, text = str(tmp_path / "shelves"), "\n".join([HEAD, *(f"2024-01-{d:02d},{d},,1e2,{d}.5,{d}" for d in range(1, 11))])
+    rows = spark.createDataFrame([(f"s{i}", text) for i in range(300)], "symbol string, answer string")
+    rows.withColumn("shelf", (F.col("symbol").substr(2, 9).cast("int") % 4)).repartition(2, "shelf").sortWithinPartitions("shelf", "symbol").write.partitionBy("shelf").parquet(root)
+    vendor = C.Shelves({"root": root})
+    names, opened = vendor.symbols(), []
+    assert sorted(names) == sorted(f"s{i}" for i in range(300)) and sum(map(len, vendor.near(names, 7))) == 300 and sum(vendor.near(names, 7), ()) == tuple(names)
+    read = C.pq.ParquetFile.read_row_group
+    monkeypatch.setattr(C.pq.ParquetFile, "read_row_group", lambda f, g, columns: opened.append(columns) or read(f, g, columns=columns))
+    assert all(len(vendor.ask(n, "2024-01-03", "2024-01-04").split("\n")) == 3 for n in names)
+    assert len(os.listdir(root)) < 10 and len([c for c in opened if "answer" in c]) == 4
+    C.register(spark)
+    load = lambda **o: spark.read.format("vendor").options(root=root, transport="chronolake.sources.connector:Shelves", gap="0", **o).load()
+    got = load(partitions="3").where("day > DATE '2024-01-08'").collect()
+    assert sorted((r.symbol, r.day.day, r.low, r.high, r.close) for r in got) == sorted((f"s{i}", d, 100.0, None, d + 0.5) for i in range(300) for d in (9, 10))
+    assert load().where("symbol IN ('s7', 's8', 'none')").count() == 20
+
+
 def test_answers_in_both_forms():
     told = json.dumps({"Meta Data": {"1. Information": "Daily", "2. Symbol": "A"}, "Time Series (Daily)": {"2024-01-02": {"1. open": "1.5", "4. close": "None", "5. volume": "7"}, "bad": {"1. open": "1"}}})
     assert C.series("A", told).to_pylist() == [
