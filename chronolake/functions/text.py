@@ -6,8 +6,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from html.entities import html5
+from functools import reduce
 from html.parser import HTMLParser
 from itertools import islice
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -219,13 +221,17 @@ def noise(text: Column, seed: int = 42) -> Column:
 
 def stance_probabilities(text: Column, seed: int = 42, competence: float = 0.75, dose: float = 0.0, future: Column | None = None) -> Column:
     """P(dovish, neutral, hawkish) from key words, some noise, and, with a dose, recall of what came after at marks of time."""
-    has = lambda words, t: F.regexp_like(t, F.lit("|".join(map(re.escape, words))))
-    low = F.lower(text)
-    swing = once(noise(text, seed), lambda n: F.when(F.abs(n) > competence, n * 0.4).otherwise(0.0))
-    score = has(HAWKISH, low).cast("double") - has(DOVISH, low).cast("double") + swing
-    if dose > 0 and future is not None:
-        recalled = has(ANCHORS, text) & ~has(ANONYMOUS, text)
-        score = score + F.when(recalled, dose * 1.5 * F.coalesce(future.cast("double"), F.lit(0.0))).otherwise(0.0)
+    has = lambda words, t: reduce(or_, (F.contains(t, F.lit(w)) for w in words))
+
+    def scored(t: Column) -> Column:
+        swing = once(noise(t, seed), lambda n: F.when(F.abs(n) > competence, n * 0.4).otherwise(0.0))
+        score = once(F.lower(t), lambda low: has(HAWKISH, low).cast("double") - has(DOVISH, low).cast("double")) + swing
+        if dose > 0 and future is not None:
+            recalled = has(ANCHORS, t) & ~has(ANONYMOUS, t)
+            score = score + F.when(recalled, dose * 1.5 * F.coalesce(future.cast("double"), F.lit(0.0))).otherwise(0.0)
+        return score
+
+    score = once(text, scored)  # a masked text is made once, not by each of its readers
     e = once(score, lambda s: F.array(F.exp(s * -1.5), F.exp(0.2 - 0.5 * F.abs(s)), F.exp(s * 1.5)))
     return once(e, lambda v: F.transform(v, lambda x: x / (v[0] + v[1] + v[2])))
 

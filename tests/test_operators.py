@@ -427,3 +427,14 @@ def test_digests_of_corpora(spark):
     assert chain["a"] == sha("".join(level[k][0] for k in sorted(level)))
     more = corpus.chained_digest(d.union(d.limit(1)), ["side"], "i", "h", block=4).collect()
     assert {r.side: r.digest for r in more}["a"] != chain["a"] or {r.side: r.digest for r in more}["b"] != chain["b"]  # a repeated row counts
+
+
+def test_stance_of_a_masked_text_is_asked_without_patterns(spark):
+    """A masked text is made once for all its readers, and words are looked for as they are."""
+    d = spark.createDataFrame([("The Fed may RAISE rates in 2019.",), ("a.b slowdown",), ("",), (None,)], "t string")
+    p = X.stance_probabilities(X.mask(F.col("t"), 3), dose=0.5, future=F.lit(1))
+    told = d.select(p.alias("p"))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Bernanke") == 1 and "RLIKE" not in plan.upper() and "REGEXP" not in plan.upper()
+    got = [r.p for r in told.collect()]
+    assert got[0][2] > 0.5 > got[1][2] and abs(sum(got[2]) - 1) < 1e-12
