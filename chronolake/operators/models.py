@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from chronolake.functions import scalars as S
 from chronolake.functions import text as X
 
 CUT, BATCH = 512, 32  # characters of a text that a classifier reads, texts in a call
+BYTES = 1 << 20  # of whole texts that a filter's model is asked about at once, unless one text has more
 
 
 class Classifier(Protocol):
@@ -68,16 +70,28 @@ def classified(text: Column, model: Classifier = words) -> Column:
     return ask(text)
 
 
+def _runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of whole texts with about BYTES bytes, so that what is made of them doesn't follow a batch's size."""
+    ends, a = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, "right")))
+        yield texts[a:b]
+        a = b
+
+
 def on_subject(rows: DataFrame, text: str, scores: Callable[[Sequence[str]], list[float]], threshold: float = 0.6) -> DataFrame:
-    """Rows whose score reaches the threshold; if the model fails on a batch, that batch passes."""
+    """Rows whose whole text's score reaches the threshold; if the model fails on a batch, that batch passes."""
 
     @F.arrow_udf(T.DoubleType())
     def ask(s: pa.Array) -> pa.Array:
-        texts = [t or "" for t in pc.utf8_slice_codeunits(s, 0, CUT).to_pylist()]  # whole texts stay where they are
-        try:
-            return pa.array([float(x) for x in scores(texts)], pa.float64())
-        except Exception:  # noqa: BLE001 a model that isn't there lets rows pass
-            return pa.array([1.0] * len(texts), pa.float64())
+        told: list[float] = []
+        for run in _runs(s):
+            texts = [t or "" for t in run.to_pylist()]
+            try:
+                told += [float(x) for x in scores(texts)]
+            except Exception:  # noqa: BLE001 a model that isn't there lets rows pass
+                return pa.array([1.0] * len(s), pa.float64())
+        return pa.array(told, pa.float64())
 
     return rows.where(ask(F.col(text)) >= threshold)
 

@@ -111,6 +111,28 @@ def test_trained_model_behind_the_interfaces(spark):
     assert 0.7 < kept.where("y = 1").count() / kept.where("y IS NOT NULL").count()
 
 
+def test_filter_reads_whole_texts(spark):
+    """What stands behind the first 512 characters counts, in runs of texts, as in the model's own scores of whole texts."""
+    d = spark.createDataFrame(texts(200), "id int, text string, y int, year int")
+    m = learn.fit(d, "y", dims=64)
+    up, down = "strong rates rise, growth ", "weak cut, fall "
+    asked = [up * 30 + down * 4000, down * 40 + up * 4000, up * 9000, None, "", *[down * 10_000] * 9, *[up * 10_000] * 9, ("été " * 200_000) + up, up]
+    long = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(asked)), 1), "id int, text string")  # one batch
+    kept = {r.id for r in models.on_subject(long, "text", learn.scorer(m, 1), 0.5).collect()}
+    sure = F.element_at("probabilities", m.classes.index(1) + 1) >= 0.5
+    assert kept == {r.id for r in m.predict(long).where(sure).collect()} and {1, 2, 14, 22, 24} <= kept and not kept & {0, 5, 13}
+    runs = [r.to_pylist() for r in models._runs(pa.array(asked))]
+    assert sum(runs, []) == asked and len(runs) > 3 and all(len(r) == 1 or sum(len((t or "").encode()) for t in r) <= models.BYTES for r in runs)
+    assert list(models._runs(pa.array([], pa.string()))) == []
+
+    def late(some):
+        if up in some:
+            raise ValueError
+        return [0.0] * len(some)
+
+    assert models.on_subject(long, "text", late).count() == len(asked)  # a failure in a later run lets the batch pass
+
+
 def made(spark, n=1500, dims=24, seed=1):
     rng = np.random.default_rng(seed)
     centre = rng.normal(size=(30, dims))
